@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Python's str.isspace() set, spelled so Java regex and RE2 read it identically.
+WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 # Fixed values that must equal the reference: characters kept by the cleaner besides word
 # characters and whitespace.
 CLEAN_KEEP_PUNCT = ".,!?;:()\\-'\""
@@ -22,7 +25,7 @@ def _c(col) -> Column:
 def clean_text(col) -> Column:
     """Collapse whitespace, drop runs of disallowed characters, then keep the (single-line)
     result only when it is longer than 10 characters after trimming, else ''."""
-    s = F.regexp_replace(_c(col), r"(?U)\s+", " ")
+    s = F.regexp_replace(_c(col), WS + "+", " ")
     s = F.regexp_replace(s, "[^\\p{L}\\p{N}_ " + CLEAN_KEEP_PUNCT + "]+", "")
     t = F.trim(s)
     return F.when(F.length(t) > CLEAN_MIN_CHARS, t).otherwise(F.lit(""))
@@ -146,7 +149,7 @@ def status_bucket(col, rules=REVIEW_STATUS_BUCKETS, other: str = "warning", lowe
 
 def word_tokens(col) -> Column:
     """Whitespace tokens with empties removed (Python ``str.split()``)."""
-    return F.filter(F.split(_c(col), r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(_c(col), WS + "+"), lambda x: x != "")
 
 
 def token_estimate_ws(col) -> Column:

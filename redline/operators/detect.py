@@ -53,7 +53,7 @@ def detect_firm(docs: DataFrame, firms: DataFrame, id_col: str = "id",
     arr = _inline_keywords(firms)
     if arr is not None:
         low = F.lower(F.col(text_col))
-        first = F.filter(arr, lambda k: F.instr(low, k["kw"]) > 0).getItem(0)
+        first = F.get(F.filter(arr, lambda k: F.instr(low, k["kw"]) > 0), 0)
         return docs.withColumn("_hit", first).select(
             "*", F.col("_hit.firm_id").alias("law_firm_id"), F.col("_hit.firm_name").alias("law_firm_name")
         ).drop("_hit")
@@ -73,14 +73,14 @@ def detect_all_firms(docs: DataFrame, firms: DataFrame, id_col: str = "id",
         ids = F.array_distinct(F.transform(F.filter(arr, lambda k: F.instr(low, k["kw"]) > 0),
                                            lambda k: k["firm_id"]))
         return (docs.withColumn("firms_matched", ids)
-                .withColumn("default_firm", F.col("firms_matched").getItem(0)))
+                .withColumn("default_firm", F.get(F.col("firms_matched"), 0)))
     hits = _hits_by_join(docs, firms, id_col, text_col)
     agg = hits.groupBy("_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("firm_rank", "firm_id"))), lambda s: s["firm_id"])
         .alias("firms_matched"))
     out = docs.join(agg, docs[id_col] == agg["_id"], "left").drop("_id")
     return (out.withColumn("firms_matched", F.coalesce("firms_matched", F.array().cast("array<string>")))
-            .withColumn("default_firm", F.col("firms_matched").getItem(0)))
+            .withColumn("default_firm", F.get(F.col("firms_matched"), 0)))
 
 
 def keyword_counts(firms: DataFrame) -> DataFrame:
@@ -114,4 +114,4 @@ def prompt_for(type_col, prompts: dict = SYSTEM_PROMPTS) -> Column:
     a fixed handful of entries, so it is a map literal (a lookup without any join)."""
     m = F.create_map(*[x for k, v in prompts.items() for x in (F.lit(k), F.lit(v))])
     c = F.col(type_col) if isinstance(type_col, str) else type_col
-    return F.coalesce(F.element_at(m, F.lower(c)), F.lit(prompts["default"]))
+    return F.coalesce(F.try_element_at(m, F.lower(c)), F.lit(prompts["default"]))
