@@ -89,12 +89,30 @@ CONTRACT_TYPE_PATTERNS = [
 ]
 
 
+def portable_regex(p: str) -> str:
+    """Spell a Python pattern so Java and RE2 match it like Python does: ``\\s`` becomes the
+    explicit Unicode whitespace class and ``.`` excludes only ``\\n``."""
+    out, i = [], 0
+    while i < len(p):
+        ch = p[i]
+        if ch == "\\" and i + 1 < len(p):
+            out.append(WS if p[i + 1] == "s" else p[i:i + 2])
+            i += 2
+            continue
+        out.append("[^\\n]" if ch == "." else ch)
+        i += 1
+    return "".join(out)
+
+
+def contract_type_regexes(patterns=CONTRACT_TYPE_PATTERNS):
+    return [(label, "|".join(f"(?:{portable_regex(p)})" for p in pats)) for label, pats in patterns]
+
+
 def contract_type(col, patterns=CONTRACT_TYPE_PATTERNS) -> Column:
     """First rule whose regex is found in lower(text); '.' does not cross newlines."""
     low = F.lower(_c(col))
     out = F.lit("default")
-    for label, pats in reversed(patterns):
-        rx = "(?U)" + "|".join(f"(?:{p})" for p in pats)
+    for label, rx in reversed(contract_type_regexes(patterns)):
         out = F.when(low.rlike(rx), F.lit(label)).otherwise(out)
     return out
 
