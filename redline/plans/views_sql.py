@@ -9,13 +9,13 @@ VIEWS = {
     "contract_files": """
 SELECT CAST(doc_id AS VARCHAR) AS id, doc_id,
        source || '_' || CAST(doc_id AS VARCHAR) ||
-         CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.docx' ELSE '.txt' END AS filename,
+         CASE (doc_id // 3) % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.docx' ELSE '.txt' END AS filename,
        CAST(strlen(text) AS BIGINT) AS size_bytes,
        text AS extracted_text, source AS project, lang,
-       CASE doc_id % 4 WHEN 0 THEN 'purchase_agreement' WHEN 1 THEN 'rider'
+       CASE (doc_id // 3) % 4 WHEN 0 THEN 'purchase_agreement' WHEN 1 THEN 'rider'
                        WHEN 3 THEN 'legal_comments' END AS document_type,
        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS BIGINT)) AS uploaded_at,
-       doc_id % 4 <> 3 AS processed
+       (doc_id // 3) % 4 <> 3 AS processed
 FROM documents""",
     "law_firms": """
 SELECT 'firm_' || CAST(firm_rank AS VARCHAR) AS id, 'Firm ' || CAST(firm_rank AS VARCHAR) AS name,
@@ -76,6 +76,9 @@ SELECT 'job_' || CAST(user_id AS VARCHAR) AS job_id, event_id AS step, 'loss' AS
        CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed'
                        ELSE 'processing' END AS status
 FROM events""",
+    "review_docs": """
+SELECT d.source AS project, c.project_id AS review_id, c.text
+FROM comment_docs c JOIN documents d ON c.project_id = d.doc_id""",
 }
 
 

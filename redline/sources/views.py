@@ -18,7 +18,7 @@ EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 def contract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> uploaded contract files (id, filename, size, text, type, upload time)."""
     d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    m4 = F.col("doc_id") % 4
+    m4 = F.expr("(doc_id div 3) % 4")
     ext = (F.when(m4 == 0, ".pdf").when(m4 == 1, ".PDF").when(m4 == 2, ".docx")
            .otherwise(".txt"))
     doc_type = (F.when(m4 == 0, "purchase_agreement").when(m4 == 1, "rider")
@@ -154,3 +154,12 @@ def loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         _status().alias("status"),
     )
+
+
+def review_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewer documents with their project: conversation c belongs to the project (source) of
+    document c."""
+    d = table(spark, sf_dir, "documents", "doc_id", "source")
+    c = comment_docs(spark, sf_dir)
+    return (c.join(d, c["project_id"] == d["doc_id"])
+            .select(F.col("source").alias("project"), F.col("project_id").alias("review_id"), "text"))
