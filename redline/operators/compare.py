@@ -161,3 +161,33 @@ def diff_by_line(diffs: DataFrame, limit: int = 100) -> DataFrame:
         .alias("added"))
     w = Window.partitionBy("contract_id", "template_id").orderBy("line_number")
     return g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+
+
+def comment_report(pairs: DataFrame, diffs: DataFrame, shared: DataFrame) -> DataFrame:
+    """One report per contract with a detected firm: the firm's shared (legal) comments, and the
+    nested comparisons [{template, type, differences[...]}].  A contract with no template to compare
+    against is a failed report.  Nesting is two bounded collect_lists: differences of one pair,
+    comparisons of one contract."""
+    per_pair = diffs.groupBy("contract_id", "template_id").agg(
+        F.sort_array(F.collect_list(F.struct("type", "content", "occurrence"))).alias("differences"))
+    p = pairs.where(F.col("template_id").isNotNull()).select("contract_id", "template_id", "template_type") \
+        .join(per_pair, ["contract_id", "template_id"], "left") \
+        .withColumn("differences", F.coalesce("differences", F.array().cast(per_pair.schema["differences"].dataType)))
+    per_contract = p.groupBy("contract_id").agg(
+        F.sort_array(F.collect_list(F.struct("template_id", "template_type", "differences"))).alias("comparisons"))
+    base = pairs.select("contract_id", "law_firm_id", "contract_type").distinct()
+    sc = shared.groupBy("law_firm_id").agg(
+        F.sort_array(F.collect_list(F.struct("template_id", "comment", "section", "severity"))).alias("shared_comments"))
+    out = base.join(per_contract, "contract_id", "left").join(sc, "law_firm_id", "left")
+    comps = F.coalesce("comparisons", F.array().cast(per_contract.schema["comparisons"].dataType))
+    shc = F.coalesce("shared_comments", F.array().cast(sc.schema["shared_comments"].dataType))
+    n_diff = F.aggregate(comps, F.lit(0).cast("bigint"), lambda a, c: a + F.size(c["differences"]))
+    return out.select(
+        "contract_id", "law_firm_id", F.size(shc).cast("bigint").alias("n_shared_comments"),
+        F.size(comps).cast("bigint").alias("n_comparisons"), n_diff.alias("n_differences"),
+        (F.size(comps) == 0).alias("failed"),
+        F.to_json(F.struct(F.col("contract_id").alias("contract_file_id"), F.col("law_firm_id"),
+                           shc.alias("comments"),
+                           F.array(F.struct(F.col("contract_id").alias("file"),
+                                            F.coalesce("contract_type", F.lit("")).alias("document_type"),
+                                            comps.alias("comparisons"))).alias("document_comparisons"))).alias("report"))
