@@ -25,15 +25,16 @@ MIN_TEXT_CHARS = 10
 
 # ---- S4 / L1: loading and format detection ---------------------------------------------------
 
-def load_examples(spark, paths: list[str]) -> DataFrame:
+def load_examples(spark, paths: list[str], fmt: str = "auto") -> DataFrame:
     """Read JSONL / JSON training files into records ``(file, line_no, value)``.
 
     ``.jsonl``: one record per line; bad JSON and empty values (``{}``, ``[]``, ``null``, ...) are
     skipped.  ``.json``: the whole file is one document; a list gives one record per element,
     ``{"chunks": [...]}`` one ``{"text": ...}`` record per chunk, any other object one record.
-    Missing files are skipped; if no file is given an error is raised."""
-    jl = [p for p in paths if p.endswith(".jsonl")]
-    js = [p for p in paths if p.endswith(".json")]
+    Missing files are skipped; if no file is given an error is raised.  With ``fmt='jsonl'`` or
+    ``fmt='json'`` every path (files or folders of part files) is read that way."""
+    jl = [p for p in paths if (fmt == "jsonl") or (fmt == "auto" and p.endswith(".jsonl"))]
+    js = [p for p in paths if (fmt == "json") or (fmt == "auto" and p.endswith(".json"))]
     parts = []
     empty = ["{}", "[]", "null", "false", "0", '""']
     if jl:
