@@ -1,0 +1,82 @@
+"""Multi-keyword substring search as an Arrow-batched pandas UDF.
+
+Spark has no multi-pattern substring operator; testing K keywords with ``instr`` costs K passes
+over every text.  An Aho-Corasick automaton finds every keyword occurrence in one pass, so the
+cost is linear in the text whatever the number of keywords.  The automaton is built once per
+Python worker and reused across batches.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+try:  # optional dependency; callers fall back to a JVM fold without it
+    import ahocorasick  # type: ignore
+except ImportError:  # pragma: no cover
+    ahocorasick = None
+
+_AUTOMATA: dict = {}
+
+
+def available() -> bool:
+    return ahocorasick is not None
+
+
+def _automaton(keywords: tuple):
+    a = _AUTOMATA.get(keywords)
+    if a is None:
+        a = ahocorasick.Automaton()
+        groups: dict = {}
+        for i, kw in enumerate(keywords):
+            groups.setdefault(kw, []).append(i)   # equal keywords of several firms share a node
+        for kw, idxs in groups.items():
+            a.add_word(kw, tuple(idxs))
+        a.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[keywords] = a
+    return a
+
+
+def first_keyword_index(text: Column, keywords: list[str]) -> Column:
+    """Index (in `keywords` order) of the first keyword that occurs in lower(text); null if none.
+    `keywords` must already be lower-cased and ordered by priority."""
+    kws = tuple(keywords)
+
+    @F.pandas_udf("int")
+    def _first(texts: pd.Series) -> pd.Series:
+        a = _automaton(kws)
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            best = None
+            for _, idxs in a.iter(t.lower()):
+                if best is None or idxs[0] < best:
+                    best = idxs[0]
+                    if best == 0:
+                        break
+            out.append(best)
+        return pd.Series(out, dtype="Int32")
+
+    return _first(text)
+
+
+def all_keyword_indexes(text: Column, keywords: list[str]) -> Column:
+    """Sorted distinct indexes of every keyword occurring in lower(text)."""
+    kws = tuple(keywords)
+
+    @F.pandas_udf("array<int>")
+    def _all(texts: pd.Series) -> pd.Series:
+        a = _automaton(kws)
+        out = []
+        for t in texts:
+            if t is None:
+                out.append([])
+                continue
+            out.append(sorted({i for _, idxs in a.iter(t.lower()) for i in idxs}))
+        return pd.Series(out)
+
+    return _all(text)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redline.functions import keywords as KW
 from redline.functions.text import template_type, contract_type  # noqa: F401  (re-export)
 
 # Above this many keywords the inline array is not used; the join path takes over.
@@ -27,15 +28,21 @@ def firm_keywords(firms: DataFrame) -> DataFrame:
             .select("firm_rank", "firm_id", "firm_name", "kw_pos", F.lower("kw").alias("kw_lower")))
 
 
-def _inline_keywords(firms: DataFrame):
+def _keyword_rows(firms: DataFrame):
+    """The firm keywords in priority order, or None when there are more than the bound."""
     kw = firm_keywords(firms)
-    n = kw.count()
-    if n > MAX_INLINE_KEYWORDS:
+    if kw.count() > MAX_INLINE_KEYWORDS:
+        return None
+    return kw.orderBy("firm_rank", "firm_id", "kw_pos").collect()  # bounded by the check above
+
+
+def _inline_keywords(firms: DataFrame, rows=None):
+    rows = _keyword_rows(firms) if rows is None else rows
+    if not rows:
         return None
-    rows = kw.orderBy("firm_rank", "firm_id", "kw_pos").collect()  # bounded by the check above
     return F.array(*[F.struct(F.lit(r.firm_rank).alias("firm_rank"), F.lit(r.firm_id).alias("firm_id"),
                               F.lit(r.firm_name).alias("firm_name"), F.lit(r.kw_lower).alias("kw"))
-                     for r in rows]) if rows else None
+                     for r in rows])
 
 
 def _hits_by_join(docs: DataFrame, firms: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,10 +57,26 @@ def detect_firm(docs: DataFrame, firms: DataFrame, id_col: str = "id",
                 text_col: str = "extracted_text") -> DataFrame:
     """Adds law_firm_id / law_firm_name: the first firm (by firm_rank) with any keyword that is a
     case-insensitive substring of the text; null when none hits or text is null."""
-    arr = _inline_keywords(firms)
+    rows = _keyword_rows(firms)
+    if rows and KW.available():
+        # One Aho-Corasick pass per text (cost independent of the keyword count); the winning
+        # keyword index maps back to its firm through a literal array lookup.
+        arr = _inline_keywords(firms, rows)
+        idx = KW.first_keyword_index(F.col(text_col), [r.kw_lower for r in rows])
+        return docs.withColumn("_hit", F.get(arr, idx)).select(
+            "*", F.col("_hit.firm_id").alias("law_firm_id"), F.col("_hit.firm_name").alias("law_firm_name")
+        ).drop("_hit")
+    arr = _inline_keywords(firms, rows) if rows else None
     if arr is not None:
-        low = F.lower(F.col(text_col))
-        first = F.get(F.filter(arr, lambda k: F.instr(low, k["kw"]) > 0), 0)
+        # A fold over the keywords (in firm order) whose accumulator carries the lower-cased text:
+        # lower() runs once per document, and once a firm is found no further keyword is tested.
+        hit_t = "struct<firm_rank:int,firm_id:string,firm_name:string,kw:string>"
+        init = F.struct(F.lower(F.col(text_col)).alias("low"), F.lit(None).cast(hit_t).alias("hit"))
+        first = F.aggregate(arr, init,
+                            lambda acc, k: F.struct(acc["low"].alias("low"), F.when(
+                                acc["hit"].isNull() & (F.instr(acc["low"], k["kw"]) > 0), k)
+                                .otherwise(acc["hit"]).alias("hit")),
+                            lambda acc: acc["hit"])
         return docs.withColumn("_hit", first).select(
             "*", F.col("_hit.firm_id").alias("law_firm_id"), F.col("_hit.firm_name").alias("law_firm_name")
         ).drop("_hit")
@@ -67,11 +90,21 @@ def detect_firm(docs: DataFrame, firms: DataFrame, id_col: str = "id",
 def detect_all_firms(docs: DataFrame, firms: DataFrame, id_col: str = "id",
                      text_col: str = "extracted_text") -> DataFrame:
     """Adds firms_matched (firm ids in firm order) and default_firm (the first)."""
-    arr = _inline_keywords(firms)
+    rows = _keyword_rows(firms)
+    if rows and KW.available():
+        arr = _inline_keywords(firms, rows)
+        idxs = KW.all_keyword_indexes(F.col(text_col), [r.kw_lower for r in rows])
+        ids = F.array_distinct(F.transform(idxs, lambda i: F.get(arr, i)["firm_id"]))
+        return (docs.withColumn("firms_matched", ids)
+                .withColumn("default_firm", F.get(F.col("firms_matched"), 0)))
+    arr = _inline_keywords(firms, rows) if rows else None
     if arr is not None:
-        low = F.lower(F.col(text_col))
-        ids = F.array_distinct(F.transform(F.filter(arr, lambda k: F.instr(low, k["kw"]) > 0),
-                                           lambda k: k["firm_id"]))
+        init = F.struct(F.lower(F.col(text_col)).alias("low"), F.array().cast("array<string>").alias("ids"))
+        ids = F.aggregate(arr, init,
+                          lambda acc, k: F.struct(acc["low"].alias("low"), F.when(
+                              ~F.array_contains(acc["ids"], k["firm_id"]) & (F.instr(acc["low"], k["kw"]) > 0),
+                              F.array_append(acc["ids"], k["firm_id"])).otherwise(acc["ids"]).alias("ids")),
+                          lambda acc: acc["ids"])
         return (docs.withColumn("firms_matched", ids)
                 .withColumn("default_firm", F.get(F.col("firms_matched"), 0)))
     hits = _hits_by_join(docs, firms, id_col, text_col)

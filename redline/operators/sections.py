@@ -76,12 +76,17 @@ def _matches(text: Column, patterns) -> Column:
 
 
 def clean_section_num(c: Column) -> Column:
-    return F.regexp_replace(py_strip(c), "(?i)^Section" + WS + "+", "")
+    """strip, then drop a leading 'Section' + whitespace (any case) — one regex pass."""
+    return F.regexp_replace(c, "(?i)^" + WS + "*(?:Section" + WS + "+)?|" + WS + "+\\z", "")
 
 
 def clean_section_body(c: Column, max_len: int) -> Column:
-    s = F.regexp_replace(py_strip(c), WS + "+", " ")
-    return F.when(F.length(s) > max_len, F.concat(F.substring(s, 1, max_len), F.lit("..."))).otherwise(s)
+    """strip + collapse whitespace, then cut to max_len characters + '...'.  Written as chained
+    single-reference regex replacements (collapse, then trim the one possible edge space, then
+    cut), because lambda bodies get no common-subexpression elimination."""
+    s = F.regexp_replace(c, WS + "+", " ")
+    s = F.regexp_replace(s, "^ | \\z", "")
+    return F.regexp_replace(s, "(?s)^(.{" + str(max_len) + "}).+", "$1...")
 
 
 def section_array(text_col, patterns=SECTION_PATTERNS, max_len: int = 2000, min_len: int | None = None) -> Column:

@@ -100,11 +100,7 @@ def _p1(spark, sf):
 
 
 def _p2(spark, sf):
-    files = V.contract_files(spark, sf).select("doc_id", "filename", "project")
-    chosen = X.project_files(files)
-    secs = X.extract_sections(V.sectioned_docs(spark, sf).select("doc_id", "text"),
-                              patterns=X.SECTION_PATTERNS_STRICT, max_len=1500, min_len=50)
-    sections = X.project_sections(chosen.join(secs, "doc_id"))
+    sections = project_sections_df(spark, sf, patterns=X.SECTION_PATTERNS_STRICT, max_len=1500, min_len=50)
     r = V.review_docs(spark, sf)
     flat = X.parse_comments_flat(r.select("review_id", "text"), id_col="review_id")
     return flat.join(r.select("review_id", "project"), "review_id"), sections

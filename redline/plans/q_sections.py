@@ -102,11 +102,15 @@ PROJECT_SQL = _ctes("sectioned_docs", "contract_files",
                     extra=f"secs AS ({_line_sections_sql('sectioned_docs', 2000, None)}),\n{PROJECT_FILES_SQL}")
 
 
-def project_sections_df(spark, sf):
+def project_sections_df(spark, sf, **kw):
+    """Sections of each project's two chosen PDFs: the (small) choice is joined to the texts
+    first, so the regex pass only runs on the chosen documents."""
     files = V.contract_files(spark, sf).select("doc_id", "filename", "project")
     chosen = X.project_files(files)
-    secs = X.extract_sections(V.sectioned_docs(spark, sf).select("doc_id", "text"))
-    return X.project_sections(chosen.join(secs, "doc_id"))
+    docs = V.sectioned_docs(spark, sf).select("doc_id", "text").join(chosen.select("doc_id", "project", "file_rank"),
+                                                                     "doc_id")
+    secs = X.extract_sections(docs, keep=("project", "file_rank"), **kw)
+    return X.project_sections(secs)
 
 
 @query("project_sections", PROJECT_SQL + "SELECT * FROM proj_sections")
