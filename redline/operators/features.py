@@ -139,21 +139,21 @@ def _ngram_expr(col: str, n: int) -> Column:
 
 # ---- F6 / F7 / F8 -------------------------------------------------------------------------------
 
-def vocabulary(doc_terms: DataFrame, max_features: int = 1000) -> DataFrame:
-    """Top `max_features` terms by corpus frequency (ties: term ascending) from per-document term
-    counts.  A bounded TakeOrdered over the aggregated term table."""
-    freq = doc_terms.groupBy("term").agg(F.sum("count").alias("tf"))
+def vocabulary(terms: DataFrame, max_features: int = 1000) -> DataFrame:
+    """Top `max_features` terms by corpus frequency (ties: term ascending): one map-side combined
+    aggregation on the term, then a bounded TakeOrdered."""
+    freq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
     return freq.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features).select("term")
 
 
 def count_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_features: int = 1000,
                    ngram=(1, 2), stop_words=None) -> DataFrame:
-    """(id, term, count) for vocabulary terms.  Per-document counts are aggregated once (map-side
-    combined); the vocabulary and the kept counts both read that one exchange."""
+    """(id, term, count) for vocabulary terms.  Terms outside the vocabulary are dropped by a
+    broadcast semi join (bounded by max_features) before the per-document count is shuffled."""
     terms = ngrams(df, id_col, text_col, ngram[0], ngram[1], stop_words)
-    doc_terms = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-    vocab = vocabulary(doc_terms, max_features)
-    return doc_terms.join(F.broadcast(vocab), "term", "left_semi")   # bounded by max_features
+    vocab = vocabulary(terms, max_features)
+    kept = terms.join(F.broadcast(vocab), "term", "left_semi")
+    return kept.groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
 
 
 def binary_features(counts: DataFrame) -> DataFrame:
