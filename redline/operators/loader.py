@@ -33,6 +33,7 @@ def load_examples(spark, paths: list[str], fmt: str = "auto") -> DataFrame:
     ``{"chunks": [...]}`` one ``{"text": ...}`` record per chunk, any other object one record.
     Missing files are skipped; if no file is given an error is raised.  With ``fmt='jsonl'`` or
     ``fmt='json'`` every path (files or folders of part files) is read that way."""
+    paths = existing_paths(spark, paths)
     jl = [p for p in paths if (fmt == "jsonl") or (fmt == "auto" and p.endswith(".jsonl"))]
     js = [p for p in paths if (fmt == "json") or (fmt == "auto" and p.endswith(".json"))]
     parts = []
@@ -58,13 +59,26 @@ def load_examples(spark, paths: list[str], fmt: str = "auto") -> DataFrame:
                      .select("file", F.posexplode(recs).alias("line_no", "value"))
                      .withColumn("line_no", F.col("line_no").cast("bigint")))
     if not parts:
-        raise ValueError("no dataset files given")
+        raise ValueError("no dataset file could be loaded")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def existing_paths(spark, paths: list[str]) -> list[str]:
+    """The given paths (or glob patterns) that exist, checked through the cluster file system."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        st = hp.getFileSystem(conf).globStatus(hp)
+        if st is not None and len(st) > 0:
+            out.append(p)
+    return out
+
+
 def record_flags(records: DataFrame) -> DataFrame:
     """Adds has_messages / has_instruction_output / has_text flags from the JSON record."""
     def has(path):
