@@ -164,11 +164,10 @@ def tfidf_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    ngram=(1, 2), stop_words=None) -> DataFrame:
     """Smoothed idf = ln((1 + n) / (1 + df)) + 1, times the raw count, L2-normalised per document."""
     counts = count_features(df, id_col, text_col, max_features, ngram, stop_words)
-    n_docs = df.select(id_col).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
+    # Corpus size as a scalar subquery: evaluated once, no join.
+    n_docs = df.select(id_col).distinct().agg(F.count(F.lit(1)).alias("n_docs")).scalar()
     dfreq = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # n_docs is a one-row aggregate: attach it by a constant-key broadcast join.
-    idf = dfreq.withColumn("_k", F.lit(1)).join(F.broadcast(n_docs.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    idf = idf.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = dfreq.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     x = counts.join(F.broadcast(idf), "term").withColumn("_x", F.col("count") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(id_col)))
     return x.select(id_col, "term", F.round(F.col("_x") / norm, 6).alias("tfidf"))
