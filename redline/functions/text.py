@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 # Python's str.isspace() set, spelled so Java regex and RE2 read it identically.
 WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The same set as literal characters (for btrim).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 # Fixed values that must equal the reference: characters kept by the cleaner besides word
 # characters and whitespace.

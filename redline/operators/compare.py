@@ -58,8 +58,11 @@ def line_diff(pairs: DataFrame, contracts: DataFrame, templates: DataFrame) -> D
     'added' (in the contract, not the template), occurrence = 1-based copy number beyond the
     matched copies."""
     p = pairs.where(F.col("template_id").isNotNull()).select("contract_id", "template_id").distinct()
-    cl = _line_counts(contracts, "id", "extracted_text", "contract_id")
-    tl = _line_counts(templates, "id", "content", "template_id")
+    # Only documents that take part in a pair are split into lines.
+    used_c = contracts.join(p.select(F.col("contract_id").alias("id")), "id", "left_semi")
+    used_t = templates.join(p.select(F.col("template_id").alias("id")), "id", "left_semi")
+    cl = _line_counts(used_c, "id", "extracted_text", "contract_id")
+    tl = _line_counts(used_t, "id", "content", "template_id")
     pc = p.join(cl, "contract_id").withColumnRenamed("n", "n_c")
     pt = p.join(tl, "template_id").withColumnRenamed("n", "n_t")
     both = pc.join(pt, ["contract_id", "template_id", "line"], "full_outer")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redline.functions.text import WS, clean_text  # noqa: F401  (re-export)
+from redline.functions.text import WS, WS_CHARS, clean_text  # noqa: F401  (re-export)
 
 # Fixed values that must equal the reference: chunk window, overlap, and how far back a
 # sentence end is searched.
@@ -21,8 +21,9 @@ LOOKBACK = 100
 
 
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``: trim Unicode whitespace at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+\\z", "")
+    """Python ``str.strip()``: trim Unicode whitespace at both ends (``btrim`` with the character
+    set, no regex)."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def chunk_bounds_expr(text_col: str, size: int, overlap: int) -> Column:
