@@ -125,16 +125,18 @@ def analyzer_tokens(text) -> Column:
 
 def ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: int = 1, hi: int = 2,
            stop_words=None) -> DataFrame:
-    """Word n-grams (lo..hi) after stop-word removal, as rows (id, term)."""
+    """Word n-grams (lo..hi) after stop-word removal, as rows (id, term).  n >= 2 uses Spark ML's
+    compiled NGram transformer."""
+    from pyspark.ml.feature import NGram
     t = remove_stop_words(df.select(id_col, analyzer_tokens(text_col).alias("_tok")), "_tok", "_t", stop_words)
-    grams = [_ngram_expr("_t", n) for n in range(lo, hi + 1)]
-    return t.select(id_col, F.explode(F.concat(*grams)).alias("term"))
-
-
-def _ngram_expr(col: str, n: int) -> Column:
-    size = F.size(col)
-    idx = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(idx, lambda i: F.array_join(F.slice(col, i, n), " "))
+    cols = []
+    for n in range(lo, hi + 1):
+        if n == 1:
+            cols.append(F.col("_t"))
+        else:
+            t = NGram(n=n, inputCol="_t", outputCol=f"_g{n}").transform(t)
+            cols.append(F.col(f"_g{n}"))
+    return t.select(id_col, F.explode(F.concat(*cols)).alias("term"))
 
 
 # ---- F6 / F7 / F8 -------------------------------------------------------------------------------

@@ -33,10 +33,12 @@ def chunk_bounds_expr(text_col: str, size: int, overlap: int) -> Column:
         raise ValueError("chunk overlap must be >= 0 and < size - 98")
     min_step = size - 98 - overlap
     t = text_col
+    # The text length rides in the accumulator (computed once per document, not per step).
     sql = f"""
     aggregate(
       sequence(1, CAST(length({t}) / {min_step} AS INT) + 2),
-      named_struct('s', 0, 'done', false, 'b', CAST(array() AS ARRAY<STRUCT<s: INT, e: INT>>)),
+      named_struct('s', 0, 'n', length({t}), 'done', false,
+                   'b', CAST(array() AS ARRAY<STRUCT<s: INT, e: INT>>)),
       (acc, k) -> CASE WHEN acc.done THEN acc ELSE (
         WITH_E_PLACEHOLDER
       ) END,
@@ -44,8 +46,8 @@ def chunk_bounds_expr(text_col: str, size: int, overlap: int) -> Column:
     e0 = f"(acc.s + {size})"
     lo = f"greatest(acc.s + {size - LOOKBACK}, acc.s)"
     last = f"length(regexp_extract(substring({t}, {lo} + 2, {e0} - {lo}), '(?s)^.*[.!?]', 0))"
-    e = f"(CASE WHEN {e0} < length({t}) AND {last} > 0 THEN {lo} + 1 + {last} ELSE {e0} END)"
-    step = (f"named_struct('s', {e} - {overlap}, 'done', {e} - {overlap} >= length({t}), "
+    e = f"(CASE WHEN {e0} < acc.n AND {last} > 0 THEN {lo} + 1 + {last} ELSE {e0} END)"
+    step = (f"named_struct('s', {e} - {overlap}, 'n', acc.n, 'done', {e} - {overlap} >= acc.n, "
             f"'b', array_append(acc.b, named_struct('s', acc.s, 'e', {e})))")
     return F.expr(sql.replace("WITH_E_PLACEHOLDER", step))
 
