@@ -37,12 +37,12 @@ def pair_templates(contracts: DataFrame, templates: DataFrame) -> DataFrame:
 def legal_comments(templates: DataFrame) -> DataFrame:
     """First legal_comments template per firm (by created_at, id) -> one comment record; templates
     whose content is blank give none."""
-    w = Window.partitionBy("law_firm_id").orderBy("created_at", "id")
     t = (templates.where(F.col("template_type") == "legal_comments")
-         .withColumn("_rn", F.row_number().over(w)).where("_rn = 1"))
-    return (t.where(F.length(F.trim("content")) > 0)
-            .select("law_firm_id", F.col("id").alias("template_id"), F.col("file_name").alias("template_filename"),
-                    F.trim("content").alias("comment"), F.lit("Legal Comments").alias("section"),
+         .groupBy("law_firm_id")
+         .agg(F.min_by(F.struct("id", "file_name", "content"), F.struct("created_at", "id")).alias("f")))
+    return (t.where(F.length(F.trim("f.content")) > 0)
+            .select("law_firm_id", F.col("f.id").alias("template_id"), F.col("f.file_name").alias("template_filename"),
+                    F.trim("f.content").alias("comment"), F.lit("Legal Comments").alias("section"),
                     F.lit("info").alias("severity")))
 
 

@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from redline.functions import keywords as KW
 from redline.functions.text import template_type, contract_type  # noqa: F401  (re-export)
 
-# Above this many keywords the inline array is not used; the join path takes over.
-MAX_INLINE_KEYWORDS = 5000
+# Keyword-table bounds: the Aho-Corasick automaton (one per Python worker) takes up to
+# MAX_AUTOMATON_KEYWORDS; the JVM fold (used without the library) up to MAX_INLINE_KEYWORDS;
+# above the bound the broadcast nested-loop join path takes over.
+MAX_AUTOMATON_KEYWORDS = 50_000
+MAX_INLINE_KEYWORDS = 5_000
 
 
 def firm_keywords(firms: DataFrame) -> DataFrame:
@@ -31,7 +34,8 @@ def firm_keywords(firms: DataFrame) -> DataFrame:
 def _keyword_rows(firms: DataFrame):
     """The firm keywords in priority order, or None when there are more than the bound."""
     kw = firm_keywords(firms)
-    if kw.count() > MAX_INLINE_KEYWORDS:
+    bound = MAX_AUTOMATON_KEYWORDS if KW.available() else MAX_INLINE_KEYWORDS
+    if kw.count() > bound:
         return None
     return kw.orderBy("firm_rank", "firm_id", "kw_pos").collect()  # bounded by the check above
 

@@ -84,7 +84,8 @@ def dashboard_stats(reviews: DataFrame, comments: DataFrame) -> DataFrame:
 
 def processing_time(df: DataFrame, by: list) -> DataFrame:
     """Seconds from creation to completion, summarised per group."""
-    secs = F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
+    # timestampdiff on the zone-less values: independent of the session time zone.
+    secs = F.expr("timestampdiff(MICROSECOND, created_at, completed_at)")
     x = df.where(F.col("completed_at").isNotNull()).withColumn("_s", secs / 1e6)
     return x.groupBy(*by).agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.round(F.avg("_s"), 6).alias("avg_seconds"),
                               F.round(F.min("_s"), 6).alias("min_seconds"), F.round(F.max("_s"), 6).alias("max_seconds"))

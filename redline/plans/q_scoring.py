@@ -134,3 +134,19 @@ WHERE suffix(lower(filename), '.pdf') OR suffix(lower(filename), '.docx')""", "c
 def file_manifest_q(spark, sf):
     from redline.sources.files import file_manifest_table
     return file_manifest_table(V.contract_files(spark, sf)).select("id", "filename", "size_bytes", "uploaded_at")
+
+
+@query("docx_text", """
+SELECT CAST(doc_id AS VARCHAR) || '.docx' AS path,
+       regexp_replace(regexp_replace(text, '[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0D}\\x{0E}-\\x{1F}\\x{FFFE}\\x{FFFF}]', '', 'g'),
+         '^[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+\\z',
+         '', 'g') AS extracted_text,
+       CAST(NULL AS VARCHAR) AS error
+FROM documents""")
+def docx_text_q(spark, sf):
+    """Every document rendered as a DOCX (bytes built in tasks) and unpacked again by the DOCX
+    extractor: the S2 path over the whole corpus."""
+    from redline.sources.files import extract_docx, render_docx
+    d = table(spark, sf, "documents", "doc_id", "text").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), "text")
+    return extract_docx(render_docx(d, "path", "text")).select("path", "extracted_text", "error")

@@ -86,6 +86,37 @@ def extract_docx(files: DataFrame) -> DataFrame:
                                                        "path string, extracted_text string, error string")
 
 
+# Characters XML 1.0 cannot carry; '\r' is dropped too (XML parsers normalise it away).
+_XML_BAD = re.compile("[\x00-\x08\x0b\x0c\r\x0e-\x1f\ufffe\uffff]")
+
+
+def build_docx(text: str) -> bytes:
+    """A minimal DOCX whose body has one paragraph per line of `text` (characters XML cannot carry
+    are dropped)."""
+    from xml.sax.saxutils import escape
+    paras = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(_XML_BAD.sub("", line))}</w:t></w:r></w:p>'
+                    for line in text.split("\n"))
+    xml = ('<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/'
+           f'wordprocessingml/2006/main"><w:body>{paras}</w:body></w:document>')
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types/>')
+        z.writestr("word/document.xml", xml.encode("utf-8"))
+    return buf.getvalue()
+
+
+def _docx_batches(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"path": pdf["path"], "content": [build_docx(t or "") for t in pdf["text"]]})
+
+
+def render_docx(df: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    """(path, text) -> (path, content) DOCX bytes, built inside tasks — the same shape as a
+    ``binaryFile`` read, so it feeds :func:`extract_docx` directly."""
+    return df.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")) \
+        .mapInPandas(_docx_batches, "path string, content binary")
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per line (non-ASCII kept), written as parallel part files."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode(mode).text(path)
