@@ -119,7 +119,7 @@ def stream_latest_job_q(spark, sf):
     log.repartition(4).write.mode("overwrite").parquet(src)
     out, ck = scratch_path(spark, "jobs-out"), scratch_path(spark, "jobs-ck")
     s = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (s.writeStream.foreachBatch(ST.latest_snapshot_writer(out)).option("checkpointLocation", ck)
-         .trigger(availableNow=True).start())
+    q = (ST.latest_state(s).writeStream.outputMode("update").foreachBatch(ST.snapshot_merge_writer(out))
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
     return ST.read_latest_snapshot(spark, out).select("job_id", "step", "metric", "value", "ts", "status")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from redline.functions.text import clean_text, contract_type
 from redline.operators.detect import detect_firm
 from redline.operators.text import chunk_text
-from redline.operators.windows import latest_per_job
 
 
 def ntz_as_utc(col):
@@ -64,17 +63,26 @@ def stream_status_counts(sdf: DataFrame, window: str = "1 day", watermark: str =
                     status_col, "n"))
 
 
-def latest_snapshot_writer(out_dir: str, key: str = "job_id", order: str = "step"):
-    """foreachBatch sink keeping the latest row per key: each micro-batch is merged with the
-    previous snapshot (max_by per key) and written as a new version folder named by the batch id,
-    so a replayed batch overwrites its own version (idempotent)."""
-    def write(batch: DataFrame, epoch_id: int):
-        spark = batch.sparkSession
-        cur = latest_per_job(batch, key, order)
+def latest_state(sdf: DataFrame, key: str = "job_id", order: str = "step") -> DataFrame:
+    """Stateful streaming aggregation: the latest row per key (max_by on the order column).  In
+    update mode each micro-batch emits only the keys whose latest row changed; the per-key state
+    lives in the state store, checkpointed with the query."""
+    cols = [c for c in sdf.columns if c != key]
+    return (sdf.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("l"))
+            .select(key, *[F.col(f"l.{c}").alias(c) for c in cols]))
+
+
+def snapshot_merge_writer(out_dir: str, key: str = "job_id"):
+    """foreachBatch sink for an update-mode stream: the changed keys replace their rows in the
+    previous snapshot (anti join + union) and the result is written as a new version folder named
+    by the batch id, so a replayed batch rewrites its own version (idempotent)."""
+    def write(updates: DataFrame, epoch_id: int):
+        spark = updates.sparkSession
         prev_path = _latest_version(spark, out_dir)
+        cur = updates
         if prev_path is not None:
             prev = spark.read.parquet(prev_path)
-            cur = latest_per_job(prev.unionByName(cur), key, order)
+            cur = prev.join(updates.select(key), key, "left_anti").unionByName(updates)
         cur.write.mode("overwrite").parquet(f"{out_dir}/v={epoch_id:012d}")
     return write
 
