@@ -11,6 +11,7 @@ from redline.plans.q_sections import (PARAS_SQL, PROJECT_FILES_SQL, _ctes, _line
 from redline.plans.q_text import strip_sql
 from redline.plans.registry import query
 from redline.functions.text import WS
+from redline.session import materialize
 from redline.sources import views as V
 
 
@@ -96,14 +97,16 @@ P2 = _full(True) + EXACT_SQL
 
 
 def _p1(spark, sf):
-    return comments_df(spark, sf), project_sections_df(spark, sf)
+    """Comments and project sections of the first builder; both feed several joins downstream, so
+    they are materialised once (checkpoint) instead of being recomputed per consumer."""
+    return materialize(comments_df(spark, sf)), materialize(project_sections_df(spark, sf))
 
 
 def _p2(spark, sf):
     sections = project_sections_df(spark, sf, patterns=X.SECTION_PATTERNS_STRICT, max_len=1500, min_len=50)
     r = V.review_docs(spark, sf)
     flat = X.parse_comments_flat(r.select("review_id", "text"), id_col="review_id")
-    return flat.join(r.select("review_id", "project"), "review_id"), sections
+    return materialize(flat.join(r.select("review_id", "project"), "review_id")), materialize(sections)
 
 
 def _flat_msgs(df, key):

@@ -60,3 +60,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder: the result is computed once, later
+    consumers read it back, and the lineage is cut (a lost executor does not recompute upstream
+    stages).  Never a machine-local checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
