@@ -171,9 +171,6 @@ def templates_per_firm_q(spark, sf):
     return R.templates_per_firm(V.contract_templates(spark, sf), V.law_firms(spark, sf))
 
 
-_WS_TOKS = None
-
-
 def _quality_sql(full: bool) -> str:
     from redline.functions.text import WS
     ok = (f"coalesce(length(text) > 20 AND NOT starts_with(lower(text), 'error') AND "
