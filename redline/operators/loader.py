@@ -241,7 +241,7 @@ def sequence_within(df: DataFrame, group_cols: list, order_cols: list, name: str
     stats = r.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = stats.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
-    return (r.join(F.broadcast(offs), ["_pid"] + list(group_cols))
+    return (r.join(offs, ["_pid"] + list(group_cols))
             .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint"))
             .drop("_pid", "_mid", "_m0", "_off"))
 

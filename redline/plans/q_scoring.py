@@ -107,7 +107,7 @@ def comment_history_q(spark, sf):
     c = V.review_comments(spark, sf).join(table(spark, sf, "events", "event_id", "props"), "event_id")
     f = V.contract_files(spark, sf).select(F.col("id").alias("contract_file_id"), "filename")
     firms = V.law_firms(spark, sf).select(F.col("id").alias("law_firm_id"), F.col("name").alias("law_firm_name"))
-    out = c.join(f, "contract_file_id", "left").join(F.broadcast(firms), "law_firm_id", "left")
+    out = c.join(f, "contract_file_id", "left").join(firms, "law_firm_id", "left")
     out = out.withColumn("result", F.from_json("props", "k INT")).orderBy(F.col("created_at").desc(), "id")
     return out.select("id", "created_at", "status", "filename", "law_firm_name", F.col("result.k").alias("result_k"))
 
