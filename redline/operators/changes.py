@@ -58,3 +58,20 @@ def orphans(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFra
 
 def union_distinct(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs).distinct()
+
+
+FINISHED = ["completed", "failed", "cancelled"]
+
+
+def cancel_jobs(jobs: DataFrame, requested: DataFrame, key: str = "job_id", ts_col: str = "ts") -> DataFrame:
+    """Cancel requested jobs that are not finished: their status becomes 'cancelled' with the
+    request time as completion; finished jobs keep their state and are reported as rejected.
+    jobs(key, status, ...), requested(key, requested_at).  Output: new job snapshot + `action`."""
+    j = jobs.join(requested, key, "left")
+    asked = F.col("requested_at").isNotNull()
+    can = asked & ~F.col("status").isin(*FINISHED)
+    return j.select(
+        *[c for c in jobs.columns if c not in ("status",)],
+        F.when(can, F.lit("cancelled")).otherwise(F.col("status")).alias("status"),
+        F.when(can, F.col("requested_at")).alias("cancelled_at"),
+        F.when(can, "cancelled").when(asked, "rejected").otherwise("unchanged").alias("action"))

@@ -135,3 +135,21 @@ def distinct_union_q(spark, sf):
     def prompts(df):
         return df.select(F.get("messages", 0)["content"].alias("system"), F.get("messages", 1)["content"].alias("user"))
     return W.union_distinct([prompts(ex.where(F.size("refs") > 0)), prompts(ex.where(F.size("refs") == 0))])
+
+
+@query("cancel_jobs", with_views("""
+SELECT job_id, step, ts, CASE WHEN can THEN 'cancelled' ELSE status END AS status,
+       CASE WHEN can THEN requested_at END AS cancelled_at,
+       CASE WHEN can THEN 'cancelled' WHEN requested_at IS NOT NULL THEN 'rejected' ELSE 'unchanged' END AS action
+FROM (SELECT j.*, r.requested_at, r.requested_at IS NOT NULL AND j.status NOT IN ('completed', 'failed', 'cancelled') AS can
+      FROM (SELECT job_id, arg_max(step, step) AS step, arg_max(ts, step) AS ts, arg_max(status, step) AS status
+            FROM loss_log GROUP BY job_id) j
+      LEFT JOIN (SELECT job_id, max(ts) AS requested_at FROM loss_log WHERE status = 'failed' GROUP BY job_id) r
+        USING (job_id))""", "loss_log"))
+def cancel_jobs_q(spark, sf):
+    """Every job that logged a failure asks to be cancelled (at its last failure time); only jobs
+    whose latest state is unfinished are cancelled."""
+    log = V.loss_log(spark, sf)
+    jobs = N.latest_per_job(log.select("job_id", "step", "ts", "status"))
+    req = log.where(F.col("status") == "failed").groupBy("job_id").agg(F.max("ts").alias("requested_at"))
+    return W.cancel_jobs(jobs, req).select("job_id", "step", "ts", "status", "cancelled_at", "action")

@@ -26,13 +26,23 @@ def supported_filter(col):
     return low.endswith(".pdf") | low.endswith(".docx")
 
 
-def file_manifest(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """List the corpus files under `path` with supported extensions (case-insensitive): id, name,
-    size, modification time.  The file contents are not read."""
+def file_manifest(spark: SparkSession, path: str, recursive: bool = True, prefix: str | None = None,
+                  extensions: tuple | None = SUPPORTED) -> DataFrame:
+    """List the corpus files under `path` with supported extensions (case-insensitive; None = any)
+    and, optionally, a file-name prefix (a dataset id): id, name, size, modification time.  The
+    file contents are not read."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
           .select("path", "length", "modificationTime"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return (df.where(supported_filter(name))
+    if prefix is not None:
+        df = df.where(name.startswith(prefix))
+    if extensions is not None:
+        low = F.lower(name)
+        keep = None
+        for ext in extensions:
+            keep = low.endswith(ext) if keep is None else (keep | low.endswith(ext))
+        df = df.where(keep)
+    return (df
             .select(F.sha2(F.col("path"), 256).alias("id"), name.alias("filename"), F.col("path").alias("file_path"),
                     F.col("length").alias("size_bytes"), F.col("modificationTime").alias("uploaded_at")))
 

@@ -110,3 +110,12 @@ def test_batch_score_custom_scorer_errors_are_per_row(spark):
     df = spark.createDataFrame([(1, "hello there"), (2, "boom now"), (3, "   "), (4, None)], "id long, prompt string")
     got = {r.id: (r.success, r.generated_text, r.error) for r in B.batch_score(df, "prompt", scorer, 2, keep=("id",)).collect()}
     assert got == {1: (True, "HELLO THERE", None), 2: (False, None, "scorer failed")}
+
+
+def test_manifest_prefix_filter(spark):
+    d = tempfile.mkdtemp(prefix="redline-prefix-", dir="/tmp")
+    for n in ["ds1_a.pdf", "ds1_b.json", "ds2_a.pdf"]:
+        with open(os.path.join(d, n), "w") as f:
+            f.write("x")
+    got = sorted(r.filename for r in S.file_manifest(spark, d, prefix="ds1_", extensions=None).collect())
+    assert got == ["ds1_a.pdf", "ds1_b.json"]
