@@ -89,13 +89,22 @@ def clean_section_body(c: Column, max_len: int) -> Column:
     return F.regexp_replace(s, "(?s)^(.{" + str(max_len) + "}).+", "$1...")
 
 
+# Every built-in pattern needs a dotted number, so a text without one cannot match any of them.
+NUMBER_GUARD = r"\p{Nd}\.\p{Nd}"
+
+
 def section_array(text_col, patterns=SECTION_PATTERNS, max_len: int = 2000, min_len: int | None = None) -> Column:
-    """Cleaned matches array<struct<num, body>> in the reference's insertion order."""
+    """Cleaned matches array<struct<num, body>> in the reference's insertion order.  For the
+    built-in pattern lists, texts without any dotted number skip the regex passes (a cheap
+    conditional guard; CASE WHEN evaluates the heavy branch only when needed)."""
     m = F.transform(_matches(_c(text_col), patterns),
                     lambda x: F.struct(clean_section_num(x["num"]).alias("num"),
                                        clean_section_body(x["body"], max_len).alias("body")))
     if min_len is not None:
         m = F.filter(m, lambda x: F.length(x["body"]) > min_len)
+    if patterns is SECTION_PATTERNS or patterns is SECTION_PATTERNS_STRICT:
+        empty = F.array().cast("array<struct<num:string,body:string>>")
+        m = F.when(_c(text_col).rlike(NUMBER_GUARD), m).otherwise(empty)
     return m
 
 

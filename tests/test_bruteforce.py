@@ -196,3 +196,25 @@ def test_early_stop_matches_python(spark, sf):
                     want[job] = (step, v)
                     break
     assert got == want
+
+
+_PIECES = st.sampled_from(["1.2", "3.4.5", "12.1", " ", "  ", "\t", "\n", "\n\n", ".", ":", "-", "Section ", "section ",
+                           "Abc", "DEF", "xy", "Q", "é", " ", " ", "7", "!"])
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(_PIECES, min_size=0, max_size=40).map("".join))
+def test_sections_generated_texts_match_python(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for patterns, max_len, min_len in [(X.SECTION_PATTERNS, 2000, None), (X.SECTION_PATTERNS_STRICT, 12, 3)]:
+        got = [(r.section_num, r.section_text, r.first_pos) for r in
+               X.extract_sections(df, patterns=patterns, max_len=max_len, min_len=min_len).orderBy("first_pos").collect()]
+        assert got == py_sections(text, patterns, max_len, min_len)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(_PIECES, min_size=0, max_size=40).map("".join))
+def test_comment_parsing_generated_texts_match_python(spark, text):
+    df = spark.createDataFrame([("p", text)], "project_id string, text string")
+    got = [(r.comment, r.refs) for r in X.parse_comments(df).orderBy("comment_idx").collect()]
+    assert got == [(c, list(x)) for c, x in py_comments(text)]
