@@ -26,45 +26,79 @@ def py_strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
-def chunk_bounds_expr(text_col: str, size: int, overlap: int) -> Column:
-    """Array of (s, e) windows of the reference's chunker for texts longer than `size`."""
+CHUNK_BLOCK = 64   # windows per inner fold (see chunk_windows_expr)
+
+
+def _text_slice(blk: str, start1: str, length: str, seg: int) -> str:
+    """SQL for substring(text, start1, length) read from the text's fixed-size segments `blk`
+    (length <= seg): at most two adjacent segments are touched, so the cost does not grow with the
+    position (a plain substring on UTF-8 walks from the start of the string)."""
+    i0 = f"(({start1}) - 1) div {seg}"
+    off = f"((({start1}) - 1) % {seg})"
+    two = f"concat(get({blk}, CAST({i0} AS INT)), coalesce(get({blk}, CAST({i0} + 1 AS INT)), ''))"
+    return f"substring({two}, {off} + 1, {length})"
+
+
+def chunk_windows_expr(text_col: str, size: int, overlap: int, block: int = CHUNK_BLOCK) -> Column:
+    """Array of chunk strings (stripped, empties dropped) of the reference's chunker for texts
+    longer than `size`.
+
+    * The text is cut once into code-point segments; every window and chunk is read from at most
+      two segments, so each step costs O(segment) instead of O(position).
+    * Windows are walked by a two-level fold: the inner ``aggregate`` produces up to `block`
+      windows as one small array, the outer ``aggregate`` keeps the position and collects the
+      blocks by reference (an array append copies the array, so one flat fold would be O(k^2)).
+    The segments ride in the accumulator, so they are computed once per document."""
     if overlap >= size - 98 or overlap < 0 or size <= 0:
         # The reference loop may never terminate for these settings; refuse them.
         raise ValueError("chunk overlap must be >= 0 and < size - 98")
     min_step = size - 98 - overlap
+    seg = max(4096, size + LOOKBACK + 2)
     t = text_col
-    # The text length rides in the accumulator (computed once per document, not per step).
-    sql = f"""
-    aggregate(
-      sequence(1, CAST(length({t}) / {min_step} AS INT) + 2),
-      named_struct('s', 0, 'n', length({t}), 'done', false,
-                   'b', CAST(array() AS ARRAY<STRUCT<s: INT, e: INT>>)),
-      (acc, k) -> CASE WHEN acc.done THEN acc ELSE (
-        WITH_E_PLACEHOLDER
-      ) END,
-      acc -> acc.b)"""
-    e0 = f"(acc.s + {size})"
-    lo = f"greatest(acc.s + {size - LOOKBACK}, acc.s)"
-    last = f"length(regexp_extract(substring({t}, {lo} + 2, {e0} - {lo}), '(?s)^.*[.!?]', 0))"
+    e0 = f"(st.s + {size})"
+    lo = f"greatest(st.s + {size - LOOKBACK}, st.s)"
+    window = _text_slice("acc.blk", f"{lo} + 2", f"{e0} - {lo}", seg)
+    last = f"length(regexp_extract({window}, '(?s)^.*[.!?]', 0))"
     e = f"(CASE WHEN {e0} < acc.n AND {last} > 0 THEN {lo} + 1 + {last} ELSE {e0} END)"
-    step = (f"named_struct('s', {e} - {overlap}, 'n', acc.n, 'done', {e} - {overlap} >= acc.n, "
-            f"'b', array_append(acc.b, named_struct('s', acc.s, 'e', {e})))")
-    return F.expr(sql.replace("WITH_E_PLACEHOLDER", step))
-
-
-def chunk_array(text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    inner_step = (f"CASE WHEN st.done THEN st ELSE named_struct('s', {e} - {overlap}, "
+                  f"'done', {e} - {overlap} >= acc.n, "
+                  f"'b', array_append(st.b, named_struct('s', st.s, 'e', {e}))) END")
+    inner = (f"aggregate(sequence(1, {block}), "
+             f"named_struct('s', acc.s, 'done', acc.done, 'b', CAST(array() AS ARRAY<STRUCT<s: INT, e: INT>>)), "
+             f"(st, j) -> {inner_step})")
+    # `blk` binds the inner fold's result with a one-element transform, so it runs once per step.
+    outer_step = (f"CASE WHEN acc.done THEN acc ELSE transform(array({inner}), r -> "
+                  f"named_struct('s', r.s, 'n', acc.n, 'done', r.done, 'blk', acc.blk, "
+                  f"'blocks', array_append(acc.blocks, r.b)))[0] END")
+    piece = _text_slice("acc.blk", "w.s + 1", "w.e - w.s", seg)
+    strip = f"btrim({piece}, {_ws_literal()})"
+    finish = f"acc -> filter(transform(flatten(acc.blocks), w -> {strip}), c -> c <> '')"
+    sql = (f"aggregate(sequence(1, CAST(length({t}) / {min_step} / {block} AS INT) + 2), "
+           f"named_struct('s', 0, 'n', length({t}), 'done', false, "
+           f"'blk', regexp_extract_all({t}, '(?s).{{1,{seg}}}', 0), "
+           f"'blocks', CAST(array() AS ARRAY<ARRAY<STRUCT<s: INT, e: INT>>>)), "
+           f"(acc, k) -> {outer_step}, {finish})")
+    return F.expr(sql)
+
+
+def _ws_literal() -> str:
+    """WS_CHARS as a SQL string literal (unicode escapes, no quoting issues)."""
+    return "'" + "".join(f"\\u{ord(c):04x}" for c in WS_CHARS) + "'"
+
+
+def chunk_array(text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                block: int = CHUNK_BLOCK) -> Column:
     t = F.col(text_col)
-    pieces = F.transform(chunk_bounds_expr(text_col, size, overlap),
-                         lambda b: py_strip(F.substring(t, b["s"] + 1, b["e"] - b["s"])))
     return (F.when(t.isNull(), F.lit(None))
             .when(F.length(t) <= size, F.array(t))
-            .otherwise(F.filter(pieces, lambda x: x != "")))
+            .otherwise(chunk_windows_expr(text_col, size, overlap, block)))
 
 
 def chunk_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_SIZE,
-               overlap: int = CHUNK_OVERLAP, keep: tuple = ()) -> DataFrame:
+               overlap: int = CHUNK_OVERLAP, keep: tuple = (), block: int = CHUNK_BLOCK) -> DataFrame:
     """One row per chunk: (id, index, text, length) [+ keep columns]."""
-    out = df.select(F.col(id_col), *keep, F.posexplode(chunk_array(text_col, size, overlap)).alias("index", "chunk"))
+    out = df.select(F.col(id_col), *keep,
+                    F.posexplode(chunk_array(text_col, size, overlap, block)).alias("index", "chunk"))
     return out.select(id_col, *keep, F.col("index").cast("int").alias("index"), F.col("chunk").alias("text"),
                       F.length("chunk").cast("int").alias("length"))
 

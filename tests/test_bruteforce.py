@@ -218,3 +218,11 @@ def test_comment_parsing_generated_texts_match_python(spark, text):
     df = spark.createDataFrame([("p", text)], "project_id string, text string")
     got = [(r.comment, r.refs) for r in X.parse_comments(df).orderBy("comment_idx").collect()]
     assert got == [(c, list(x)) for c, x in py_comments(text)]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.text(alphabet="ab .!?\n", min_size=0, max_size=3000), st.sampled_from([1, 2, 3]))
+def test_blocked_chunk_fold_matches_python_loop(spark, text, block):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [r.text for r in T.chunk_text(df, size=250, overlap=50, block=block).orderBy("index").collect()]
+    assert got == py_chunks(text, 250, 50)
