@@ -109,12 +109,22 @@ def section_array(text_col, patterns=SECTION_PATTERNS, max_len: int = 2000, min_
 
 
 def sections_from_matches(m: Column) -> Column:
-    """Dict semantics over a *materialised* matches column: first-insertion order of numbers,
-    the last body of each number wins."""
-    keys = F.array_distinct(F.transform(m, lambda x: x["num"]))
-    return F.transform(keys, lambda k: F.struct(
-        k.alias("section_num"),
-        F.element_at(F.filter(m, lambda x: x["num"] == k), -1)["body"].alias("section_text")))
+    """Dict semantics over the matches in O(k log k): sort by (number, position); the first element
+    of each number's run gives its insertion position, the last gives its (winning) body; then
+    order the numbers by insertion position.  The sorted array is bound once with a one-element
+    ``transform`` so the lambdas below read it without re-evaluating it."""
+    tagged = F.array_sort(F.transform(m, lambda x, j: F.struct(x["num"].alias("num"), j.alias("j"),
+                                                                 x["body"].alias("body"))))
+
+    def runs(srt):
+        n = F.size(srt)
+        firsts = F.filter(srt, lambda x, i: (i == 0) | (F.get(srt, i - 1)["num"] != x["num"]))
+        lasts = F.filter(srt, lambda x, i: (i == n - 1) | (F.get(srt, i + 1)["num"] != x["num"]))
+        merged = F.zip_with(firsts, lasts, lambda a, b: F.struct(a["j"].alias("first_j"), a["num"].alias("section_num"),
+                                                                 b["body"].alias("section_text")))
+        return F.transform(F.array_sort(merged), lambda x: F.struct(x["section_num"].alias("section_num"),
+                                                                     x["section_text"].alias("section_text")))
+    return F.get(F.transform(F.array(tagged), runs), 0)
 
 
 def extract_sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns=SECTION_PATTERNS,
