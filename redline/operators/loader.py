@@ -89,13 +89,13 @@ def record_flags(records: DataFrame) -> DataFrame:
 
 
 def detect_format(records: DataFrame, file_col: str = "file", line_col: str = "line_no") -> DataFrame:
-    """Per file, from its first record: messages -> 'fireworks', instruction+output -> 'alpaca',
+    """Per file, from its first record: messages -> 'chat', instruction+output -> 'instruction',
     else 'text'.  ``min_by`` is a partial aggregate: no file is sorted in one task."""
     f = record_flags(records)
     first = f.groupBy(file_col).agg(F.min_by(F.struct("has_messages", "has_instruction_output"),
                                              F.col(line_col)).alias("first"))
-    fmt = (F.when(F.col("first.has_messages"), "fireworks")
-           .when(F.col("first.has_instruction_output"), "alpaca").otherwise("text"))
+    fmt = (F.when(F.col("first.has_messages"), "chat")
+           .when(F.col("first.has_instruction_output"), "instruction").otherwise("text"))
     return first.select(file_col, fmt.alias("format"))
 
 
@@ -121,13 +121,13 @@ def render_chat_manual(messages) -> Column:
 
 
 def render_instruction(df: DataFrame) -> DataFrame:
-    """Alpaca records: need instruction and output; Input block only when input is non-empty."""
+    """Instruction records: need instruction and output; Input block only when input is non-empty."""
     i, x, o = F.col("instruction"), F.coalesce(F.col("input"), F.lit("")), F.col("output")
     text = F.when(x != "", F.concat(F.lit("### Instruction:\n"), i, F.lit("\n\n### Input:\n"), x,
                                     F.lit("\n\n### Response:\n"), o)) \
         .otherwise(F.concat(F.lit("### Instruction:\n"), i, F.lit("\n\n### Response:\n"), o))
     ok = i.isNotNull() & (i != "") & o.isNotNull() & (o != "")
-    return df.where(ok).withColumn("text", text).withColumn("format", F.lit("alpaca"))
+    return df.where(ok).withColumn("text", text).withColumn("format", F.lit("instruction"))
 
 
 def normalize_text(df: DataFrame, text_col: str = "text") -> DataFrame:

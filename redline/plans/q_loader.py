@@ -39,8 +39,8 @@ records AS (
          array_to_string(list_transform(messages, lambda m: m.content), chr(10)) AS text
   FROM chat),
 fmt AS (
-  SELECT file, CASE WHEN arg_min(kind, line_no) = 0 THEN 'fireworks'
-                    WHEN arg_min(kind = 1 AND instruction IS NOT NULL AND output IS NOT NULL, line_no) THEN 'alpaca'
+  SELECT file, CASE WHEN arg_min(kind, line_no) = 0 THEN 'chat'
+                    WHEN arg_min(kind = 1 AND instruction IS NOT NULL AND output IS NOT NULL, line_no) THEN 'instruction'
                     ELSE 'text' END AS format
   FROM records GROUP BY file)"""
 REC = with_views("SELECT 1", "chat")[:-len("SELECT 1")].rstrip() + "," + RECORDS_SQL
@@ -102,7 +102,7 @@ SELECT conv_id, u_turn,
             THEN '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Input:' || chr(10) || "input"
                  || chr(10) || chr(10) || '### Response:' || chr(10) || output
             ELSE '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Response:' || chr(10) || output
-       END AS text, 'alpaca' AS format
+       END AS text, 'instruction' AS format
 FROM pairs WHERE instruction <> '' AND output <> ''""")
 def render_instruction_q(spark, sf):
     return L.render_instruction(instruction_pairs(spark, sf)).select("conv_id", "u_turn", "text", "format")
@@ -120,9 +120,9 @@ def unified(spark, sf):
     r = training_records(spark, sf).join(L.detect_format(training_records(spark, sf)), "file")
     g = lambda path, t="string": F.expr(f"try_variant_get(try_parse_json(value), '{path}', '{t}')")
     msgs = g("$.messages", "array<struct<role: string, content: string>>")
-    chat = r.where((F.col("format") == "fireworks") & msgs.isNotNull() & (F.size(msgs) > 0)) \
+    chat = r.where((F.col("format") == "chat") & msgs.isNotNull() & (F.size(msgs) > 0)) \
         .select("file", "line_no", L.render_chat(msgs).alias("text"), "format")
-    alp = L.render_instruction(r.where(F.col("format") == "alpaca").select(
+    alp = L.render_instruction(r.where(F.col("format") == "instruction").select(
         "file", "line_no", g("$.instruction").alias("instruction"), g("$.input").alias("input"),
         g("$.output").alias("output"))).select("file", "line_no", "text", "format")
     txt = L.normalize_text(r.where(F.col("format") == "text").select("file", "line_no", g("$.text").alias("text"))) \
@@ -132,16 +132,16 @@ def unified(spark, sf):
 
 UNIFIED_SQL = REC + f""",
 unified AS (
-  SELECT r.file, r.line_no, {_render_sql(False)} AS text, 'fireworks' AS format
-  FROM records r JOIN fmt USING (file) WHERE fmt.format = 'fireworks' AND r.kind = 0 AND len(messages) > 0
+  SELECT r.file, r.line_no, {_render_sql(False)} AS text, 'chat' AS format
+  FROM records r JOIN fmt USING (file) WHERE fmt.format = 'chat' AND r.kind = 0 AND len(messages) > 0
   UNION ALL
   SELECT r.file, r.line_no,
          CASE WHEN "input" <> '' THEN '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Input:'
                    || chr(10) || "input" || chr(10) || chr(10) || '### Response:' || chr(10) || output
               ELSE '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Response:' || chr(10)
-                   || output END, 'alpaca'
+                   || output END, 'instruction'
   FROM records r JOIN fmt USING (file)
-  WHERE fmt.format = 'alpaca' AND r.kind = 1 AND instruction <> '' AND output <> ''
+  WHERE fmt.format = 'instruction' AND r.kind = 1 AND instruction <> '' AND output <> ''
   UNION ALL
   SELECT r.file, r.line_no, {strip_sql('text')}, 'text'
   FROM records r JOIN fmt USING (file) WHERE fmt.format = 'text' AND r.kind = 2 AND length({strip_sql('text')}) >= 10)

@@ -218,7 +218,7 @@ def test_validate_error_kinds(spark):
 def test_detect_format_first_record_wins_and_misfits_drop(spark):
     recs = spark.createDataFrame([("f", 1, '{"messages":[{"role":"user","content":"hi"}]}'), ("f", 2, '{"text":"plain text here"}')],
                                  "file string, line_no long, value string")
-    assert L.detect_format(recs).first().format == "fireworks"
+    assert L.detect_format(recs).first().format == "chat"
 
 
 def test_normalize_text_drops_short(spark):

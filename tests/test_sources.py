@@ -68,7 +68,7 @@ def test_load_examples_jsonl_and_json_shapes(spark):
     assert [x["text"] for x in by_file["c.json"]] == ["chunk one", "chunk two"]
     assert by_file["d.json"] == [{"text": "single object"}]
     fmts = {os.path.basename(r.file): r.format for r in L.detect_format(recs).collect()}
-    assert fmts == {"a.jsonl": "fireworks", "b.json": "alpaca", "c.json": "text", "d.json": "text"}
+    assert fmts == {"a.jsonl": "chat", "b.json": "instruction", "c.json": "text", "d.json": "text"}
 
 
 def test_jsonl_sink_round_trip(spark):
