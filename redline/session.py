@@ -68,3 +68,28 @@ def materialize(df):
     stages).  Never a machine-local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the `redline` package importable by the Python workers (pandas UDFs, mapInPandas
+    functions are pickled by module reference): zip it once per application and add it with
+    ``addPyFile`` so Spark distributes it to every executor."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="redline-pkg-", dir="/tmp")
+    path = os.path.join(out_dir, "redline.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("redline", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
