@@ -185,7 +185,7 @@ def _hash_bits(key: Column, seed: int) -> Column:
 def exact_hash_split(df: DataFrame, key_col: str, frac: float = 0.1, seed: int = 42,
                      max_boundary_rows: int = 200_000) -> DataFrame:
     """Adds `split` ('validation' / 'train'): validation = the ceil(frac * n) rows with the smallest
-    (md5(seed:key), key).  Exact and partition-independent, but never sorts the data: a histogram
+    (md5(seed:key), key); `key_col` must be unique.  Exact and partition-independent, but never sorts the data: a histogram
     over the top hash bits locates the boundary bucket; only that bucket (refined bit by bit until
     small) is ordered."""
     h = df.withColumn("_h", _hash_bits(F.col(key_col), seed))

@@ -259,3 +259,42 @@ def test_dashboard_no_rows_is_zero(spark):
     empty = spark.createDataFrame([], "id string, status string")
     r = R.dashboard_stats(empty, empty).first()
     assert (r.total_reviews, r.total_comments, r.success_rate_pct) == (0, 0, 0)
+
+
+# ---- more helpers -------------------------------------------------------------------------------------
+
+def test_status_buckets_and_labels(spark):
+    df = spark.createDataFrame([("Completed",), ("ERROR",), ("pending",), (None,)], "s string")
+    got = [r.b for r in df.select(FT.status_bucket("s").alias("b")).collect()]
+    assert got == ["success", "error", "warning", "default"]
+    jobs = spark.createDataFrame([("running",), ("stopped",), ("queued",)], "s string")
+    got = [r.b for r in jobs.select(FT.status_bucket("s", FT.JOB_STATUS_BUCKETS, other="default", lower=False)
+                                    .alias("b")).collect()]
+    assert got == ["primary", "warning", "default"]
+    assert one(spark, FT.human_duration("x"), 3725, "x long") == "1h 2m 5s"
+    assert one(spark, FT.processing_time_label("x"), 12.345, "x double") == "12.35s"
+    assert one(spark, FT.processing_time_label("x"), 0.0, "x double") == "N/A"
+
+
+def test_split_with_zero_fraction_is_all_train(spark):
+    df = spark.createDataFrame([(i,) for i in range(20)], "k long")
+    assert {r.split for r in L.exact_hash_split(df, "k", 0.0).collect()} == {"train"}
+
+
+def test_insert_if_absent_batch_duplicates_and_rejects(spark):
+    from redline.operators import changes as W
+    base = spark.createDataFrame([("a", "Alpha")], "id string, name string")
+    new = spark.createDataFrame([("a", "Other", 1), ("b", "Beta", 2), ("b", "Beta2", 3), ("c", "Alpha", 4)],
+                                "id string, name string, seq int")
+    got = sorted((r.id, r.name, r.action) for r in W.insert_if_absent(base, new, ["id"], "seq", ["name"]).collect())
+    assert got == [("a", "Other", "rejected"), ("b", "Beta", "inserted"), ("b", "Beta2", "duplicate"),
+                   ("c", "Alpha", "rejected")]
+
+
+def test_cancel_only_unfinished_jobs(spark):
+    from redline.operators import changes as W
+    jobs = spark.createDataFrame([("j1", "processing"), ("j2", "completed"), ("j3", "processing")],
+                                 "job_id string, status string")
+    req = spark.createDataFrame([("j1", 5), ("j2", 6)], "job_id string, requested_at int")
+    got = sorted((r.job_id, r.status, r.action) for r in W.cancel_jobs(jobs, req).collect())
+    assert got == [("j1", "cancelled", "cancelled"), ("j2", "completed", "rejected"), ("j3", "processing", "unchanged")]
