@@ -24,11 +24,11 @@ MAX_INLINE_KEYWORDS = 5_000
 
 
 def firm_keywords(firms: DataFrame) -> DataFrame:
-    """(firm_rank, firm_id, firm_name, kw_pos, kw_lower) for every non-empty keyword."""
+    """(firm_rank, firm_id, firm_name, kw_pos, kw, kw_lower) for every non-empty keyword."""
     return (firms.select("firm_rank", F.col("id").alias("firm_id"), F.col("name").alias("firm_name"),
                          F.posexplode("keywords").alias("kw_pos", "kw"))
             .where(F.length("kw") > 0)
-            .select("firm_rank", "firm_id", "firm_name", "kw_pos", F.lower("kw").alias("kw_lower")))
+            .select("firm_rank", "firm_id", "firm_name", "kw_pos", "kw", F.lower("kw").alias("kw_lower")))
 
 
 def _keyword_rows(firms: DataFrame):
@@ -66,7 +66,8 @@ def detect_firm(docs: DataFrame, firms: DataFrame, id_col: str = "id",
         # One Aho-Corasick pass per text (cost independent of the keyword count); the winning
         # keyword index maps back to its firm through a literal array lookup.
         arr = _inline_keywords(firms, rows)
-        idx = KW.first_keyword_index(F.col(text_col), [r.kw_lower for r in rows])
+        # The UDF lower-cases the text in Python, so the keywords are lower-cased the same way.
+        idx = KW.first_keyword_index(F.col(text_col), [r.kw.lower() for r in rows])
         return docs.withColumn("_hit", F.get(arr, idx)).select(
             "*", F.col("_hit.firm_id").alias("law_firm_id"), F.col("_hit.firm_name").alias("law_firm_name")
         ).drop("_hit")
@@ -97,7 +98,7 @@ def detect_all_firms(docs: DataFrame, firms: DataFrame, id_col: str = "id",
     rows = _keyword_rows(firms)
     if rows and KW.available():
         arr = _inline_keywords(firms, rows)
-        idxs = KW.all_keyword_indexes(F.col(text_col), [r.kw_lower for r in rows])
+        idxs = KW.all_keyword_indexes(F.col(text_col), [r.kw.lower() for r in rows])
         ids = F.array_distinct(F.transform(idxs, lambda i: F.get(arr, i)["firm_id"]))
         return (docs.withColumn("firms_matched", ids)
                 .withColumn("default_firm", F.get(F.col("firms_matched"), 0)))
