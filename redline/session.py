@@ -81,7 +81,12 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    if "redline" in sc.getConf().get("spark.submit.pyFiles", ""):
+        _SHIPPED.add(app)      # already shipped at submit time (--py-files)
+        return
     import zipfile
+    # The archive is driver-side code shipped by Spark's file server (what addPyFile does); it is
+    # not data, so a driver-local folder is the right place for it.
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="redline-pkg-", dir="/tmp")
     path = os.path.join(out_dir, "redline.zip")
