@@ -249,9 +249,14 @@ def sequence_within(df: DataFrame, group_cols: list, order_cols: list, name: str
 def pad_plan(df: DataFrame, length_col: str, group_cols: list, order_cols: list, batch_size: int = 8,
              multiple: int = 8) -> DataFrame:
     """Batches of `batch_size` in order within each group; padded length = batch max rounded up to
-    a multiple of 8; padding = padded * rows - sum(lengths)."""
-    s = sequence_within(df, group_cols, order_cols)
-    b = s.withColumn("batch", F.floor(F.col("seq") / batch_size).cast("bigint"))
+    a multiple of 8; padding = padded * rows - sum(lengths).  (group, order) must be unique.
+
+    Positions are computed on the key columns alone (the range sampling and shuffle then never
+    re-run the length computation) and joined back to the lengths."""
+    keys = list(group_cols) + list(order_cols)
+    seq = sequence_within(df.select(*keys), group_cols, order_cols)
+    b = seq.join(df.select(*keys, length_col), keys).withColumn(
+        "batch", F.floor(F.col("seq") / batch_size).cast("bigint"))
     g = b.groupBy(*group_cols, "batch").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
                                            F.max(length_col).cast("bigint").alias("max_length"),
                                            F.sum(length_col).cast("bigint").alias("total_length"))
