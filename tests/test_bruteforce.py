@@ -226,3 +226,25 @@ def test_blocked_chunk_fold_matches_python_loop(spark, text, block):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = [r.text for r in T.chunk_text(df, size=250, overlap=50, block=block).orderBy("index").collect()]
     assert got == py_chunks(text, 250, 50)
+
+
+def test_detection_paths_agree(spark, sf, monkeypatch):
+    """Aho-Corasick UDF, JVM fold (library unavailable) and join fallback (table above the bound)
+    give the same first firm and the same firm lists."""
+    from redline.functions import keywords as KW
+    from redline.operators import detect as D
+    docs = V.contract_files(spark, sf).select("id", "extracted_text")
+    firms = V.law_firms(spark, sf)
+
+    def run():
+        first = sorted(map(tuple, D.detect_firm(docs, firms).select("id", "law_firm_id").collect()))
+        every = sorted((r.id, tuple(r.firms_matched)) for r in D.detect_all_firms(docs, firms).collect())
+        return first, every
+
+    automaton = run()
+    monkeypatch.setattr(KW, "available", lambda: False)
+    fold = run()
+    monkeypatch.setattr(D, "MAX_INLINE_KEYWORDS", 0)
+    joined = run()
+    assert automaton == fold == joined
+    assert any(f is not None for _, f in automaton[0])
