@@ -298,3 +298,11 @@ def test_cancel_only_unfinished_jobs(spark):
     req = spark.createDataFrame([("j1", 5), ("j2", 6)], "job_id string, requested_at int")
     got = sorted((r.job_id, r.status, r.action) for r in W.cancel_jobs(jobs, req).collect())
     assert got == [("j1", "cancelled", "cancelled"), ("j2", "completed", "rejected"), ("j3", "processing", "unchanged")]
+
+
+def test_shared_keyword_between_firms(spark):
+    firms = spark.createDataFrame([("f1", "One", ["shared term"], 0), ("f2", "Two", ["Shared Term", "zeta"], 1)],
+                                  "id string, name string, keywords array<string>, firm_rank int")
+    docs = spark.createDataFrame([("d", "a SHARED TERM here and zeta")], "id string, extracted_text string")
+    assert D.detect_firm(docs, firms).first().law_firm_id == "f1"
+    assert D.detect_all_firms(docs, firms).first().firms_matched == ["f1", "f2"]
