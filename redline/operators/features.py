@@ -202,9 +202,11 @@ def svd(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding"):
     from pyspark.mllib.linalg import Vectors as MV
     from pyspark.mllib.linalg.distributed import RowMatrix
     import numpy as np
+    d = F.size(F.col(col))
+    dim = df.select(d.alias("d")).agg(F.max("d")).first()[0]   # one number, JVM-side
     rows = df.select(F.col(col).cast("array<double>").alias("a")).rdd.map(lambda r: MV.dense(r.a))
-    m = RowMatrix(rows)
-    kk = min(k, m.numCols())
+    m = RowMatrix(rows, numCols=dim)
+    kk = min(k, dim)
     res = m.computeSVD(kk, computeU=False)
     vt = np.array(res.V.toArray())  # d x k, small
     arr = F.col(col).cast("array<double>")
