@@ -122,3 +122,18 @@ def export_conversation(turns: DataFrame, id_col: str = "conv_id", order_col: st
                     F.lit(": "), F.col("text"))
     return (turns.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(order_col, line.alias("l")))).alias("_l"))
             .select(id_col, F.array_join(F.col("_l")["l"], "\n\n").alias("export")))
+
+
+def score_udf(scorer: Callable | None = None):
+    """The scorer as a column function (Arrow-batched pandas UDF) returning
+    struct<generated_text, finish_reason, tokens_generated>; usable in select / SQL
+    (``spark.udf.register``).  Unlike :func:`batch_score` a failing batch fails the task."""
+    fn = scorer or fallback_scorer
+
+    @F.pandas_udf("generated_text string, finish_reason string, tokens_generated bigint")
+    def score(prompts: pd.Series) -> pd.DataFrame:
+        out = fn(prompts).reset_index(drop=True)
+        return out[["generated_text", "finish_reason", "tokens_generated"]].astype(
+            {"tokens_generated": "int64"})
+
+    return score

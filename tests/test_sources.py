@@ -119,3 +119,14 @@ def test_manifest_prefix_filter(spark):
             f.write("x")
     got = sorted(r.filename for r in S.file_manifest(spark, d, prefix="ds1_", extensions=None).collect())
     assert got == ["ds1_a.pdf", "ds1_b.json"]
+
+
+def test_score_udf_default_and_sql_registration(spark):
+    from redline.operators import scoring as B
+    df = spark.createDataFrame([("review this",)], "prompt string")
+    r = df.select(B.score_udf()("prompt").alias("s")).first().s
+    assert r.finish_reason == "fallback" and r.generated_text == B.FALLBACK_REVIEW
+    assert r.tokens_generated == B.FALLBACK_TOKENS
+    spark.udf.register("score_prompt", B.score_udf())
+    df.createOrReplaceTempView("prompts")
+    assert spark.sql("SELECT score_prompt(prompt).finish_reason AS f FROM prompts").first().f == "fallback"
