@@ -306,3 +306,40 @@ def test_shared_keyword_between_firms(spark):
     docs = spark.createDataFrame([("d", "a SHARED TERM here and zeta")], "id string, extracted_text string")
     assert D.detect_firm(docs, firms).first().law_firm_id == "f1"
     assert D.detect_all_firms(docs, firms).first().firms_matched == ["f1", "f2"]
+
+
+# ---- shapes of the reference's own script fixtures (own wording) ----------------------------------------
+
+CONTRACT = ("SUPPLY AGREEMENT\n\n1.1 Definitions\nTerms used here have the meanings below.\n\n"
+            "1.2 Scope\nThe supplier delivers the goods listed in the annex.\n\n"
+            "2.1 Price\nThe buyer pays the agreed price within thirty days\n\n"
+            "2.2 Delivery\nGoods are delivered to the named site.")
+
+
+def test_numbered_contract_periods_block_sections(spark):
+    got = _sections(spark, CONTRACT)
+    # every body ending in a period is blocked; the one without a period runs to the next number
+    assert got == [("2.1", "Price The buyer pays the agreed price within thirty days", 0)]
+
+
+def test_review_text_comments(spark):
+    review = ("General remarks on the draft\n"
+              "Section 1.2 Review:\nThe scope in section 1.2 should list exclusions.\n"
+              "Also check the annex wording\nSection 2.1 Review:\nPayment terms in 2.1 are too short.")
+    df = spark.createDataFrame([("p", review)], "project_id string, text string")
+    got = [(r.comment, r.refs) for r in X.parse_comments(df).orderBy("comment_idx").collect()]
+    assert got == [("General remarks on the draft", []),
+                   ("Section 1.2 Review:", ["1.2"]),
+                   ("The scope in section 1.2 should list exclusions.", ["1.2"]),
+                   ("Also check the annex wording", []),
+                   ("Section 2.1 Review:", ["2.1"]),
+                   ("Payment terms in 2.1 are too short.", ["2.1"])]
+    flat = [r.comment for r in X.parse_comments_flat(df).orderBy("pos").collect()]
+    assert flat == ["The scope in section 1.2 should list exclusions.", "Payment terms in 2.1 are too short."]
+
+
+def test_text_only_projects_do_not_qualify(spark):
+    files = spark.createDataFrame([("p1", "a.txt"), ("p1", "b.txt"), ("p1", "c.txt"), ("p2", "x.txt"),
+                                   ("p2", "y.pdf"), ("p2", "z.pdf"), ("p2", "w.docx")], "project string, filename string")
+    got = {r.project: (r.n_pdf, r.n_word, r.qualifies) for r in X.discover_projects(files).collect()}
+    assert got == {"p1": (0, 0, False), "p2": (2, 1, True)}
