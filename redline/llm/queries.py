@@ -6,7 +6,9 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from redline.llm import quality, url_filter
+from pyspark.sql import functions as F
+
+from redline.llm import line_dedup, quality, url_filter
 from redline.llm.common import begin
 from redline.sources.tables import table
 
@@ -113,3 +115,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 @register("op10_quality_rules", OP10_SQL)
 def op10_quality_rules(spark, sf_dir):
     return quality.quality_filter(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+
+
+# --- op8: line dedup --------------------------------------------------------------------------
+
+@register("op8_line_dedup")
+def op8_line_dedup(spark, sf_dir):
+    m = line_dedup.mark_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return m.select(F.col("row.doc_id").alias("doc_id"), line_dedup.kept_text().alias("text"),
+                    F.size("lines").alias("n_lines"), F.size("drop").alias("n_dropped"))
