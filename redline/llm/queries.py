@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from redline.llm import line_dedup, quality, url_filter
+from redline.llm import line_dedup, quality, toxicity, url_filter
 from redline.llm.common import begin
 from redline.sources.tables import table
 
@@ -124,3 +124,11 @@ def op8_line_dedup(spark, sf_dir):
     m = line_dedup.mark_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return m.select(F.col("row.doc_id").alias("doc_id"), line_dedup.kept_text().alias("text"),
                     F.size("lines").alias("n_lines"), F.size("drop").alias("n_dropped"))
+
+
+# --- op9: toxicity ----------------------------------------------------------------------------
+
+@register("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                    table(spark, sf_dir, "labels", "doc_id", "toxic"))
