@@ -62,8 +62,10 @@ def _lines(text: Column) -> Column:
 def line_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, ctx, no, leaf, tmpl): one narrow row per templated line; key is the text's MD5."""
     docs = df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    # The text's own columns are computed below the generator: once per text, not per line.
     return (docs.select(F.unhex(F.md5("text")).alias("key"), context(F.col("text")).alias("ctx"),
-                        F.explode(_lines(F.col("text"))).alias("l"))
+                        _lines(F.col("text")).alias("ls"))
+            .select("key", "ctx", F.explode("ls").alias("l"))
             .select("key", "ctx", "l.no", "l.leaf", "l.tmpl"))
 
 

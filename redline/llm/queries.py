@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from redline.llm import line_dedup, quality, toxicity, url_filter
+from redline.llm import line_dedup, quality, topk, toxicity, url_filter
 from redline.llm.common import begin
 from redline.sources.tables import table
 
@@ -132,3 +132,23 @@ def op8_line_dedup(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"),
                                     table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+# --- op7: exact top-k search ------------------------------------------------------------------
+
+OP7_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
+             CAST(list_sum(list_transform(list_zip(q.v, v.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+      FROM q JOIN v ON q.vec_id <> v.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@register("op7_topk_search", OP7_SQL)
+def op7_topk_search(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
