@@ -8,8 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from redline.llm import line_dedup, quality, topk, toxicity, url_filter
+from redline.llm import line_dedup, quality, topk, toxicity, url_filter, warc
 from redline.llm.common import begin
+from redline.sources.scratch import scratch_path
 from redline.sources.tables import table
 
 QUERIES: dict[str, Callable] = {}
@@ -152,3 +153,21 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 @register("op7_topk_search", OP7_SQL)
 def op7_topk_search(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+# --- op2: WARC --------------------------------------------------------------------------------
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to FROM m
+"""
+
+
+@register("op2_warc", OP2_SQL)
+def op2_warc(spark, sf_dir):
+    index = warc.write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), scratch_path(spark, "warc"))
+    records = warc.read_warc(index, with_payload=False)
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
