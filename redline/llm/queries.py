@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from redline.llm import line_dedup, quality, topk, toxicity, url_filter, warc
+from redline.llm import line_dedup, quality, token_counts, topk, toxicity, url_filter, warc
 from redline.llm.common import begin
 from redline.sources.scratch import scratch_path
 from redline.sources.tables import table
@@ -171,3 +171,16 @@ def op2_warc(spark, sf_dir):
     index = warc.write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), scratch_path(spark, "warc"))
     records = warc.read_warc(index, with_payload=False)
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# --- op5: token counts ------------------------------------------------------------------------
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op5_token_counts")
+def op5_token_counts(spark, sf_dir):
+    pieces = token_counts.sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), pieces)
