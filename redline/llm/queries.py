@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from redline.llm import line_dedup, quality, token_counts, topk, toxicity, url_filter, warc
+from redline.llm import line_dedup, packing, quality, token_counts, topk, toxicity, url_filter, warc
 from redline.llm.common import begin
 from redline.sources.scratch import scratch_path
 from redline.sources.tables import table
@@ -184,3 +184,10 @@ def tokenizer_path(name: str) -> str:
 def op5_token_counts(spark, sf_dir):
     pieces = token_counts.sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), pieces)
+
+
+# --- op3: best-fit packing --------------------------------------------------------------------
+
+@register("op3_packing")
+def op3_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
