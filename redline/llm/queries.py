@@ -8,8 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from redline.llm import line_dedup, packing, quality, token_counts, topk, toxicity, url_filter, warc
-from redline.llm.common import begin
+from redline.llm import line_dedup, mixing, packing, quality, token_counts, topk, toxicity, url_filter, warc
+from redline.llm.common import begin, words
 from redline.sources.scratch import scratch_path
 from redline.sources.tables import table
 
@@ -191,3 +191,26 @@ def op5_token_counts(spark, sf_dir):
 @register("op3_packing")
 def op3_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+
+
+# --- op4: mixing ------------------------------------------------------------------------------
+
+#: Topics of the documents by terms, in order of precedence.
+TOPICS = {"legal": ("icense", "ll rights reserved"), "contact": ("@", "http"), "table": (" | ",),
+          "code": (" = ", "();", "{")}
+#: Target shares of tokens; the rest is tempered over the other values.
+LANGUAGE_SHARES = {"en": 0.5, "de": 0.2, "fr": 0.15}
+MIX = {"fixed": (None, LANGUAGE_SHARES, None), "alpha": (0.7, 1.0, 0.5), "keep_share": 0.7}
+
+
+def mixed(docs):
+    """Source, language and topic margins over word counts."""
+    text = F.col("text")
+    return mixing.mix(docs, F.size(words(text)), (F.col("source"), F.col("lang"), mixing.topic_by_terms(text, TOPICS)), **MIX)
+
+
+@register("op4_mixing")
+def op4_mixing(spark, sf_dir):
+    m = mixed(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    return m.select(F.col("row.doc_id").alias("doc_id"), F.col("d0").alias("source"), F.col("d1").alias("lang"),
+                    F.col("d2").alias("topic"), F.col("weight").alias("n_tokens"), "probability", "selected")
