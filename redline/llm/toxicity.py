@@ -1,11 +1,11 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
 Features of a text are its distinct lower-case words and their leading ``PREFIXES`` characters.
-1. Over all labelled rows outside the held-out fold, Spark counts in how many toxic and clean
-   texts each feature occurs and keeps the ``MAX_FEATURES`` with the largest likelihood ratio (``MIN_RATIO`` at
+1. The model learns from labelled rows outside the held-out fold, at most ``MAX_FIT_ROWS`` of them
+   (the smallest hashes of their ids).  Spark counts in how many of their toxic and clean texts
+   each feature occurs and keeps the ``MAX_FEATURES`` with the largest likelihood ratio (``MIN_RATIO`` at
    least), besides the identity terms themselves.
-2. Weights are fitted on a sample of the same rows, bounded by ``MAX_FIT_ROWS`` (rows are taken by
-   a hash of the id).  Every sampled text that holds an identity term is paired with a copy in
+2. Weights are fitted on the same rows.  Every text that holds an identity term is paired with a copy in
    which the term is swapped for another one of its group; the loss is the log loss plus
    ``counterfactual`` times the squared difference of the two scores before the logistic, so that
    a weight which only tells groups apart costs more than it earns.
@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redline.llm.common import stored
+
 MAX_FEATURES = 1500
 MIN_DOCS = 3
 #: Least likelihood ratio of a feature: with up to some hundred thousand candidates a smaller one
@@ -169,25 +171,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from the labelled rows outside the held-out fold."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     y = y.filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    n = {r["toxic"]: r["count"] for r in y.groupBy("toxic").count().collect()}
+    # At most max_rows ids: small enough to broadcast, so that no text is shuffled.
+    chosen = y.orderBy(F.xxhash64("id"), "id", "toxic").limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    train = stored(texts.join(F.broadcast(chosen), "id").select("text", "toxic"), "toxicity-sample")
+    n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     if not clean or not toxic:
         return Model(constant=toxic / max(1, clean + toxic))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    train = texts.join(y, "id")
     features = select_features(train, toxic, clean)
     features += sorted({t for g in groups for t in g} - set(features))
     index = {f: i for i, f in enumerate(features)}
-    part = F.pmod(F.xxhash64(F.col("id")), F.lit(1_000_000))
-    share = y if clean + toxic <= max_rows else y.filter(part < int(1_000_000 * max_rows / (clean + toxic)))
-    sample = texts.join(share, "id").select("text", "toxic")
-    rows = sample.mapInPandas(lambda b: _encode(b, index, groups),
-                              "toxic int, own array<int>, other array<int>").collect()
+    rows = train.mapInPandas(lambda b: _encode(b, index, groups),
+                             "toxic int, own array<int>, other array<int>").collect()
     # Adam's sums depend on the order of the rows, which Spark does not fix.
     rows = sorted((r["toxic"], tuple(r["own"]), r["other"] is not None, tuple(r["other"] or ())) for r in rows)
-    labels_seen = {r[0] for r in rows}
-    if labels_seen != {0, 1}:
-        return Model(constant=toxic / (clean + toxic))
     w, b = fit_weights(np.array([r[0] for r in rows], float), [r[1] for r in rows],
                        [r[3] if r[2] else None for r in rows], len(features), counterfactual)
     return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6}, b)
