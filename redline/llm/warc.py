@@ -1,11 +1,10 @@
 """WARC archives, index first.
 
-Writing: pages are dealt to archives by a hash of their id; a task sorts its pages and writes one
-gzip member per record, and yields the index: per record the archive, byte offset, length, URL,
-payload digest and the record's header values.  The index is stored as Parquet in the same folder
-before anything is read.  File names hold the task attempt's own number, and the index only those
-of the attempts that Spark committed, so repeated or speculative attempts leave unreferenced
-files, never wrong offsets.
+Writing: each task writes its pages as gzip members, one per record, to archives of its own, and
+yields the index: per record the archive, byte offset, length, URL, payload digest and the
+record's header values.  The index is stored as Parquet before anything is read.  A file name is
+the attempt's own, and the index holds only those of the attempts that Spark committed, so
+repeated or speculative attempts leave unreferenced files, never wrong offsets.
 
 Reading: any selection of index rows is range-partitioned by (archive, offset); neighbouring
 records are fetched by one byte-range read if the gap between them is at most ``GAP`` and the read
@@ -37,8 +36,9 @@ from pyspark.sql import functions as F
 from redline.llm.common import stored
 
 REVISIT_BYTES = 1000
-#: Payload bytes that one archive is to hold.
+#: A task begins another archive after so many bytes; a read task fetches about so many.
 ARCHIVE_BYTES = 64 << 20
+READ_BYTES = 16 << 20
 #: Byte-range reads: the largest gap read over, and the largest single read.
 GAP, MAX_READ = 64 << 10, 8 << 20
 
@@ -95,17 +95,17 @@ def _gzip(raw: bytes) -> bytes:
     return c.compress(raw) + c.flush()
 
 
-def _write(batches, folder: str):
-    """Rows (archive, id, url, digest, bytes, refers_to, payload) sorted by archive -> index rows."""
-    out, name, offset, current, fs = None, "", 0, None, None
+def _write(batches, folder: str, archive_bytes: int):
+    """Rows (id, url, digest, bytes, refers_to, payload) -> index rows."""
+    out, name, offset = None, "", 0
     try:
         for pdf in batches:
             index = []
             for r in pdf.itertuples(index=False):
-                if r.archive != current:
+                if out is None or offset >= archive_bytes:
                     if out is not None:
                         out.close()
-                    name, offset, current = f"{folder}/archive-{r.archive:07d}-{uuid.uuid4().hex}.warc.gz", 0, r.archive
+                    name, offset = f"{folder}/archive-{uuid.uuid4().hex}.warc.gz", 0
                     fs, path = _fs(name)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(path, compression=None)
@@ -133,23 +133,17 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"),
                         _payload(F.col(payload_col)).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    narrow = stored(rows.select("id", "digest", "bytes"), "warc-digests")
-    total = narrow.agg(F.sum("bytes")).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
-    # Responses of payloads that occur more than once; rows join them on digests, without payloads.
-    shared = (narrow.filter((F.col("bytes") >= REVISIT_BYTES) & F.col("id").isNotNull()).groupBy("digest", "bytes")
+    narrow = stored(rows.select("id", "digest", "bytes").filter(F.col("bytes") >= REVISIT_BYTES), "warc-digests")
+    # Payloads that occur more than once; rows join them on digests, without payloads.  What comes
+    # out is stored, so that the join with the payloads is planned by its size.
+    shared = (narrow.filter(F.col("id").isNotNull()).groupBy("digest", "bytes")
               .agg(F.max("id").alias("refers_to"), F.min("id").alias("least")).filter("least < refers_to"))
-    revisits = (narrow.join(shared.drop("least"), ["digest", "bytes"]).filter(F.col("id") < F.col("refers_to"))
-                .select("id", "digest", "refers_to").distinct())
-    archive = F.pmod(F.xxhash64("id"), F.lit(archives)).alias("archive")
-    # Both sides are dealt by archive: the join and the sorted write share this one shuffle.
-    dealt = rows.select("*", archive).repartition(int(archives), "archive")
-    known = revisits.select("*", archive).repartition(int(archives), "archive")
-    records = (dealt.join(known, ["archive", "id", "digest"], "left")
-               .select("archive", "id", "url", "digest", "bytes", "refers_to",
-                       F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"))
-               .sortWithinPartitions("archive", "id"))
-    return stored(records.mapInPandas(lambda b: _write(b, folder), _INDEX), "warc-index")
+    revisits = stored(narrow.join(shared.drop("least"), ["digest", "bytes"]).filter(F.col("id") < F.col("refers_to"))
+                      .select("id", "digest", "refers_to").distinct(), "warc-revisits")
+    records = (rows.join(revisits, ["id", "digest"], "left")
+               .select("id", "url", "digest", "bytes", "refers_to",
+                       F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload")))
+    return stored(records.mapInPandas(lambda b: _write(b, folder, archive_bytes), _INDEX), "warc-index")
 
 
 def ranges(rows: list, gap: int = GAP, most: int = MAX_READ):
@@ -192,6 +186,8 @@ def _read(batches, with_payload: bool):
 def read_warc(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of the given index rows (id, url, payload_bytes, payload_digest, record_type,
     refers_to, payload); a revisit's payload is null, its size and digest come from its headers."""
-    rows = (index.select("archive", "offset", "length").repartitionByRange("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = int(max(1, -(-total // READ_BYTES)))
+    rows = (index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset")
             .sortWithinPartitions("archive", "offset"))
     return rows.mapInPandas(lambda b: _read(b, with_payload), _RECORD)
