@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redline.llm.common import let, stored, words
+from redline.llm.common import stored
 
 MIN_TOKENS = 3
 DEPTH = 3
@@ -35,38 +35,43 @@ SIMILAR = 0.6
 MIN_CONTEXTS = 4
 CONTEXT_SHARE = 0.4
 WILD = "<*>"
+#: Up to so many lines of shared leaves their positions are broadcast; beyond, texts are shuffled.
+MAX_BROADCAST_LINES = 200_000
 
 
 def masked_tokens(line: Column) -> Column:
-    """Words of a line, those with a digit replaced by the wildcard."""
-    ws = words(line)
-    return F.when(line.rlike("[0-9]"), F.transform(ws, lambda w: F.when(w.rlike("[0-9]"), WILD).otherwise(w))).otherwise(ws)
+    """Words of a line whose other white space is blanks; those with a digit become the wildcard."""
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line)
+    return F.array_remove(F.split(masked, " "), "")
 
 
-def context(text: Column) -> Column:
-    """Smallest hash of the text's three-word shingles (of all its words, if fewer)."""
-    def smallest(wh):
-        shingles = F.transform(F.sequence(F.lit(1), F.size(wh) - 2), lambda i: F.xxhash64(F.slice(wh, i, 3)))
-        return F.when(F.size(wh) < 3, F.xxhash64(wh)).otherwise(F.array_min(shingles))
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), smallest)
+def blanked(text: Column) -> Column:
+    """The text with blanks for all ASCII white space but line feeds."""
+    return F.when(text.rlike("[\t\x0b\f\r]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
 
 
 def _lines(text: Column) -> Column:
-    """array<struct<no, leaf, tmpl>> of the lines that have a template."""
-    tokens = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), masked_tokens(x).alias("t")))
-    return F.transform(F.filter(tokens, lambda x: F.size(x["t"]) >= MIN_TOKENS), lambda x: F.struct(
-        x["no"].alias("no"), F.xxhash64(F.size(x["t"]), F.slice(x["t"], 1, DEPTH)).alias("leaf"),
-        F.xxhash64(x["t"]).alias("tmpl")))
+    """array<struct<no, leaf, tmpl, c>> of the lines that have a template; c is the line's smallest
+    three-word shingle hash.  Every word is hashed once."""
+    tokens = F.transform(F.split(blanked(text), "\n"), lambda x, i: F.struct(
+        i.alias("no"), F.transform(masked_tokens(x), lambda w: F.xxhash64(w)).alias("h")))
+
+    def line(x):
+        h = x["h"]
+        shingles = F.transform(h, lambda w, i: F.when(i < F.size(h) - 2, F.xxhash64(w, F.get(h, i + 1), F.get(h, i + 2))))
+        return F.struct(x["no"].alias("no"), F.xxhash64(F.size(h), F.slice(h, 1, DEPTH)).alias("leaf"),
+                        F.xxhash64(h).alias("tmpl"), F.array_min(shingles).alias("c"))
+    return F.transform(F.filter(tokens, lambda x: F.size(x["h"]) >= MIN_TOKENS), line)
 
 
 def line_table(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, ctx, no, leaf, tmpl): one narrow row per templated line; key is the text's MD5."""
+    """(key, ctx, no, leaf, tmpl): one narrow row per templated line; key is the text's MD5, ctx
+    its smallest shingle hash."""
     docs = df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     # The text's own columns are computed below the generator: once per text, not per line.
-    return (docs.select(F.unhex(F.md5("text")).alias("key"), context(F.col("text")).alias("ctx"),
-                        _lines(F.col("text")).alias("ls"))
-            .select("key", "ctx", F.explode("ls").alias("l"))
-            .select("key", "ctx", "l.no", "l.leaf", "l.tmpl"))
+    each = docs.select(F.unhex(F.md5("text")).alias("key"), _lines(F.col("text")).alias("ls"))
+    return (each.select("key", F.array_min("ls.c").alias("ctx"), "ls")
+            .select("key", "ctx", F.explode("ls").alias("l")).select("key", "ctx", "l.no", "l.leaf", "l.tmpl"))
 
 
 def _dense(lines: DataFrame) -> DataFrame:
@@ -83,8 +88,10 @@ def leaf_members(df: DataFrame, lines: DataFrame, text_col: str = "text") -> Dat
     """(tmpl, leaf): the templates that their leaf's generalised template covers."""
     reps = stored(_dense(lines), "line-reps")
     texts = (df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-             .select(F.unhex(F.md5("text")).alias("key"), F.split("text", "\n").alias("ls")))
+             .select(F.unhex(F.md5("text")).alias("key"), F.split(blanked(F.col("text")), "\n").alias("ls")))
     wanted = reps.groupBy("key").agg(F.collect_list(F.struct("leaf", "tmpl", "no")).alias("w"))
+    if reps.count() <= MAX_BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
     tokens = (texts.join(wanted, "key").select("ls", F.explode("w").alias("w"))
               .select("w.leaf", "w.tmpl", masked_tokens(F.get("ls", F.col("w.no"))).alias("t"))
               .dropDuplicates(["leaf", "tmpl"]))
