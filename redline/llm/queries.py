@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from redline.llm import line_dedup, mixing, packing, quality, token_counts, topk, toxicity, url_filter, warc
+from redline.llm import line_dedup, mixing, near_dedup, packing, quality, token_counts, topk, toxicity, url_filter, warc
 from redline.llm.common import begin, words
 from redline.sources.scratch import scratch_path
 from redline.sources.tables import table
@@ -214,3 +214,11 @@ def op4_mixing(spark, sf_dir):
     m = mixed(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return m.select(F.col("row.doc_id").alias("doc_id"), F.col("d0").alias("source"), F.col("d1").alias("lang"),
                     F.col("d2").alias("topic"), F.col("weight").alias("n_tokens"), "probability", "selected")
+
+
+# --- op1: near-duplicate documents ------------------------------------------------------------
+
+@register("op1_near_dedup")
+def op1_near_dedup(spark, sf_dir):
+    classes = near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return classes.select("doc_id", "class_id")
