@@ -10,12 +10,13 @@ it equals the Jaccard index where no shingle repeats, and 1 minus it is a metric
    shingle stops at its text's time limit; the limit is doubled for the texts that have empty
    registers left.  Registers keep 16 bits of the shingle's hash.
 2. Texts with the same words collapse to one node.  Bands of registers are hashed to buckets.
-3. In each bucket, nodes are compared with the bucket's leaders only; verified links merge
-   classes, buckets whose nodes all share a class are done, and used leaders retire.  Rounds go on,
-   with four times as many leaders each, until no bucket holds an untried pair of different
-   classes: every pair that shares a bucket is compared or connected already, and none is
-   generated for a group as a whole.
-4. Verification: pairs whose signatures rule out the threshold by six standard deviations go, the
+3. In each bucket, nodes are compared with the bucket's leader only; verified links merge classes
+   and the leader retires.  Buckets whose nodes then share a class are done.  The nodes of the other
+   buckets form groups (what buckets connect), which are compared in blocks of bounded size; pairs
+   of one class are skipped there.  So every pair that shares a bucket is compared or connected
+   already, and no row is ever made for a pair of a group: a family costs one row per pair of
+   blocks.
+4. Verification: pairs whose signatures rule out the threshold by five standard deviations go, the
    others are compared exactly on their whole texts.
 
 Texts travel only to the verification, by the row that stands for a node.  The output is one row
@@ -37,7 +38,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from redline.llm.common import stored
 from redline.llm.components import components
@@ -49,6 +49,10 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Bytes of text that a task handles at a time, and words it remembers (memory bounds).
 RUN_BYTES, CACHE_WORDS = 1 << 19, 500_000
+#: Texts of a block of the verification, on average: a task holds two blocks at a time.
+BLOCK = 64
+#: Rounds in which the nodes of a bucket are compared with one leader, before blocks are compared.
+STAR_ROUNDS = 2
 _SIGNATURE = "doc_id long, h long, key binary, sig binary"
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -108,10 +112,10 @@ def signatures(doc: np.ndarray, x: np.ndarray, w: np.ndarray, n_docs: int, regis
         limit = horizon / total[d]
         t = np.zeros(len(d))
         at, when, what = [], [], []
-        k = np.uint64(0)
+        k = 0
         while len(d):
-            k += np.uint64(1)
-            r = _mixed(e + k * _G)
+            k += 1
+            r = _mixed(e + np.array([k], np.uint64) * _G)
             t = t + -np.log((r >> np.uint64(11)).astype(np.float64) * 2.0 ** -53 + 2.0 ** -54) / rate
             alive = t <= limit
             d, e, rate, limit, t, r = d[alive], e[alive], rate[alive], limit[alive], t[alive], r[alive]
@@ -208,15 +212,14 @@ def _agreeing(batches, least: float):
 
 
 def _verify(batches, threshold: float):
-    """Exact similarity of text pairs; rows come sorted by ``a``, whose shingles are kept."""
-    shingler, last, own = Shingler(), None, None
+    """Exact similarities; a row holds the texts of two blocks of nodes and the pairs to compare."""
+    shingler = Shingler()
     for pdf in batches:
         out = []
         for row in pdf.itertuples(index=False):
-            if row.a != last:
-                last, own = row.a, shingler.shingles([row.text_a.split()])[1:]
-            if probability_jaccard(*own, *shingler.shingles([row.text_b.split()])[1:]) >= threshold - 1e-9:
-                out.append((row.a, row.b))
+            sets = {t["node"]: shingler.shingles([t["text"].split()])[1:] for t in row.texts}
+            out += [(p["a"], p["b"]) for p in row.pairs
+                    if probability_jaccard(*sets[p["a"]], *sets[p["b"]]) >= threshold - 1e-9]
         yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
@@ -232,50 +235,126 @@ def _node_texts(df: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str,
 def verified_links(df: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, id_col: str,
                    text_col: str) -> DataFrame:
     """(u, v): the pairs (a, b) at or above the threshold."""
-    slack = 6 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+    slack = 5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
     sig = nodes.select("node", "sig")
     both = (pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
             .select("a", "b", "sig_a", "sig_b").mapInPandas(lambda p: _agreeing(p, REGISTERS * (threshold - slack)), "a long, b long"))
     near = stored(both, "dedup-near")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = stored(_node_texts(df, nodes, ends, id_col, text_col), "dedup-texts")
-    full = (near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-            .select("a", "b", "text_a", "text_b").sortWithinPartitions("a"))
-    return stored(full.mapInPandas(lambda p: _verify(p, threshold), "u long, v long"), "dedup-links")
+    # Nodes are dealt to blocks; a text travels once per pair of blocks, not once per pair.
+    blocks = F.lit(max(1, texts.count() // BLOCK))
+    placed = near.select("a", "b", F.pmod(F.xxhash64("a"), blocks).alias("x"), F.pmod(F.xxhash64("b"), blocks).alias("y"))
+    pairs = placed.groupBy("x", "y").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    with_texts = (placed.select("x", "y", F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node")
+                  .groupBy("x", "y").agg(F.collect_list(F.struct("node", "text")).alias("texts")))
+    units = pairs.join(with_texts, ["x", "y"]).select("pairs", "texts")
+    return stored(units.mapInPandas(lambda p: _verify(p, threshold), "u long, v long"), "dedup-links")
+
+
+def _open_buckets(active: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, node, root) of the buckets whose nodes are of several classes."""
+    named = active.join(classes, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = (named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+             .filter("x < y").select("bucket"))
+    return stored(named.join(mixed, "bucket", "left_semi"), "dedup-active")
 
 
 def link_classes(df: DataFrame, nodes: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """(node, root) of the nodes whose class has a smaller node."""
     spark = nodes.sparkSession
-    active = stored(buckets(nodes), "dedup-buckets")
-    none = spark.createDataFrame([], "node long, root long")
+    active = shared = stored(buckets(nodes), "dedup-buckets")
+    classes = spark.createDataFrame([], "node long, root long")
     tried = spark.createDataFrame([], "a long, b long")
-    classes, links, leaders_each = none, None, 1
-    while True:
-        named = active.join(classes, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        open_ = (named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-                 .filter("x < y").select("bucket"))
-        named = stored(named.join(open_, "bucket", "left_semi"), "dedup-active")
+    for _ in range(STAR_ROUNDS):
+        named = _open_buckets(active, classes)
         if named.isEmpty():
-            return classes
-        if leaders_each == 1:
-            lead = named.groupBy("bucket").agg(F.min("node").alias("node"))
-            lead = named.join(lead, ["bucket", "node"], "left_semi")
-        else:   # the rank limit is applied before the shuffle: no bucket comes together whole
-            w = Window.partitionBy("bucket").orderBy("node")
-            lead = named.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= leaders_each).drop("k")
-        lead = stored(lead, "dedup-leaders")
-        l = lead.select("bucket", F.col("node").alias("ln"), F.col("root").alias("lr"))
-        pairs = (named.join(l, "bucket").filter("root <> lr")
-                 .select(F.least("node", "ln").alias("a"), F.greatest("node", "ln").alias("b")).distinct()
-                 .join(tried, ["a", "b"], "left_anti"))
+            break
+        lead = named.groupBy("bucket").agg(F.min("node").alias("ln"))
+        lead = lead.join(named.toDF("bucket", "ln", "lr"), ["bucket", "ln"])
+        pairs = (named.join(lead, "bucket").filter("root <> lr").select(F.col("ln").alias("a"), F.col("node").alias("b"))
+                 .distinct().join(tried, ["a", "b"], "left_anti"))
         pairs = stored(pairs, "dedup-pairs")
         found = verified_links(df, nodes, pairs, threshold, id_col, text_col)
-        links = found if links is None else links.unionByName(found)
-        classes = components(links)
+        classes = components(found.unionByName(classes.toDF("u", "v")))
         tried = tried.unionByName(pairs)
-        active = named.select("bucket", "node").join(lead, ["bucket", "node"], "left_anti")
-        leaders_each *= 4
+        used = lead.select("bucket", F.col("ln").alias("node"))
+        active = named.select("bucket", "node").join(used, ["bucket", "node"], "left_anti")
+    rest = _open_buckets(shared, classes)
+    if rest.isEmpty():
+        return classes
+    found = block_links(df, nodes, rest, threshold, id_col, text_col)
+    return components(found.unionByName(classes.toDF("u", "v")))
+
+
+def _compare_blocks(batches, threshold: float, least: float):
+    """Links between the classes of two blocks.  Pairs of one class, or of classes that a link
+    found here joins, are not compared."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            same = row.x == row.y
+            p, q = list(row.p), list(row.p if same else row.q)
+            a = np.frombuffer(b"".join(m["sig"] for m in p), np.uint16).reshape(len(p), REGISTERS)
+            b = np.frombuffer(b"".join(m["sig"] for m in q), np.uint16).reshape(len(q), REGISTERS)
+            own, sets, shingler = {}, {}, Shingler()
+
+            def find(r, own=own):
+                while r in own:
+                    r = own[r]
+                return r
+
+            def shingles(m, sets=sets, shingler=shingler):
+                if m["node"] not in sets:
+                    sets[m["node"]] = shingler.shingles([m["text"].split()])[1:]
+                return sets[m["node"]]
+            for i, m in enumerate(p):
+                agree = (b == a[i]).sum(axis=1)
+                for j in np.nonzero(agree >= least)[0]:
+                    o = q[j]
+                    if same and j <= i or find(m["root"]) == find(o["root"]):
+                        continue
+                    if probability_jaccard(*shingles(m), *shingles(o)) >= threshold - 1e-9:
+                        out.append((m["node"], o["node"]))
+                        own[find(m["root"])] = find(o["root"])
+        yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
+def block_links(df: DataFrame, nodes: DataFrame, rest: DataFrame, threshold: float, id_col: str,
+                text_col: str) -> DataFrame:
+    """(u, v): links between the classes of what shares buckets in ``rest(bucket, node, root)``.
+
+    Nodes that buckets connect form a group.  A group's nodes are dealt to blocks of about BLOCK,
+    large classes to blocks of their own; blocks meet unless they are of one class.  No row is made
+    for a pair of nodes."""
+    star = rest.groupBy("bucket").agg(F.min("node").alias("v"))
+    groups = components(rest.join(star, "bucket").select(F.col("node").alias("u"), "v").distinct())
+    members = (rest.select("node", "root").distinct().join(groups.toDF("node", "g"), "node", "left")
+               .withColumn("g", F.coalesce("g", "node")))
+    members = stored(members, "dedup-groups")
+    sizes = members.groupBy("g", "root").agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.filter(F.col("n") < BLOCK).groupBy("g").agg(F.sum("n").alias("s"))
+    sizes = sizes.join(small, "g", "left")
+    big = F.col("n") >= BLOCK
+    pure = F.when(big, F.col("root"))
+    parts = F.greatest(F.lit(1), F.floor(F.when(big, F.col("n")).otherwise(F.col("s")) / BLOCK)).cast("long")
+    sub = F.pmod(F.when(big, F.xxhash64("node")).otherwise(F.xxhash64("root")), parts)
+    placed = members.join(sizes, ["g", "root"]).select("g", "node", "root", pure.alias("pure"), sub.alias("sub"))
+    placed = stored(placed.withColumn("block", F.xxhash64("g", "pure", "sub")), "dedup-placed")
+    texts = stored(_node_texts(df, nodes, placed.select("node"), id_col, text_col), "dedup-texts")
+    full = (placed.join(nodes.select("node", "sig"), "node").join(texts, "node").groupBy("block")
+            .agg(F.collect_list(F.struct("node", "root", "sig", "text")).alias("m")))
+    full = stored(full, "dedup-blocks")
+    ids = placed.select("g", "block", "pure").distinct()
+    units = (ids.toDF("g", "x", "px").join(ids.toDF("g", "y", "py"), "g")
+             .filter((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("px") == F.col("py"), F.lit(False))).select("x", "y"))
+    units = stored(units, "dedup-units")
+    # Spread by the number of comparisons, not by bytes: they are what takes the time.
+    tasks = int(max(1, units.count() // 8))
+    met = (units.join(full.toDF("x", "p"), "x").join(full.toDF("y", "q"), "y").select("x", "y", "p", "q")
+           .repartition(tasks, "x", "y"))
+    least = REGISTERS * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / REGISTERS))
+    return stored(met.mapInPandas(lambda t: _compare_blocks(t, threshold, least), "u long, v long"), "dedup-links")
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
