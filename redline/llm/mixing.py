@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 The token weights of all documents are summed per cell (source, language, topic).  Raking scales
-the cells until each margin of each dimension holds its target share: in turn, every cell is
-multiplied by target / current sum of its margin.  Cells and factors are DataFrames throughout, so
+the cells until each margin of each dimension holds its target share: in turn, a dimension's factors
+become target / margin under the other factors.  Cells and factors are DataFrames throughout, so
 their number may grow with the data; only convergence figures come to the driver.
 
 Targets per dimension: a dict of shares for some values, and the rest of the weight tempered over
@@ -27,9 +27,7 @@ from pyspark.sql import functions as F
 
 from redline.llm.common import stored
 
-ROUNDS, TOLERANCE = 30, 1e-6
-#: Raking steps between two stored states (plans stay short, lost executors recompute little).
-STEPS_PER_STORE = 6
+ROUNDS, TOLERANCE = 30, 1e-5
 DIMS = ("d0", "d1", "d2")
 
 
@@ -50,35 +48,38 @@ def tempered_targets(cells: DataFrame, dim: str, alpha: float, fixed: dict | Non
     return own.select("value", F.coalesce(F.col("named") * scale, F.col("soft") * rest).alias("target"))
 
 
-def _step(cells: DataFrame, dim: str, targets: DataFrame) -> DataFrame:
-    """One margin fitted: w *= target / sum of w; the margin's error before it stays as ``e``."""
-    margin = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("w").alias("s"))
-    factor = (margin.join(targets, margin["value"].eqNullSafe(targets["value"]))
-              .select(margin["value"].alias("value"), (F.col("target") / F.col("s")).alias("f")))
-    c, f = cells.alias("c"), factor.alias("f")
-    return (c.join(f, F.col(f"c.{dim}").eqNullSafe(F.col("f.value")))
-            .select(*DIMS, "n", (F.col("w") * F.col("f.f")).alias("w"),
-                    F.greatest("e", F.abs(F.col("f.f") - 1)).alias("e")))
+def _weighted(cells: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
+    """The cells with w, their raked weight: n times the factors of their values."""
+    out = cells.withColumn("w", F.col("n").cast("double"))
+    for dim, f in factors.items():
+        out = (out.join(f, F.col(dim).eqNullSafe(F.col("value"))).withColumn("w", F.col("w") * F.col("f"))
+               .select(*DIMS, "n", "w"))
+    return out
 
 
 def rake(cells: DataFrame, targets: list[DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(d0, d1, d2, n, w): ``cells(d0, d1, d2, n)`` with w raked to the targets, summing to 1.
 
-    Stops when a whole round changes no cell by more than ``tolerance`` in proportion."""
+    A step sets the factors of one dimension to target / margin under the other factors; factor
+    tables are stored at every step.  Stops when a round moves no factor by more than
+    ``tolerance`` in proportion."""
     cells = cells.filter(F.col("n") > 0)
-    total = cells.agg(F.sum("n")).first()[0]
-    state = cells.withColumn("w", F.col("n") / F.lit(float(total or 1))).withColumn("e", F.lit(0.0))
-    steps = 0
-    for r in range(rounds):
+    factors = {d: t.select("value", F.lit(1.0).alias("f")) for d, t in zip(DIMS, targets, strict=True)}
+    for _ in range(rounds):
+        moved = 0.0
         for dim, t in zip(DIMS, targets, strict=True):
-            state = _step(state, dim, t)
-            steps += 1
-        if steps >= STEPS_PER_STORE or r == rounds - 1:
-            state, steps = stored(state, "mix-cells"), 0
-            if (state.agg(F.max("e")).first()[0] or 0.0) <= tolerance * 10 or not total:
-                break
-            state = state.withColumn("e", F.lit(0.0))
-    return state.select(*DIMS, "n", "w")
+            others = _weighted(cells, {d: f for d, f in factors.items() if d != dim})
+            margin = others.groupBy(F.col(dim).alias("m")).agg(F.sum("w").alias("s"))
+            last = factors[dim].toDF("lv", "lf")
+            fitted = (t.join(margin, F.col("value").eqNullSafe(F.col("m")))
+                      .join(last, F.col("value").eqNullSafe(F.col("lv")))
+                      .select("value", (F.col("target") / F.col("s")).alias("f"), "lf"))
+            fitted = stored(fitted, "mix-factors")
+            moved = max(moved, fitted.agg(F.max(F.abs(F.col("f") / F.col("lf") - 1))).first()[0] or 0.0)
+            factors[dim] = fitted.select("value", "f")
+        if moved <= tolerance:
+            break
+    return stored(_weighted(cells, factors), "mix-cells")
 
 
 def calibrated_rate(raked: DataFrame, budget: float) -> float:
