@@ -20,84 +20,144 @@ an empty table gives no rows; columns other than those named are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from redline.llm.common import stored
 
+# Spark runs one task per core; a tokenizer's own threads would only compete with other tasks.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length and bucket that one task ranks, on average.
 BUCKET_ROWS = 50_000
 #: Texts are encoded in runs of about so many bytes, and a worker remembers so many chunks.
-RUN_BYTES, CACHE_CHUNKS = 1 << 20, 400_000
+RUN_BYTES, CACHE_CHUNKS = 1 << 21, 2_000_000
 _MARK = "\x01"
 
 
 class ChunkEncoder:
-    """Ids of texts whose tokenizer never joins characters across ASCII white space.
+    """Ids of texts whose tokenizer cuts at white space, and lower-cases and cuts into runs of
+    letters, single digits and runs of other characters before it merges.
+
+    A text is cut at ASCII white space; each distinct chunk is looked up.  A new chunk of plain
+    Latin characters is put together from its runs, and only new runs are encoded (many in one
+    call, with a mark between them); any other new chunk is encoded whole."""
 
-    A text is cut there; each distinct chunk is encoded once (many chunks in one call, with a mark
-    between them) and remembered.  Chunks that hold the mark are encoded alone."""
+    _RUNS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    _LAST_LATIN = "\u024f"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         mark = self._encode(_MARK)
         assert len(mark) == 1
         self.mark = mark[0]
+        # The same merges for runs that are cut and lower-cased already.
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = normalizers.Sequence([])
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._clear()
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _clear(self) -> None:
+        """Entries are slices of ``ids``; chunks map to entry numbers."""
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.used, self.starts, self.lens = 0, [], []
-
-    def _remember(self, chunk: bytes, ids) -> None:
-        n = len(ids)
-        if self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(n, len(self.ids)), np.uint32)])
-        self.ids[self.used:self.used + n] = ids
-        self.known[chunk] = len(self.starts)
-        self.starts.append(self.used)
-        self.lens.append(n)
-        self.used += n
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        plain = [c for c in chunks if b"\x01" not in c]
-        for i in range(0, len(plain), 2000):
-            part = plain[i:i + 2000]
-            ids = np.asarray(self._encode(f" {_MARK} ".join(c.decode() for c in part)), np.uint32)
-            for c, got in zip(part, np.split(ids, np.nonzero(ids == self.mark)[0]), strict=True):
-                self._remember(c, got[1:] if len(got) and got[0] == self.mark else got)
-        for c in chunks:
-            if b"\x01" in c:
-                self._remember(c, np.asarray(self._encode(c.decode()), np.uint32))
+        self.used = 0
+        self.starts = self.lens = np.zeros(0, np.int64)
+
+    def _append(self, ids: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> range:
+        """Entry numbers of slices of ``ids``."""
+        n = self.used + len(ids)
+        if n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(n - len(self.ids), len(self.ids)), np.uint32)])
+        self.ids[self.used:n] = ids
+        first = len(self.starts)
+        self.starts = np.concatenate([self.starts, starts + self.used])
+        self.lens = np.concatenate([self.lens, lens])
+        self.used = n
+        return range(first, first + len(starts))
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries, one after another, and where each ends."""
+        start, n = self.starts[which], self.lens[which]
+        ends = np.cumsum(n)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n)], ends
+
+    def _enter(self, texts: list[str], tokenizer) -> list[int]:
+        """Entry numbers of texts without the mark, encoded together."""
+        ids, starts, lens, used = [], [], [], 0
+        joined = [f" {_MARK} ".join(texts[i:i + 100]) for i in range(0, len(texts), 100)]
+        for encoding in tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            part = np.asarray(encoding.ids, np.uint32)
+            ends = np.append(np.nonzero(part == self.mark)[0], len(part))
+            begin = np.append(0, ends[:-1] + 1)
+            ids.append(part)
+            starts.append(begin + used)
+            lens.append(ends - begin)
+            used += len(part)
+        if not ids:
+            return []
+        return list(self._append(np.concatenate(ids), np.concatenate(starts), np.concatenate(lens)))
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """New chunks: most are a run of ASCII letters, with a full stop or comma at most; the
+        others are cut by the pattern, or encoded whole.  Runs are chunks themselves."""
+        whole, several = [], []
+        runs = {c for c in chunks if c.isalpha()}   # of bytes: ASCII letters only
+        for c in chunks - runs:
+            if c[-1] in b".," and c[:-1].isalpha():
+                several.append((c, (c[:-1], c[-1:])))
+                continue
+            s = c.decode()
+            if "'" in s or not s.isprintable() or not (s.isascii() or max(s) <= self._LAST_LATIN):
+                whole.append((c, s))
+            else:
+                several.append((c, [r.encode() for r in self._RUNS.findall(s.lower())]))
+        known = self.known
+        new = list(runs.union(*(rs for _, rs in several)) - known.keys())
+        known.update(zip(new, self._enter([r.decode() for r in new], self.merger), strict=True))
+        several = [(c, rs) for c, rs in several if c not in known]   # runs of one chunk are known by now
+        if several:
+            flat, ends = self._gather(np.fromiter((known[r] for _, rs in several for r in rs), np.int64))
+            ends = ends[np.cumsum([len(rs) for _, rs in several]) - 1]
+            starts = np.append(0, ends[:-1])
+            known.update(zip((c for c, _ in several), self._append(flat, starts, ends - starts), strict=True))
+        plain = [(c, s) for c, s in whole if _MARK not in s]
+        known.update(zip((c for c, _ in plain), self._enter([s for _, s in plain], self.tokenizer), strict=True))
+        for c, s in whole:
+            if _MARK in s:
+                ids = np.asarray(self._encode(s), np.uint32)
+                known[c] = self._append(ids, np.zeros(1, np.int64), np.array([len(ids)]))[0]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [t.split() for t in texts]
+        split = [t.lower().split() for t in texts]   # of bytes: ASCII letters only
         if len(self.known) > CACHE_CHUNKS:
             self._clear()
-        new = set().union(*split) - self.known.keys()
-        if new:
-            self._learn(sorted(new))
-        known = self.known
-        which = np.fromiter((known[c] for s in split for c in s), np.int64)
-        starts, lens = np.asarray(self.starts, np.int64), np.asarray(self.lens, np.int64)
-        start, n = (starts[which], lens[which]) if len(which) else (which, which)
-        ends = np.cumsum(n)
-        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n)]
+        chunks = list(itertools.chain.from_iterable(split))
+        which = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, count=len(chunks))
+        missing = np.nonzero(which < 0)[0]
+        if len(missing):
+            new = [chunks[i] for i in missing]
+            self._learn(set(new))
+            which[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, count=len(new))
+        flat, ends = self._gather(which)
         at = np.concatenate([[0], ends])[np.cumsum([0] + [len(s) for s in split])]
         return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
