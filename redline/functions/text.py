@@ -120,15 +120,6 @@ def contract_type(col, patterns=CONTRACT_TYPE_PATTERNS) -> Column:
     return out
 
 
-def section_key(col) -> Column:
-    """Numeric sort key of a dotted section number; unparseable -> [999999999]*3 (sorts last)."""
-    parts = F.transform(F.split(_c(col), r"\."), lambda x: x.try_cast("bigint"))
-    ok = F.forall(parts, lambda x: x.isNotNull())
-    return F.when(ok, parts).otherwise(F.array(F.lit(999999999).cast("bigint"),
-                                               F.lit(999999999).cast("bigint"),
-                                               F.lit(999999999).cast("bigint")))
-
-
 def human_size(col) -> Column:
     """Bytes -> '1.5 KB' style: up to 2 decimals, trailing zeros dropped; 0 -> '0 Bytes'."""
     b = _c(col).cast("double")

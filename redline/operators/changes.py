@@ -11,25 +11,36 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redline.session import materialize
+
 
 def insert_if_absent(base: DataFrame, new: DataFrame, keys: list, order_col: str | None = None,
                      unique_cols: list | None = None) -> DataFrame:
-    """Rows of `new` whose key is absent from `base` are inserted; duplicates inside the batch keep
-    the first by `order_col` (a min_by aggregate, so a hot key does not sort in one task); rows
-    whose key or unique column already exists are reported as rejected.  Output = incoming rows
-    with an `action` column ('inserted' / 'rejected' / 'duplicate')."""
-    order = F.col(order_col) if order_col else F.lit(0)
-    cols = [c for c in new.columns]
-    first = (new.groupBy(*keys).agg(F.min_by(F.struct(*cols), order).alias("_r"))
-             .select(*[F.col(f"_r.{c}").alias(c) for c in cols]))
-    dup = new.join(first, cols, "left_anti").withColumn("action", F.lit("duplicate"))
-    rejected_keys = first.join(base.select(*keys), keys, "left_semi")
-    if unique_cols:
-        for u in unique_cols:
-            rejected_keys = rejected_keys.unionByName(first.join(base.select(u), u, "left_semi"))
-    rejected = rejected_keys.distinct().withColumn("action", F.lit("rejected"))
-    inserted = first.join(rejected.select(*cols), cols, "left_anti").withColumn("action", F.lit("inserted"))
-    return inserted.unionByName(rejected).unionByName(dup)
+    """Incoming rows with an `action`.  Of the batch's rows with one key the first by `order_col`
+    counts, the others are 'duplicate'.  It is 'rejected' if its key is in `base` or, for a unique
+    column in turn, its value is in `base` or with an earlier row that got as far; else 'inserted'.
+
+    Every incoming row comes out once: rows are told apart by an id of their own (stored once, so
+    that it is the same wherever it is read), keys compare null-safe, and a null in a unique column
+    collides with nothing.  First rows come from min aggregates, so a hot key does not sort in one
+    task."""
+    rows = materialize(new.withColumn("_id", F.monotonically_increasing_id()))
+    place = F.struct((F.col(order_col) if order_col else F.lit(0)).alias("o"), F.col("_id").alias("id"))
+
+    def firsts(df: DataFrame, by: list) -> DataFrame:
+        return df.groupBy(*by).agg(F.min(place).alias("_m")).select(F.col("_m.id").alias("_id"))
+    first = rows.join(firsts(rows, keys), "_id", "left_semi")
+    known = base.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)]).distinct()
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)])
+    left = first.join(known, same, "left_anti")
+    for u in unique_cols or []:
+        left = left.join(base.select(u).distinct(), u, "left_anti")
+        taken = firsts(left.where(F.col(u).isNotNull()), [u])
+        left = left.where(F.col(u).isNull()).unionByName(left.join(taken, "_id", "left_semi"))
+    marks = (first.select(F.col("_id").alias("_f"), F.lit(True).alias("_first"))
+             .join(left.select(F.col("_id").alias("_f"), F.lit(True).alias("_new")), "_f", "left"))
+    action = F.when(F.col("_first").isNull(), "duplicate").when(F.col("_new").isNull(), "rejected").otherwise("inserted")
+    return rows.join(marks, F.col("_id") == F.col("_f"), "left").select(*new.columns, action.alias("action"))
 
 
 def apply_log(log: DataFrame, key: str, seq: str, cols: list) -> DataFrame:

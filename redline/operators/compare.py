@@ -8,10 +8,7 @@ document that repeats a line a million times ships one row), and only then joine
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,7 +28,11 @@ def pair_templates(contracts: DataFrame, templates: DataFrame) -> DataFrame:
     cond = ((c["law_firm_id"] == t["t_firm"]) &
             ((c["contract_type"] == t["template_type"]) |
              (_untyped(c["contract_type"]) & (t["template_type"] != "legal_comments"))))
-    return c.join(t, cond, "left").drop("t_firm")
+    # Contracts without a firm have no partner: they stay out of the join and its shuffle.
+    known = c.where(F.col("law_firm_id").isNotNull()).join(t, cond, "left").drop("t_firm")
+    none = c.where(F.col("law_firm_id").isNull()).select("*", *[F.lit(None).cast(t.schema[x].dataType).alias(x)
+                                                              for x in ("template_id", "template_type", "template_filename")])
+    return known.unionByName(none)
 
 
 def legal_comments(templates: DataFrame) -> DataFrame:
@@ -106,66 +107,6 @@ def contract_deviation(pairs: DataFrame, counts: DataFrame) -> DataFrame:
                       F.coalesce("max_differences", F.lit(0)).cast("bigint").alias("max_differences"))
 
 
-# ---- J3: ordered unified diff (Python difflib per pair, parallel over pairs) -------------------
-
-DIFF_SCHEMA = ("contract_id string, template_id string, type string, line_number bigint, "
-               "content string, context string")
-
-
-def _diff_rows(template_text: str, contract_text: str):
-    """The reference's row form of a unified diff (3 context lines): header-looking lines are
-    skipped, the running line number counts every other emitted line, context lines included."""
-    a = (template_text or "").splitlines()
-    b = (contract_text or "").splitlines()
-    n = 0
-    for line in difflib.unified_diff(a, b, lineterm=""):
-        if line.startswith("---") or line.startswith("+++") or line.startswith("@@"):
-            continue
-        if line.startswith("-"):
-            yield "removed", n, line[1:], "template"
-        elif line.startswith("+"):
-            yield "added", n, line[1:], "contract"
-        n += 1
-
-
-def _diff_batches(batches):
-    cols = ["contract_id", "template_id", "type", "line_number", "content", "context"]
-    for pdf in batches:
-        out = []
-        for cid, tid, ttext, ctext in zip(pdf["contract_id"], pdf["template_id"], pdf["template_text"],
-                                          pdf["contract_text"]):
-            for typ, ln, content, ctx in _diff_rows(ttext, ctext):
-                out.append((cid, tid, typ, ln, content, ctx))
-        yield pd.DataFrame(out, columns=cols)
-
-
-def template_diff(pairs: DataFrame, contracts: DataFrame, templates: DataFrame,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Ordered line diff template -> contract for every pair.  Pairs are hash-spread on the pair
-    key so large documents land on different tasks; Arrow carries batches to difflib."""
-    p = pairs.where(F.col("template_id").isNotNull()).select("contract_id", "template_id").distinct()
-    x = (p.join(contracts.select(F.col("id").alias("contract_id"), F.col("extracted_text").alias("contract_text")),
-                "contract_id")
-         .join(templates.select(F.col("id").alias("template_id"), F.col("content").alias("template_text")),
-               "template_id")
-         .select("contract_id", "template_id", "template_text", "contract_text"))
-    x = x.repartition(num_partitions, "contract_id", "template_id") if num_partitions else \
-        x.repartition("contract_id", "template_id")
-    return x.mapInPandas(_diff_batches, DIFF_SCHEMA)
-
-
-def diff_by_line(diffs: DataFrame, limit: int = 100) -> DataFrame:
-    """Differences grouped by line number into removed / added lists; the first `limit` line
-    numbers of each comparison."""
-    g = diffs.groupBy("contract_id", "template_id", "line_number").agg(
-        F.filter(F.collect_list(F.when(F.col("type") == "removed", F.col("content"))), lambda x: x.isNotNull())
-        .alias("removed"),
-        F.filter(F.collect_list(F.when(F.col("type") == "added", F.col("content"))), lambda x: x.isNotNull())
-        .alias("added"))
-    w = Window.partitionBy("contract_id", "template_id").orderBy("line_number")
-    return g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
-
-
 def comment_report(pairs: DataFrame, diffs: DataFrame, shared: DataFrame) -> DataFrame:
     """One report per contract with a detected firm: the firm's shared (legal) comments, and the
     nested comparisons [{template, type, differences[...]}].  A contract with no template to compare

@@ -1,11 +1,11 @@
 """Law-firm detection and document typing.
 
-Firm detection is a *contains* match with no equi key.  The firm table is a small reference
-table, so its keywords are checked for size and then folded into one array literal that every
-document row tests with a higher-order ``filter``: a narrow, codegen'd projection with no
-shuffle and no join, however large the corpus.  If the keyword table exceeds the bound the
-same result is computed with a broadcast nested-loop join whose output (hits only) is
-aggregated per document.
+Firm detection is a case-insensitive *contains* match, which has no equi key of its own.  Every
+keyword therefore gets an anchor that any text containing it must hold as a whole: its longest
+inner token (one with a separator on both sides within the keyword), or for keywords without one a
+character gram.  Texts' distinct tokens (grams) meet the anchors in an equi join on ids and
+anchors only, and the few candidate pairs are checked on the text.  One plan for any number of
+keywords: nothing is collected, no bound switches to another algorithm, no Python runs.
 """
 
 from __future__ import annotations
@@ -13,14 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redline.functions import keywords as KW
 from redline.functions.text import template_type, contract_type  # noqa: F401  (re-export)
 
-# Keyword-table bounds: the Aho-Corasick automaton (one per Python worker) takes up to
-# MAX_AUTOMATON_KEYWORDS; the JVM fold (used without the library) up to MAX_INLINE_KEYWORDS;
-# above the bound the broadcast nested-loop join path takes over.
-MAX_AUTOMATON_KEYWORDS = 50_000
-MAX_INLINE_KEYWORDS = 5_000
+SEPARATORS = r"[^\p{L}\p{N}]+"
+INNER_TOKEN = r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"
+GRAM = 3
 
 
 def firm_keywords(firms: DataFrame) -> DataFrame:
@@ -31,94 +28,60 @@ def firm_keywords(firms: DataFrame) -> DataFrame:
             .select("firm_rank", "firm_id", "firm_name", "kw_pos", "kw", F.lower("kw").alias("kw_lower")))
 
 
-def _keyword_rows(firms: DataFrame):
-    """The firm keywords in priority order, or None when there are more than the bound."""
-    kw = firm_keywords(firms)
-    bound = MAX_AUTOMATON_KEYWORDS if KW.available() else MAX_INLINE_KEYWORDS
-    if kw.count() > bound:
-        return None
-    return kw.orderBy("firm_rank", "firm_id", "kw_pos").collect()  # bounded by the check above
+def keyword_anchors(firms: DataFrame) -> DataFrame:
+    """Distinct (firm_rank, firm_id, firm_name, kw_lower, anchor, gram): gram is 0 for a token
+    anchor, else the anchor's length in characters."""
+    kw = firm_keywords(firms).select("firm_rank", "firm_id", "firm_name", "kw_lower").distinct()
+    inner = F.regexp_extract_all("kw_lower", F.lit(INNER_TOKEN), F.lit(0))
+    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    gram = F.least(F.lit(GRAM), F.length("kw_lower"))
+    return kw.withColumn("_t", longest).select(
+        "firm_rank", "firm_id", "firm_name", "kw_lower", F.coalesce("_t", F.substring("kw_lower", F.lit(1), gram)).alias("anchor"),
+        F.when(F.col("_t").isNull(), gram).otherwise(0).alias("gram"))
 
 
-def _inline_keywords(firms: DataFrame, rows=None):
-    rows = _keyword_rows(firms) if rows is None else rows
-    if not rows:
-        return None
-    return F.array(*[F.struct(F.lit(r.firm_rank).alias("firm_rank"), F.lit(r.firm_id).alias("firm_id"),
-                              F.lit(r.firm_name).alias("firm_name"), F.lit(r.kw_lower).alias("kw"))
-                     for r in rows])
+def _text_grams(low: Column) -> Column:
+    """Distinct character grams of 1..GRAM characters."""
+    n = F.length(low)
 
+    def grams(k: int) -> Column:
+        at = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substring(low, i, F.lit(k)))
+    return F.array_distinct(F.concat(*[grams(k) for k in range(1, GRAM + 1)]))
 
-def _hits_by_join(docs: DataFrame, firms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    kw = firm_keywords(firms)
-    d = docs.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_low"))
-    hits = d.join(kw, F.col("_low").contains(F.col("kw_lower")), "inner")
-    return (hits.groupBy("_id", "firm_rank", "firm_id", "firm_name").agg(F.lit(1).alias("_one"))
-            .drop("_one"))
+
+def firm_hits(docs: DataFrame, firms: DataFrame, id_col: str = "id", text_col: str = "extracted_text") -> DataFrame:
+    """Distinct (_id, firm_rank, firm_id, firm_name) of the firms of which a text holds a keyword."""
+    d = docs.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_low")).where(F.col("_low").isNotNull())
+    anchors = keyword_anchors(firms)
+    tokens = d.select("_id", F.explode(F.array_distinct(F.split("_low", SEPARATORS))).alias("anchor"))
+    by_token = tokens.join(anchors.where("gram = 0"), "anchor")
+    grams = d.select("_id", F.explode(_text_grams(F.col("_low"))).alias("anchor"))
+    by_gram = grams.join(anchors.where("gram > 0"), "anchor")
+    cols = ["_id", "firm_rank", "firm_id", "firm_name", "kw_lower"]
+    pairs = by_token.select(*cols).unionByName(by_gram.select(*cols)).withColumnRenamed("_id", "_hit_id")
+    held = d.join(pairs, F.col("_id") == F.col("_hit_id")).where(F.instr(F.col("_low"), F.col("kw_lower")) > 0)
+    return held.select("_id", "firm_rank", "firm_id", "firm_name").distinct()
 
 
 def detect_firm(docs: DataFrame, firms: DataFrame, id_col: str = "id",
                 text_col: str = "extracted_text") -> DataFrame:
     """Adds law_firm_id / law_firm_name: the first firm (by firm_rank) with any keyword that is a
     case-insensitive substring of the text; null when none hits or text is null."""
-    rows = _keyword_rows(firms)
-    if rows and KW.available():
-        # One Aho-Corasick pass per text (cost independent of the keyword count); the winning
-        # keyword index maps back to its firm through a literal array lookup.
-        arr = _inline_keywords(firms, rows)
-        # The UDF lower-cases the text in Python, so the keywords are lower-cased the same way.
-        idx = KW.first_keyword_index(F.col(text_col), [r.kw.lower() for r in rows])
-        return docs.withColumn("_hit", F.get(arr, idx)).select(
-            "*", F.col("_hit.firm_id").alias("law_firm_id"), F.col("_hit.firm_name").alias("law_firm_name")
-        ).drop("_hit")
-    arr = _inline_keywords(firms, rows) if rows else None
-    if arr is not None:
-        # A fold over the keywords (in firm order) whose accumulator carries the lower-cased text:
-        # lower() runs once per document, and once a firm is found no further keyword is tested.
-        hit_t = "struct<firm_rank:int,firm_id:string,firm_name:string,kw:string>"
-        init = F.struct(F.lower(F.col(text_col)).alias("low"), F.lit(None).cast(hit_t).alias("hit"))
-        first = F.aggregate(arr, init,
-                            lambda acc, k: F.struct(acc["low"].alias("low"), F.when(
-                                acc["hit"].isNull() & (F.instr(acc["low"], k["kw"]) > 0), k)
-                                .otherwise(acc["hit"]).alias("hit")),
-                            lambda acc: acc["hit"])
-        return docs.withColumn("_hit", first).select(
-            "*", F.col("_hit.firm_id").alias("law_firm_id"), F.col("_hit.firm_name").alias("law_firm_name")
-        ).drop("_hit")
-    hits = _hits_by_join(docs, firms, id_col, text_col)
-    best = hits.groupBy("_id").agg(F.min_by(F.struct("firm_id", "firm_name"), F.col("firm_rank")).alias("b"))
-    return (docs.join(best, docs[id_col] == best["_id"], "left")
-            .select(docs["*"], F.col("b.firm_id").alias("law_firm_id"),
-                    F.col("b.firm_name").alias("law_firm_name")))
+    best = (firm_hits(docs, firms, id_col, text_col).groupBy("_id")
+            .agg(F.min_by(F.struct("firm_id", "firm_name"), F.struct("firm_rank", "firm_id")).alias("_b")))
+    return (docs.join(best, F.col(id_col) == F.col("_id"), "left")
+            .select(*docs.columns, F.col("_b.firm_id").alias("law_firm_id"), F.col("_b.firm_name").alias("law_firm_name")))
 
 
 def detect_all_firms(docs: DataFrame, firms: DataFrame, id_col: str = "id",
                      text_col: str = "extracted_text") -> DataFrame:
     """Adds firms_matched (firm ids in firm order) and default_firm (the first)."""
-    rows = _keyword_rows(firms)
-    if rows and KW.available():
-        arr = _inline_keywords(firms, rows)
-        idxs = KW.all_keyword_indexes(F.col(text_col), [r.kw.lower() for r in rows])
-        ids = F.array_distinct(F.transform(idxs, lambda i: F.get(arr, i)["firm_id"]))
-        return (docs.withColumn("firms_matched", ids)
-                .withColumn("default_firm", F.get(F.col("firms_matched"), 0)))
-    arr = _inline_keywords(firms, rows) if rows else None
-    if arr is not None:
-        init = F.struct(F.lower(F.col(text_col)).alias("low"), F.array().cast("array<string>").alias("ids"))
-        ids = F.aggregate(arr, init,
-                          lambda acc, k: F.struct(acc["low"].alias("low"), F.when(
-                              ~F.array_contains(acc["ids"], k["firm_id"]) & (F.instr(acc["low"], k["kw"]) > 0),
-                              F.array_append(acc["ids"], k["firm_id"])).otherwise(acc["ids"]).alias("ids")),
-                          lambda acc: acc["ids"])
-        return (docs.withColumn("firms_matched", ids)
-                .withColumn("default_firm", F.get(F.col("firms_matched"), 0)))
-    hits = _hits_by_join(docs, firms, id_col, text_col)
-    agg = hits.groupBy("_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("firm_rank", "firm_id"))), lambda s: s["firm_id"])
-        .alias("firms_matched"))
-    out = docs.join(agg, docs[id_col] == agg["_id"], "left").drop("_id")
-    return (out.withColumn("firms_matched", F.coalesce("firms_matched", F.array().cast("array<string>")))
-            .withColumn("default_firm", F.get(F.col("firms_matched"), 0)))
+    agg = firm_hits(docs, firms, id_col, text_col).groupBy("_id").agg(
+        F.sort_array(F.collect_set(F.struct("firm_rank", "firm_id")))["firm_id"].alias("_f"))
+    matched = F.coalesce("_f", F.array().cast("array<string>"))
+    return (docs.join(agg, F.col(id_col) == F.col("_id"), "left")
+            .select(*docs.columns, matched.alias("firms_matched"), F.get(matched, 0).alias("default_firm")))
 
 
 def keyword_counts(firms: DataFrame) -> DataFrame:

@@ -22,10 +22,6 @@ SYSTEM_PROMPT_PROJECT = (
     "analyze contract sections and provide detailed, professional review comments that identify potential "
     "risks, ambiguities, and areas requiring clarification or modification. Focus on practical legal "
     "concerns that could affect the parties involved.")
-USER_REFS = "Please review section(s) {refs} of this contract:\n\n{context}"
-USER_GENERAL = "Please review this contract and provide professional comments:\n\n{context}"
-USER_REFS_PROJECT = "Please review the following contract section(s) from the {project} project:\n\n{context}"
-USER_GENERAL_PROJECT = "Please provide a general review of this contract from the {project} project:\n\n{context}"
 
 
 def substrings(c: Column) -> Column:
@@ -47,20 +43,15 @@ def ref_context(comments: DataFrame, sections: DataFrame, key=("review_id", "com
     key = list(key)
     r = comments.select(*key, "project", F.posexplode("refs").alias("ref_pos", "ref"))
     s = sections.select("project", "section_num", "section_text", "first_pos")
-    exact = (r.join(s.withColumnRenamed("section_num", "ref"), ["project", "ref"])
-             .select(*key, "ref_pos", F.struct(F.col("ref").alias("num"), "section_text").alias("exact")))
-    idx = s.select("project", F.explode(substrings(F.col("section_num"))).alias("ref"), "section_num",
-                   "section_text", "first_pos")
-    fb = (r.join(idx, ["project", "ref"])
-          .groupBy(*key, "ref_pos")
-          .agg(F.min_by(F.struct(F.col("section_num").alias("num"), "section_text"), F.col("first_pos"))
-               .alias("fallback")))
-    parts = (r.join(exact, key + ["ref_pos"], "left").join(fb, key + ["ref_pos"], "left")
-             .select(*key, "ref_pos", F.coalesce("exact", "fallback").alias("hit"))
-             .where(F.col("hit").isNotNull())
+    # Per project and reference one section number (the reference itself, or the first number that
+    # contains it), before any comment is joined; section texts are fetched last.
+    idx = (s.select("project", F.explode(substrings(F.col("section_num"))).alias("ref"), "section_num", "first_pos")
+           .groupBy("project", "ref")
+           .agg(F.max(F.col("section_num") == F.col("ref")).alias("exact"), F.min_by("section_num", "first_pos").alias("first")))
+    idx = idx.select("project", "ref", F.when(F.col("exact"), F.col("ref")).otherwise(F.col("first")).alias("section_num"))
+    parts = (r.join(idx, ["project", "ref"]).join(s.drop("first_pos"), ["project", "section_num"])
              .select(*key, "ref_pos",
-                     F.concat(F.lit("Section "), F.col("hit.num"), F.lit(":\n"), F.col("hit.section_text"))
-                     .alias("part")))
+                     F.concat(F.lit("Section "), F.col("section_num"), F.lit(":\n"), F.col("section_text")).alias("part")))
     ctx = _ordered_join(parts, key, "ref_pos", "part", "\n\n", "context")
     with_refs = comments.where(F.size("refs") > 0).select(*key)
     return with_refs.join(ctx, key, "left").select(*key, F.coalesce("context", F.lit("")).alias("context"))

@@ -1,22 +1,20 @@
 """Text features (F1-F11): statistics, linguistic ratios, tokens, n-grams, counts, TF-IDF, PCA/SVD.
 
 Term features are kept in long form ``(doc, term, value)``: sparse, shuffled and spilled by
-Spark, never densified.  The vocabulary is a top-k over the aggregated term table (a bounded
-TakeOrdered) and reaches the per-document counts through a broadcast semi join whose size is
-bounded by ``max_features``.  TF-IDF normalisation is a window over one document's terms.
+Spark, never densified.  Texts are tokenised once into (doc, term, count); the vocabulary is a
+top-k over those rows (a bounded TakeOrdered) and reaches them again by a broadcast join of at most
+``max_features`` rows.  TF-IDF normalisation is a window over one document's terms.
 """
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redline.functions.stopwords import ENGLISH
 from redline.functions.text import WS, word_tokens
 from redline.operators.text import py_strip
 
@@ -27,15 +25,9 @@ SENTENCE_SPLIT = "[.!?]+(?:" + WS + r"+|\z)"
 TOKEN_RX = r"[\p{L}\p{N}_]{2,}"
 
 
-@lru_cache(maxsize=None)
-def default_stop_words(language: str = "english") -> tuple:
-    """Spark ML's built-in stop-word list, read from the installed Spark ML jar (no JVM needed,
-    so the same list feeds the oracle SQL).  The reference used other libraries' lists; the list
-    is a parameter everywhere."""
-    import pyspark
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        return tuple(z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8").split())
+def default_stop_words() -> tuple:
+    """The package's English list; a parameter everywhere."""
+    return ENGLISH
 
 
 def _c(c) -> Column:
@@ -141,21 +133,27 @@ def ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: in
 
 # ---- F6 / F7 / F8 -------------------------------------------------------------------------------
 
-def vocabulary(terms: DataFrame, max_features: int = 1000) -> DataFrame:
-    """Top `max_features` terms by corpus frequency (ties: term ascending): one map-side combined
-    aggregation on the term, then a bounded TakeOrdered."""
-    freq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    return freq.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features).select("term")
+def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram=(1, 2),
+                stop_words=None) -> DataFrame:
+    """(id, term, count): the one tokenising pass.  A document is one row, so the map-side combine
+    already counts it whole."""
+    return (ngrams(df, id_col, text_col, ngram[0], ngram[1], stop_words).groupBy(id_col, "term")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("count")))
+
+
+def vocabulary(counts: DataFrame, max_features: int = 1000) -> DataFrame:
+    """(term, tf, df): the `max_features` most frequent terms of the corpus (ties: term ascending),
+    a bounded TakeOrdered over the summed counts."""
+    freq = counts.groupBy("term").agg(F.sum("count").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return freq.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
 
 
 def count_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_features: int = 1000,
                    ngram=(1, 2), stop_words=None) -> DataFrame:
-    """(id, term, count) for vocabulary terms.  Terms outside the vocabulary are dropped by a
-    broadcast semi join (bounded by max_features) before the per-document count is shuffled."""
-    terms = ngrams(df, id_col, text_col, ngram[0], ngram[1], stop_words)
-    vocab = vocabulary(terms, max_features)
-    kept = terms.join(F.broadcast(vocab), "term", "left_semi")
-    return kept.groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    """(id, term, count) for vocabulary terms; the vocabulary (at most max_features rows) is
+    broadcast to the same counts that it is taken from, whose exchange is reused."""
+    counts = term_counts(df, id_col, text_col, ngram, stop_words)
+    return counts.join(F.broadcast(vocabulary(counts, max_features).select("term")), "term").select(id_col, "term", "count")
 
 
 def binary_features(counts: DataFrame) -> DataFrame:
@@ -164,12 +162,13 @@ def binary_features(counts: DataFrame) -> DataFrame:
 
 def tfidf_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_features: int = 1000,
                    ngram=(1, 2), stop_words=None) -> DataFrame:
-    """Smoothed idf = ln((1 + n) / (1 + df)) + 1, times the raw count, L2-normalised per document."""
-    counts = count_features(df, id_col, text_col, max_features, ngram, stop_words)
+    """Smoothed idf = ln((1 + n) / (1 + df)) + 1, times the raw count, L2-normalised per document
+    (one row of `df` per document).  Term and document frequencies come from the same counted
+    rows; idf travels with the broadcast vocabulary."""
+    counts = term_counts(df, id_col, text_col, ngram, stop_words)
     # Corpus size as a scalar subquery: evaluated once, no join.
-    n_docs = df.select(id_col).distinct().agg(F.count(F.lit(1)).alias("n_docs")).scalar()
-    dfreq = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = dfreq.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    n_docs = df.agg(F.count(F.lit(1)).alias("n_docs")).scalar()
+    idf = vocabulary(counts, max_features).select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     x = counts.join(F.broadcast(idf), "term").withColumn("_x", F.col("count") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(id_col)))
     return x.select(id_col, "term", F.round(F.col("_x") / norm, 6).alias("tfidf"))
@@ -196,25 +195,39 @@ def pca(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding"):
     return proj, ev
 
 
+def _gram_parts(batches, col: str):
+    """Per batch the products of all pairs of components, summed: rows (i, values of row i)."""
+    import numpy as np
+    import pandas as pd
+    for pdf in batches:
+        if len(pdf):
+            m = np.stack([np.asarray(v, float) for v in pdf[col]])
+            g = m.T @ m
+            yield pd.DataFrame({"i": range(len(g)), "g": list(g)})
+
+
 def svd(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding"):
     """Truncated SVD (no centering): rows projected onto the top min(k, d) right singular vectors,
-    i.e. U * S.  The Gram matrix is computed distributedly by RowMatrix."""
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    i.e. U * S, and the singular values.  Each task sums its batches' d x d Gram matrices, Spark
+    sums those, and only the d x d matrix meets the driver.  A vector's largest component is
+    positive, which fixes its sign."""
     import numpy as np
-    d = F.size(F.col(col))
-    dim = df.select(d.alias("d")).agg(F.max("d")).first()[0]   # one number, JVM-side
-    rows = df.select(F.col(col).cast("array<double>").alias("a")).rdd.map(lambda r: MV.dense(r.a))
-    m = RowMatrix(rows, numCols=dim)
-    kk = min(k, dim)
-    res = m.computeSVD(kk, computeU=False)
-    vt = np.array(res.V.toArray())  # d x k, small
     arr = F.col(col).cast("array<double>")
+    parts = df.select(arr.alias(col)).mapInPandas(lambda b: _gram_parts(b, col), "i int, g array<double>")
+    cells = (parts.select("i", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))).collect()
+    dim = max(r["i"] for r in cells) + 1   # d x d cells, whatever the number of rows
+    gram = np.zeros((dim, dim))
+    for r in cells:
+        gram[r["i"], r["j"]] = r["v"]
+    values, vectors = np.linalg.eigh(gram)
+    top = np.argsort(-values, kind="stable")[:min(k, dim)]
+    vt = vectors[:, top]
+    vt = vt * np.sign(vt[np.abs(vt).argmax(axis=0), np.arange(vt.shape[1])])
     comps = []
-    for j in range(kk):
+    for j in range(vt.shape[1]):
         basis = F.array(*[F.lit(float(x)) for x in vt[:, j]])
         comps.append(F.aggregate(F.zip_with(arr, basis, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x))
-    return df.select(id_col, F.array(*comps).alias("components")), res.s.toArray()
+    return df.select(id_col, F.array(*comps).alias("components")), np.sqrt(np.maximum(values[top], 0))
 
 
 def reduce_dimensions(df: DataFrame, method: str = "pca", k: int = 100, **kw):
@@ -230,13 +243,15 @@ def reduce_dimensions(df: DataFrame, method: str = "pca", k: int = 100, **kw):
 def extract_features(df: DataFrame, types=("tfidf", "statistical", "linguistic"), id_col: str = "doc_id",
                      text_col: str = "text", max_features: int = 1000, ngram=(1, 2), stop_words=None) -> DataFrame:
     """Long output (id, feature, value): families chosen by name; term families prefixed
-    ``tfidf_`` / ``count_``, statistics ``stat_``, linguistic ratios ``ling_``."""
+    ``tfidf_`` / ``count_``, statistics ``stat_``, linguistic ratios ``ling_``.  Term families see
+    the preprocessed text (F3), statistics and ratios the raw one."""
     parts = []
+    clean = preprocess(df.select(id_col, text_col), text_col, stop_words).select(id_col, F.col("processed").alias(text_col))
     if "tfidf" in types:
-        t = tfidf_features(df, id_col, text_col, max_features, ngram, stop_words)
+        t = tfidf_features(clean, id_col, text_col, max_features, ngram, stop_words)
         parts.append(t.select(id_col, F.concat(F.lit("tfidf_"), "term").alias("feature"), F.col("tfidf").alias("value")))
     if "count" in types:
-        c = count_features(df, id_col, text_col, max_features, ngram, stop_words)
+        c = count_features(clean, id_col, text_col, max_features, ngram, stop_words)
         parts.append(c.select(id_col, F.concat(F.lit("count_"), "term").alias("feature"),
                               F.col("count").cast("double").alias("value")))
     if "statistical" in types:

@@ -2,8 +2,8 @@
 
 Two of these need a *position* in an ordered set (the exact validation split and batch
 assignment).  Neither uses a window over a whole group: a group (one language, one file) may
-hold a third of all rows.  Positions come from :func:`sequence_within` (range-partitioned local
-index + per-partition offsets) and the split from a hash histogram (:func:`exact_hash_split`).
+hold a third of all rows.  Both number rows inside buckets of bounded size and add what the
+buckets before hold (:func:`sequence_within`, :func:`exact_hash_split`).
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from redline.functions.text import word_tokens
 from redline.operators.text import py_strip
 
-# Fixed values that must equal the reference: chat rendering templates and length buckets.
-CHAT_TEMPLATE = {"system": ("", "\n\n"), "user": ("### Human: ", "\n\n"), "assistant": ("### Assistant: ", "\n\n")}
-MANUAL_PREFIX = {"system": "System: ", "user": "Human: ", "assistant": "Assistant: "}
+# Fixed values that must equal the reference: length buckets.
 LENGTH_BUCKETS = [(100, "0-100"), (500, "100-500"), (1000, "500-1000"), (2000, "1000-2000"), (None, "2000+")]
 MIN_TEXT_CHARS = 10
+# Rows that one bucket of the exact split holds, about.
+SPLIT_BUCKET_ROWS = 50_000
 
 
 # ---- S4 / L1: loading and format detection ---------------------------------------------------
@@ -182,40 +182,32 @@ def _hash_bits(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 15), 16, 10).cast("bigint")
 
 
-def exact_hash_split(df: DataFrame, key_col: str, frac: float = 0.1, seed: int = 42,
-                     max_boundary_rows: int = 200_000) -> DataFrame:
+def exact_hash_split(df: DataFrame, key_col: str, frac: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds `split` ('validation' / 'train'): validation = the ceil(frac * n) rows with the smallest
-    (md5(seed:key), key); `key_col` must be unique.  Exact and partition-independent, but never sorts the data: a histogram
-    over the top hash bits locates the boundary bucket; only that bucket (refined bit by bit until
-    small) is ordered."""
+    (md5(seed:key), key); `key_col` must be unique.
+
+    Rows are dealt to buckets by the hash's leading bits, one distributed aggregate counts them and
+    a running sum over the bucket counts gives each bucket the number of its validation rows; rows
+    are ordered inside their bucket only (about BUCKET rows each)."""
     h = df.withColumn("_h", _hash_bits(F.col(key_col), seed))
-    n = h.count()
+    n = df.count()
     need = math.ceil(frac * n) if frac > 0 else 0
-    if need == 0:
-        return h.drop("_h").withColumn("split", F.lit("train"))
-    lo, shift = 0, 60          # candidate hash range [lo, lo + 2^shift)
-    below = 0                   # rows known to be under `lo`
-    while True:
-        shift_next = max(shift - 16, 0)
-        cand = h.where((F.col("_h") >= lo) & (F.col("_h") < lo + (1 << shift)))
-        hist = (cand.groupBy(F.shiftright("_h", shift_next).alias("b")).count()
-                .orderBy("b").collect())  # <= 65536 rows by construction
-        acc = below
-        for row in hist:
-            if acc + row["count"] >= need:
-                b = row["b"]
-                lo, below, bsize = b << shift_next, acc, row["count"]
-                break
-            acc += row["count"]
-        shift = shift_next
-        if bsize <= max_boundary_rows or shift == 0:
-            break
-    cut = lo
-    boundary = (h.where((F.col("_h") >= cut) & (F.col("_h") < cut + (1 << shift)))
-                .orderBy("_h", key_col).limit(need - below).select(key_col).withColumn("_bv", F.lit(True)))
-    out = h.join(F.broadcast(boundary), key_col, "left")
-    val = (F.col("_h") < cut) | F.col("_bv").isNotNull()
-    return out.withColumn("split", F.when(val, "validation").otherwise("train")).drop("_h", "_bv")
+    bits = min(40, max(0, (n // SPLIT_BUCKET_ROWS).bit_length()))
+    h = h.withColumn("_b", F.shiftright("_h", 60 - bits))
+    counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # Two levels, so that no window holds all buckets: parts of 2^12 buckets, then buckets.
+    counts = counts.withColumn("_p", F.shiftright("_b", 12))
+    parts = counts.groupBy("_p").agg(F.sum("_n").alias("_pn"))
+    over_parts = parts.withColumn("_before", F.coalesce(F.sum("_pn").over(
+        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_pn")
+    inside = Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    take = (counts.join(over_parts, "_p")
+            .select(F.col("_b").alias("_tb"),
+                    (F.lit(need) - F.col("_before") - F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_take")))
+    ranked = h.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key_col)))
+    return (ranked.join(take, F.col("_b") == F.col("_tb"))
+            .withColumn("split", F.when(F.col("_rn") <= F.col("_take"), "validation").otherwise("train"))
+            .drop("_h", "_b", "_tb", "_rn", "_take"))
 
 
 # ---- L10-L12 ------------------------------------------------------------------------------------
@@ -227,36 +219,60 @@ def truncate_tokens(df: DataFrame, text_col: str = "text", max_length: int = 512
         .withColumn("n_tokens", F.size("input_tokens").cast("bigint"))
 
 
+SEQUENCE_BUCKET_ROWS = 250_000
+
+
+def _order_number(df: DataFrame, col: str) -> Column:
+    """A number that never falls as the column rises (nulls first): the column itself, its
+    microseconds, or the code points of a string's first two characters."""
+    t = df.schema[col].dataType.typeName()
+    c = F.col(col)
+    if t in ("timestamp", "timestamp_ntz", "date"):
+        days = F.datediff(F.to_date(c), F.lit("1970-01-01")).cast("double") * 86_400
+        return days if t == "date" else days + F.hour(c) * 3_600 + F.minute(c) * 60 + F.second(c)
+    if t == "string":
+        return F.ascii(F.substring(c, 1, 1)) * F.lit(float(1 << 21)) + F.ascii(F.substring(c, 2, 1))
+    return c.cast("double")
+
+
 def sequence_within(df: DataFrame, group_cols: list, order_cols: list, name: str = "seq",
-                    num_partitions: int | None = None) -> DataFrame:
+                    bucket_rows: int = SEQUENCE_BUCKET_ROWS) -> DataFrame:
     """0-based position of each row within its group in (order_cols) order, without a window over
-    the whole group: range-partition and sort on (group, order), take the row's id inside its
-    partition, and add the number of the group's rows in earlier partitions (a tiny
-    per-(partition, group) table, broadcast back).  A hot group spreads over many range partitions
-    instead of landing in one task, and only one shuffle (the range exchange) is paid."""
-    keys = list(group_cols) + list(order_cols)
-    r = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
-    r = (r.sortWithinPartitions(*keys)
-         .withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.spark_partition_id()))
-    stats = r.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
-    wo = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = stats.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
-    return (r.join(offs, ["_pid"] + list(group_cols))
-            .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint"))
-            .drop("_pid", "_mid", "_m0", "_off"))
+    the whole group.
+
+    The range of the first order column is cut into equal steps, fixed as literals, so that a row's
+    bucket is a function of the row alone: nothing depends on partition ids, and a partition that
+    is computed again gives the same result.  Rows are numbered inside (group, bucket) and the
+    bucket's first position comes from the (group, bucket) counts.  A hot group spreads over its
+    buckets.  All columns pass through; (group, order) must be unique."""
+    x = _order_number(df, order_cols[0])
+    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    lo, hi, n = df.agg(F.min(finite), F.max(finite), F.count(F.lit(1))).first()
+    steps = max(1, -(-n // bucket_rows))
+    width = ((hi - lo) / steps if n and lo is not None else 0.0) or 1.0
+    bucket = (F.when(x.isNull(), -1).when(F.isnan(x), steps + 1)
+              .otherwise(F.least(F.greatest(F.floor((x - F.lit(lo or 0.0)) / F.lit(width)), F.lit(0)), F.lit(steps))))
+    b = df.withColumn("_b", bucket.cast("bigint"))
+    keys = [f"_g{i}" for i in range(len(group_cols))]
+    counts = b.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n")).toDF(*keys, "_ob", "_n")
+    before = Window.partitionBy(*keys).orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
+    on = F.col("_b") == F.col("_ob")
+    for g, k in zip(group_cols, keys, strict=True):
+        on = on & F.col(g).eqNullSafe(F.col(k))
+    return (b.withColumn("_rn", F.row_number().over(inside)).join(offs, on)
+            .withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
+            .drop("_b", "_rn", "_ob", "_off", *keys))
 
 
 def pad_plan(df: DataFrame, length_col: str, group_cols: list, order_cols: list, batch_size: int = 8,
              multiple: int = 8) -> DataFrame:
     """Batches of `batch_size` in order within each group; padded length = batch max rounded up to
-    a multiple of 8; padding = padded * rows - sum(lengths).  (group, order) must be unique.
-
-    Positions are computed on the key columns alone (the range sampling and shuffle then never
-    re-run the length computation) and joined back to the lengths."""
+    a multiple of 8; padding = padded * rows - sum(lengths).  (group, order) must be unique."""
     keys = list(group_cols) + list(order_cols)
-    seq = sequence_within(df.select(*keys), group_cols, order_cols)
-    b = seq.join(df.select(*keys, length_col), keys).withColumn(
-        "batch", F.floor(F.col("seq") / batch_size).cast("bigint"))
+    seq = sequence_within(df.select(*keys, length_col), group_cols, order_cols)
+    b = seq.withColumn("batch", F.floor(F.col("seq") / batch_size).cast("bigint"))
     g = b.groupBy(*group_cols, "batch").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
                                            F.max(length_col).cast("bigint").alias("max_length"),
                                            F.sum(length_col).cast("bigint").alias("total_length"))

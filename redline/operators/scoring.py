@@ -13,53 +13,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values that must equal the reference: the canned response used when no model answers.
-FALLBACK_REVIEW = """**CONTRACT REVIEW ANALYSIS**
-*Generated by fallback system due to API timeout*
-
-**EXECUTIVE SUMMARY:**
-The contract has been reviewed for key terms and potential issues. This analysis provides a preliminary assessment of the main contractual provisions.
-
-**KEY FINDINGS:**
-• Contract appears to contain standard legal language and provisions
-• Review identifies areas that may require additional attention
-• Recommend legal counsel review for specific jurisdiction requirements
-
-**RISK ASSESSMENT:**
-• Medium Risk: Standard contractual terms present
-• Review recommended for compliance with local regulations
-• Consider additional legal review for complex provisions
-
-**RECOMMENDATIONS:**
-1. Have qualified legal counsel review all terms and conditions
-2. Verify compliance with applicable state and local laws
-3. Ensure all parties understand their obligations and rights
-4. Consider adding specific performance clauses if not present
-
-**NEXT STEPS:**
-• Schedule consultation with contract attorney
-• Review with all stakeholders before execution
-• Ensure proper execution and notarization as required
-
-*Note: This is a preliminary analysis. Professional legal review is recommended for all contracts.*"""
-FALLBACK_TOKENS = len(FALLBACK_REVIEW.split())
-
 SCORE_SCHEMA = "success boolean, error string, generated_text string, finish_reason string, tokens_generated bigint"
 
 
-def fallback_scorer(prompts: pd.Series) -> pd.DataFrame:
-    """Default scorer: the deterministic canned review for every prompt."""
-    n = len(prompts)
-    return pd.DataFrame({"generated_text": [FALLBACK_REVIEW] * n, "finish_reason": ["fallback"] * n,
-                         "tokens_generated": [FALLBACK_TOKENS] * n})
-
-
-def batch_score(df: DataFrame, prompt_col: str = "prompt", scorer: Callable | None = None,
+def batch_score(df: DataFrame, prompt_col: str, scorer: Callable,
                 max_concurrent: int | None = None, keep: tuple = ()) -> DataFrame:
     """Score every non-blank prompt; per-row success / error.  `scorer(pd.Series) -> DataFrame`
     with generated_text, finish_reason, tokens_generated; a failing batch is retried row by row so
     one bad prompt only fails its own row."""
-    fn = scorer or fallback_scorer
+    fn = scorer
     cols = list(keep) + [prompt_col]
     x = df.where(F.col(prompt_col).isNotNull() & (F.trim(F.col(prompt_col)) != "")).select(*cols)
     if max_concurrent:
@@ -91,11 +53,6 @@ def batch_score(df: DataFrame, prompt_col: str = "prompt", scorer: Callable | No
     return x.mapInPandas(run, f"{schema}, {SCORE_SCHEMA}")
 
 
-def batch_summary(scored: DataFrame) -> DataFrame:
-    return scored.agg(F.count(F.lit(1)).cast("bigint").alias("total_requests"),
-                      F.count_if("success").cast("bigint").alias("successful"))
-
-
 def review_prompt(requests: DataFrame, files: DataFrame) -> DataFrame:
     """requests(request_id, file_ids) x files(id, filename, extracted_text) -> per request the
     contract sections 'Contract: <file>\\n\\n<text>' in requested order joined by a blank line,
@@ -124,11 +81,11 @@ def export_conversation(turns: DataFrame, id_col: str = "conv_id", order_col: st
             .select(id_col, F.array_join(F.col("_l")["l"], "\n\n").alias("export")))
 
 
-def score_udf(scorer: Callable | None = None):
+def score_udf(scorer: Callable):
     """The scorer as a column function (Arrow-batched pandas UDF) returning
     struct<generated_text, finish_reason, tokens_generated>; usable in select / SQL
     (``spark.udf.register``).  Unlike :func:`batch_score` a failing batch fails the task."""
-    fn = scorer or fallback_scorer
+    fn = scorer
 
     @F.pandas_udf("generated_text string, finish_reason string, tokens_generated bigint")
     def score(prompts: pd.Series) -> pd.DataFrame:

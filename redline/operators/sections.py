@@ -61,17 +61,22 @@ def java_regex(p: str) -> str:
     return "".join(out)
 
 
+def _core(pattern: str) -> str:
+    """The pattern without its final lookahead, for a text that is one whole match."""
+    return "(?s)^" + java_regex(pattern[:pattern.rindex("(?=")]) + r"\z"
+
+
 def _matches(text: Column, patterns) -> Column:
-    """All (p, i, num, body) matches, in the reference's insertion order (pattern, then match)."""
-    def tag(pi):
-        return lambda x, i: F.struct(F.lit(pi).alias("p"), i.alias("i"), x["num"].alias("num"),
-                                     x["body"].alias("body"))
+    """All (p, i, num, body) matches, in the reference's insertion order (pattern, then match).
+
+    Each pattern passes over the text once, for its whole matches; number and body then come from
+    the short match."""
+    def tag(pi, core):
+        return lambda x, i: F.struct(F.lit(pi).alias("p"), i.alias("i"), F.regexp_extract(x, core, 1).alias("num"),
+                                     F.regexp_extract(x, core, 2).alias("body"))
     per = []
     for pi, p in enumerate(patterns):
-        jp = F.lit(java_regex(p))
-        nums = F.regexp_extract_all(text, jp, F.lit(1))
-        bodies = F.regexp_extract_all(text, jp, F.lit(2))
-        per.append(F.transform(F.arrays_zip(nums.alias("num"), bodies.alias("body")), tag(pi)))
+        per.append(F.transform(F.regexp_extract_all(text, F.lit(java_regex(p)), F.lit(0)), tag(pi, _core(p))))
     return F.concat(*per)
 
 

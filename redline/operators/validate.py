@@ -29,35 +29,43 @@ def _py_list(arr: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Adds parsed columns: ok_json, has_messages, messages (typed), n_messages, roles."""
+    """Adds ok_json, has_messages, `items` (the messages as variants, null if no list), `length`
+    (what a length of the field is: list items, string characters, object keys; null for none) and
+    `messages_` (the typed messages, null if they do not fit)."""
     v = F.try_parse_json(py_strip(F.col("value")))
-    has = F.expr("try_variant_get(try_parse_json(value), '$.messages', 'variant')")
-    msgs = F.expr(f"try_variant_get(try_parse_json(value), '$.messages', '{MESSAGES_TYPE}')")
-    return lines.select("*", v.isNotNull().alias("ok_json"), has.isNotNull().alias("has_messages"),
-                        msgs.alias("messages_"))
+    p = lines.select("*", v.alias("_v")).select("*", F.try_variant_get("_v", "$.messages", "variant").alias("_m"))
+    length = F.coalesce(F.size(F.try_variant_get("_m", "$", "array<variant>")),
+                        F.size(F.map_keys(F.try_variant_get("_m", "$", "map<string,variant>"))),
+                        F.when(F.schema_of_variant("_m") == "STRING", F.length(F.try_variant_get("_m", "$", "string"))))
+    return p.select(*lines.columns, F.col("_v").isNotNull().alias("ok_json"), F.col("_m").isNotNull().alias("has_messages"),
+                    F.try_variant_get("_m", "$", "array<variant>").alias("items"),
+                    F.when(F.schema_of_variant("_m") != "VOID", length).alias("length"),
+                    F.try_variant_get("_m", "$", MESSAGES_TYPE).alias("messages_"))
 
 
 def validate_chat(lines: DataFrame) -> DataFrame:
     """Per line: first failing rule -> error, `valid`; an empty content adds an error per message
-    but the line still counts as valid (the reference's quirk)."""
+    but the line still counts as valid (the reference's quirk).  A `messages` field without a
+    length (null, a number, a boolean) or that is no list of three is an error of its own."""
     p = parse_lines(lines)
-    n = F.size("messages_")
-    roles = F.transform("messages_", lambda m: m["role"])
-    struct_err = (F.when(~F.col("ok_json"), F.concat(F.lit("Line "), F.col("line_no").cast("string"),
-                                                     F.lit(": JSON decode error")))
-                  .when(~F.col("has_messages"), F.concat(F.lit("Line "), F.col("line_no").cast("string"),
-                                                         F.lit(": Missing 'messages' field")))
-                  .when(n != 3, F.concat(F.lit("Line "), F.col("line_no").cast("string"),
-                                         F.lit(": Expected 3 messages, got "), n.cast("string")))
-                  .when(roles != F.array(*[F.lit(r) for r in EXPECTED_ROLES]),
-                        F.concat(F.lit("Line "), F.col("line_no").cast("string"),
-                                 F.lit(": Expected roles ['system', 'user', 'assistant'], got "), _py_list(roles))))
-    empty_idx = F.filter(F.transform("messages_", lambda m, i: F.when(
-        m["content"].isNull() | (py_strip(m["content"]) == ""), i + 1)), lambda x: x.isNotNull())
+    line = F.concat(F.lit("Line "), F.col("line_no").cast("string"))
+    roles = F.transform("items", lambda m: F.try_variant_get(m, "$.role", "string"))
+    struct_err = (F.when(~F.col("ok_json"), F.concat(line, F.lit(": JSON decode error")))
+                  .when(~F.col("has_messages"), F.concat(line, F.lit(": Missing 'messages' field")))
+                  .when(F.col("length").isNull(), F.concat(line, F.lit(": 'messages' has no length")))
+                  .when(F.col("length") != 3, F.concat(line, F.lit(": Expected 3 messages, got "),
+                                                       F.col("length").cast("string")))
+                  .when(F.col("items").isNull(), F.concat(line, F.lit(": 'messages' is not a list")))
+                  .when(~F.coalesce(roles == F.array(*[F.lit(r) for r in EXPECTED_ROLES]), F.lit(False)),
+                        F.concat(line, F.lit(": Expected roles ['system', 'user', 'assistant'], got "), _py_list(roles))))
+
+    def blank(m):
+        return py_strip(F.coalesce(F.try_variant_get(m, "$.content", "string"), F.lit(""))) == ""
+    empty_idx = F.filter(F.transform("items", lambda m, i: F.when(blank(m), i + 1)), lambda x: x.isNotNull())
     content_errs = F.transform(empty_idx, lambda i: F.concat(
-        F.lit("Line "), F.col("line_no").cast("string"), F.lit(": Message "), i.cast("string"),
-        F.lit(" missing or empty content")))
-    errors = F.when(struct_err.isNotNull(), F.array(struct_err)).otherwise(content_errs)
+        line, F.lit(": Message "), i.cast("string"), F.lit(" missing or empty content")))
+    errors = F.when(struct_err.isNotNull(), F.array(struct_err)).otherwise(
+        F.coalesce(content_errs, F.array().cast("array<string>")))
     return p.select("line_no", struct_err.isNull().alias("valid"), errors.alias("errors"))
 
 

@@ -8,6 +8,7 @@ from redline.operators import compare as C
 from redline.operators.detect import detect_firm
 from redline.plans.registry import query
 from redline.plans.views_sql import with_views
+from redline.session import materialize
 from redline.sources import views as V
 
 # DuckDB twin of detect_firm over contract_files (first firm by rank whose keyword is a substring).
@@ -58,8 +59,9 @@ def _with(sql: str) -> str:
 def _base(spark, sf):
     cf = V.contract_files(spark, sf)
     tpl = V.contract_templates(spark, sf)
+    # Detected once: the narrow (id, firm) table is stored and everything else reads it.
     det = detect_firm(cf.select("id", "extracted_text", "document_type"), V.law_firms(spark, sf))
-    pairs = C.pair_templates(det, tpl)
+    pairs = C.pair_templates(materialize(det.select("id", "law_firm_id", "document_type")), tpl)
     return cf, tpl, pairs
 
 
@@ -109,17 +111,3 @@ FROM (SELECT *, row_number() OVER (PARTITION BY law_firm_id ORDER BY created_at,
 WHERE rn = 1 AND length(trim(content)) > 0""", "contract_templates"))
 def legal_comments_pick_q(spark, sf):
     return C.legal_comments(V.contract_templates(spark, sf))
-
-
-@query("template_diff")
-def template_diff_q(spark, sf):
-    cf, tpl, pairs = _base(spark, sf)
-    return C.template_diff(pairs, cf, tpl)
-
-
-@query("diff_by_line")
-def diff_by_line_q(spark, sf):
-    cf, tpl, pairs = _base(spark, sf)
-    d = C.diff_by_line(C.template_diff(pairs, cf, tpl))
-    return d.select("contract_id", "template_id", "line_number",
-                    F.array_join("removed", "\n").alias("removed"), F.array_join("added", "\n").alias("added"))

@@ -133,7 +133,7 @@ def general_context_q(spark, sf):
 
 @query("general_context_first3", P2 + "SELECT project, context FROM gen3")
 def general_context_first3_q(spark, sf):
-    _, s = _p2(spark, sf)
+    s = project_sections_df(spark, sf, patterns=X.SECTION_PATTERNS_STRICT, max_len=1500, min_len=50)
     return E.general_context(s, 3, numeric_order=False, sep_line=False)
 
 

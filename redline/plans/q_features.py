@@ -77,8 +77,8 @@ def lemma_map_q(spark, sf):
     return out.select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
 
 
-def _grams_sql() -> str:
-    toks = (f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}', 0), "
+def _grams_sql(text: str = "text") -> str:
+    toks = (f"list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}', 0), "
             f"lambda x: NOT list_contains({_stop_sql()}, x))")
     return f"""
 toks AS (SELECT doc_id, {toks} AS t FROM documents),
@@ -89,7 +89,7 @@ terms AS (
 vocab AS (SELECT term FROM (SELECT term, count(*) AS tf FROM terms GROUP BY term) ORDER BY tf DESC, term LIMIT 1000),
 counts AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS count FROM terms WHERE term IN (SELECT term FROM vocab)
            GROUP BY doc_id, term),
-idf AS (SELECT term, ln((1 + (SELECT count(DISTINCT doc_id) FROM documents)) / (1 + count(*))) + 1 AS idf
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf
         FROM counts GROUP BY term),
 tfidf AS (SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS tfidf
           FROM (SELECT c.doc_id, c.term, c.count * i.idf AS x FROM counts c JOIN idf i USING (term)))"""
@@ -119,6 +119,11 @@ def tfidf_features_q(spark, sf):
     return FE.tfidf_features(table(spark, sf, "documents", "doc_id", "text"))
 
 
+@query("pca_explained_variance")
+def pca_explained_variance_q(spark, sf):
+    return FE.pca(table(spark, sf, "embeddings", "vec_id", "embedding"), 8)[1]
+
+
 @query("pca")
 def pca_q(spark, sf):
     e = table(spark, sf, "embeddings", "vec_id", "embedding")
@@ -139,10 +144,14 @@ def _long(sql: str, prefix: str, cols: list[str]) -> str:
     return parts
 
 
-@query("feature_request", GRAMS + ",\nst AS (" + STAT_SQL + "),\nlg AS (" + LING_SQL + ")\n" + """
+CLEAN_GRAMS = "WITH " + _grams_sql(f"array_to_string({_tokens_sql()}, ' ')").lstrip()
+
+
+@query("feature_request", CLEAN_GRAMS + ",\nst AS (" + STAT_SQL + "),\nlg AS (" + LING_SQL + ")\n" + """
 SELECT doc_id, 'tfidf_' || term AS feature, tfidf AS value FROM tfidf
+UNION ALL SELECT doc_id, 'count_' || term AS feature, CAST(count AS DOUBLE) AS value FROM counts
 UNION ALL """ + _long("SELECT * FROM st", "stat_", ["char_count", "word_count", "sentence_count", "avg_word_length",
                                                     "avg_sentence_length", "flesch_score", "lexical_diversity"])
        + " UNION ALL " + _long("SELECT * FROM lg", "ling_", ["capitalized_ratio", "punctuation_ratio"]))
 def feature_request_q(spark, sf):
-    return FE.extract_features(table(spark, sf, "documents", "doc_id", "text"), ("tfidf", "statistical", "linguistic"))
+    return FE.extract_features(table(spark, sf, "documents", "doc_id", "text"), ("tfidf", "count", "statistical", "linguistic"))

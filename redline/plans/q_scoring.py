@@ -1,4 +1,4 @@
-"""Queries: prompt assembly, batch scoring, exports (B1, B2, B4) and history reports."""
+"""Queries: prompt assembly, exports (B1, B4) and history reports."""
 
 from __future__ import annotations
 
@@ -40,28 +40,6 @@ def review_prompt_q(spark, sf):
     return B.review_prompt(review_requests(spark, sf), V.contract_files(spark, sf))
 
 
-def _sq(s: str) -> str:
-    return s.replace("'", "''")
-
-
-@query("batch_score", f"""
-SELECT conv_id, turn, text AS prompt, true AS success, CAST(NULL AS VARCHAR) AS error,
-       '{_sq(B.FALLBACK_REVIEW)}' AS generated_text, 'fallback' AS finish_reason,
-       CAST({B.FALLBACK_TOKENS} AS BIGINT) AS tokens_generated
-FROM conversations WHERE role = 'user' AND text IS NOT NULL AND trim(text) <> ''""")
-def batch_score_q(spark, sf):
-    c = table(spark, sf, "conversations", "conv_id", "turn", "role", "text").where(F.col("role") == "user")
-    return B.batch_score(c.withColumnRenamed("text", "prompt"), "prompt", keep=("conv_id", "turn"))
-
-
-@query("batch_score_summary", """
-SELECT CAST(count(*) AS BIGINT) AS total_requests, CAST(count(*) AS BIGINT) AS successful
-FROM conversations WHERE role = 'user' AND text IS NOT NULL AND trim(text) <> ''""")
-def batch_score_summary_q(spark, sf):
-    c = table(spark, sf, "conversations", "conv_id", "turn", "role", "text").where(F.col("role") == "user")
-    return B.batch_summary(B.batch_score(c.withColumnRenamed("text", "prompt"), "prompt", keep=("conv_id", "turn")))
-
-
 @query("conversation_export", """
 SELECT conv_id, string_agg('[' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn),
                                             '%Y-%m-%d %H:%M:%S') || '] ' || upper(role) || ': ' || text,

@@ -1,8 +1,8 @@
 """Queries: sections, comments, projects.
 
-The DuckDB oracle cannot run lookahead regexes, so section oracles are line-based over
-``sectioned_docs``, where every line starts with its own number: there the lookahead form and a
-whole-line match agree (see the view's definition)."""
+The DuckDB oracle cannot run lookahead regexes.  In ``sectioned_docs`` every line starts with its
+own number, so each pattern's lookahead ends a match at the end of the line: the oracle searches
+line by line, pattern by pattern, and applies the same dict semantics."""
 
 from __future__ import annotations
 
@@ -31,20 +31,31 @@ def _body_sql(x: str, max_len: int) -> str:
     return f"CASE WHEN length({s}) > {max_len} THEN substr({s}, 1, {max_len}) || '...' ELSE {s} END"
 
 
+# Per pattern list: number, separator, body of the patterns that documents can match.
+LINE_PATTERNS = [(NUM, f"{WS}+"), (NUM, f"(?::|{WS})*")]
+LINE_PATTERNS_STRICT = [(NUM, f"{WS}*(?:[:-]|{WS})*"), (NUM, f"(?::|{WS})*")]
+SECTION_WORD = f"Section{WS}+{NUM}"
+
+
 def _line_sections_sql(src: str, max_len: int, min_len: int | None, id_col: str = "doc_id",
                        extra_cols: str = "") -> str:
     """Sections of a sectioned text, line by line -> (id, section_num, section_text, first_pos)."""
-    rx = f"^({NUM}){WS}+([A-Z][^.]*)$"
-    body = _body_sql(f"regexp_extract(l, '{rx}', 2)", max_len)
+    (n1, s1), (n3, s3) = LINE_PATTERNS_STRICT if min_len is not None else LINE_PATTERNS
+    s2 = f"(?::|{WS})*" if min_len is not None else f"(?::|{WS})+"
+    rxs = [f"({n1}){s1}([A-Z][^.]*)$", f"({SECTION_WORD}){s2}([^.]*)$", f"({n3}){s3}([A-Z][^.]*)$"]
+    found = " UNION ALL ".join(
+        f"SELECT {id_col}, {extra_cols} {p} AS p, pos, regexp_extract(l, '{rx}', 1) AS num, regexp_extract(l, '{rx}', 2) AS body "
+        f"FROM ll WHERE regexp_matches(l, '{rx}')" for p, rx in enumerate(rxs))
     keep = f"WHERE length(section_text) > {min_len}" if min_len is not None else ""
     return f"""
-SELECT {id_col}, {extra_cols} section_num, section_text,
-       CAST(row_number() OVER (PARTITION BY {id_col} ORDER BY pos) - 1 AS INTEGER) AS first_pos
-FROM (SELECT {id_col}, {extra_cols} pos, regexp_extract(l, '{rx}', 1) AS section_num, {body} AS section_text
-      FROM (SELECT {id_col}, {extra_cols} unnest(ls) AS l, generate_subscripts(ls, 1) AS pos
-            FROM (SELECT {id_col}, {extra_cols} string_split(text, chr(10)) AS ls FROM {src}))
-      WHERE regexp_matches(l, '{rx}'))
-{keep}"""
+WITH ll AS (SELECT {id_col}, {extra_cols} unnest(ls) AS l, generate_subscripts(ls, 1) AS pos
+            FROM (SELECT {id_col}, {extra_cols} string_split(text, chr(10)) AS ls FROM {src})),
+mm AS (SELECT {id_col}, {extra_cols} p, pos, regexp_replace({strip_sql('num')}, '^Section{WS}+', '') AS section_num,
+              {_body_sql('body', max_len)} AS section_text FROM ({found})),
+mk AS (SELECT * FROM mm {keep})
+SELECT {id_col}, {extra_cols} section_num, arg_max(section_text, p * 1000000000 + pos) AS section_text,
+       CAST(row_number() OVER (PARTITION BY {id_col} ORDER BY min(p * 1000000000 + pos)) - 1 AS INTEGER) AS first_pos
+FROM mk GROUP BY {id_col}, {extra_cols} section_num"""
 
 
 SECTIONS_SQL = _ctes("sectioned_docs", extra=f"secs AS ({_line_sections_sql('sectioned_docs', 2000, None)})")
@@ -55,7 +66,7 @@ def extract_sections_q(spark, sf):
     return X.extract_sections(V.sectioned_docs(spark, sf))
 
 
-@query("extract_sections_strict", _ctes("sectioned_docs") + _line_sections_sql("sectioned_docs", 1500, 50))
+@query("extract_sections_strict", _ctes("sectioned_docs") + f"SELECT * FROM ({_line_sections_sql('sectioned_docs', 1500, 50)})")
 def extract_sections_strict_q(spark, sf):
     return X.extract_sections(V.sectioned_docs(spark, sf), patterns=X.SECTION_PATTERNS_STRICT, max_len=1500,
                               min_len=50)
@@ -206,12 +217,13 @@ def quality_filter_q(spark, sf):
 
 @query("project_metadata", FULL_SQL + """
 SELECT p.project, p.pdf_files, p.word_file, coalesce(s.sections_found, '') AS sections_found,
-       CAST(coalesce(k.n_comments, 0) AS BIGINT) AS review_comments_count
+       CAST(coalesce(k.n_comments, 0) AS BIGINT) AS review_comments_count, coalesce(k.comments, '') AS review_comments
 FROM (SELECT project, string_agg(filename, '|' ORDER BY file_rank) AS pdf_files, min(word_file) AS word_file
       FROM chosen GROUP BY project) p
 LEFT JOIN (SELECT project, string_agg(section_num, '|' ORDER BY first_pos) AS sections_found
            FROM proj_sections GROUP BY project) s USING (project)
-LEFT JOIN (SELECT project, count(*) AS n_comments FROM pcomments GROUP BY project) k USING (project)""")
+LEFT JOIN (SELECT project, count(*) AS n_comments, string_agg(md5(comment), '|' ORDER BY review_id, comment_idx) AS comments
+           FROM pcomments GROUP BY project) k USING (project)""")
 def project_metadata_q(spark, sf):
     files = V.contract_files(spark, sf).select("doc_id", "filename", "project")
     chosen = X.project_files(files)
@@ -221,7 +233,11 @@ def project_metadata_q(spark, sf):
     s = project_sections_df(spark, sf).groupBy("project").agg(
         F.array_join(F.sort_array(F.collect_list(F.struct("first_pos", "section_num")))["section_num"], "|")
         .alias("sections_found"))
-    k = comments_df(spark, sf).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    k = comments_df(spark, sf).groupBy("project").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("review_id", "comment_idx", F.md5("comment").alias("c"))))["c"], "|")
+        .alias("comments"))
     out = p.join(s, "project", "left").join(k, "project", "left")
     return out.select("project", "pdf_files", "word_file", F.coalesce("sections_found", F.lit("")).alias("sections_found"),
-                      F.coalesce("n", F.lit(0)).cast("bigint").alias("review_comments_count"))
+                      F.coalesce("n", F.lit(0)).cast("bigint").alias("review_comments_count"),
+                      F.coalesce("comments", F.lit("")).alias("review_comments"))

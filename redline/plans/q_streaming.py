@@ -13,7 +13,8 @@ from redline.operators import loader as L
 from redline.operators import text as T
 from redline.operators.features import stat_features
 from redline.plans.q_features import STAT_SQL
-from redline.plans.q_text import FILE_CHUNKS_SQL, _chunk_sql
+from redline.plans.q_detect import _ctype_sql
+from redline.plans.q_text import FILE_CHUNKS_SQL, _chunk_sql, clean_sql
 from redline.plans.q_compare import DETECTED_SQL
 from redline.plans.registry import query
 from redline.plans.views_sql import with_views
@@ -39,13 +40,13 @@ def read_chat_jsonl_q(spark, sf):
 
 @query("write_training_jsonl", FILE_CHUNKS_SQL + """
 SELECT doc_id, index, filename AS source, md5(CAST(doc_id AS VARCHAR) || ':' || CAST(index AS VARCHAR)) AS chunk_id,
-       CAST(length(text) AS BIGINT) AS text_length FROM fchunks""")
+       CAST(length(text) AS BIGINT) AS text_length, text FROM fchunks""")
 def write_training_jsonl_q(spark, sf):
     from redline.plans.q_text import _file_chunks
     path = scratch_path(spark, "training-jsonl")
     S.write_jsonl(T.chunk_training_rows(_file_chunks(spark, sf)), path)
     back = spark.read.schema("doc_id bigint, index int, text string, source string, chunk_id string").json(path)
-    return back.select("doc_id", "index", "source", "chunk_id", F.length("text").cast("bigint").alias("text_length"))
+    return back.select("doc_id", "index", "source", "chunk_id", F.length("text").cast("bigint").alias("text_length"), "text")
 
 
 @query("write_features", STAT_SQL)
@@ -61,8 +62,10 @@ def write_features_q(spark, sf):
 INGEST_SQL = with_views("SELECT 1", "contract_files", "law_firms", "contract_templates")[:-len("SELECT 1")].rstrip() \
     + ",\n" + DETECTED_SQL.split("pairs AS (")[0].rstrip().rstrip(",") + ",\n" + \
     _chunk_sql().replace("FROM documents", "FROM (SELECT doc_id, extracted_text AS text FROM contract_files)") + """
-SELECT c.doc_id, d.id, d.law_firm_id, c.index, c.length
-FROM chunks c JOIN detected d ON d.doc_id = c.doc_id"""
+SELECT c.doc_id, d.id, d.law_firm_id, CTYPE AS contract_type, CAST(length(CLEANED) AS BIGINT) AS cleaned_length,
+       c.index, c.length
+FROM chunks c JOIN detected d ON d.doc_id = c.doc_id""".replace("CTYPE", _ctype_sql("d.extracted_text")).replace(
+    "CLEANED", clean_sql("d.extracted_text"))
 
 
 @query("stream_ingest", INGEST_SQL)
@@ -76,7 +79,8 @@ def stream_ingest_q(spark, sf):
     q = ST.stream_ingest(spark, f"{src}/delivery=*", cf.schema, V.law_firms(spark, sf), out, ck,
                          max_files_per_trigger=4)
     q.awaitTermination()
-    return spark.read.parquet(out).select("doc_id", "id", "law_firm_id", "index", "length")
+    return spark.read.parquet(out).select("doc_id", "id", "law_firm_id", "contract_type",
+                                          F.col("cleaned_length").cast("bigint").alias("cleaned_length"), "index", "length")
 
 
 @query("stream_status_counts", with_views("""
@@ -90,19 +94,10 @@ def stream_status_counts_q(spark, sf):
     window's end (append mode), so the last, still-open window is not part of the result."""
     log = V.loss_log(spark, sf).select("ts", "status", "step")
     src = scratch_path(spark, "status-in")
-    # Four deliveries in time order (quantile ranges of the event time), one micro-batch each.
-    micros = F.unix_micros(ST.ntz_as_utc("ts"))
-    cuts = log.select(micros.alias("m")).approxQuantile("m", [0.25, 0.5, 0.75], 0.0)
-    bounds = [None] + cuts + [None]
-    for i in range(4):
-        part = log
-        if bounds[i] is not None:
-            part = part.where(micros > bounds[i])
-        if bounds[i + 1] is not None:
-            part = part.where(micros <= bounds[i + 1])
-        part.coalesce(1).write.mode("overwrite").parquet(f"{src}/delivery={i}")
+    # Files in time order: one range-partitioned write, one micro-batch per file.
+    log.repartitionByRange("ts").sortWithinPartitions("ts").write.mode("overwrite").parquet(src)
     out, ck = scratch_path(spark, "status-out"), scratch_path(spark, "status-ck")
-    s = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/delivery=*")
+    s = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = (ST.stream_status_counts(s, "1 day", "1 hour").writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -116,7 +111,7 @@ FROM loss_log GROUP BY job_id""", "loss_log"))
 def stream_latest_job_q(spark, sf):
     log = V.loss_log(spark, sf)
     src = scratch_path(spark, "jobs-in")
-    log.repartition(4).write.mode("overwrite").parquet(src)
+    log.write.mode("overwrite").parquet(src)
     out, ck = scratch_path(spark, "jobs-out"), scratch_path(spark, "jobs-ck")
     s = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = (ST.latest_state(s).writeStream.outputMode("update").foreachBatch(ST.snapshot_merge_writer(out))

@@ -84,12 +84,16 @@ def apply_status_log_q(spark, sf):
 
 
 @query("delete_rows", with_views("""
-SELECT id, law_firm_id, template_type FROM contract_templates WHERE law_firm_id <> 'firm_3'""", "contract_templates"))
+SELECT id, law_firm_id, template_type, law_firm_id = 'firm_3' AS deleted,
+       CAST(count(*) FILTER (WHERE law_firm_id = 'firm_3') OVER () AS BIGINT) AS n_deleted
+FROM contract_templates""", "contract_templates"))
 def delete_rows_q(spark, sf):
     t = V.contract_templates(spark, sf)
     doomed = t.where(F.col("law_firm_id") == "firm_3").select("id")
-    kept, _ = W.delete_rows(t, doomed, ["id"])
-    return kept.select("id", "law_firm_id", "template_type")
+    kept, gone = W.delete_rows(t, doomed, ["id"])
+    n = gone.agg(F.count(F.lit(1)).alias("n")).scalar()
+    both = kept.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
+    return both.select("id", "law_firm_id", "template_type", "deleted", n.alias("n_deleted"))
 
 
 @query("orphan_check", with_views("""

@@ -31,14 +31,11 @@ def query(name: str, sql: str | None = None):
 
 
 PLAN_MODULES = ["q_compare", "q_text", "q_detect", "q_sections", "q_examples", "q_validate", "q_loader",
-                "q_features", "q_scoring", "q_reports", "q_windows", "q_changes", "q_sources", "q_streaming"]
+                "q_features", "q_scoring", "q_reports", "q_windows", "q_streaming"]
 
 
 def load_all() -> None:
     # Import side effect: every plans module registers its queries.
     import importlib
-    import importlib.util
     for m in PLAN_MODULES:
-        name = f"redline.plans.{m}"
-        if importlib.util.find_spec(name) is not None:
-            importlib.import_module(name)
+        importlib.import_module(f"redline.plans.{m}")

@@ -20,13 +20,13 @@ FROM documents""",
     "law_firms": """
 SELECT 'firm_' || CAST(firm_rank AS VARCHAR) AS id, 'Firm ' || CAST(firm_rank AS VARCHAR) AS name,
        keywords, TIMESTAMP '2024-01-01 00:00:00' + to_days(firm_rank) AS created_at, firm_rank
-FROM (SELECT CAST(item_id % 8 AS INTEGER) AS firm_rank,
-             list(substr(text, 1, 40) ORDER BY item_id) AS keywords
+FROM (SELECT CAST(item_id // 5 AS INTEGER) AS firm_rank,
+             list(text ORDER BY item_id) AS keywords
       FROM benchmark GROUP BY 1)""",
     "contract_templates": """
 SELECT 'tpl_' || CAST(item_id AS VARCHAR) AS id,
-       'firm_' || CAST(item_id % 8 AS VARCHAR) AS law_firm_id,
-       'Firm ' || CAST(item_id % 8 AS VARCHAR) AS law_firm_name,
+       'firm_' || CAST(item_id // 5 AS VARCHAR) AS law_firm_id,
+       'Firm ' || CAST(item_id // 5 AS VARCHAR) AS law_firm_name,
        CASE item_id % 3 WHEN 0 THEN 'purchase_agreement' WHEN 1 THEN 'rider' ELSE 'legal_comments' END
          AS template_type,
        'template_' || CAST(item_id AS VARCHAR) || '.docx' AS file_name,
@@ -36,9 +36,7 @@ FROM benchmark""",
     "sectioned_docs": """
 SELECT doc_id, source AS project,
        array_to_string(list_transform(string_split(text, chr(10)), lambda l, i:
-         '1.' || CAST(i AS VARCHAR) || ' ' ||
-         CASE WHEN i % 5 = 0 THEN regexp_replace(l, '[0-9]', '', 'g')
-              ELSE regexp_replace(l, '[0-9.]', '', 'g') END), chr(10)) AS text
+         '1.' || CAST(i AS VARCHAR) || ' ' || l), chr(10)) AS text
 FROM documents""",
     "comment_docs": """
 SELECT conv_id AS project_id,
@@ -77,8 +75,8 @@ SELECT 'job_' || CAST(user_id AS VARCHAR) AS job_id, event_id AS step, 'loss' AS
                        ELSE 'processing' END AS status
 FROM events""",
     "review_docs": """
-SELECT d.source AS project, c.project_id AS review_id, c.text
-FROM comment_docs c JOIN documents d ON c.project_id = d.doc_id""",
+SELECT coalesce(d.source, 'unassigned') AS project, c.project_id AS review_id, c.text
+FROM comment_docs c LEFT JOIN documents d ON c.project_id = d.doc_id""",
 }
 
 

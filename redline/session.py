@@ -45,8 +45,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.  Only when it
-    is unset (local tests) do we create a scratch folder under /tmp.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; it must be set
+    there.  Only a local master (tests), where all tasks share one machine, gets a scratch folder.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir()
@@ -56,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(current)
         return current
+    master = sc.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     path = tempfile.mkdtemp(prefix="redline-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)

@@ -52,9 +52,17 @@ def file_manifest_table(files: DataFrame) -> DataFrame:
     return files.where(supported_filter(F.col("filename")))
 
 
-def docx_text(data: bytes) -> str:
-    """Paragraph texts joined by newlines, then table rows (cells + space, newline per row), stripped.
-    Paragraphs of the body only (not those inside tables), as the reference's document model."""
+def _paragraph_text(p) -> str:
+    """Texts of the runs in order, tabs as tab characters, breaks as newlines."""
+    parts = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
+    return "".join((x.text or "") if x.tag == f"{_W}t" else parts.get(x.tag, "")
+                   for r in p.iter(f"{_W}r") for x in r)
+
+
+def docx_text(data: bytes, tables: bool = True) -> str:
+    """Paragraph texts joined by newlines, then (unless ``tables`` is false) table rows (cells +
+    space, newline per row), stripped.  Paragraphs of the body only (not those inside tables), as
+    the reference's document model."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ET.fromstring(z.read("word/document.xml"))
     body = root.find(f"{_W}body")
@@ -62,11 +70,11 @@ def docx_text(data: bytes) -> str:
     if body is None:
         return ""
     for p in body.findall(f"{_W}p"):
-        out.append("".join(t.text or "" for t in p.iter(f"{_W}t")) + "\n")
-    for tbl in body.findall(f"{_W}tbl"):
+        out.append(_paragraph_text(p) + "\n")
+    for tbl in body.findall(f"{_W}tbl") if tables else ():
         for tr in tbl.findall(f"{_W}tr"):
             for tc in tr.findall(f"{_W}tc"):
-                cell = "\n".join("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in tc.findall(f"{_W}p"))
+                cell = "\n".join(_paragraph_text(p) for p in tc.findall(f"{_W}p"))
                 out.append(cell + " ")
             out.append("\n")
     return "".join(out).strip()

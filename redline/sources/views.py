@@ -37,13 +37,16 @@ def contract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _firm_number():
+    """Five benchmark passages make a firm, so firms grow with the table."""
+    return F.expr("item_id div 5").cast("int")
+
+
 def law_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark folded into 8 firms; keywords = first 40 chars of each member item."""
+    """benchmark -> firms of five items each; keywords = the whole passages of its items."""
     b = table(spark, sf_dir, "benchmark", "item_id", "text")
-    rank = (F.col("item_id") % 8).cast("int")
-    g = (b.groupBy(rank.alias("firm_rank"))
-         .agg(F.sort_array(F.collect_list(F.struct("item_id", F.substring("text", 1, 40).alias("kw"))))
-              .alias("kws")))
+    g = (b.groupBy(_firm_number().alias("firm_rank"))
+         .agg(F.sort_array(F.collect_list(F.struct("item_id", F.col("text").alias("kw")))).alias("kws")))
     return g.select(
         F.concat(F.lit("firm_"), F.col("firm_rank").cast("string")).alias("id"),
         F.concat(F.lit("Firm "), F.col("firm_rank").cast("string")).alias("name"),
@@ -56,7 +59,7 @@ def law_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contract_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark", "item_id", "text")
     m3 = F.col("item_id") % 3
-    firm = (F.col("item_id") % 8).cast("string")
+    firm = _firm_number().cast("string")
     return b.select(
         F.concat(F.lit("tpl_"), F.col("item_id").cast("string")).alias("id"),
         F.concat(F.lit("firm_"), firm).alias("law_firm_id"),
@@ -70,13 +73,9 @@ def contract_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sectioned_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document line gets a `1.<line no> ` prefix; digits are dropped from the line body
-    and periods too, except on every fifth line (a period blocks a section match)."""
+    """Each document line, as it is, with a `1.<line no> ` prefix."""
     d = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    body = F.expr(
-        "array_join(transform(split(text, '\\n'), (l, i) -> concat('1.', CAST(i + 1 AS STRING), ' ',"
-        " CASE WHEN (i + 1) % 5 = 0 THEN regexp_replace(l, '[0-9]', '')"
-        " ELSE regexp_replace(l, '[0-9.]', '') END)), '\\n')")
+    body = F.expr("array_join(transform(split(text, '\\n'), (l, i) -> concat('1.', CAST(i + 1 AS STRING), ' ', l)), '\\n')")
     return d.select("doc_id", F.col("source").alias("project"), body.alias("text"))
 
 
@@ -158,8 +157,8 @@ def loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer documents with their project: conversation c belongs to the project (source) of
-    document c."""
+    document c, or to 'unassigned' without such a document."""
     d = table(spark, sf_dir, "documents", "doc_id", "source")
     c = comment_docs(spark, sf_dir)
-    return (c.join(d, c["project_id"] == d["doc_id"])
-            .select(F.col("source").alias("project"), F.col("project_id").alias("review_id"), "text"))
+    return (c.join(d, c["project_id"] == d["doc_id"], "left")
+            .select(F.coalesce("source", F.lit("unassigned")).alias("project"), F.col("project_id").alias("review_id"), "text"))

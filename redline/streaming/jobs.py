@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from redline.functions.text import clean_text, contract_type
 from redline.operators.detect import detect_firm
 from redline.operators.text import chunk_text
+from redline.session import materialize
 
 
 def ntz_as_utc(col):
@@ -32,25 +33,33 @@ def utc_as_ntz(col):
     return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
 
 
+def ingest_writer(firms: DataFrame, out_dir: str):
+    """foreachBatch sink: firm detection against the firm table, contract type and chunks of the
+    batch's new uploads, written to the batch's own folder, so that a replayed batch rewrites its
+    own result."""
+    def write(new: DataFrame, epoch_id: int):
+        new = materialize(new)   # read by the detection and by the chunks, computed once
+        d = detect_firm(new, firms, "id", "extracted_text")
+        d = d.withColumn("contract_type", contract_type("extracted_text"))
+        # Only the length of the cleaned text travels with the chunks.
+        d = d.withColumn("cleaned_length", F.length(clean_text("extracted_text")))
+        chunks = chunk_text(d, id_col="doc_id", text_col="extracted_text",
+                            keep=("id", "law_firm_id", "contract_type", "cleaned_length"))
+        (chunks.select("doc_id", "id", "law_firm_id", "contract_type", "cleaned_length", "index", "length")
+         .write.mode("overwrite").parquet(f"{out_dir}/batch={epoch_id}"))
+    return write
+
+
 def stream_ingest(spark: SparkSession, in_dir: str, schema, firms: DataFrame, out_dir: str, checkpoint: str,
-                  watermark: str = "1 day", max_files_per_trigger: int | None = None):
-    """Uploads arriving as files -> dedup by id (within the watermark) -> firm detection against
-    the static firm table -> cleaned text, contract type -> chunks appended to `out_dir`."""
+                  max_files_per_trigger: int | None = None):
+    """Uploads arriving as files, in any order -> dedup by id over the stream's whole life (the
+    state holds ids only; use the RocksDB state store where they outgrow memory) -> firm, contract
+    type and chunks under `out_dir`."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    s = (reader.parquet(in_dir)
-         .withColumn("_event_time", ntz_as_utc("uploaded_at"))
-         .withWatermark("_event_time", watermark)
-         .dropDuplicatesWithinWatermark(["id"]))
-    d = detect_firm(s, firms, "id", "extracted_text")
-    d = d.withColumn("cleaned", clean_text("extracted_text")).withColumn("contract_type", contract_type("extracted_text"))
-    chunks = chunk_text(d, id_col="doc_id", text_col="extracted_text",
-                        keep=("id", "law_firm_id", "contract_type", "cleaned"))
-    out = chunks.select("doc_id", "id", "law_firm_id", "contract_type", F.length("cleaned").alias("cleaned_length"),
-                        "index", "length")
-    return (out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+    return (reader.parquet(in_dir).dropDuplicates(["id"]).writeStream.foreachBatch(ingest_writer(firms, out_dir))
+            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
 
 
 def stream_status_counts(sdf: DataFrame, window: str = "1 day", watermark: str = "1 hour",
@@ -78,6 +87,7 @@ def snapshot_merge_writer(out_dir: str, key: str = "job_id"):
     by the batch id, so a replayed batch rewrites its own version (idempotent)."""
     def write(updates: DataFrame, epoch_id: int):
         spark = updates.sparkSession
+        updates = materialize(updates)   # read twice, computed once
         prev_path = _latest_version(spark, out_dir)
         cur = updates
         if prev_path is not None:

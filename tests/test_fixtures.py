@@ -125,23 +125,6 @@ def test_pairing_untyped_and_typed_without_template(spark):
     assert got == [("c1", "t1"), ("c1", "t3"), ("c2", None), ("c3", "t1")]
 
 
-def _diff(spark, a, b):
-    pairs = spark.createDataFrame([("c", "t")], "contract_id string, template_id string")
-    contracts = spark.createDataFrame([("c", b)], "id string, extracted_text string")
-    templates = spark.createDataFrame([("t", a)], "id string, content string")
-    return C.template_diff(pairs, contracts, templates, 2).orderBy("line_number").collect()
-
-
-def test_template_diff_identical_is_empty(spark):
-    assert _diff(spark, "a\nb\nc", "a\nb\nc") == []
-
-
-def test_template_diff_line_numbers_and_lost_header_like_lines(spark):
-    rows = _diff(spark, "keep\n-- dashed\nold", "keep\nnew")
-    assert [(r.type, r.content) for r in rows] == [("removed", "old"), ("added", "new")]
-    assert [r.line_number for r in rows] == [1, 2]
-
-
 def test_line_multiset_diff_counts_duplicates(spark):
     pairs = spark.createDataFrame([("c", "t")], "contract_id string, template_id string")
     contracts = spark.createDataFrame([("c", "x\nx\ny")], "id string, extracted_text string")
@@ -281,6 +264,28 @@ def test_split_with_zero_fraction_is_all_train(spark):
     assert {r.split for r in L.exact_hash_split(df, "k", 0.0).collect()} == {"train"}
 
 
+def test_validate_messages_of_other_types(spark):
+    """Messages that are no list: a string has a length, null and numbers have none."""
+    from redline.operators import validate as VD
+    lines = ['{"messages":"hello"}', '{"messages":null}', '{"messages":5}', '{"messages":"abc"}', '{"messages":[1,2,3]}']
+    df = spark.createDataFrame(list(enumerate(lines, 1)), "line_no long, value string")
+    got = {r.line_no: (r.valid, r.errors) for r in VD.validate_chat(df).collect()}
+    assert not any(v for v, _ in got.values()) and all(len(e) == 1 for _, e in got.values())
+    assert got[1][1] == ["Line 1: Expected 3 messages, got 5"]
+    s = VD.validation_summary(VD.validate_chat(df)).first()
+    assert (s.valid_examples, s.invalid_examples, s.n_errors) == (0, 5, 5)
+
+
+def test_insert_if_absent_nulls_and_names_inside_the_batch(spark):
+    from redline.operators import changes as W
+    base = spark.createDataFrame([("a", "n1"), (None, "n2")], "k string, u string")
+    new = spark.createDataFrame([("a", "x", 1), ("b", "n1", 2), ("c", "y", 3), ("c", "y", 3), ("d", "y", 4), (None, "z", 5),
+                                 ("e", None, 6), ("f", None, 7), ("c", "w", 8)], "k string, u string, o int")
+    got = sorted((r.o, r.action) for r in W.insert_if_absent(base, new, ["k"], "o", ["u"]).collect())
+    assert got == [(1, "rejected"), (2, "rejected"), (3, "duplicate"), (3, "inserted"), (4, "rejected"), (5, "rejected"),
+                   (6, "inserted"), (7, "inserted"), (8, "duplicate")]
+
+
 def test_insert_if_absent_batch_duplicates_and_rejects(spark):
     from redline.operators import changes as W
     base = spark.createDataFrame([("a", "Alpha")], "id string, name string")

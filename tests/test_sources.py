@@ -121,12 +121,29 @@ def test_manifest_prefix_filter(spark):
     assert got == ["ds1_a.pdf", "ds1_b.json"]
 
 
-def test_score_udf_default_and_sql_registration(spark):
+def test_score_udf_in_sql(spark):
+    import pandas as pd
     from redline.operators import scoring as B
+
+    def scorer(prompts):
+        return pd.DataFrame({"generated_text": prompts.str.upper(), "finish_reason": "stop", "tokens_generated": prompts.str.len()})
     df = spark.createDataFrame([("review this",)], "prompt string")
-    r = df.select(B.score_udf()("prompt").alias("s")).first().s
-    assert r.finish_reason == "fallback" and r.generated_text == B.FALLBACK_REVIEW
-    assert r.tokens_generated == B.FALLBACK_TOKENS
-    spark.udf.register("score_prompt", B.score_udf())
+    spark.udf.register("score_prompt", B.score_udf(scorer))
     df.createOrReplaceTempView("prompts")
-    assert spark.sql("SELECT score_prompt(prompt).finish_reason AS f FROM prompts").first().f == "fallback"
+    r = spark.sql("SELECT score_prompt(prompt) AS s FROM prompts").first().s
+    assert (r.generated_text, r.finish_reason, r.tokens_generated) == ("REVIEW THIS", "stop", 11)
+
+
+def test_docx_tabs_and_breaks(spark):
+    """A file built by hand: tabs and breaks inside runs, a table, text outside the body ignored."""
+    import io
+    import zipfile
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    xml = (f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Price</w:t><w:tab/><w:t>100</w:t><w:br/><w:t>Net</w:t></w:r>'
+           '</w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc>'
+           '</w:tr></w:tbl></w:body></w:document>')
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", xml)
+    assert S.docx_text(buf.getvalue()) == "Price\t100\nNet\na b"
+    assert S.docx_text(buf.getvalue(), tables=False) == "Price\t100\nNet"

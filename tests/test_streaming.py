@@ -38,3 +38,17 @@ def test_time_zone_free_event_time(spark):
         F.col("s").cast("timestamp_ntz").alias("ts"))
     back = df.select(ST.utc_as_ntz(ST.ntz_as_utc("ts")).alias("t")).first().t
     assert back == df.first().ts
+
+
+def test_ingest_keeps_uploads_in_any_order(spark, sf):
+    """Later files hold older uploads and repeats: every upload is ingested once."""
+    files = V.contract_files(spark, sf).select("id", "doc_id", "extracted_text", "uploaded_at").where("doc_id < 40")
+    src, out, ck = scratch_path(spark, "order-in"), scratch_path(spark, "order-out"), scratch_path(spark, "order-ck")
+    for n, part in enumerate(["doc_id >= 30", "doc_id < 10", "doc_id between 5 and 32", "doc_id between 10 and 29"]):
+        files.where(part).withColumn("uploaded_at", F.expr("uploaded_at + make_dt_interval(doc_id, 0, 0, 0)")) \
+            .coalesce(1).write.parquet(f"{src}/delivery={n}")
+    q = ST.stream_ingest(spark, f"{src}/delivery=*", files.schema, V.law_firms(spark, sf), out, ck, max_files_per_trigger=1)
+    q.awaitTermination()
+    got = spark.read.parquet(out)
+    assert {r.id for r in got.select("id").distinct().collect()} == {r.id for r in files.select("id").collect()}
+    assert got.count() == got.select("id", "index").distinct().count()
