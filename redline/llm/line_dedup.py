@@ -8,8 +8,8 @@ the others are variable fields; lines that agree with this template in at least
 their positions belong to it, the others are templates of their own.
 
 A template recurs when documents that are otherwise different share it: with *n* distinct texts
-and *c* distinct contexts among them (the smallest three-word shingle hash of a text, which near
-copies of one document share), ``c >= MIN_CONTEXTS`` and ``c >= CONTEXT_SHARE * n``.  So passages
+and *c* distinct contexts among them (a text's smallest hash of three-word shingles within lines, which
+near copies of one document share), ``c >= MIN_CONTEXTS`` and ``c >= CONTEXT_SHARE * n``.  So passages
 and boilerplate go, and families of exact or near copies keep their lines for the document-level
 dedup.  All lines of recurring templates are dropped; blank and short lines stay.
 
@@ -58,7 +58,9 @@ def _lines(text: Column) -> Column:
 
     def line(x):
         h = x["h"]
-        shingles = F.transform(h, lambda w, i: F.when(i < F.size(h) - 2, F.xxhash64(w, F.get(h, i + 1), F.get(h, i + 2))))
+        # Shingles that begin with one word in four, chosen by its hash: the same ones in any copy.
+        shingles = F.transform(h, lambda w, i: F.when((w.bitwiseAND(3) == 0) & (i < F.size(h) - 2),
+                                                      F.xxhash64(w, F.get(h, i + 1), F.get(h, i + 2))))
         return F.struct(x["no"].alias("no"), F.xxhash64(F.size(h), F.slice(h, 1, DEPTH)).alias("leaf"),
                         F.xxhash64(h).alias("tmpl"), F.array_min(shingles).alias("c"))
     return F.transform(F.filter(tokens, lambda x: F.size(x["h"]) >= MIN_TOKENS), line)
@@ -70,7 +72,8 @@ def line_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     docs = df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     # The text's own columns are computed below the generator: once per text, not per line.
     each = docs.select(F.unhex(F.md5("text")).alias("key"), _lines(F.col("text")).alias("ls"))
-    return (each.select("key", F.array_min("ls.c").alias("ctx"), "ls")
+    # A text without a chosen shingle is its own context.
+    return (each.select("key", F.coalesce(F.array_min("ls.c"), F.xxhash64("key")).alias("ctx"), "ls")
             .select("key", "ctx", F.explode("ls").alias("l")).select("key", "ctx", "l.no", "l.leaf", "l.tmpl"))
 
 
