@@ -8,8 +8,8 @@ the others are variable fields; lines that agree with this template in at least
 their positions belong to it, the others are templates of their own.
 
 A template recurs when documents that are otherwise different share it: with *n* distinct texts
-and *c* distinct contexts among them (a text's smallest hash of three-word shingles within lines, which
-near copies of one document share), ``c >= MIN_CONTEXTS`` and ``c >= CONTEXT_SHARE * n``.  So passages
+and *c* distinct contexts among them (the two smallest three-word shingle hashes of a text's other
+lines, which near copies of one document share and texts with a passage in common do not), ``c >= MIN_CONTEXTS`` and ``c >= CONTEXT_SHARE * n``.  So passages
 and boilerplate go, and families of exact or near copies keep their lines for the document-level
 dedup.  All lines of recurring templates are dropped; blank and short lines stay.
 
@@ -33,7 +33,7 @@ DEPTH = 3
 CONSTANT = 0.5
 SIMILAR = 0.6
 MIN_CONTEXTS = 4
-CONTEXT_SHARE = 0.4
+CONTEXT_SHARE = 0.6
 WILD = "<*>"
 #: Up to so many lines of shared leaves their positions are broadcast; beyond, texts are shuffled.
 MAX_BROADCAST_LINES = 200_000
@@ -68,13 +68,17 @@ def _lines(text: Column) -> Column:
 
 def line_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, ctx, no, leaf, tmpl): one narrow row per templated line; key is the text's MD5, ctx
-    its smallest shingle hash."""
+    stands for the other lines of the text: the two smallest of their shingle hashes."""
     docs = df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     # The text's own columns are computed below the generator: once per text, not per line.
     each = docs.select(F.unhex(F.md5("text")).alias("key"), _lines(F.col("text")).alias("ls"))
-    # A text without a chosen shingle is its own context.
-    return (each.select("key", F.coalesce(F.array_min("ls.c"), F.xxhash64("key")).alias("ctx"), "ls")
-            .select("key", "ctx", F.explode("ls").alias("l")).select("key", "ctx", "l.no", "l.leaf", "l.tmpl"))
+    least = F.slice(F.sort_array(F.array_distinct(F.array_compact("ls.c"))), 1, 3)
+    rows = (each.select("key", least.alias("least"), "ls")
+            .select("key", "least", F.explode("ls").alias("l")).select("key", "least", "l.*"))
+    others = F.slice(F.filter("least", lambda x: F.coalesce(x != F.col("c"), F.lit(True))), 1, 2)
+    # A text without another line to tell is its own context.
+    return rows.select("key", F.when(F.size(others) > 0, F.xxhash64(others)).otherwise(F.xxhash64("key")).alias("ctx"),
+                       "no", "leaf", "tmpl")
 
 
 def _dense(lines: DataFrame) -> DataFrame:
