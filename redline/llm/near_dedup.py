@@ -31,6 +31,7 @@ rows come out once each; an empty table gives no rows; other columns are ignored
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -44,8 +45,8 @@ from redline.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: 32 bands of 6 registers: a pair at the threshold meets in a band with probability 0.99994.
-BANDS, ROWS = 32, 6
+#: 24 bands of 5 registers: a pair at the threshold meets in a band with probability 0.99993.
+BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Bytes of text that a task handles at a time, and words it remembers (memory bounds).
 RUN_BYTES, CACHE_WORDS = 1 << 19, 500_000
@@ -58,6 +59,9 @@ _SIGNATURE = "doc_id long, h long, key binary, sig binary"
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 2 ** 64) for j in range(SHINGLE)], np.uint64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -72,32 +76,40 @@ class Shingler:
         self.known: dict[bytes, int] = {}
 
     def shingles(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, shingle hash, weight) of texts given as words, sorted by both."""
+        """(text number, 48-bit shingle hash, weight) of fewer than 65536 texts given as words,
+        sorted by both."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
         for w in set().union(*texts) - known.keys():
             known[w] = xxhash.xxh3_64_intdigest(w)
         n = np.array([len(t) for t in texts], np.int64)
-        h = np.fromiter((known[w] for t in texts for w in t), np.uint64, count=int(n.sum()))
-        # Windows may not cross texts: keep the positions with four more words of the same text.
+        h = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(texts)), np.uint64, count=int(n.sum()))
         doc = np.repeat(np.arange(len(texts)), n)
-        left = np.repeat(np.cumsum(n), n) - np.arange(len(h))
-        size = np.minimum(np.repeat(n, n), SHINGLE)
-        x = np.zeros(len(h), np.uint64)
-        for j in range(SHINGLE):
-            inside = np.arange(len(h)) + j < len(h)
-            step = np.zeros(len(h), np.uint64)
-            step[inside] = h[j:][:inside.sum()] if j else h
-            x = np.where(size > j, _mixed(x * _G + step + np.uint64(j + 1)), x)
-        keep = left >= size
-        doc, x = doc[keep], x[keep]
-        order = np.lexsort((x, doc))
-        doc, x = doc[order], x[order]
-        first = np.ones(len(x), bool)
-        first[1:] = (doc[1:] != doc[:-1]) | (x[1:] != x[:-1])
+        start = np.cumsum(n) - n
+        x = h * _POWERS[0]
+        for j in range(1, SHINGLE):
+            x[:-j] += h[j:] * _POWERS[j]
+        # Windows may not cross texts; a text with fewer words is one shingle.
+        keep = np.repeat(start + n, n) - np.arange(len(h)) >= SHINGLE
+        for k in range(1, SHINGLE):
+            at = start[n == k]
+            x[at] = np.uint64(k) + sum(h[at + j] * _POWERS[j] for j in range(k))
+            keep[at] = True
+        x = _mixed(x)
+        # Text number and hash in one integer: one plain sort.
+        both = np.sort((doc[keep].astype(np.uint64) << np.uint64(48)) | (x[keep] >> np.uint64(16)))
+        first = np.ones(len(both), bool)
+        first[1:] = both[1:] != both[:-1]
         at = np.nonzero(first)[0]
-        return doc[at], x[at], np.diff(np.append(at, len(x))).astype(np.float64)
+        both, w = both[at], np.diff(np.append(at, len(both))).astype(np.float64)
+        return (both >> np.uint64(48)).astype(np.int64), both & np.uint64(2 ** 48 - 1), w
+
+    def sets(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(hashes, weights) of each text."""
+        doc, x, w = self.shingles(texts)
+        ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+        return [(x[i:j], w[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def signatures(doc: np.ndarray, x: np.ndarray, w: np.ndarray, n_docs: int, registers: int = REGISTERS) -> np.ndarray:
@@ -123,15 +135,13 @@ def signatures(doc: np.ndarray, x: np.ndarray, w: np.ndarray, n_docs: int, regis
             when.append(t)
             what.append(e)
         at, when, what = np.concatenate(at), np.concatenate(when), np.concatenate(what)
-        order = np.lexsort((when, at))
-        at, what = at[order], what[order]
-        first = np.ones(len(at), bool)
-        first[1:] = at[1:] != at[:-1]
-        at, what = at[first], what[first]
-        filled = np.bincount(at // registers, minlength=n_docs) == registers
-        done = filled & todo
-        put = done[at // registers]
-        sig.reshape(-1)[at[put]] = (what[put] >> np.uint64(17)).astype(np.uint16)
+        late_first = np.argsort(when)[::-1]   # of several points of a register the last write stays
+        at, what = at[late_first], what[late_first]
+        now, filled = np.zeros_like(sig), np.zeros(sig.shape, bool)
+        now.reshape(-1)[at] = (what >> np.uint64(17)).astype(np.uint16)
+        filled.reshape(-1)[at] = True
+        done = filled.all(axis=1) & todo
+        sig[done] = now[done]
         todo &= ~done
         horizon *= 2
     return sig
@@ -161,7 +171,7 @@ def _runs(texts):
     """Positions [a, b) of consecutive texts of about RUN_BYTES together."""
     a = size = 0
     for i, t in enumerate(texts):
-        size += len(t)
+        size += len(t) + 64
         if size >= RUN_BYTES:
             yield a, i + 1
             a, size = i + 1, 0
@@ -214,12 +224,26 @@ def _agreeing(batches, least: float):
 def _verify(batches, threshold: float):
     """Exact similarities; a row holds the texts of two blocks of nodes and the pairs to compare."""
     shingler = Shingler()
+
+    def compared(rows):
+        texts = [t for row in rows for t in row.texts]
+        sets = shingler.sets([t["text"].split() for t in texts])
+        at = 0
+        for row in rows:
+            own = {t["node"]: sets[at + i] for i, t in enumerate(row.texts)}
+            at += len(row.texts)
+            for p in row.pairs:
+                if probability_jaccard(*own[p["a"]], *own[p["b"]]) >= threshold - 1e-9:
+                    yield p["a"], p["b"]
     for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            sets = {t["node"]: shingler.shingles([t["text"].split()])[1:] for t in row.texts}
-            out += [(p["a"], p["b"]) for p in row.pairs
-                    if probability_jaccard(*sets[p["a"]], *sets[p["b"]]) >= threshold - 1e-9]
+        rows, size, out = [], 0, []
+        for row in pdf.itertuples(index=False):   # some rows at a time: one call for all their texts
+            rows.append(row)
+            size += sum(len(t["text"]) + 64 for t in row.texts)
+            if size >= RUN_BYTES:
+                out += compared(rows)
+                rows, size = [], 0
+        out += compared(rows)
         yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
@@ -290,6 +314,7 @@ def link_classes(df: DataFrame, nodes: DataFrame, threshold: float, id_col: str,
 def _compare_blocks(batches, threshold: float, least: float):
     """Links between the classes of two blocks.  Pairs of one class, or of classes that a link
     found here joins, are not compared."""
+    shingler = Shingler()
     for pdf in batches:
         out = []
         for row in pdf.itertuples(index=False):
@@ -297,24 +322,20 @@ def _compare_blocks(batches, threshold: float, least: float):
             p, q = list(row.p), list(row.p if same else row.q)
             a = np.frombuffer(b"".join(m["sig"] for m in p), np.uint16).reshape(len(p), REGISTERS)
             b = np.frombuffer(b"".join(m["sig"] for m in q), np.uint16).reshape(len(q), REGISTERS)
-            own, sets, shingler = {}, {}, Shingler()
+            sets = dict(zip([m["node"] for m in p + q], shingler.sets([m["text"].split() for m in p + q]), strict=True))
+            own: dict = {}
 
             def find(r, own=own):
                 while r in own:
                     r = own[r]
                 return r
-
-            def shingles(m, sets=sets, shingler=shingler):
-                if m["node"] not in sets:
-                    sets[m["node"]] = shingler.shingles([m["text"].split()])[1:]
-                return sets[m["node"]]
             for i, m in enumerate(p):
                 agree = (b == a[i]).sum(axis=1)
                 for j in np.nonzero(agree >= least)[0]:
                     o = q[j]
                     if same and j <= i or find(m["root"]) == find(o["root"]):
                         continue
-                    if probability_jaccard(*shingles(m), *shingles(o)) >= threshold - 1e-9:
+                    if probability_jaccard(*sets[m["node"]], *sets[o["node"]]) >= threshold - 1e-9:
                         out.append((m["node"], o["node"]))
                         own[find(m["root"])] = find(o["root"])
         yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
