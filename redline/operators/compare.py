@@ -135,3 +135,62 @@ def comment_report(pairs: DataFrame, diffs: DataFrame, shared: DataFrame) -> Dat
                            F.array(F.struct(F.col("contract_id").alias("file"),
                                             F.coalesce("contract_type", F.lit("")).alias("document_type"),
                                             comps.alias("comparisons"))).alias("document_comparisons"))).alias("report"))
+
+
+def comment_requests(requests: DataFrame, files: DataFrame, firms: DataFrame, templates: DataFrame) -> DataFrame:
+    """One report per request over a list of contracts, against the templates of the request's firm.
+
+    requests(request_id, law_firm_id, file_ids); files(id, filename, document_type, extracted_text);
+    firms(id, name).  Unknown file ids are skipped; an unknown firm, or one without templates, fails
+    the request.  A pair of contract and template is compared once, whatever the number of requests
+    that name it.  Output: request_id, law_firm_id, law_firm_name, status, error, n_files,
+    n_comparisons, n_differences and the nested report as JSON (null for a failed request).
+    Lists are bounded by a request's files, a firm's templates and a pair's lines."""
+    has_templates = templates.select(F.col("law_firm_id").alias("_tf")).distinct()
+    r = (requests.join(firms.select(F.col("id").alias("_f"), F.col("name").alias("law_firm_name")), F.col("law_firm_id") == F.col("_f"), "left")
+         .join(has_templates, F.col("law_firm_id") == F.col("_tf"), "left"))
+    error = (F.when(F.col("_f").isNull(), "Law firm not found")
+             .when(F.col("_tf").isNull(), F.concat(F.lit("No templates found for law firm: "), "law_firm_name")))
+    r = r.select("request_id", "law_firm_id", "law_firm_name", error.alias("error"), "file_ids")
+    f = files.select(F.col("id").alias("file_id"), "filename", F.coalesce("document_type", F.lit("")).alias("document_type"))
+    named = (r.where(F.col("error").isNull()).select("request_id", "law_firm_id", F.posexplode("file_ids").alias("pos", "file_id"))
+             .join(f, "file_id"))
+    asked = named.select(F.col("file_id").alias("id"), "law_firm_id", "document_type").distinct()
+    pairs = pair_templates(asked, templates).where(F.col("template_id").isNotNull())
+    diffs = line_diff(pairs, files, templates)
+    listed = diffs.groupBy("contract_id", "template_id").agg(
+        F.sort_array(F.collect_list(F.struct("type", "content", "occurrence"))).alias("differences"))
+    none = F.array().cast("array<struct<type:string,content:string,occurrence:bigint>>")
+    per_pair = (pairs.select("contract_id", "law_firm_id", "template_id", "template_type", "template_filename")
+                .join(listed, ["contract_id", "template_id"], "left")
+                .withColumn("differences", F.coalesce("differences", none)))
+    per_file = per_pair.groupBy("contract_id", "law_firm_id").agg(F.sort_array(F.collect_list(
+        F.struct("template_id", "template_type", "template_filename", "differences"))).alias("comparisons"))
+    no_comparison = F.array().cast(per_file.schema["comparisons"].dataType)
+    c, n = per_file.alias("c"), named.alias("n")
+    parts = (n.join(c, (F.col("n.file_id") == F.col("c.contract_id")) & (F.col("n.law_firm_id") == F.col("c.law_firm_id")), "left")
+             .select("n.request_id", F.struct(
+                 "n.pos", F.col("n.file_id").alias("contract_file_id"), F.col("n.filename").alias("contract_filename"),
+                 "n.document_type", F.coalesce("c.comparisons", no_comparison).alias("comparisons")).alias("part")))
+    per_request = parts.groupBy("request_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    shared = legal_comments(templates).select(F.col("law_firm_id").alias("_lf"), F.struct(
+        F.col("template_id").alias("legal_comments_template_id"), F.col("template_filename").alias("legal_comments_template_filename"),
+        "comment", "section", "severity").alias("shared"))
+    out = r.join(per_request, "request_id", "left").join(shared, F.col("law_firm_id") == F.col("_lf"), "left")
+    parts = F.coalesce("parts", F.array().cast(per_request.schema["parts"].dataType))
+    comments = F.when(F.col("shared").isNull(), F.array().cast("array<struct<comment:string,section:string,severity:string>>")) \
+        .otherwise(F.array(F.struct("shared.comment", "shared.section", "shared.severity")))
+    n_comparisons = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + F.size(x["comparisons"]))
+    n_differences = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + F.aggregate(
+        x["comparisons"], F.lit(0).cast("bigint"), lambda b, y: b + F.size(y["differences"])))
+    report = F.to_json(F.struct(
+        F.transform(parts, lambda x: F.struct(x["contract_file_id"].alias("file_id"), x["contract_filename"].alias("filename"),
+                                              x["document_type"].alias("document_type"))).alias("contract_files"),
+        "law_firm_id", "law_firm_name", comments.alias("comments"),
+        F.coalesce("shared.legal_comments_template_id", F.lit("")).alias("legal_comments_template_id"),
+        F.coalesce("shared.legal_comments_template_filename", F.lit("")).alias("legal_comments_template_filename"),
+        F.transform(parts, lambda x: x.dropFields("pos")).alias("document_comparisons")))
+    ok = F.col("error").isNull()
+    return out.select("request_id", "law_firm_id", "law_firm_name", F.when(ok, "completed").otherwise("failed").alias("status"),
+                      "error", F.size(parts).cast("bigint").alias("n_files"), n_comparisons.alias("n_comparisons"),
+                      n_differences.alias("n_differences"), F.when(ok, report).alias("report"))

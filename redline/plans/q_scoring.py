@@ -75,6 +75,72 @@ def comment_report_q(spark, sf):
     return rep.select("contract_id", "law_firm_id", "n_shared_comments", "n_comparisons", "n_differences", "failed")
 
 
+def comment_request_rows(spark, sf):
+    """One request per user: the user's contract and two more ids (some do not exist), for the firm
+    number user mod 11 (some firms do not exist)."""
+    u = table(spark, sf, "events", "user_id").distinct()
+    ids = F.array(*[(F.col("user_id") * k).cast("string") for k in (1, 7, 2)])
+    return u.select(F.concat(F.lit("req_"), F.col("user_id").cast("string")).alias("request_id"),
+                    F.concat(F.lit("firm_"), (F.col("user_id") % 11).cast("string")).alias("law_firm_id"), ids.alias("file_ids"))
+
+
+@query("comment_requests", with_views("""
+, rq AS (SELECT 'req_' || user_id AS request_id, 'firm_' || (user_id % 11) AS law_firm_id, user_id
+         FROM (SELECT DISTINCT user_id FROM events)),
+r AS (SELECT rq.*, f.name AS law_firm_name,
+             CASE WHEN f.id IS NULL THEN 'Law firm not found'
+                  WHEN NOT EXISTS (SELECT 1 FROM contract_templates t WHERE t.law_firm_id = rq.law_firm_id)
+                  THEN 'No templates found for law firm: ' || f.name END AS error
+      FROM rq LEFT JOIN law_firms f ON f.id = rq.law_firm_id),
+named AS (SELECT r.request_id, r.law_firm_id, k.pos, c.id AS file_id, c.filename, coalesce(c.document_type, '') AS document_type
+          FROM r, (VALUES (0, 1), (1, 7), (2, 2)) k(pos, m) JOIN contract_files c ON c.id = CAST(r.user_id * k.m AS VARCHAR)
+          WHERE r.error IS NULL),
+asked AS (SELECT DISTINCT file_id, law_firm_id, document_type FROM named),
+pairs AS (SELECT a.file_id AS contract_id, a.law_firm_id, t.id AS template_id, t.template_type, t.file_name AS template_filename
+          FROM asked a JOIN contract_templates t ON t.law_firm_id = a.law_firm_id
+           AND (a.document_type = t.template_type OR (a.document_type = '' AND t.template_type <> 'legal_comments'))),
+pp AS (SELECT DISTINCT contract_id, template_id FROM pairs),
+cl AS (SELECT id AS contract_id, l AS line, count(*) AS n FROM contract_files, unnest(string_split(extracted_text, chr(10))) AS u(l)
+       WHERE id IN (SELECT contract_id FROM pp) GROUP BY ALL),
+tl AS (SELECT id AS template_id, l AS line, count(*) AS n FROM contract_templates,
+       unnest(string_split(content, chr(10))) AS u(l) GROUP BY ALL),
+d AS (SELECT coalesce(a.contract_id, b.contract_id) AS contract_id, coalesce(a.template_id, b.template_id) AS template_id,
+             coalesce(a.line, b.line) AS line, coalesce(a.n, 0) AS n_c, coalesce(b.n, 0) AS n_t
+      FROM (SELECT pp.*, cl.line, cl.n FROM pp JOIN cl USING (contract_id)) a
+      FULL OUTER JOIN (SELECT pp.*, tl.line, tl.n FROM pp JOIN tl USING (template_id)) b
+        ON a.contract_id = b.contract_id AND a.template_id = b.template_id AND a.line = b.line),
+diffs AS (SELECT contract_id, template_id, 'removed' AS type, line AS content, CAST(o AS BIGINT) AS occurrence
+          FROM d, range(n_c + 1, n_t + 1) AS x(o) WHERE n_t > n_c
+          UNION ALL SELECT contract_id, template_id, 'added', line, CAST(o AS BIGINT) FROM d, range(n_t + 1, n_c + 1) AS x(o) WHERE n_c > n_t),
+listed AS (SELECT contract_id, template_id, count(*) AS n, list({'type': type, 'content': content, 'occurrence': occurrence}
+                  ORDER BY encode(type), encode(content), occurrence) AS differences FROM diffs GROUP BY ALL),
+per_file AS (SELECT contract_id, law_firm_id, count(*) AS n_c, sum(coalesce(n, 0)) AS n_d,
+                    list({'template_id': template_id, 'template_type': template_type, 'template_filename': template_filename,
+                          'differences': coalesce(differences, [])} ORDER BY template_id) AS comparisons
+             FROM pairs LEFT JOIN listed USING (contract_id, template_id) GROUP BY ALL),
+parts AS (SELECT request_id, count(*) AS n_files, sum(coalesce(n_c, 0)) AS n_comparisons, sum(coalesce(n_d, 0)) AS n_differences,
+                 list({'file_id': file_id, 'filename': filename, 'document_type': document_type} ORDER BY pos) AS files,
+                 list({'contract_file_id': file_id, 'contract_filename': filename, 'document_type': document_type,
+                       'comparisons': coalesce(comparisons, [])} ORDER BY pos) AS comparisons
+          FROM named n LEFT JOIN per_file p ON p.contract_id = n.file_id AND p.law_firm_id = n.law_firm_id GROUP BY request_id),
+lc AS (SELECT law_firm_id, id, file_name, trim(content) AS comment FROM (
+         SELECT *, row_number() OVER (PARTITION BY law_firm_id ORDER BY created_at, id) AS rn
+         FROM contract_templates WHERE template_type = 'legal_comments') WHERE rn = 1 AND length(trim(content)) > 0)
+SELECT r.request_id, r.law_firm_id, r.law_firm_name, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, error,
+       CAST(coalesce(n_files, 0) AS BIGINT) AS n_files, CAST(coalesce(n_comparisons, 0) AS BIGINT) AS n_comparisons,
+       CAST(coalesce(n_differences, 0) AS BIGINT) AS n_differences,
+       CASE WHEN error IS NULL THEN CAST(to_json({'contract_files': coalesce(files, []), 'law_firm_id': r.law_firm_id,
+         'law_firm_name': r.law_firm_name,
+         'comments': CASE WHEN lc.id IS NULL THEN [] ELSE [{'comment': lc.comment, 'section': 'Legal Comments', 'severity': 'info'}] END,
+         'legal_comments_template_id': coalesce(lc.id, ''), 'legal_comments_template_filename': coalesce(lc.file_name, ''),
+         'document_comparisons': coalesce(comparisons, [])}) AS VARCHAR) END AS report
+FROM r LEFT JOIN parts USING (request_id) LEFT JOIN lc ON lc.law_firm_id = r.law_firm_id""",
+                                      "contract_files", "law_firms", "contract_templates").replace("\n, rq AS", ", rq AS"))
+def comment_requests_q(spark, sf):
+    return C.comment_requests(comment_request_rows(spark, sf), V.contract_files(spark, sf), V.law_firms(spark, sf),
+                              V.contract_templates(spark, sf))
+
+
 @query("comment_history", with_views("""
 SELECT c.id, c.created_at, c.status, f.filename, l.name AS law_firm_name,
        CAST(json_extract(e.props, '$.k') AS INTEGER) AS result_k

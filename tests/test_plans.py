@@ -8,7 +8,7 @@ from redline.plans.registry import QUERIES, load_all
 
 load_all()
 SIDE_EFFECTS = {"read_chat_jsonl", "write_training_jsonl", "write_features", "stream_ingest",
-                "stream_status_counts", "stream_latest_job"}
+                "stream_status_counts", "stream_latest_job", "read_json_examples"}
 
 
 def plan(df):
