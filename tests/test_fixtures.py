@@ -154,6 +154,13 @@ def test_section_prefix_form(spark):
     assert _sections(spark, "Section 2.1: Delivery terms") == [("2.1", "Delivery terms", 0)]
 
 
+def test_declared_pattern_list_finds_articles_and_clauses(spark):
+    text = "Article IV: Scope\nArticle V Term\nClause 7.2: Keys"
+    got = _sections(spark, text, patterns=X.SECTION_PATTERNS_DECLARED)
+    assert ("Article IV", "Scope") in [(n, t) for n, t, _ in got]
+    assert ("Clause 7.2", "Keys") in [(n, t) for n, t, _ in got] and ("7.2", "Keys") in [(n, t) for n, t, _ in got]
+
+
 def test_section_sort_key(spark):
     df = spark.createDataFrame([("1.10",), ("1.2",), ("A.1",)], "n string")
     got = [r.n for r in df.orderBy(X.section_key("n")).collect()]
