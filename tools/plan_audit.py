@@ -21,11 +21,11 @@ def main():
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     from redline.session import get_spark
-    import __spark_entry__ as E
+    from redline.plans.registry import QUERIES as qs, load_all
+    load_all()
     spark = get_spark("local[8]")
-    qs = E.queries()
     for n in a.names or sorted(qs):
-        if n.startswith("stream_") or n in ("read_chat_jsonl", "write_training_jsonl", "write_features"):
+        if n.startswith("stream_") or n in ("read_chat_jsonl", "read_json_examples", "write_training_jsonl", "write_features"):
             continue
         df = qs[n](spark, a.sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
