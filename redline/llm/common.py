@@ -33,6 +33,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WORKER_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What an operator's tasks keep in their Python worker (caches, automata).
+
+    A worker lives on from task to task; it holds the state of one operator at a time, so what a
+    stage has gathered is given back when the next stage's first task starts."""
+    if key not in _WORKER_STATE:
+        _WORKER_STATE.clear()
+        _WORKER_STATE[key] = make()
+    return _WORKER_STATE[key]
+
+
 def begin(spark: SparkSession) -> None:
     """Called by every query and pipeline stage: the Python workers get the package."""
     ship_package(spark)

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redline.llm.common import stored
+from redline.llm.common import stored, worker_state
 from redline.llm.components import components
 
 SHINGLE = 5
@@ -181,7 +181,7 @@ def _runs(texts):
 
 def _sign(batches):
     """(doc_id, h, text) -> signature rows; key is the MD5 of the words, null without any."""
-    shingler = Shingler()
+    shingler = worker_state("shingler", Shingler)
     for pdf in batches:
         texts = [t or b"" for t in pdf["text"]]
         for a, b in _runs(texts):
@@ -223,7 +223,7 @@ def _agreeing(batches, least: float):
 
 def _verify(batches, threshold: float):
     """Exact similarities; a row holds the texts of two blocks of nodes and the pairs to compare."""
-    shingler = Shingler()
+    shingler = worker_state("shingler", Shingler)
 
     def compared(rows):
         texts = [t for row in rows for t in row.texts]
@@ -314,7 +314,7 @@ def link_classes(df: DataFrame, nodes: DataFrame, threshold: float, id_col: str,
 def _compare_blocks(batches, threshold: float, least: float):
     """Links between the classes of two blocks.  Pairs of one class, or of classes that a link
     found here joins, are not compared."""
-    shingler = Shingler()
+    shingler = worker_state("shingler", Shingler)
     for pdf in batches:
         out = []
         for row in pdf.itertuples(index=False):

@@ -19,7 +19,6 @@ an empty table gives no rows; columns other than those named are ignored.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 import zlib
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from redline.llm.common import stored
+from redline.llm.common import stored, worker_state
 
 # Spark runs one task per core; a tokenizer's own threads would only compete with other tasks.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,7 +41,7 @@ END_ID = 0
 #: Pieces of one length and bucket that one task ranks, on average.
 BUCKET_ROWS = 50_000
 #: Texts are encoded in runs of about so many bytes, and a worker remembers so many chunks.
-RUN_BYTES, CACHE_CHUNKS = 1 << 21, 2_000_000
+RUN_BYTES, CACHE_CHUNKS = 1 << 21, 1_500_000
 _MARK = "\x01"
 
 
@@ -162,12 +161,6 @@ class ChunkEncoder:
         return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-@functools.lru_cache(maxsize=1)
-def _encoder(path: str) -> ChunkEncoder:
-    """One per Python worker."""
-    return ChunkEncoder(path)
-
-
 def _runs(texts, most: int = RUN_BYTES):
     """Positions [a, b) of consecutive texts of about ``most`` bytes together."""
     a = size = 0
@@ -187,7 +180,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def cut(batches):
-        encoder = _encoder(tokenizer)
+        encoder = worker_state(("encoder", tokenizer), lambda: ChunkEncoder(tokenizer))
         end = np.array([end_id], np.uint32)
         for pdf in batches:
             texts = [t or b"" for t in pdf["text"]]

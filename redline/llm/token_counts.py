@@ -16,13 +16,13 @@ whole; repeated rows come out once each; an empty table gives no rows; other col
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redline.llm.common import worker_state
+
 #: Words that a task remembers before it starts afresh (memory bound, no effect on results).
 CACHE_WORDS = 300_000
 
@@ -99,9 +99,7 @@ class Automaton:
         return total
 
 
-@functools.lru_cache(maxsize=2)
-def _automaton(pieces: tuple[str, ...], start: str, continuation: str) -> Automaton:
-    """One per Python worker: tasks that follow in the same worker find it ready."""
+def _automaton(pieces: tuple[str, ...], continuation: str) -> Automaton:
     if continuation:
         return Automaton(tuple(p for p in pieces if not p.startswith(continuation)),
                          tuple(p[len(continuation):] for p in pieces if p.startswith(continuation)))
@@ -123,8 +121,9 @@ def token_counts(df: DataFrame, pieces: tuple[str, ...], id_col: str = "doc_id",
     prefix = "" if continuation else start
 
     def count(batches):
-        automaton = _automaton(pieces, start, continuation)
-        known: dict[bytes, int] = {}
+        # Tasks that follow in the same worker find both ready.
+        automaton, known = worker_state(("automaton", hash(pieces), prefix, continuation),
+                                        lambda: (_automaton(pieces, continuation), {}))
 
         def lookup(w: bytes) -> int:
             n = known[w] = automaton.count(prefix + w.decode())

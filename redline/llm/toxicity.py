@@ -19,6 +19,7 @@ rows; columns other than those named are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import string
 from collections import Counter
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redline.llm.common import stored
+from redline.llm.common import stored, worker_state
 
 MAX_FEATURES = 1500
 MIN_DOCS = 3
@@ -42,6 +43,8 @@ THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Entries of a task's word cache before it starts afresh (memory bound, no effect on results).
 CACHE_WORDS = 200_000
+#: Texts whose features are counted together in a task (memory bound).
+COUNT_TEXTS = 1000
 
 #: Groups of terms that may stand for each other in a sentence; the first term is the neutral one.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -81,13 +84,16 @@ def held_out(id_col: Column) -> Column:
 
 
 def _count_features(batches):
-    """Per batch: texts with the feature, by label."""
+    """Per run of COUNT_TEXTS texts: texts with the feature, by label."""
+    worker_state("toxicity-fit", dict)
     for pdf in batches:
-        n: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for text, y in zip(pdf["text"], pdf["toxic"], strict=True):
-            n[y].update(text_features(text))
-        keys = list(n[0].keys() | n[1].keys())
-        yield pd.DataFrame({"feature": keys, "clean": [n[0][k] for k in keys], "toxic": [n[1][k] for k in keys]})
+        for at in range(0, len(pdf), COUNT_TEXTS):
+            part = pdf.iloc[at:at + COUNT_TEXTS]
+            n: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for text, y in zip(part["text"], part["toxic"], strict=True):
+                n[y].update(text_features(text))
+            keys = list(n[0].keys() | n[1].keys())
+            yield pd.DataFrame({"feature": keys, "clean": [n[0][k] for k in keys], "toxic": [n[1][k] for k in keys]})
 
 
 def likelihood_ratio(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Column:
@@ -194,13 +200,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def scorer(model: Model):
     """A pandas function column: score of each text."""
     weights, intercept, constant = model.weights, model.intercept, model.constant
+    key = ("toxicity", hashlib.md5(repr(sorted(weights.items())).encode()).hexdigest())
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         if constant is not None:
             return pd.Series(np.full(len(texts), float(constant)))
         out = np.empty(len(texts))
-        cache: dict[str, tuple[str, ...]] = {}
+        cache: dict[str, tuple[str, ...]] = worker_state(key, dict)
         for i, text in enumerate(texts):
             seen: set[str] = set()
             for t in set(text.lower().split()) if text else ():
