@@ -81,8 +81,9 @@ class Shingler:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        for w in set().union(*texts) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set().union(*texts):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         n = np.array([len(t) for t in texts], np.int64)
         h = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(texts)), np.uint64, count=int(n.sum()))
         doc = np.repeat(np.arange(len(texts)), n)
@@ -112,6 +113,12 @@ class Shingler:
         return [(x[i:j], w[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _shingler() -> Shingler:
+    """A task's own; what other operators kept in the worker goes."""
+    worker_state("near_dedup", dict)
+    return Shingler()
+
+
 def signatures(doc: np.ndarray, x: np.ndarray, w: np.ndarray, n_docs: int, registers: int = REGISTERS) -> np.ndarray:
     """ProbMinHash: per text and register the low 16 bits of the earliest shingle's hash."""
     sig = np.zeros((n_docs, registers), np.uint16)
@@ -181,7 +188,7 @@ def _runs(texts):
 
 def _sign(batches):
     """(doc_id, h, text) -> signature rows; key is the MD5 of the words, null without any."""
-    shingler = worker_state("shingler", Shingler)
+    shingler = _shingler()
     for pdf in batches:
         texts = [t or b"" for t in pdf["text"]]
         for a, b in _runs(texts):
@@ -223,7 +230,7 @@ def _agreeing(batches, least: float):
 
 def _verify(batches, threshold: float):
     """Exact similarities; a row holds the texts of two blocks of nodes and the pairs to compare."""
-    shingler = worker_state("shingler", Shingler)
+    shingler = _shingler()
 
     def compared(rows):
         texts = [t for row in rows for t in row.texts]
@@ -314,7 +321,7 @@ def link_classes(df: DataFrame, nodes: DataFrame, threshold: float, id_col: str,
 def _compare_blocks(batches, threshold: float, least: float):
     """Links between the classes of two blocks.  Pairs of one class, or of classes that a link
     found here joins, are not compared."""
-    shingler = worker_state("shingler", Shingler)
+    shingler = _shingler()
     for pdf in batches:
         out = []
         for row in pdf.itertuples(index=False):

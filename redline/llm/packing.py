@@ -41,7 +41,7 @@ END_ID = 0
 #: Pieces of one length and bucket that one task ranks, on average.
 BUCKET_ROWS = 50_000
 #: Texts are encoded in runs of about so many bytes, and a worker remembers so many chunks.
-RUN_BYTES, CACHE_CHUNKS = 1 << 21, 1_500_000
+RUN_BYTES, CACHE_CHUNKS = 1 << 21, 2_000_000
 _MARK = "\x01"
 
 
@@ -129,7 +129,7 @@ class ChunkEncoder:
             else:
                 several.append((c, [r.encode() for r in self._RUNS.findall(s.lower())]))
         known = self.known
-        new = list(runs.union(*(rs for _, rs in several)) - known.keys())
+        new = [r for r in runs.union(*(rs for _, rs in several)) if r not in known]
         known.update(zip(new, self._enter([r.decode() for r in new], self.merger), strict=True))
         several = [(c, rs) for c, rs in several if c not in known]   # runs of one chunk are known by now
         if several:
