@@ -7,11 +7,14 @@ positions whose most frequent token covers at least ``CONSTANT`` of the leaf's d
 the others are variable fields; lines that agree with this template in at least ``SIMILAR`` of
 their positions belong to it, the others are templates of their own.
 
-A template recurs when documents that are otherwise different share it: with *n* distinct texts
-and *c* distinct contexts among them (the two smallest three-word shingle hashes of a text's other
-lines, which near copies of one document share and texts with a passage in common do not), ``c >= MIN_CONTEXTS`` and ``c >= CONTEXT_SHARE * n``.  So passages
-and boilerplate go, and families of exact or near copies keep their lines for the document-level
-dedup.  All lines of recurring templates are dropped; blank and short lines stay.
+A template recurs when documents that are otherwise different share it.  Texts are put into
+families of near copies: texts that hold a long shingle in common are compared with the first of
+them, by the smallest three-word shingle hashes of the whole text (short texts: by their words); at
+least ``ALIKE`` of these agree in near copies, and families are what such links connect.  Texts that
+consist of the line alone are one family.  With *n* distinct texts and *c* families among them,
+``c >= MIN_CONTEXTS`` and ``c >= CONTEXT_SHARE * n``.  So passages and boilerplate go, and families
+of exact or near copies keep their lines for the document-level dedup.  All lines of recurring
+templates are dropped; blank and short lines stay.
 
 Only DataFrame functions are used.  Hot templates are pre-aggregated before each shuffle; joins on
 a template carry hashes only.  Line hashes are 64 bits, texts are keyed by MD5.
@@ -26,7 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redline.llm.common import stored
+from redline.llm.common import let, stored
+from redline.llm.components import components
 
 MIN_TOKENS = 3
 DEPTH = 3
@@ -35,6 +39,14 @@ SIMILAR = 0.6
 MIN_CONTEXTS = 4
 CONTEXT_SHARE = 0.6
 WILD = "<*>"
+#: Near copies agree in so much of their sketches; a sketch holds so many shingles.
+ALIKE = 0.65
+SKETCH = 64
+#: Texts of up to so many words, or with fewer sampled shingles, are compared by their words.
+SHORT = 64
+MIN_SAMPLE = 16
+#: Shingles of a text by which copies meet.
+MEET = 16
 #: Up to so many lines of shared leaves their positions are broadcast; beyond, texts are shuffled.
 MAX_BROADCAST_LINES = 200_000
 
@@ -50,35 +62,82 @@ def blanked(text: Column) -> Column:
     return F.when(text.rlike("[\t\x0b\f\r]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
 
 
-def _lines(text: Column) -> Column:
-    """array<struct<no, leaf, tmpl, c>> of the lines that have a template; c is the line's smallest
-    three-word shingle hash.  Every word is hashed once."""
-    tokens = F.transform(F.split(blanked(text), "\n"), lambda x, i: F.struct(
+def _shingles(h, n: int, every: bool) -> Column:
+    """Distinct hashes of n words in a row, the smallest first; unless every one, those that begin
+    with one word in four, chosen by its hash: the same ones in any copy."""
+    def shingle(w, i):
+        fits = i <= F.size(h) - n
+        return F.when(fits if every else (w.bitwiseAND(3) == 0) & fits, F.xxhash64(w, *[F.get(h, i + j) for j in range(1, n)]))
+    return F.sort_array(F.array_distinct(F.array_compact(F.transform(h, shingle))))
+
+
+def _sketch(h) -> Column:
+    """Of a text's word hashes: their number n, norm (their hash), and what tells near copies: the
+    smallest three-word shingles s (long texts), the distinct words w (short texts, and the next
+    longer ones that these may be copies of) and the shingles b by which copies meet."""
+    def of(s):
+        short = (F.size(h) <= SHORT) | (F.size(s) < MIN_SAMPLE)
+        every = F.sort_array(F.array_union(_shingles(h, 3, True), _shingles(h, 6, True)))
+        return F.struct(
+            F.size(h).alias("n"), F.xxhash64(h).alias("norm"), short.alias("short"), F.when(~short, s).alias("s"),
+            F.when(short | (F.size(h) <= 2 * SHORT), F.slice(F.sort_array(F.array_distinct(h)), 1, 2 * SHORT)).alias("w"),
+            F.when(short, F.slice(every, 1, 2 * MEET)).otherwise(F.slice(_shingles(h, 6, False), 1, MEET)).alias("b"))
+    return let(F.slice(_shingles(h, 3, False), 1, SKETCH), of)
+
+
+def text_table(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, ls, sk): per text with templated lines its MD5, these lines and its sketch."""
+    docs = df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    # Every word is hashed once.
+    tokens = F.transform(F.split(blanked(F.col("text")), "\n"), lambda x, i: F.struct(
         i.alias("no"), F.transform(masked_tokens(x), lambda w: F.xxhash64(w)).alias("h")))
 
     def line(x):
         h = x["h"]
-        # Shingles that begin with one word in four, chosen by its hash: the same ones in any copy.
-        shingles = F.transform(h, lambda w, i: F.when((w.bitwiseAND(3) == 0) & (i < F.size(h) - 2),
-                                                      F.xxhash64(w, F.get(h, i + 1), F.get(h, i + 2))))
         return F.struct(x["no"].alias("no"), F.xxhash64(F.size(h), F.slice(h, 1, DEPTH)).alias("leaf"),
-                        F.xxhash64(h).alias("tmpl"), F.array_min(shingles).alias("c"))
-    return F.transform(F.filter(tokens, lambda x: F.size(x["h"]) >= MIN_TOKENS), line)
+                        F.xxhash64(h).alias("tmpl"), F.size(h).alias("size"))
+    parts = let(tokens, lambda t: F.struct(
+        F.transform(F.filter(t, lambda x: F.size(x["h"]) >= MIN_TOKENS), line).alias("ls"),
+        let(F.flatten(t["h"]), _sketch).alias("sk")))
+    return (docs.select(F.unhex(F.md5("text")).alias("key"), parts.alias("p")).filter(F.size("p.ls") > 0)
+            .select("key", "p.ls", "p.sk"))
+
+
+def _alike(a: str, b: str) -> Column:
+    """Do two sketches agree in most of what they hold: words if one text is short, else shingles."""
+    aw, bw = F.col(f"{a}.w"), F.col(f"{b}.w")
+    least = F.slice(F.sort_array(F.array_union(f"{a}.s", f"{b}.s")), 1, SKETCH)
+    both = F.size(F.array_intersect(F.array_intersect(f"{a}.s", f"{b}.s"), least))
+    words = F.size(F.array_intersect(aw, bw)) >= ALIKE * F.size(F.array_union(aw, bw))
+    return F.coalesce(F.when(F.col(f"{a}.short") | F.col(f"{b}.short"), words).otherwise(both >= ALIKE * F.size(least)), F.lit(False))
+
+
+def families(texts: DataFrame) -> DataFrame:
+    """(node, root): texts (by their norm) that are near copies of others, with their family.
+
+    The texts that hold a shingle are compared with the smallest of them, one row per text and
+    shingle; what agrees is linked, and families are the connected components."""
+    met = texts.select("sk.norm", F.explode("sk.b").alias("e"))
+    first = (met.groupBy("e").agg(F.min("norm").alias("lead"), F.max("norm").alias("last"))
+             .filter("lead < last").select("e", "lead"))
+    pairs = stored(met.join(first, "e").filter("norm <> lead").select("norm", "lead").distinct(), "line-pairs")
+    nodes = pairs.select("norm").unionByName(pairs.select(F.col("lead").alias("norm"))).distinct()
+    sketches = stored(texts.select("sk.norm", "sk").join(nodes, "norm", "left_semi").dropDuplicates(["norm"]), "line-sketches")
+    edges = (pairs.join(sketches.select("norm", F.col("sk").alias("a")), "norm")
+             .join(sketches.select(F.col("norm").alias("lead"), F.col("sk").alias("b")), "lead")
+             .filter(_alike("a", "b")).select(F.col("norm").alias("u"), F.col("lead").alias("v")))
+    return components(edges)
 
 
 def line_table(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, ctx, no, leaf, tmpl): one narrow row per templated line; key is the text's MD5, ctx
-    stands for the other lines of the text: the two smallest of their shingle hashes."""
-    docs = df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    # The text's own columns are computed below the generator: once per text, not per line.
-    each = docs.select(F.unhex(F.md5("text")).alias("key"), _lines(F.col("text")).alias("ls"))
-    least = F.slice(F.sort_array(F.array_distinct(F.array_compact("ls.c"))), 1, 3)
-    rows = (each.select("key", least.alias("least"), "ls")
-            .select("key", "least", F.explode("ls").alias("l")).select("key", "least", "l.*"))
-    others = F.slice(F.filter("least", lambda x: F.coalesce(x != F.col("c"), F.lit(True))), 1, 2)
-    # A text without another line to tell is its own context.
-    return rows.select("key", F.when(F.size(others) > 0, F.xxhash64(others)).otherwise(F.xxhash64("key")).alias("ctx"),
-                       "no", "leaf", "tmpl")
+    """(key, ctx, alone, no, leaf, tmpl, size): one narrow row per templated line; key is the text's
+    MD5, ctx its family, alone tells that the text has nothing else to tell."""
+    texts = stored(text_table(df, text_col), "line-texts")
+    rest = F.col("sk.n") - F.get("ls", F.lit(0))["size"]
+    alone = (F.size("ls") == 1) & (rest < MIN_TOKENS)
+    return (texts.join(families(texts), F.col("sk.norm") == F.col("node"), "left")
+            .select("key", F.coalesce("root", "sk.norm").alias("ctx"), alone.alias("alone"), "ls")
+            .select("key", "ctx", "alone", F.explode("ls").alias("l")).select("key", "ctx", "alone", "l.*"))
 
 
 def _dense(lines: DataFrame) -> DataFrame:
@@ -115,13 +174,14 @@ def leaf_members(df: DataFrame, lines: DataFrame, text_col: str = "text") -> Dat
 
 def recurring(lines: DataFrame, members: DataFrame) -> DataFrame:
     """(tmpl): the line templates whose generalised template recurs across documents."""
-    seen = lines.select("tmpl", "ctx", "key").distinct()
+    seen = lines.select("tmpl", "ctx", "alone", "key").distinct()
     group = F.when(F.col("leaf").isNull(), F.struct(F.lit(0).alias("k"), F.col("tmpl").alias("h"))).otherwise(
         F.struct(F.lit(1).alias("k"), F.col("leaf").alias("h")))
-    grouped = seen.join(members, "tmpl", "left").select(group.alias("g"), "ctx", "key")
+    grouped = seen.join(members, "tmpl", "left").select(group.alias("g"), "ctx", "alone", "key")
+    # Texts that consist of the line are copies of each other: one family, whatever they differ in.
     support = (grouped.distinct()
-               .groupBy("g", "ctx").agg(F.count(F.lit(1)).alias("n"))
-               .groupBy("g").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+               .groupBy("g", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min("alone").alias("alone"))
+               .groupBy("g").agg(F.sum("n").alias("n"), (F.count_if(~F.col("alone")) + F.max(F.col("alone").cast("long"))).alias("c"))
                .filter((F.col("c") >= MIN_CONTEXTS) & (F.col("c") >= CONTEXT_SHARE * F.col("n"))))
     alone = support.filter(F.col("g.k") == 0).select(F.col("g.h").alias("tmpl"))
     general = support.filter(F.col("g.k") == 1).select(F.col("g.h").alias("leaf"))

@@ -131,3 +131,38 @@ def test_repeated_rows_get_the_same_lines(docs):
     rows = [(i, line + "\n" + _passage(rng, 20)) for i in range(6)]
     out = [r.text for r in line_dedup.drop_recurring_lines(docs(rows + rows[:2])).collect()]
     assert len(out) == 8 and not any(line in t for t in out)
+
+
+def _dropped(docs, rows):
+    """doc_id -> the text after line dedup."""
+    return {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs(rows)).collect()}
+
+
+def _swapped(line, i, word):
+    ws = line.split(" ")
+    ws[i] = word
+    return " ".join(ws)
+
+
+def test_families_of_short_texts_keep_their_lines(docs):
+    """One- and two-line texts whose near copies differ in white space, a line feed or a word."""
+    rng = random.Random(6)
+    rows = []
+
+    def family(texts):
+        rows.extend((len(rows) + i, t) for i, t in enumerate(texts))
+    for n in (3, 8, 12, 60, 200):
+        one = _passage(rng, n)
+        family([one, one + "\n", one.replace(" ", "  "), "\t" + one, one + " \n\n", "\n" + one])
+    for n in (7, 12, 60, 200):
+        one = _passage(rng, n)
+        family([_swapped(one, n // 2, f"zz{'q' * i}") for i in range(8)])
+    for n, m in ((8, 8), (12, 30), (60, 60), (10, 120)):
+        first, second = _passage(rng, n), _passage(rng, m)
+        family([f"{first}\n{second}", f"{first} \n\n{second}", f"{first}\n{second}\n", f"{first}\t\n{second}"])
+        family([f"{_swapped(first, n - 2, f'yy{chr(97 + i) * 3}')}\n{second}" for i in range(6)])
+    for n in (40, 120):   # the other lines are short
+        line, words = _passage(rng, n), [_passage(rng, 2) for _ in range(20)]
+        family(["\n".join([*words[:i], "odd", *words[i + 1:], line]) for i in range(6)])
+    out = _dropped(docs, rows)
+    assert out == dict(rows)
