@@ -11,10 +11,10 @@ A template recurs when documents that are otherwise different share it.  Texts a
 families of near copies: texts that hold a long shingle in common are compared with the first of
 them, by the smallest three-word shingle hashes of the whole text (short texts: by their words); at
 least ``ALIKE`` of these agree in near copies, and families are what such links connect.  Texts that
-consist of the line alone are one family.  With *n* distinct texts and *c* families among them,
-``c >= MIN_CONTEXTS`` and ``c >= CONTEXT_SHARE * n``.  So passages and boilerplate go, and families
-of exact or near copies keep their lines for the document-level dedup.  All lines of recurring
-templates are dropped; blank and short lines stay.
+consist of the line alone are one family.  ``MIN_CONTEXTS`` families make a template recur, however
+many texts each of them holds: more copies never bring a line back.  So passages and boilerplate go,
+and families of exact or near copies keep their lines for the document-level dedup.  All lines of
+recurring templates are dropped; blank and short lines stay.
 
 Only DataFrame functions are used.  Hot templates are pre-aggregated before each shuffle; joins on
 a template carry hashes only.  Line hashes are 64 bits, texts are keyed by MD5.
@@ -37,7 +37,6 @@ DEPTH = 3
 CONSTANT = 0.5
 SIMILAR = 0.6
 MIN_CONTEXTS = 4
-CONTEXT_SHARE = 0.6
 WILD = "<*>"
 #: Near copies agree in so much of their sketches; a sketch holds so many shingles.
 ALIKE = 0.65
@@ -174,15 +173,14 @@ def leaf_members(df: DataFrame, lines: DataFrame, text_col: str = "text") -> Dat
 
 def recurring(lines: DataFrame, members: DataFrame) -> DataFrame:
     """(tmpl): the line templates whose generalised template recurs across documents."""
-    seen = lines.select("tmpl", "ctx", "alone", "key").distinct()
+    seen = lines.groupBy("tmpl", "ctx").agg(F.min("alone").alias("alone"))
     group = F.when(F.col("leaf").isNull(), F.struct(F.lit(0).alias("k"), F.col("tmpl").alias("h"))).otherwise(
         F.struct(F.lit(1).alias("k"), F.col("leaf").alias("h")))
-    grouped = seen.join(members, "tmpl", "left").select(group.alias("g"), "ctx", "alone", "key")
+    grouped = seen.join(members, "tmpl", "left").select(group.alias("g"), "ctx", "alone")
     # Texts that consist of the line are copies of each other: one family, whatever they differ in.
-    support = (grouped.distinct()
-               .groupBy("g", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min("alone").alias("alone"))
-               .groupBy("g").agg(F.sum("n").alias("n"), (F.count_if(~F.col("alone")) + F.max(F.col("alone").cast("long"))).alias("c"))
-               .filter((F.col("c") >= MIN_CONTEXTS) & (F.col("c") >= CONTEXT_SHARE * F.col("n"))))
+    support = (grouped.groupBy("g", "ctx").agg(F.min("alone").alias("alone"))
+               .groupBy("g").agg((F.count_if(~F.col("alone")) + F.max(F.col("alone").cast("long"))).alias("c"))
+               .filter(F.col("c") >= MIN_CONTEXTS))
     alone = support.filter(F.col("g.k") == 0).select(F.col("g.h").alias("tmpl"))
     general = support.filter(F.col("g.k") == 1).select(F.col("g.h").alias("leaf"))
     covered = members.join(general, "leaf", "left_semi").select("tmpl")

@@ -166,3 +166,16 @@ def test_families_of_short_texts_keep_their_lines(docs):
         family(["\n".join([*words[:i], "odd", *words[i + 1:], line]) for i in range(6)])
     out = _dropped(docs, rows)
     assert out == dict(rows)
+
+
+def test_a_hot_family_does_not_keep_a_recurring_line(docs):
+    """A passage of unrelated documents, one of which has far more near copies than there are others."""
+    rng = random.Random(7)
+    passage = _passage(rng, 60)
+    rows = [(i, f"{_passage(rng, 40)}\n{passage}\n{_passage(rng, 40)}") for i in range(12)]
+    head, tail = rows[0][1].split("\n")[::2]
+    rows += [(100 + i, f"{_swapped(head, i % 40, f'zz{i // 40}'.translate(str.maketrans('0123456789', 'qrstuvwxyz')))}\n{passage}\n{tail}")
+             for i in range(400)]
+    out = _dropped(docs, rows)
+    assert not any(passage in t for t in out.values())
+    assert all(out[i] == t.replace(passage + "\n", "") for i, t in rows)
