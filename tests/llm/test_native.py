@@ -179,3 +179,15 @@ def test_a_hot_family_does_not_keep_a_recurring_line(docs):
     out = _dropped(docs, rows)
     assert not any(passage in t for t in out.values())
     assert all(out[i] == t.replace(passage + "\n", "") for i, t in rows)
+
+
+def test_shared_blocks_of_lines_go(docs):
+    """Blocks of recurring lines on short own texts."""
+    rng = random.Random(8)
+    rows, own = [], {}
+    for lines, words in ((5, 100), (6, 50), (10, 100)):
+        block = [_passage(rng, 30) for _ in range(lines)]
+        for _ in range(30):
+            own[len(rows)] = _passage(rng, words)
+            rows.append((len(rows), "\n".join([*block[:2], own[len(rows)], *block[2:]])))
+    assert _dropped(docs, rows) == own
