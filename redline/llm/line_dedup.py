@@ -4,8 +4,11 @@ Every line with at least ``MIN_TOKENS`` words is tokenised and tokens that hold
 wildcard.  The tree has two levels below its root: the token count, then the leading ``DEPTH``
 tokens; a leaf holds the lines that agree on both.  In leaves that several documents share, the
 positions whose most frequent token covers at least ``CONSTANT`` of the leaf's distinct lines stay,
-the others are variable fields; lines that agree with this template in at least ``SIMILAR`` of
-their positions belong to it, the others are templates of their own.
+the others are variable fields.  Lines that agree with this template in at least ``SIMILAR`` of
+their positions after the leading ones, wildcards not counted, belong to it if it has at least
+``MIN_CONSTANT`` constant words there; the others are templates of their own.  A line of which fewer
+than ``MIN_CONSTANT`` words, or less than ``CONSTANT``, hold no digit (table rows) keeps its digits:
+it recurs only as it is.
 
 A template recurs when documents that are otherwise different share it.  Texts are put into
 families of near copies: texts that hold a long shingle in common are compared with the first of
@@ -36,6 +39,7 @@ MIN_TOKENS = 3
 DEPTH = 3
 CONSTANT = 0.5
 SIMILAR = 0.6
+MIN_CONSTANT = 3
 MIN_CONTEXTS = 4
 WILD = "<*>"
 #: Near copies agree in so much of their sketches; a sketch holds so many shingles.
@@ -89,12 +93,16 @@ def text_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     docs = df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     # Every word is hashed once.
     tokens = F.transform(F.split(blanked(F.col("text")), "\n"), lambda x, i: F.struct(
-        i.alias("no"), F.transform(masked_tokens(x), lambda w: F.xxhash64(w)).alias("h")))
+        i.alias("no"), F.transform(masked_tokens(x), lambda w: F.xxhash64(w)).alias("h"), x.alias("x")))
 
     def line(x):
         h = x["h"]
-        return F.struct(x["no"].alias("no"), F.xxhash64(F.size(h), F.slice(h, 1, DEPTH)).alias("leaf"),
-                        F.xxhash64(h).alias("tmpl"), F.size(h).alias("size"))
+        fixed = F.size(F.array_remove(h, F.xxhash64(F.lit(WILD))))
+        sparse = (fixed < F.size(h)) & ((fixed < MIN_CONSTANT) | (fixed < CONSTANT * F.size(h)))
+        plain = F.xxhash64(F.array_remove(F.split(x["x"], " "), ""))
+        return F.struct(x["no"].alias("no"),
+                        F.when(sparse, plain).otherwise(F.xxhash64(F.size(h), F.slice(h, 1, DEPTH))).alias("leaf"),
+                        F.when(sparse, plain).otherwise(F.xxhash64(h)).alias("tmpl"), F.size(h).alias("size"))
     parts = let(tokens, lambda t: F.struct(
         F.transform(F.filter(t, lambda x: F.size(x["h"]) >= MIN_TOKENS), line).alias("ls"),
         let(F.flatten(t["h"]), _sketch).alias("sk")))
@@ -167,8 +175,12 @@ def leaf_members(df: DataFrame, lines: DataFrame, text_col: str = "text") -> Dat
     constant = F.when((F.col("top.n") >= CONSTANT * F.col("total")) & (F.col("top.n") > 1), F.col("top.token")).otherwise(WILD)
     template = (at.select("leaf", F.struct("pos", constant.alias("token")).alias("p"))
                 .groupBy("leaf").agg(F.sort_array(F.collect_list("p"))["token"].alias("template")))
-    agree = F.aggregate(F.zip_with("t", "template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    return (tokens.join(template, "leaf").filter(agree >= SIMILAR * F.size("t")).select("tmpl", "leaf"))
+    # All lines of a leaf agree in the leading tokens: only those after them tell.
+    after = F.slice("template", DEPTH + 1, F.greatest(F.size("template") - DEPTH, F.lit(0)))
+    template = template.withColumn("template", after).filter(F.size(F.array_remove("template", WILD)) >= MIN_CONSTANT)
+    rest = F.slice("t", DEPTH + 1, F.size("template"))
+    agree = F.aggregate(F.zip_with(rest, "template", lambda a, b: ((a == b) & (a != WILD)).cast("int")), F.lit(0), lambda s, x: s + x)
+    return (tokens.join(template, "leaf").filter(agree >= SIMILAR * F.size("template")).select("tmpl", "leaf"))
 
 
 def recurring(lines: DataFrame, members: DataFrame) -> DataFrame:

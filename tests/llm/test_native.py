@@ -191,3 +191,17 @@ def test_shared_blocks_of_lines_go(docs):
             own[len(rows)] = _passage(rng, words)
             rows.append((len(rows), "\n".join([*block[:2], own[len(rows)], *block[2:]])))
     assert _dropped(docs, rows) == own
+
+
+def test_clean_short_lines_and_number_tables_stay(docs):
+    """Unrelated short lines that begin alike, and rows of numbers of one length; the same row recurs."""
+    rng = random.Random(9)
+    phone = "Tel 555 1234 99"
+    rows = []
+    for i in range(60):
+        lines = [_passage(rng, 30)]
+        lines += [f"we are now {_passage(rng, 1)}", f"it was the {_passage(rng, 2)}", f"at the end {_passage(rng, 1)} the {_passage(rng, 1)}"]
+        lines += [" ".join(str(rng.randrange(10**6)) for _ in range(n)) for n in (3, 5, 8)]
+        lines += [f"Total {rng.randrange(10**6)} {rng.randrange(10**6)}.5 kg {rng.randrange(10**6)}"]
+        rows.append((i, "\n".join([*lines, phone])))
+    assert _dropped(docs, rows) == {i: t[:-len(phone) - 1] for i, t in rows}
