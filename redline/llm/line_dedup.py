@@ -14,8 +14,8 @@ A template recurs when documents that are otherwise different share it.  Texts a
 families of near copies: texts that hold a long shingle in common are compared with the first of
 them, by the smallest three-word shingle hashes of the whole text (short texts: by their words); at
 least ``ALIKE`` of these agree in near copies, and families are what such links connect.  Texts that
-consist of the line alone are one family.  ``MIN_CONTEXTS`` families make a template recur, however
-many texts each of them holds: more copies never bring a line back.  So passages and boilerplate go,
+consist of the line alone are one family.  ``MIN_CONTEXTS`` families make a template recur, two
+(``LONG_CONTEXTS``) one of at least ``LONG`` words, however many texts each of them holds: more copies never bring a line back.  So passages and boilerplate go,
 and families of exact or near copies keep their lines for the document-level dedup.  All lines of
 recurring templates are dropped; blank and short lines stay.
 
@@ -41,6 +41,8 @@ CONSTANT = 0.5
 SIMILAR = 0.6
 MIN_CONSTANT = 3
 MIN_CONTEXTS = 4
+LONG = 50
+LONG_CONTEXTS = 2
 WILD = "<*>"
 #: Near copies agree in so much of their sketches; a sketch holds so many shingles.
 ALIKE = 0.65
@@ -147,13 +149,18 @@ def line_table(df: DataFrame, text_col: str = "text") -> DataFrame:
             .select("key", "ctx", "alone", F.explode("ls").alias("l")).select("key", "ctx", "alone", "l.*"))
 
 
+def _enough() -> Column:
+    """The families that make a line of ``size`` words recur."""
+    return F.when(F.col("size") >= LONG, LONG_CONTEXTS).otherwise(MIN_CONTEXTS)
+
+
 def _dense(lines: DataFrame) -> DataFrame:
     """One line per distinct template of the leaves that several contexts share and that hold
     more than one template: (leaf, tmpl, key, no)."""
-    each = (lines.groupBy("leaf", "tmpl", "ctx").agg(F.min(F.struct("key", "no")).alias("at"))
-            .groupBy("leaf", "tmpl").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("at")))
-    leaves = (each.groupBy("leaf").agg(F.count(F.lit(1)).alias("t"), F.sum("c").alias("c"))
-              .filter((F.col("t") > 1) & (F.col("c") >= MIN_CONTEXTS)).select("leaf"))
+    each = (lines.groupBy("leaf", "tmpl", "ctx").agg(F.min(F.struct("key", "no")).alias("at"), F.min("size").alias("size"))
+            .groupBy("leaf", "tmpl").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("at"), F.min("size").alias("size")))
+    leaves = (each.groupBy("leaf").agg(F.count(F.lit(1)).alias("t"), F.sum("c").alias("c"), F.min("size").alias("size"))
+              .filter((F.col("t") > 1) & (F.col("c") >= _enough())).select("leaf"))
     return each.join(leaves, "leaf", "left_semi").select("leaf", "tmpl", "at.key", "at.no")
 
 
@@ -185,14 +192,15 @@ def leaf_members(df: DataFrame, lines: DataFrame, text_col: str = "text") -> Dat
 
 def recurring(lines: DataFrame, members: DataFrame) -> DataFrame:
     """(tmpl): the line templates whose generalised template recurs across documents."""
-    seen = lines.groupBy("tmpl", "ctx").agg(F.min("alone").alias("alone"))
+    seen = lines.groupBy("tmpl", "ctx").agg(F.min("alone").alias("alone"), F.min("size").alias("size"))
     group = F.when(F.col("leaf").isNull(), F.struct(F.lit(0).alias("k"), F.col("tmpl").alias("h"))).otherwise(
         F.struct(F.lit(1).alias("k"), F.col("leaf").alias("h")))
-    grouped = seen.join(members, "tmpl", "left").select(group.alias("g"), "ctx", "alone")
+    grouped = seen.join(members, "tmpl", "left").select(group.alias("g"), "ctx", "alone", "size")
     # Texts that consist of the line are copies of each other: one family, whatever they differ in.
-    support = (grouped.groupBy("g", "ctx").agg(F.min("alone").alias("alone"))
-               .groupBy("g").agg((F.count_if(~F.col("alone")) + F.max(F.col("alone").cast("long"))).alias("c"))
-               .filter(F.col("c") >= MIN_CONTEXTS))
+    support = (grouped.groupBy("g", "ctx").agg(F.min("alone").alias("alone"), F.min("size").alias("size"))
+               .groupBy("g").agg((F.count_if(~F.col("alone")) + F.max(F.col("alone").cast("long"))).alias("c"),
+                                 F.min("size").alias("size"))
+               .filter(F.col("c") >= _enough()))
     alone = support.filter(F.col("g.k") == 0).select(F.col("g.h").alias("tmpl"))
     general = support.filter(F.col("g.k") == 1).select(F.col("g.h").alias("leaf"))
     covered = members.join(general, "leaf", "left_semi").select("tmpl")

@@ -205,3 +205,20 @@ def test_clean_short_lines_and_number_tables_stay(docs):
         lines += [f"Total {rng.randrange(10**6)} {rng.randrange(10**6)}.5 kg {rng.randrange(10**6)}"]
         rows.append((i, "\n".join([*lines, phone])))
     assert _dropped(docs, rows) == {i: t[:-len(phone) - 1] for i, t in rows}
+
+
+def test_long_passages_go_from_two_documents_on(docs):
+    """A passage of over 50 words in two or three documents goes, a short line stays."""
+    rng = random.Random(10)
+    rows, want = [], {}
+    for n in (2, 3):
+        passage, short = _passage(rng, 55), _passage(rng, 20)
+        for _ in range(n):
+            own = _passage(rng, 80)
+            want[len(rows)] = f"{own}\n{short}"
+            rows.append((len(rows), f"{own}\n{passage}\n{short}"))
+    family = [_passage(rng, 60) for _ in range(3)]   # near copies keep theirs
+    for i in range(6):
+        want[len(rows)] = "\n".join([*family[:2], _swapped(family[2], 5 * i, "zzzz")])
+        rows.append((len(rows), want[len(rows)]))
+    assert _dropped(docs, rows) == want
