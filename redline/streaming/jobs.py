@@ -72,6 +72,15 @@ def stream_status_counts(sdf: DataFrame, window: str = "1 day", watermark: str =
                     status_col, "n"))
 
 
+def run_status_counts(spark: SparkSession, in_dir: str, schema, out_dir: str, checkpoint: str) -> None:
+    """Count what was delivered since the last run, in one micro-batch: the watermark moves after
+    all of the delivery's files, whatever order they are listed in."""
+    s = spark.readStream.schema(schema).parquet(in_dir)
+    q = (stream_status_counts(s, "1 day", "1 hour").writeStream.format("parquet").option("path", out_dir)
+         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def latest_state(sdf: DataFrame, key: str = "job_id", order: str = "step") -> DataFrame:
     """Stateful streaming aggregation: the latest row per key (max_by on the order column).  In
     update mode each micro-batch emits only the keys whose latest row changed; the per-key state

@@ -1,5 +1,7 @@
 """Streaming jobs resume from their checkpoints: a restart processes only new input."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from redline.operators.windows import latest_per_job
@@ -52,3 +54,23 @@ def test_ingest_keeps_uploads_in_any_order(spark, sf):
     got = spark.read.parquet(out)
     assert {r.id for r in got.select("id").distinct().collect()} == {r.id for r in files.select("id").collect()}
     assert got.count() == got.select("id", "index").distinct().count()
+
+
+def test_status_counts_do_not_depend_on_file_order(spark, tmp_path):
+    """Two deliveries of several files each, the later days' files with the earlier modification times."""
+    log = spark.range(40 * 24).select(F.expr("TIMESTAMP_NTZ '2024-01-01 00:30:00' + make_dt_interval(0, CAST(id AS INT), 0, 0)").alias("ts"),
+                                      F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("status"), F.col("id").alias("step"))
+    seen, src, out, ck = set(), str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    for n, days in enumerate(["ts < '2024-01-21'", "ts >= '2024-01-21'"]):
+        for i, d in enumerate(range(20 * n + 1, 20 * n + 21, 5)):
+            folder = f"{src}/delivery={n}"
+            start = f"TIMESTAMP_NTZ '2024-01-01' + make_dt_interval({d - 1}, 0, 0, 0)"
+            log.where(days).where(f"ts >= {start} AND ts < {start} + make_dt_interval(5, 0, 0, 0)").coalesce(1).write.mode("append").parquet(folder)
+            for f in set((tmp_path / "in" / f"delivery={n}").glob("part-*")) - seen:
+                seen.add(f)
+                os.utime(f, (1_700_000_000 + 1000 * n - 10 * i,) * 2)
+        ST.run_status_counts(spark, f"{src}/delivery=*", log.schema, out, ck)
+    got = {(r.window_start, r.status): r.n for r in spark.read.parquet(out).collect()}
+    want = {(r.d, r.status): r.n for r in log.where("ts < '2024-02-09'").groupBy(
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("d"), "status").agg(F.count("*").alias("n")).collect()}
+    assert got == want and sum(got.values()) == 39 * 24
