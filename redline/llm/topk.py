@@ -13,8 +13,8 @@ The work is queries times blocks by definition; memory is one query block and on
 set at a time, and a query keeps k scores per shard.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; shorter
-vectors are padded with zeros; an empty vector scores 0; components are held within +-2^28 so that
-scores fit a long; repeated rows (same id and vector) count once; of several vectors of one query
+vectors are padded with zeros; an empty vector scores 0; components beyond 32 bits take a wide
+path, and a quantised component or score beyond +-2^62 is an error; repeated rows (same id and vector) count once; of several vectors of one query
 id the smallest is the query; rows with the query's own id are never its candidates; ties go to
 the smaller id; no queries or no candidates give no rows; other columns are ignored.
 """
@@ -33,16 +33,19 @@ BLOCK = 256
 #: Document blocks that lie in one row, and queries in one query block (memory of a task).
 SET = 32
 QUERIES = 512
-LIMIT = 2 ** 28
+LIMIT = 2 ** 62
 
 _SET = "set long, ids binary, vectors binary"
 _HITS = "query_id long, vec_id long, score long"
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
-    """floor(scale * x) per component in double arithmetic, held within +-LIMIT."""
-    return F.transform(vector, lambda x: F.greatest(F.least(
-        F.floor(x.cast("double") * scale), F.lit(LIMIT).cast("long")), F.lit(-LIMIT).cast("long")))
+    """floor(scale * x) per component in double arithmetic; beyond +-LIMIT an error."""
+    def component(x):
+        y = x.cast("double") * scale
+        return F.when((y >= -float(LIMIT)) & (y < float(LIMIT)), F.floor(y)).otherwise(
+            F.raise_error(F.concat(F.lit("vector component out of range: "), x.cast("string"))).cast("long"))
+    return F.transform(vector, lambda x: F.when(x.isNotNull(), component(x)))
 
 
 def usable(vector: Column) -> Column:
@@ -51,8 +54,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def _pack(batches, rows_per_pack: int, dim: int):
-    """Rows (id, v) of a partition in runs: (set, ids, vectors) with int64 and int32 bytes."""
+def _pack(batches, rows_per_pack: int, dim: int, kind):
+    """Rows (id, v) of a partition in runs: (set, ids, vectors) with the bytes of int64 ids and vectors of the given kind."""
     from pyspark import TaskContext
     part, n = TaskContext.get().partitionId(), 0
     ids: list[np.ndarray] = []
@@ -71,7 +74,7 @@ def _pack(batches, rows_per_pack: int, dim: int):
     for pdf in batches:
         if not len(pdf):
             continue
-        m = np.zeros((len(pdf), dim), np.int32)
+        m = np.zeros((len(pdf), dim), kind)
         for i, v in enumerate(pdf["v"]):
             m[i, :len(v)] = v
         ids.append(pdf["id"].to_numpy(np.int64))
@@ -116,13 +119,16 @@ def search_blocks(qids: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids:
     starts = np.arange(0, len(ids), block)
     q64 = queries.astype(np.float64)
     # Double arithmetic is exact while the sums stay below 2^53.
-    exact = float(np.abs(q64).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1]) < 2 ** 53
+    limit = int(np.abs(q64).max(initial=0)) * int(np.abs(vectors.astype(np.float64)).max(initial=0)) * max(1, vectors.shape[1])
+    exact = limit < 2 ** 53
+    # Beyond longs sums are of Python integers.
+    wide_type = np.int64 if limit < LIMIT else object
     if exact:
         bounds = block_bounds(q64, vectors, starts)
     else:
         hi, lo = np.maximum.reduceat(vectors, starts, axis=0), np.minimum.reduceat(vectors, starts, axis=0)
-        wide = queries.astype(np.int64)
-        bounds = np.maximum(wide, 0) @ hi.T.astype(np.int64) + np.minimum(wide, 0) @ lo.T.astype(np.int64)
+        wide = queries.astype(wide_type)
+        bounds = np.maximum(wide, 0) @ hi.T.astype(wide_type) + np.minimum(wide, 0) @ lo.T.astype(wide_type)
     order = np.argsort(-bounds, axis=1, kind="stable")
     best, alive = _Best(len(qids), k, floor), np.arange(len(qids))
     for r in range(len(starts) if rounds is None else min(rounds, len(starts))):
@@ -135,20 +141,23 @@ def search_blocks(qids: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids:
         for b in np.unique(at):
             own = alive[at == b]
             v, vid = vectors[starts[b]:starts[b] + block], ids[starts[b]:starts[b] + block]
-            s = (q64[own] @ v.T.astype(np.float64)) if exact else queries[own].astype(np.int64) @ v.T.astype(np.int64)
-            i, j = np.nonzero((s >= best.floor[own][:, None]) & (vid[None, :] != qids[own][:, None]))
+            s = (q64[own] @ v.T.astype(np.float64)) if exact else queries[own].astype(wide_type) @ v.T.astype(wide_type)
+            others = vid[None, :] != qids[own][:, None]
+            if s.dtype == object and (others & (np.abs(s) >= LIMIT)).any():
+                raise ValueError("a score does not fit a long")
+            i, j = np.nonzero((s >= best.floor[own][:, None]) & others)
             found.append((own[i], s[i, j].astype(np.int64), vid[j]))
         best.add(*(np.concatenate([f[c] for f in found]) for c in range(3)))
     return best
 
 
-def _search(batches, k: int, dim: int, rounds: int | None):
+def _search(batches, k: int, dim: int, rounds: int | None, kind):
     for pdf in batches:
         for row in pdf.itertuples(index=False):
             qids, ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.doc_ids, np.int64)
-            queries = np.frombuffer(row.vectors, np.int32).reshape(len(qids), dim)
-            vectors = np.frombuffer(row.doc_vectors, np.int32).reshape(len(ids), dim)
-            floor = np.full(len(qids), -2.0 ** 62) if row.floor is None else np.frombuffer(row.floor, np.float64)
+            queries = np.frombuffer(row.vectors, kind).reshape(len(qids), dim)
+            vectors = np.frombuffer(row.doc_vectors, kind).reshape(len(ids), dim)
+            floor = np.full(len(qids), -2 ** 62, np.int64) if row.floor is None else np.frombuffer(row.floor, np.int64)
             best = search_blocks(qids, queries, floor, ids, vectors, k, rounds)
             yield pd.DataFrame({"query_id": qids[best.q], "vec_id": best.i, "score": best.s})
 
@@ -165,7 +174,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             .select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"),
                     F.coalesce(is_query, F.lit(False)).alias("q")).dropDuplicates(["id", "v", "q"]))
     rows = stored(rows, "topk-vectors")
-    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n, dim, largest = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
+    kind = np.int32 if (largest or 0) < 2 ** 31 else np.int64
     dim = max(1, dim or 0)
     per_set = BLOCK * SET
     parts = max(1, -(-n // per_set))
@@ -175,11 +185,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     key = F.coalesce(top * F.signum(F.get("v", (top - 1).cast("int"))), F.lit(0.0))
     docs = (rows.select("id", "v", key.alias("key")).repartitionByRange(int(parts), "key", "id")
             .sortWithinPartitions("key", "id").select("id", "v")
-            .mapInPandas(lambda b: _pack(b, per_set, dim), _SET))
+            .mapInPandas(lambda b: _pack(b, per_set, dim, kind), _SET))
     docs = stored(docs, "topk-blocks")
     queries = (rows.filter("q").groupBy("id").agg(F.min("v").alias("v"))
                .repartition(int(max(1, parts // 8)), "id")
-               .mapInPandas(lambda b: _pack(b, QUERIES, dim), _SET))
+               .mapInPandas(lambda b: _pack(b, QUERIES, dim, kind), _SET))
     queries = stored(queries, "topk-queries")
     shards = int(max(1, min(parts, 100_000)))
     sets = docs.select(F.pmod(F.xxhash64("set"), F.lit(shards)).alias("shard"), F.col("ids").alias("doc_ids"),
@@ -187,12 +197,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     def meet(q: DataFrame, rounds: int | None) -> DataFrame:
         pairs = q.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-        return pairs.join(sets, "shard").mapInPandas(lambda b: _search(b, k, dim, rounds), _HITS)
+        return pairs.join(sets, "shard").mapInPandas(lambda b: _search(b, k, dim, rounds, kind), _HITS)
     seeds = stored(_ranked(meet(queries.withColumn("floor", F.lit(None).cast("binary")), 1), k), "topk-seeds")
-    kth = seeds.filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+    kth = seeds.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     floors = (queries.mapInPandas(_query_ids, "set long, at int, query_id long")
               .join(kth, "query_id", "left").groupBy("set")
-              .agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("kth", F.lit(-2.0 ** 62)).alias("kth"))))["kth"].alias("f"))
+              .agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("kth", F.lit(-2 ** 62).cast("long")).alias("kth"))))["kth"].alias("f"))
               .mapInPandas(_floor_bytes, "set long, floor binary"))
     hits = meet(queries.join(floors, "set"), None)
     return _ranked(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -207,4 +217,4 @@ def _query_ids(batches):
 
 def _floor_bytes(batches):
     for pdf in batches:
-        yield pd.DataFrame({"set": pdf["set"], "floor": [np.asarray(f, np.float64).tobytes() for f in pdf["f"]]})
+        yield pd.DataFrame({"set": pdf["set"], "floor": [np.asarray(f, np.int64).tobytes() for f in pdf["f"]]})

@@ -215,3 +215,20 @@ def test_counterfactual_term_spares_neutral_mentions(llm):
     free, bound = scores(0.0), scores(5.0)
     assert free[1] - free[2] > 0.3 and abs(bound[1] - bound[2]) < 0.3 * (free[1] - free[2])
     assert bound[1] < free[1] and bound[3] > bound[1]
+
+
+def test_large_components_are_exact_or_an_error(llm):
+    """Scores above 2^53 that differ by one keep their order; components beyond 2^28 count in full."""
+    big = float(2 ** 22 - 1)
+    rows = [(0, [big] * 3)] + [(i, [big, big, big - (8 - i) / 64]) for i in range(1, 7)]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(64 * x) for x in v] for i, v in rows}
+    want = sorted(((sum(a * b for a, b in zip(whole[0], whole[i])), i) for i in range(1, 7)), key=lambda r: (-r[0], r[1]))[:3]
+    got = topk.top_k(df, F.col("vec_id") == 0, 3).orderBy("rank").collect()
+    assert [(r.score, r.vec_id) for r in got] == want
+    wide = llm.createDataFrame([(0, [5e6, 1.0]), (1, [6e6, 1.0]), (2, [1e8, 0.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(wide, F.col("vec_id") == 0, 2).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 4096 * 5 * 10 ** 14), (1, 4096 * (3 * 10 ** 13 + 1))]
+    far = llm.createDataFrame([(0, [5e17, 1.0]), (1, [6e6, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="out of range"):
+        topk.top_k(far, F.col("vec_id") == 0, 1).collect()
