@@ -91,7 +91,7 @@ def _sketch(h) -> Column:
 
 
 def text_table(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, ls, sk): per text with templated lines its MD5, these lines and its sketch."""
+    """(key, p): per text its MD5 and, as p, its templated lines ls and its sketch sk."""
     docs = df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     # Every word is hashed once.
     tokens = F.transform(F.split(blanked(F.col("text")), "\n"), lambda x, i: F.struct(
@@ -108,8 +108,7 @@ def text_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     parts = let(tokens, lambda t: F.struct(
         F.transform(F.filter(t, lambda x: F.size(x["h"]) >= MIN_TOKENS), line).alias("ls"),
         let(F.flatten(t["h"]), _sketch).alias("sk")))
-    return (docs.select(F.unhex(F.md5("text")).alias("key"), parts.alias("p")).filter(F.size("p.ls") > 0)
-            .select("key", "p.ls", "p.sk"))
+    return docs.select(F.unhex(F.md5("text")).alias("key"), parts.alias("p"))
 
 
 def _alike(a: str, b: str) -> Column:
@@ -141,7 +140,9 @@ def families(texts: DataFrame) -> DataFrame:
 def line_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, ctx, alone, no, leaf, tmpl, size): one narrow row per templated line; key is the text's
     MD5, ctx its family, alone tells that the text has nothing else to tell."""
-    texts = stored(text_table(df, text_col), "line-texts")
+    # Filtered once stored: a filter on a computed column would compute it twice.
+    texts = (stored(text_table(df, text_col), "line-texts").select("key", "p.ls", "p.sk")
+             .filter(F.size("ls") > 0))
     rest = F.col("sk.n") - F.get("ls", F.lit(0))["size"]
     alone = (F.size("ls") == 1) & (rest < MIN_TOKENS)
     return (texts.join(families(texts), F.col("sk.norm") == F.col("node"), "left")
