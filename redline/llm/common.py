@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,30 @@ def worker_state(key, make):
     return _WORKER_STATE[key]
 
 
+#: Texts are worked on in runs of about so many bytes.
+RUN_BYTES = 2 << 20
+
+
+def runs(texts, most: int = RUN_BYTES):
+    """Positions [a, b) of consecutive values of an Arrow binary array, of about ``most`` bytes
+    together (one value at least)."""
+    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)) if len(texts) else ()
+    ends = np.cumsum(sizes, dtype=np.int64)
+    a = done = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield a, b
+        a, done = b, int(ends[b - 1])
+
+
+#: Most bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
 def begin(spark: SparkSession) -> None:
-    """Called by every query and pipeline stage: the Python workers get the package."""
+    """Called by every operator that works in Python, and by every query: the workers get the
+    package, and batches are bounded in bytes unless the session says how."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":      # Spark's default
+        spark.conf.set(key, str(BATCH_BYTES))

@@ -8,7 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from redline.llm import line_dedup, mixing, near_dedup, packing, quality, token_counts, topk, toxicity, url_filter, warc
+from redline.llm import (fill_in_middle, line_dedup, mixing, near_dedup, packing, phrases, quality, sentence_pieces, token_counts,
+                         topk, toxicity, url_filter, warc)
 from redline.llm.common import begin, words
 from redline.sources.scratch import scratch_path
 from redline.sources.tables import table
@@ -222,3 +223,69 @@ def op4_mixing(spark, sf_dir):
 def op1_near_dedup(spark, sf_dir):
     classes = near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
     return classes.select("doc_id", "class_id")
+
+
+# --- op11: fill-in-middle ---------------------------------------------------------------------
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+        CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3,
+        CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a,
+        greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM u),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+        WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM f
+"""
+
+
+@register("op11_fill_in_middle", OP11_SQL)
+def op11_fill_in_middle(spark, sf_dir):
+    written = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return written.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                          F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+# --- op13: sentencepiece ids ------------------------------------------------------------------
+
+@register("op13_sentence_pieces")
+def op13_sentence_pieces(spark, sf_dir):
+    coded = sentence_pieces.transcode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# --- op12: phrase collocations ----------------------------------------------------------------
+
+OP12_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS pid, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+nw AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.k, phrase, a, w, j, array_to_string(w[1:j], ' ') AS p1, array_to_string(w[j + 1:], ' ') AS p2
+        FROM c, (VALUES (1), (2), (3)) s(j) WHERE j < k),
+sc AS (SELECT cut.*, f1.f AS l, f2.f AS r, (2000000::HUGEINT * a) // (f1.f::HUGEINT + f2.f) AS score FROM cut
+       JOIN f f1 ON f1.lang = cut.lang AND f1.phrase = p1 JOIN f f2 ON f2.lang = cut.lang AND f2.phrase = p2),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+sub AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around
+        FROM c, (VALUES (2), (3)) s(m), (VALUES (1), (2), (3)) t(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN sub ON sub.lang = best.lang AND sub.phrase = best.phrase
+         WHERE NOT coalesce(100::HUGEINT * around >= 80::HUGEINT * a, false)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT rk.lang AS lang, CAST(rank AS INTEGER) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       nw.n AS n, CAST(score AS BIGINT) AS score FROM rk JOIN nw ON nw.lang = rk.lang WHERE rank <= 2000
+"""
+
+
+@register("op12_phrases", OP12_SQL)
+def op12_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents", "lang", "text"))
