@@ -44,8 +44,8 @@ UNIT_BYTES = 2 << 20
 BITS_EACH, MAX_BITS = 16, 1 << 27
 #: Rows of a phrase part are dealt over so many salts.
 SALTS = 8
-#: Fingerprints keep these bits (tests keep few, so that they collide).
-FINGERPRINT_MASK = (1 << 64) - 1
+#: Bits of a fingerprint (tests keep few, so that they collide).
+FINGERPRINT_BITS = 64
 
 _BASE, _PRIME, _PRIME_BASE = 0x9E3779B97F4A7C15, (1 << 31) - 1, 1_220_703_125
 _OFFSET_BITS, _UNIT_NO_BITS = 31, 12
@@ -120,14 +120,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     """Spreads a polynomial's value over all bits (the low ones depend on low ones only)."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(32))) & np.uint64(FINGERPRINT_MASK)
+    return x ^ (x >> np.uint64(32))
 
 
 class Grams:
     """The n-grams of a window of a unit: words [a, b) and up to MAX_WORDS - 1 after them."""
 
-    def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray, own: int):
-        self.own, self.piece = own, piece
+    def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray, own: int,
+                 bits: int):
+        self.own, self.piece, self.drop = own, piece, np.uint64(64 - bits)
         self.base = int(starts[0])
         part = text[self.base:int(ends[-1])]
         power, inverse, modulo, modulo_inverse = _powers(1 << max(16, int(len(part)).bit_length()))
@@ -143,14 +144,14 @@ class Grams:
         i = np.arange(max(0, min(self.own, len(self.starts) - n + 1)))
         i = i[self.piece[i] == self.piece[i + n - 1]]
         s = self.starts[i]
-        return i, _mixed((self.poly[self.ends[i + n - 1]] - self.poly[s]) * self.inverse[s])
+        return i, _mixed((self.poly[self.ends[i + n - 1]] - self.poly[s]) * self.inverse[s]) >> self.drop
 
     def checks(self, i: np.ndarray, n: int) -> np.ndarray:
         s = self.starts[i]
         return (self.check[self.ends[i + n - 1]] - self.check[s]) % _PRIME * self.modulo_inverse[s] % _PRIME
 
 
-def _windows(blob: bytes):
+def _windows(blob: bytes, bits: int = FINGERPRINT_BITS):
     """Grams of a unit, window by window: memory is bounded, whatever the unit's size."""
     text = np.frombuffer(blob, np.uint8)
     ends = np.flatnonzero((text == 32) | (text == 10))
@@ -161,7 +162,7 @@ def _windows(blob: bytes):
     while a < len(ends):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + UNIT_BYTES)))
         c = min(len(ends), b + MAX_WORDS - 1)
-        yield Grams(text, starts[a:c], ends[a:c], piece[a:c], b - a)
+        yield Grams(text, starts[a:c], ends[a:c], piece[a:c], b - a, bits)
         a = b
 
 
@@ -189,7 +190,7 @@ def _bitmap(fingerprints: DataFrame):
     return fingerprints.sparkSession.sparkContext.broadcast(words.tobytes())
 
 
-def _count_level(units: DataFrame, n: int, below) -> DataFrame:
+def _count_level(units: DataFrame, n: int, below, bits: int = FINGERPRINT_BITS) -> DataFrame:
     """(lang, fp, cnt, at, c0, c1): counts, an occurrence and the checks of the n-grams whose parts
     passed ``below``."""
     schema = StructType([StructField("lang", StringType()), StructField("fp", LongType()), StructField("cnt", LongType()),
@@ -199,7 +200,7 @@ def _count_level(units: DataFrame, n: int, below) -> DataFrame:
         bitmap = None if below is None else np.frombuffer(below.value, np.uint8)
         for batch in batches:
             for lang, unit, blob in zip(*(batch.column(k) for k in range(3)), strict=True):
-                for g in _windows(blob.as_py()):
+                for g in _windows(blob.as_py(), bits):
                     i, fp = g.at(n)
                     if bitmap is not None:
                         g.own += 1      # the right part may start at the first word after the window
@@ -210,7 +211,7 @@ def _count_level(units: DataFrame, n: int, below) -> DataFrame:
                         keep = fine[i] & fine[i + 1]
                         i, fp = i[keep], fp[keep]
                     chk = g.checks(i, n)
-                    order = np.lexsort((chk, fp)) if FINGERPRINT_MASK >> 63 == 0 else np.argsort(fp, kind="stable")
+                    order = np.argsort(fp, kind="stable")
                     i, fp, chk = i[order], fp[order], chk[order]
                     new = np.append(True, (fp[1:] != fp[:-1]) | (chk[1:] != chk[:-1])) if len(fp) else np.zeros(0, bool)
                     at = np.flatnonzero(new)
@@ -251,7 +252,7 @@ def _pointed(units: DataFrame, found: DataFrame) -> DataFrame:
 _SPANS = {n: re.compile(rb"[^ \n]+" + rb" [^ \n]+" * (n - 1)) for n in range(1, MAX_WORDS + 1)}
 
 
-def _recounted(units: DataFrame, n: int, fingerprints: DataFrame) -> DataFrame:
+def _recounted(units: DataFrame, n: int, fingerprints: DataFrame, bits: int = FINGERPRINT_BITS) -> DataFrame:
     """(lang, phrase, f): counts by text of the n-grams whose fingerprint stands for several."""
     marks = _bitmap(fingerprints)
     schema = StructType([StructField("lang", StringType()), StructField("fp", LongType()),
@@ -262,7 +263,7 @@ def _recounted(units: DataFrame, n: int, fingerprints: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, blob in zip(batch.column(0), batch.column(1), strict=True):
                 text = blob.as_py()
-                for g in _windows(text):
+                for g in _windows(text, bits):
                     i, fp = g.at(n)
                     keep = _seen(bitmap, fp)
                     seen: dict = {}
@@ -286,7 +287,7 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     units = stored(_units(df, text_col, lang_col), "phrase-units")
     below, parts = None, []
     for n in range(1, MAX_WORDS + 1):
-        level = stored(_count_level(units, n, below).filter(F.col("cnt") >= min_count).withColumn("n", F.lit(n)), "phrase-level")
+        level = stored(_count_level(units, n, below, bits).filter(F.col("cnt") >= min_count).withColumn("n", F.lit(n)), "phrase-level")
         parts.append(level)
         if n < MAX_WORDS:
             below = _bitmap(level)
@@ -295,7 +296,7 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     for n, level in enumerate(parts, 1):
         clash = level.filter("c0 <> c1")
         if not clash.isEmpty():
-            phrases.append(_recounted(units, n, clash).filter(F.col("f") >= min_count))
+            phrases.append(_recounted(units, n, clash, bits).filter(F.col("f") >= min_count))
     return (stored(functools.reduce(DataFrame.unionByName, phrases), "phrases"),
             units.groupBy("lang").agg(F.sum("n_words").alias("n")))
 
@@ -307,9 +308,9 @@ def _part(words: Column, start, length) -> Column:
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
-                 top: int = TOP) -> DataFrame:
+                 top: int = TOP, bits: int = FINGERPRINT_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases."""
-    table, totals = frequent_phrases(df, text_col, lang_col, min_count)
+    table, totals = frequent_phrases(df, text_col, lang_col, min_count, bits)
     w = F.split("phrase", " ")
     phrases = table.select("lang", "phrase", F.col("f").alias("a"), w.alias("w"), F.size(w).alias("size"))
     many = phrases.filter("size > 1")
