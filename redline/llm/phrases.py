@@ -280,7 +280,7 @@ def _recounted(units: DataFrame, n: int, fingerprints: DataFrame, bits: int = FI
 
 
 def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                     min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+                     min_count: int = MIN_COUNT, bits: int = FINGERPRINT_BITS) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f): the phrases of up to MAX_WORDS words with their exact counts,
     (lang, n): the number of words)."""
     begin(df.sparkSession)
