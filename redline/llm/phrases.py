@@ -2,16 +2,18 @@
 
 1. Units: the lower-cased texts of a language, words parted by one blank and pieces by a line feed, dealt
    into blobs of about ``UNIT_BYTES``, whatever the length of a text or the share of a language.
-2. Levels 1 to ``MAX_WORDS``: prefix polynomials over a unit's bytes give the fingerprint (64 bits) and
-   the check (modulo a prime of 31 bits) of every n-gram from two places each.  A task reduces each unit
-   to one row per fingerprint: its count, the place of an occurrence, its check.  The shuffle sums the
-   counts and keeps one occurrence pointer and the least and greatest check; fingerprints below ``min_count``
-   go.  An n-gram is only sent where both its (n-1)-grams passed the bitmap of the fingerprints that
-   remained one level below; a bitmap has a fixed greatest size, and where it is full it spares less.
-3. Collisions: fingerprints whose checks differ stand for several texts; all their occurrences are counted
+2. Levels 1 to ``MAX_WORDS``: prefix polynomials over a unit's bytes give the fingerprint of every n-gram
+   (64 bits, the language mixed in) from two places.  A task reduces each window of a unit to one count per
+   fingerprint, the shuffle sums them, and those of ``min_count`` or more leave their mark in a bitmap.  An
+   n-gram is only counted where both its (n-1)-grams are marked one level below.  A bitmap has a fixed
+   greatest size; false marks only cost time, and where it is full it spares less.
+3. Occurrences: one more pass takes the n-grams that all bitmaps let through, few of the whole, and the
+   shuffle aggregates them exactly: count, one occurrence pointer (unit and byte), least and greatest check
+   (a second polynomial, modulo a prime of 31 bits).
+4. Collisions: fingerprints whose checks differ stand for several texts; all their occurrences are counted
    again by the text itself.
-4. Only the phrases that remain are materialised, each from the unit that its pointer names.
-5. Scores and nesting are joins of phrase tables by (language, text); arithmetic is decimal.
+5. Only the phrases that remain are materialised, each from the unit that its pointer names.
+6. Scores and nesting are joins of phrase tables by (language, text); arithmetic is decimal.
 
 Defined cases: null texts have no words; a null language is ``und``; repeated rows count each time; texts of
 any length count whole, n-grams across the seams of a unit included; ties are broken by the stated order; an
@@ -21,6 +23,7 @@ empty table gives no rows; columns other than the two named are ignored.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 
 import numpy as np
@@ -40,6 +43,8 @@ TOP = 2000
 NESTED_PERCENT = 80
 SCALE = 2_000_000
 UNIT_BYTES = 2 << 20
+#: Texts are worked on in windows of about so many bytes; longer texts than this are cut between pieces.
+WINDOW_BYTES, CUT_BYTES = 1 << 20, 64 << 20
 #: Bits of a bitmap per fingerprint, and at most (16 MB).
 BITS_EACH, MAX_BITS = 16, 1 << 27
 #: Rows of a phrase part are dealt over so many salts.
@@ -48,7 +53,7 @@ SALTS = 8
 FINGERPRINT_BITS = 64
 
 _BASE, _PRIME, _PRIME_BASE = 0x9E3779B97F4A7C15, (1 << 31) - 1, 1_220_703_125
-_OFFSET_BITS, _UNIT_NO_BITS = 31, 12
+_OFFSET_BITS, _UNIT_NO_BITS = 29, 14
 _DELIMITERS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 
 
@@ -73,22 +78,25 @@ def _units(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
         def flush():
             nonlocal no, size
-            if no >> _UNIT_NO_BITS:
-                raise ValueError("a partition holds too many units: repartition the documents")
             blobs = [b"".join(parts) for parts in held.values()]
+            if no + len(blobs) > 1 << _UNIT_NO_BITS or max(map(len, blobs)) >> _OFFSET_BITS:
+                raise ValueError("a partition holds too many units, or a text a piece too long: repartition the documents")
             counts = [x.count(b" ") + x.count(b"\n") for x in blobs]
             out = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), pa.array([first + no] * len(blobs), pa.int64()),
+                [pa.array(list(held), pa.string()), pa.array(range(first + no, first + no + len(blobs)), pa.int64()),
                  pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=schema.names)
+            no, size = no + len(blobs), 0
             held.clear()
-            no, size = no + 1, 0
             return out
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                held.setdefault(lang.as_py(), []).append(x := canonical(text.as_py()))
-                size += len(x)
-                if size >= UNIT_BYTES:
-                    yield flush()
+                x = canonical(text.as_py())
+                while x:
+                    end = len(x) if len(x) <= CUT_BYTES else x.index(b"\n", CUT_BYTES - 1) + 1
+                    held.setdefault(lang.as_py(), []).append(x[:end])
+                    x, size = x[end:], size + end
+                    if size >= UNIT_BYTES:
+                        yield flush()
         if held:
             yield flush()
     rows = df.select(F.coalesce(F.col(lang_col), F.lit("und")), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
@@ -99,12 +107,17 @@ def _units(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 @functools.lru_cache(maxsize=2)
 def _powers(size: int):
-    """Powers of the base and of its inverse modulo 2^64, and of the other base modulo the prime."""
+    """Powers of the base and of its inverse, modulo 2^64."""
     def wrap(base):
         out = np.full(size, base, np.uint64)
         out[0] = 1
         return np.cumprod(out)
+    return wrap(_BASE), wrap(pow(_BASE, -1, 1 << 64))
 
+
+@functools.lru_cache(maxsize=2)
+def _residues(size: int):
+    """Powers of the other base and of its inverse, modulo the prime."""
     def modulo(base):
         out = np.ones(size, np.int64)
         done = 1
@@ -113,7 +126,7 @@ def _powers(size: int):
             out[done:done + n] = out[:n] * pow(base, done, _PRIME) % _PRIME
             done += n
         return out.astype(np.uint32)
-    return (wrap(_BASE), wrap(pow(_BASE, -1, 1 << 64)), modulo(_PRIME_BASE), modulo(pow(_PRIME_BASE, -1, _PRIME)))
+    return modulo(_PRIME_BASE), modulo(pow(_PRIME_BASE, -1, _PRIME))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -124,34 +137,51 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of a window of a unit: words [a, b) and up to MAX_WORDS - 1 after them."""
+    """The n-grams of a window of a unit: ``own`` words and up to MAX_WORDS after them."""
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray, own: int,
-                 bits: int):
+                 lang: str, bits: int):
         self.own, self.piece, self.drop = own, piece, np.uint64(64 - bits)
+        self.seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
         self.base = int(starts[0])
-        part = text[self.base:int(ends[-1])]
-        power, inverse, modulo, modulo_inverse = _powers(1 << max(16, int(len(part)).bit_length()))
-        n = len(part)
-        code = part.astype(np.uint64) + np.uint64(1)
-        self.poly = np.append(np.uint64(0), np.cumsum(code * power[:n]))
-        self.check = np.append(0, np.cumsum(code.astype(np.int64) * modulo[:n] % _PRIME))
-        self.inverse, self.modulo_inverse = inverse, modulo_inverse
+        self.part = text[self.base:int(ends[-1])]
+        self.size = -(-len(self.part) >> 18) << 18
+        power, self.inverse = _powers(self.size)
+        self.poly = np.zeros(len(self.part) + 1, np.uint64)
+        np.cumsum((self.part + np.uint64(1)) * power[:len(self.part)], out=self.poly[1:])
         self.starts, self.ends = starts - self.base, ends - self.base
 
-    def at(self, n: int):
-        """(index of the first word, fingerprint) of the n-grams that lie in one piece."""
-        i = np.arange(max(0, min(self.own, len(self.starts) - n + 1)))
+    def at(self, n: int, more: int = 0):
+        """(index of the first word, fingerprint) of the n-grams that lie in one piece; ``more`` takes
+        in those that begin so many words after the window's own."""
+        i = np.arange(max(0, min(self.own + more, len(self.starts) - n + 1)))
         i = i[self.piece[i] == self.piece[i + n - 1]]
         s = self.starts[i]
-        return i, _mixed((self.poly[self.ends[i + n - 1]] - self.poly[s]) * self.inverse[s]) >> self.drop
+        return i, _mixed((self.poly[self.ends[i + n - 1]] - self.poly[s]) * self.inverse[s] + self.seed) >> self.drop
+
+    def over(self, n: int, marks: np.ndarray | None):
+        """As ``at``, of the n-grams whose (n-1)-grams are both in the bitmap ``marks``."""
+        i, fp = self.at(n)
+        if marks is None:
+            return i, fp
+        j, part = self.at(n - 1, more=1)
+        fine = np.zeros(len(self.starts) + 1, bool)
+        fine[j[_marked(marks, part)]] = True
+        keep = fine[i] & fine[i + 1]
+        return i[keep], fp[keep]
+
+    @functools.cached_property
+    def check(self) -> np.ndarray:
+        powers = _residues(self.size)[0][:len(self.part)]
+        return np.append(0, np.cumsum((self.part + np.int64(1)) * powers % _PRIME))
 
     def checks(self, i: np.ndarray, n: int) -> np.ndarray:
         s = self.starts[i]
-        return (self.check[self.ends[i + n - 1]] - self.check[s]) % _PRIME * self.modulo_inverse[s] % _PRIME
+        value = (self.check[self.ends[i + n - 1]] - self.check[s]) % _PRIME * _residues(self.size)[1][s]
+        return (value + int(self.seed % np.uint64(_PRIME))) % _PRIME
 
 
-def _windows(blob: bytes, bits: int = FINGERPRINT_BITS):
+def _windows(blob: bytes, lang: str, bits: int = FINGERPRINT_BITS):
     """Grams of a unit, window by window: memory is bounded, whatever the unit's size."""
     text = np.frombuffer(blob, np.uint8)
     ends = np.flatnonzero((text == 32) | (text == 10))
@@ -160,16 +190,14 @@ def _windows(blob: bytes, bits: int = FINGERPRINT_BITS):
     piece = np.append(0, piece[:-1])
     a = 0
     while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + UNIT_BYTES)))
-        c = min(len(ends), b + MAX_WORDS - 1)
-        yield Grams(text, starts[a:c], ends[a:c], piece[a:c], b - a, bits)
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + WINDOW_BYTES)))
+        c = min(len(ends), b + MAX_WORDS)
+        yield Grams(text, starts[a:c], ends[a:c], piece[a:c], b - a, lang, bits)
         a = b
 
 
-def _seen(bitmap: np.ndarray | None, fp: np.ndarray) -> np.ndarray:
+def _marked(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
     """May the fingerprints be among those the bitmap was made of?"""
-    if bitmap is None:
-        return np.ones(len(fp), bool)
     low = np.uint64(len(bitmap) * 8 - 1)
     out = np.ones(len(fp), bool)
     for p in (fp & low, (fp >> np.uint64(32)) & low):
@@ -191,46 +219,56 @@ def _bitmap(fingerprints: DataFrame):
 
 
 def _count_level(units: DataFrame, n: int, below, bits: int = FINGERPRINT_BITS) -> DataFrame:
-    """(lang, fp, cnt, at, c0, c1): counts, an occurrence and the checks of the n-grams whose parts
-    passed ``below``."""
-    schema = StructType([StructField("lang", StringType()), StructField("fp", LongType()), StructField("cnt", LongType()),
+    """(fp, cnt): counts of the n-grams whose parts are marked in ``below``."""
+    schema = StructType([StructField("fp", LongType()), StructField("cnt", LongType())])
+
+    def count(batches):
+        marks = None if below is None else np.frombuffer(below.value, np.uint8)
+        for batch in batches:
+            for lang, blob in zip(batch.column(0), batch.column(1), strict=True):
+                for g in _windows(blob.as_py(), lang.as_py(), bits):
+                    fp, cnt = np.unique(g.over(n, marks)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(cnt.astype(np.int64))], names=schema.names)
+    rows = units.select("lang", "text").mapInArrow(count, schema)
+    return rows.groupBy("fp").agg(F.sum("cnt").alias("cnt"))
+
+
+def _occurrences(units: DataFrame, marks: list, bits: int = FINGERPRINT_BITS) -> DataFrame:
+    """(n, fp, cnt, at, c0, c1): counts, an occurrence and the checks of the n-grams that are marked."""
+    schema = StructType([StructField("n", IntegerType()), StructField("fp", LongType()), StructField("cnt", LongType()),
                          StructField("at", LongType()), StructField("chk", IntegerType())])
 
     def count(batches):
-        bitmap = None if below is None else np.frombuffer(below.value, np.uint8)
+        bitmaps = [np.frombuffer(m.value, np.uint8) for m in marks]
         for batch in batches:
             for lang, unit, blob in zip(*(batch.column(k) for k in range(3)), strict=True):
-                for g in _windows(blob.as_py(), bits):
-                    i, fp = g.at(n)
-                    if bitmap is not None:
-                        g.own += 1      # the right part may start at the first word after the window
-                        j, part = g.at(n - 1)
-                        g.own -= 1
-                        fine = np.zeros(len(g.starts) + 1, bool)
-                        fine[j[_seen(bitmap, part)]] = True
-                        keep = fine[i] & fine[i + 1]
+                for g in _windows(blob.as_py(), lang.as_py(), bits):
+                    for n, own in enumerate(bitmaps, 1):
+                        i, fp = g.over(n, bitmaps[n - 2] if n > 1 else None)
+                        keep = _marked(own, fp)
                         i, fp = i[keep], fp[keep]
-                    chk = g.checks(i, n)
-                    order = np.argsort(fp, kind="stable")
-                    i, fp, chk = i[order], fp[order], chk[order]
-                    new = np.append(True, (fp[1:] != fp[:-1]) | (chk[1:] != chk[:-1])) if len(fp) else np.zeros(0, bool)
-                    at = np.flatnonzero(new)
-                    cnt = np.diff(np.append(at, len(fp)))
-                    place = (unit.as_py() << _OFFSET_BITS) + g.base + g.starts[i[at]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang.as_py()], pa.string()).take(pa.array(np.zeros(len(at), np.int32))),
-                         pa.array(fp[at].view(np.int64)), pa.array(cnt.astype(np.int64)), pa.array(place.astype(np.int64)),
-                         pa.array(chk[at].astype(np.int32))], names=schema.names)
+                        if not len(i):
+                            continue
+                        order = np.argsort(fp, kind="stable")
+                        i, fp = i[order], fp[order]
+                        chk = g.checks(i, n)
+                        first = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (chk[1:] != chk[:-1])))
+                        cnt = np.diff(np.append(first, len(fp)))
+                        place = (unit.as_py() << _OFFSET_BITS) + g.base + g.starts[i[first]]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(first), n, np.int32)), pa.array(fp[first].view(np.int64)),
+                             pa.array(cnt.astype(np.int64)), pa.array(place.astype(np.int64)),
+                             pa.array(chk[first].astype(np.int32))], names=schema.names)
     rows = units.select("lang", "unit", "text").mapInArrow(count, schema)
-    return rows.groupBy("lang", "fp").agg(F.sum("cnt").alias("cnt"), F.min("at").alias("at"),
-                                          F.min("chk").alias("c0"), F.max("chk").alias("c1"))
+    return rows.groupBy("n", "fp").agg(F.sum("cnt").alias("cnt"), F.min("at").alias("at"),
+                                       F.min("chk").alias("c0"), F.max("chk").alias("c1"))
 
 
 # --- texts ------------------------------------------------------------------------------------
 
 def _pointed(units: DataFrame, found: DataFrame) -> DataFrame:
     """(lang, phrase, f): the texts of fingerprints, from the units that their pointers name."""
-    wanted = (found.groupBy("lang", F.shiftright("at", _OFFSET_BITS).alias("unit"))
+    wanted = (found.groupBy(F.shiftright("at", _OFFSET_BITS).alias("unit"))
               .agg(F.collect_list(F.struct(F.col("at").bitwiseAND((1 << _OFFSET_BITS) - 1).alias("o"), "n", "cnt")).alias("w")))
     schema = StructType([StructField("lang", StringType()), StructField("phrase", StringType()), StructField("f", LongType())])
 
@@ -245,7 +283,7 @@ def _pointed(units: DataFrame, found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang.as_py()] * len(phrases), pa.string()), pa.array(phrases, pa.string()), w.field("cnt")],
                     names=schema.names)
-    one = units.join(wanted, ["lang", "unit"]).select("lang", "text", "w")
+    one = units.join(wanted, "unit").select("lang", "text", "w")
     return one.mapInArrow(read, schema)
 
 
@@ -263,9 +301,9 @@ def _recounted(units: DataFrame, n: int, fingerprints: DataFrame, bits: int = FI
         for batch in batches:
             for lang, blob in zip(batch.column(0), batch.column(1), strict=True):
                 text = blob.as_py()
-                for g in _windows(text, bits):
+                for g in _windows(text, lang.as_py(), bits):
                     i, fp = g.at(n)
-                    keep = _seen(bitmap, fp)
+                    keep = _marked(bitmap, fp)
                     seen: dict = {}
                     for k, x in zip(i[keep], fp[keep].view(np.int64), strict=True):
                         key = (int(x), text[g.base + g.starts[k]:g.base + g.ends[k + n - 1]].decode(errors="replace"))
@@ -276,7 +314,7 @@ def _recounted(units: DataFrame, n: int, fingerprints: DataFrame, bits: int = FI
                         names=schema.names)
     rows = units.select("lang", "text").mapInArrow(count, schema)
     return (rows.groupBy("lang", "fp", "phrase").agg(F.sum("cnt").alias("f"))
-            .join(fingerprints.select("lang", "fp"), ["lang", "fp"], "left_semi").select("lang", "phrase", "f"))
+            .join(fingerprints.select("fp"), "fp", "left_semi").select("lang", "phrase", "f"))
 
 
 def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
@@ -285,18 +323,15 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     (lang, n): the number of words)."""
     begin(df.sparkSession)
     units = stored(_units(df, text_col, lang_col), "phrase-units")
-    below, parts = None, []
+    marks: list = []
     for n in range(1, MAX_WORDS + 1):
-        level = stored(_count_level(units, n, below, bits).filter(F.col("cnt") >= min_count).withColumn("n", F.lit(n)), "phrase-level")
-        parts.append(level)
-        if n < MAX_WORDS:
-            below = _bitmap(level)
-    found = functools.reduce(DataFrame.unionByName, parts)
+        level = _count_level(units, n, marks[-1] if marks else None, bits).filter(F.col("cnt") >= min_count)
+        marks.append(_bitmap(stored(level.select("fp"), "phrase-marks")))
+    found = stored(_occurrences(units, marks, bits).filter(F.col("cnt") >= min_count), "phrase-occurrences")
     phrases = [_pointed(units, found.filter("c0 = c1"))]
-    for n, level in enumerate(parts, 1):
-        clash = level.filter("c0 <> c1")
-        if not clash.isEmpty():
-            phrases.append(_recounted(units, n, clash, bits).filter(F.col("f") >= min_count))
+    for n in sorted(r["n"] for r in found.filter("c0 <> c1").select("n").distinct().collect()):
+        clash = found.filter(f"c0 <> c1 AND n = {n}")
+        phrases.append(_recounted(units, n, clash, bits).filter(F.col("f") >= min_count))
     return (stored(functools.reduce(DataFrame.unionByName, phrases), "phrases"),
             units.groupBy("lang").agg(F.sum("n_words").alias("n")))
 
