@@ -42,9 +42,11 @@ TOP = 2000
 #: A phrase goes if a longer one that holds it has so many percent of its count.
 NESTED_PERCENT = 80
 SCALE = 2_000_000
-UNIT_BYTES = 2 << 20
-#: Texts are worked on in windows of about so many bytes; longer texts than this are cut between pieces.
-WINDOW_BYTES, CUT_BYTES = 1 << 20, 64 << 20
+UNIT_BYTES = 64 << 10
+#: A task holds so many bytes of units before it writes them, and works on windows of so many.
+HELD_BYTES, WINDOW_BYTES = 4 << 20, 1 << 20
+#: Row groups of the units: a reader holds one at a time.
+ROW_GROUP_BYTES = 16 << 20
 #: Bits of a bitmap per fingerprint, and at most (16 MB).
 BITS_EACH, MAX_BITS = 16, 1 << 27
 #: Rows of a phrase part are dealt over so many salts.
@@ -53,7 +55,9 @@ SALTS = 8
 FINGERPRINT_BITS = 64
 
 _BASE, _PRIME, _PRIME_BASE = 0x9E3779B97F4A7C15, (1 << 31) - 1, 1_220_703_125
-_OFFSET_BITS, _UNIT_NO_BITS = 29, 14
+_BASES = {"wrap": (_BASE, pow(_BASE, -1, 1 << 64)), "modulo": (_PRIME_BASE, pow(_PRIME_BASE, -1, _PRIME))}
+#: A pointer is (unit << _OFFSET_BITS) + byte; units beyond that size have several numbers.
+_OFFSET_BITS, _UNIT_NO_BITS = 24, 20
 _DELIMITERS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 
 
@@ -66,37 +70,48 @@ def canonical(text: bytes) -> bytes:
     return b"".join(x + b"\n" for x in lines if x)
 
 
+def _blobs(text: bytes):
+    """The text cut between pieces."""
+    a = 0
+    while a < len(text):
+        b = text.find(b"\n", min(a + UNIT_BYTES, len(text)) - 1) + 1
+        yield text[a:b]
+        a = b
+
+
 def _units(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, unit, n_words, text)."""
     schema = StructType([StructField("lang", StringType()), StructField("unit", LongType()),
                          StructField("n_words", LongType()), StructField("text", BinaryType())])
 
     def deal(batches):
-        first = TaskContext.get().partitionId() << _UNIT_NO_BITS
-        no = size = 0
+        no = TaskContext.get().partitionId() << _UNIT_NO_BITS
+        last = no + (1 << _UNIT_NO_BITS)
+        size = 0
         held: dict[str, list[bytes]] = {}
 
         def flush():
             nonlocal no, size
-            blobs = [b"".join(parts) for parts in held.values()]
-            if no + len(blobs) > 1 << _UNIT_NO_BITS or max(map(len, blobs)) >> _OFFSET_BITS:
-                raise ValueError("a partition holds too many units, or a text a piece too long: repartition the documents")
-            counts = [x.count(b" ") + x.count(b"\n") for x in blobs]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), pa.array(range(first + no, first + no + len(blobs)), pa.int64()),
-                 pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=schema.names)
-            no, size = no + len(blobs), 0
+            langs, numbers, blobs = [], [], []
+            for lang, texts in held.items():
+                for blob in _blobs(b"".join(texts)):
+                    langs.append(lang)
+                    numbers.append(no)
+                    blobs.append(blob)
+                    no += (len(blob) >> _OFFSET_BITS) + 1
+            if no > last:
+                raise ValueError("a partition holds too many units: repartition the documents")
             held.clear()
-            return out
+            size = 0
+            counts = [x.count(b" ") + x.count(b"\n") for x in blobs]
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(numbers, pa.int64()),
+                                               pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=schema.names)
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                x = canonical(text.as_py())
-                while x:
-                    end = len(x) if len(x) <= CUT_BYTES else x.index(b"\n", CUT_BYTES - 1) + 1
-                    held.setdefault(lang.as_py(), []).append(x[:end])
-                    x, size = x[end:], size + end
-                    if size >= UNIT_BYTES:
-                        yield flush()
+                held.setdefault(lang.as_py(), []).append(x := canonical(text.as_py()))
+                size += len(x)
+                if size >= HELD_BYTES:
+                    yield flush()
         if held:
             yield flush()
     rows = df.select(F.coalesce(F.col(lang_col), F.lit("und")), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
@@ -105,28 +120,37 @@ def _units(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 # --- fingerprints -----------------------------------------------------------------------------
 
-@functools.lru_cache(maxsize=2)
-def _powers(size: int):
+_TABLES: dict[str, tuple] = {}
+
+
+def _table(name: str, size: int, make) -> tuple:
+    """Tables of powers of at least ``size`` entries; a worker keeps the longest ones it needed."""
+    if name not in _TABLES or len(_TABLES[name][0]) < size:
+        size = -(-size >> 18) << 18
+        _TABLES[name] = tuple(make(base, size) for base in _BASES[name])
+    return _TABLES[name]
+
+
+def _powers(size: int) -> tuple:
     """Powers of the base and of its inverse, modulo 2^64."""
-    def wrap(base):
-        out = np.full(size, base, np.uint64)
+    def wrap(base, n):
+        out = np.full(n, base, np.uint64)
         out[0] = 1
-        return np.cumprod(out)
-    return wrap(_BASE), wrap(pow(_BASE, -1, 1 << 64))
+        return np.cumprod(out, out=out)
+    return _table("wrap", size, wrap)
 
 
-@functools.lru_cache(maxsize=2)
-def _residues(size: int):
+def _residues(size: int) -> tuple:
     """Powers of the other base and of its inverse, modulo the prime."""
-    def modulo(base):
-        out = np.ones(size, np.int64)
+    def modulo(base, n):
+        out = np.ones(n, np.uint32)
         done = 1
-        while done < size:
-            n = min(done, size - done)
-            out[done:done + n] = out[:n] * pow(base, done, _PRIME) % _PRIME
-            done += n
-        return out.astype(np.uint32)
-    return modulo(_PRIME_BASE), modulo(pow(_PRIME_BASE, -1, _PRIME))
+        while done < n:
+            k = min(done, n - done, 1 << 16)
+            out[done:done + k] = out[:k].astype(np.int64) * pow(base, done, _PRIME) % _PRIME
+            done += k
+        return out
+    return _table("modulo", size, modulo)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -145,8 +169,7 @@ class Grams:
         self.seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
         self.base = int(starts[0])
         self.part = text[self.base:int(ends[-1])]
-        self.size = -(-len(self.part) >> 18) << 18
-        power, self.inverse = _powers(self.size)
+        power, self.inverse = _powers(len(self.part))
         self.poly = np.zeros(len(self.part) + 1, np.uint64)
         np.cumsum((self.part + np.uint64(1)) * power[:len(self.part)], out=self.poly[1:])
         self.starts, self.ends = starts - self.base, ends - self.base
@@ -172,17 +195,17 @@ class Grams:
 
     @functools.cached_property
     def check(self) -> np.ndarray:
-        powers = _residues(self.size)[0][:len(self.part)]
+        powers = _residues(len(self.part))[0][:len(self.part)]
         return np.append(0, np.cumsum((self.part + np.int64(1)) * powers % _PRIME))
 
     def checks(self, i: np.ndarray, n: int) -> np.ndarray:
         s = self.starts[i]
-        value = (self.check[self.ends[i + n - 1]] - self.check[s]) % _PRIME * _residues(self.size)[1][s]
+        value = (self.check[self.ends[i + n - 1]] - self.check[s]) % _PRIME * _residues(len(self.part))[1][s]
         return (value + int(self.seed % np.uint64(_PRIME))) % _PRIME
 
 
 def _windows(blob: bytes, lang: str, bits: int = FINGERPRINT_BITS):
-    """Grams of a unit, window by window: memory is bounded, whatever the unit's size."""
+    """Grams of a text, window by window: memory is bounded, whatever the text's size."""
     text = np.frombuffer(blob, np.uint8)
     ends = np.flatnonzero((text == 32) | (text == 10))
     starts = np.append(0, ends[:-1] + 1)
@@ -196,6 +219,18 @@ def _windows(blob: bytes, lang: str, bits: int = FINGERPRINT_BITS):
         a = b
 
 
+def _joined(batch):
+    """(lang, the batch's units of that language one after another, their numbers, where each starts).
+
+    Each unit ends with a line feed, so no n-gram reaches from one into the next."""
+    langs = batch.column(0).to_pylist()
+    for lang in dict.fromkeys(langs):
+        which = [i for i, x in enumerate(langs) if x == lang]
+        blobs = [batch.column(2)[i].as_py() for i in which]
+        starts = np.cumsum([0, *map(len, blobs)])[:-1]
+        yield lang, b"".join(blobs), np.array([batch.column(1)[i].as_py() for i in which], np.int64), starts
+
+
 def _marked(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
     """May the fingerprints be among those the bitmap was made of?"""
     low = np.uint64(len(bitmap) * 8 - 1)
@@ -225,11 +260,11 @@ def _count_level(units: DataFrame, n: int, below, bits: int = FINGERPRINT_BITS)
     def count(batches):
         marks = None if below is None else np.frombuffer(below.value, np.uint8)
         for batch in batches:
-            for lang, blob in zip(batch.column(0), batch.column(1), strict=True):
-                for g in _windows(blob.as_py(), lang.as_py(), bits):
+            for lang, text, _, _ in _joined(batch):
+                for g in _windows(text, lang, bits):
                     fp, cnt = np.unique(g.over(n, marks)[1], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(cnt.astype(np.int64))], names=schema.names)
-    rows = units.select("lang", "text").mapInArrow(count, schema)
+    rows = units.select("lang", "unit", "text").mapInArrow(count, schema)
     return rows.groupBy("fp").agg(F.sum("cnt").alias("cnt"))
 
 
@@ -241,8 +276,8 @@ def _occurrences(units: DataFrame, marks: list, bits: int = FINGERPRINT_BITS) ->
     def count(batches):
         bitmaps = [np.frombuffer(m.value, np.uint8) for m in marks]
         for batch in batches:
-            for lang, unit, blob in zip(*(batch.column(k) for k in range(3)), strict=True):
-                for g in _windows(blob.as_py(), lang.as_py(), bits):
+            for lang, text, numbers, starts in _joined(batch):
+                for g in _windows(text, lang, bits):
                     for n, own in enumerate(bitmaps, 1):
                         i, fp = g.over(n, bitmaps[n - 2] if n > 1 else None)
                         keep = _marked(own, fp)
@@ -254,7 +289,9 @@ def _occurrences(units: DataFrame, marks: list, bits: int = FINGERPRINT_BITS) ->
                         chk = g.checks(i, n)
                         first = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (chk[1:] != chk[:-1])))
                         cnt = np.diff(np.append(first, len(fp)))
-                        place = (unit.as_py() << _OFFSET_BITS) + g.base + g.starts[i[first]]
+                        byte = g.base + g.starts[i[first]]
+                        unit = np.searchsorted(starts, byte, side="right") - 1
+                        place = (numbers[unit] << _OFFSET_BITS) + byte - starts[unit]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(first), n, np.int32)), pa.array(fp[first].view(np.int64)),
                              pa.array(cnt.astype(np.int64)), pa.array(place.astype(np.int64)),
@@ -268,22 +305,22 @@ def _occurrences(units: DataFrame, marks: list, bits: int = FINGERPRINT_BITS) ->
 
 def _pointed(units: DataFrame, found: DataFrame) -> DataFrame:
     """(lang, phrase, f): the texts of fingerprints, from the units that their pointers name."""
-    wanted = (found.groupBy(F.shiftright("at", _OFFSET_BITS).alias("unit"))
+    wanted = (found.groupBy(F.shiftright("at", _OFFSET_BITS).alias("at_unit"))
               .agg(F.collect_list(F.struct(F.col("at").bitwiseAND((1 << _OFFSET_BITS) - 1).alias("o"), "n", "cnt")).alias("w")))
     schema = StructType([StructField("lang", StringType()), StructField("phrase", StringType()), StructField("f", LongType())])
 
     def read(batches):
         for batch in batches:
-            for lang, blob, wanted in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                text = blob.as_py()
-                w = wanted.values
-                phrases = []
-                for o, n in zip(w.field("o").to_pylist(), w.field("n").to_pylist(), strict=True):
-                    phrases.append(_SPANS[n].match(text, o).group().decode(errors="replace"))
+            for lang, far, blob, wanted in zip(*(batch.column(k) for k in range(4)), strict=True):
+                text, w, far = blob.as_py(), wanted.values, far.as_py() << _OFFSET_BITS
+                phrases = [_SPANS[n].match(text, far + o).group().decode(errors="replace")
+                           for o, n in zip(w.field("o").to_pylist(), w.field("n").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang.as_py()] * len(phrases), pa.string()), pa.array(phrases, pa.string()), w.field("cnt")],
                     names=schema.names)
-    one = units.join(wanted, "unit").select("lang", "text", "w")
+    numbers = F.sequence(F.lit(0).cast("long"), F.shiftright(F.octet_length("text").cast("long"), _OFFSET_BITS))
+    one = (units.select("lang", "unit", "text", F.explode(numbers).alias("far"))
+           .join(wanted, F.col("unit") + F.col("far") == F.col("at_unit")).select("lang", "far", "text", "w"))
     return one.mapInArrow(read, schema)
 
 
@@ -299,9 +336,8 @@ def _recounted(units: DataFrame, n: int, fingerprints: DataFrame, bits: int = FI
     def count(batches):
         bitmap = np.frombuffer(marks.value, np.uint8)
         for batch in batches:
-            for lang, blob in zip(batch.column(0), batch.column(1), strict=True):
-                text = blob.as_py()
-                for g in _windows(text, lang.as_py(), bits):
+            for lang, text, _, _ in _joined(batch):
+                for g in _windows(text, lang, bits):
                     i, fp = g.at(n)
                     keep = _marked(bitmap, fp)
                     seen: dict = {}
@@ -309,10 +345,10 @@ def _recounted(units: DataFrame, n: int, fingerprints: DataFrame, bits: int = FI
                         key = (int(x), text[g.base + g.starts[k]:g.base + g.ends[k + n - 1]].decode(errors="replace"))
                         seen[key] = seen.get(key, 0) + 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang.as_py()] * len(seen), pa.string()), pa.array([k[0] for k in seen], pa.int64()),
+                        [pa.array([lang] * len(seen), pa.string()), pa.array([k[0] for k in seen], pa.int64()),
                          pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
                         names=schema.names)
-    rows = units.select("lang", "text").mapInArrow(count, schema)
+    rows = units.select("lang", "unit", "text").mapInArrow(count, schema)
     return (rows.groupBy("lang", "fp", "phrase").agg(F.sum("cnt").alias("f"))
             .join(fingerprints.select("fp"), "fp", "left_semi").select("lang", "phrase", "f"))
 
@@ -322,7 +358,7 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     """((lang, phrase, f): the phrases of up to MAX_WORDS words with their exact counts,
     (lang, n): the number of words)."""
     begin(df.sparkSession)
-    units = stored(_units(df, text_col, lang_col), "phrase-units")
+    units = stored(_units(df, text_col, lang_col), "phrase-units", **{"parquet.block.size": ROW_GROUP_BYTES})
     marks: list = []
     for n in range(1, MAX_WORDS + 1):
         level = _count_level(units, n, marks[-1] if marks else None, bits).filter(F.col("cnt") >= min_count)

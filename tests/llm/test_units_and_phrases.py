@@ -182,12 +182,21 @@ def test_windows_and_units_lose_no_phrase_at_the_seams(llm, corpus, monkeypatch)
     assert counted() == want
     words = Counter((len(p), " ".join(p)) for (_, p), c in _counts([("en", t) for _, t in corpus])[0].items() for _ in range(c))
     assert sorted(words.values()) == sorted(want.values())
-    # A text beyond the greatest unit is cut between its pieces.
-    monkeypatch.setattr(P, "CUT_BYTES", 50)
+    # Units are cut between pieces, and have as many numbers as their size needs.
+    monkeypatch.setattr(P, "UNIT_BYTES", 30)
+    parts = list(P._blobs(blob))
+    assert b"".join(parts) == blob and len(parts) > 50 and all(p.endswith(b"\n") for p in parts)
     units = P._units(llm.createDataFrame(corpus, "lang string, text string").coalesce(1), "text", "lang").collect()
     assert sum(len(u.text) for u in units) == len(blob) and len({u.unit for u in units}) == len(units)
 
 
+def test_long_text_without_delimiter(llm):
+    """A unit beyond the greatest byte of a pointer."""
+    text = ("x" * 1000 + " ") * 17_500 + "bb cc " * 40
+    df = llm.createDataFrame([(text, "en")], "text string, lang string")
+    assert sorted(tuple(r) for r in P.collocations(df).collect()) == _collocations([("en", text)], 30, 2000)
+
+
 @pytest.mark.parametrize("bits", [64, 7])
 def test_colliding_fingerprints_are_counted_by_text(llm, corpus, bits):
     """With fingerprints of 7 bits nearly all stand for several phrases."""
