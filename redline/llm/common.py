@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,15 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
 _WORKER_STATE: dict = {}
 
 
+def _give_back() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def worker_state(key, make):
     """What an operator's tasks keep in their Python worker (caches, automata).
 
@@ -44,6 +57,7 @@ def worker_state(key, make):
     stage has gathered is given back when the next stage's first task starts."""
     if key not in _WORKER_STATE:
         _WORKER_STATE.clear()
+        _give_back()
         _WORKER_STATE[key] = make()
     return _WORKER_STATE[key]
 

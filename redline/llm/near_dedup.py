@@ -54,7 +54,7 @@ RUN_BYTES, CACHE_WORDS = 1 << 19, 500_000
 BLOCK = 64
 #: Rounds in which the nodes of a bucket are compared with one leader, before blocks are compared.
 STAR_ROUNDS = 2
-_SIGNATURE = "doc_id long, h long, key binary, sig binary"
+_SIGNATURE = "doc_id string, h long, key binary, sig binary"
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -196,7 +196,7 @@ def _sign(batches):
             sig = signatures(*shingler.shingles(words), len(words))
             part = pdf.iloc[a:b]
             yield pd.DataFrame({
-                "doc_id": part["doc_id"].astype("Int64"), "h": part["h"],
+                "doc_id": part["doc_id"], "h": part["h"],
                 "key": [hashlib.md5(b" ".join(w)).digest() if w else None for w in words],
                 "sig": [sig[i].tobytes() if w else None for i, w in enumerate(words)]})
 
@@ -204,8 +204,9 @@ def _sign(batches):
 def sign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, key, sig) per row; (doc_id, h) finds the row's text again."""
     text = F.col(text_col).cast("binary")
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return rows.mapInPandas(_sign, _SIGNATURE)
+    # Ids travel as text: pandas would make doubles of a batch with a null id.
+    rows = df.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInPandas(_sign, _SIGNATURE).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def buckets(nodes: DataFrame) -> DataFrame:

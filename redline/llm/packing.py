@@ -13,7 +13,7 @@
    looked up in the plan.
 
 Defined cases: a null or empty text is its end id alone; very long texts are encoded whole; texts
-of the same length are ranked by a hash, id and piece, equal rows in any order among themselves;
+of the same length are ranked by a hash of row and place, id and piece, equal rows in any order;
 an empty table gives no rows; columns other than those named are ignored.
 """
 
@@ -25,13 +25,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from redline.llm.common import stored, worker_state
+from redline.llm.common import begin, runs, stored, worker_state
 
 # Spark runs one task per core; a tokenizer's own threads would only compete with other tasks.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,8 +41,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length and bucket that one task ranks, on average.
 BUCKET_ROWS = 50_000
-#: Texts are encoded in runs of about so many bytes, and a worker remembers so many chunks.
-RUN_BYTES, CACHE_CHUNKS = 1 << 21, 2_000_000
+#: A worker remembers chunks in about so many bytes; an entry costs Python so much beside its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 190
 _MARK = "\x01"
 
 
@@ -79,6 +80,25 @@ class ChunkEncoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts = self.lens = np.zeros(0, np.int64)
+        self.hits, self.key_bytes = np.zeros(0, np.int64), 0
+
+    def _bytes(self) -> int:
+        return ENTRY_BYTES * len(self.known) + self.key_bytes + 4 * self.used
+
+    def _trim(self) -> None:
+        """Back to half the bytes: the chunks met most often stay."""
+        hits = np.zeros(len(self.starts), np.int64)
+        hits[:len(self.hits)] = self.hits
+        keys = list(self.known)
+        at = np.fromiter(self.known.values(), np.int64, count=len(keys))
+        cost = ENTRY_BYTES + np.fromiter(map(len, keys), np.int64, count=len(keys)) + 4 * self.lens[at]
+        order = np.argsort(-hits[at], kind="stable")
+        order = order[:int(np.searchsorted(np.cumsum(cost[order]), CACHE_BYTES // 2, side="right"))]
+        ids, ends = self._gather(at[order])
+        kept, hits, lens = [keys[i] for i in order], hits[at[order]] // 2, self.lens[at[order]]
+        self._clear()
+        self.known = dict(zip(kept, self._append(ids, ends - lens, lens), strict=True))
+        self.key_bytes, self.hits = sum(map(len, kept)), hits
 
     def _append(self, ids: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> range:
         """Entry numbers of slices of ``ids``."""
@@ -130,6 +150,7 @@ class ChunkEncoder:
                 several.append((c, [r.encode() for r in self._RUNS.findall(s.lower())]))
         known = self.known
         new = [r for r in runs.union(*(rs for _, rs in several)) if r not in known]
+        self.key_bytes += sum(map(len, chunks)) + sum(map(len, new))
         known.update(zip(new, self._enter([r.decode() for r in new], self.merger), strict=True))
         several = [(c, rs) for c, rs in several if c not in known]   # runs of one chunk are known by now
         if several:
@@ -147,8 +168,8 @@ class ChunkEncoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [t.lower().split() for t in texts]   # of bytes: ASCII letters only
-        if len(self.known) > CACHE_CHUNKS:
-            self._clear()
+        if self._bytes() > CACHE_BYTES:
+            self._trim()
         chunks = list(itertools.chain.from_iterable(split))
         which = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, count=len(chunks))
         missing = np.nonzero(which < 0)[0]
@@ -156,38 +177,30 @@ class ChunkEncoder:
             new = [chunks[i] for i in missing]
             self._learn(set(new))
             which[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, count=len(new))
+        hits = np.bincount(which, minlength=len(self.starts))
+        hits[:len(self.hits)] += self.hits
+        self.hits = hits
         flat, ends = self._gather(which)
         at = np.concatenate([[0], ends])[np.cumsum([0] + [len(s) for s in split])]
         return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _runs(texts, most: int = RUN_BYTES):
-    """Positions [a, b) of consecutive texts of about ``most`` bytes together."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
            capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): one row per piece of every document."""
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    begin(df.sparkSession)
+    fields = [StructField("id", df.schema[id_col].dataType), StructField("piece", IntegerType()), StructField("start", LongType()),
+              StructField("length", LongType()), StructField("ids_crc32", LongType())]
+    schema = StructType(fields + [StructField("ids", ArrayType(IntegerType()))] * with_ids)
 
     def cut(batches):
         encoder = worker_state(("encoder", tokenizer), lambda: ChunkEncoder(tokenizer))
         end = np.array([end_id], np.uint32)
-        for pdf in batches:
-            texts = [t or b"" for t in pdf["text"]]
-            keys = pdf["id"]
-            for a, b in _runs(texts):
+        for batch in batches:
+            texts = batch.column(1)
+            for a, b in runs(texts):
                 at, no, start, length, crc, out = [], [], [], [], [], []
-                for i, ids in enumerate(encoder.encode(texts[a:b])):
+                for i, ids in enumerate(encoder.encode([t or b"" for t in texts.slice(a, b - a).to_pylist()])):
                     ids = np.concatenate([ids, end]).astype("<u4")
                     for p, s in enumerate(range(0, len(ids), capacity)):
                         part = ids[s:s + capacity]
@@ -198,11 +211,13 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                         crc.append(zlib.crc32(part.tobytes()))
                         if with_ids:
                             out.append(part.astype(np.int32))
-                got = pd.DataFrame({"id": keys.iloc[at].reset_index(drop=True), "piece": np.asarray(no, np.int32),
-                                    "start": start, "length": length, "ids_crc32": crc})
-                yield got.assign(ids=out) if with_ids else got
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInPandas(cut, schema)
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int64()),
+                           pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(np.cumsum([0, *length]).astype(np.int32), np.concatenate(out)))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+    # Ids stay in Arrow, whatever their type, nulls among them.
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary")).mapInArrow(cut, schema)
 
 
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -280,7 +295,9 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
 def _ranks(rows: DataFrame, total: int) -> DataFrame:
     """Adds ``rank``: 0, 1, ... within each length, by bucketed row numbers."""
     buckets = max(1, -(-total // BUCKET_ROWS))
-    rows = stored(rows.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets))), "pack-pieces")
+    # Equal rows too are dealt over all buckets, by their place in the stored pieces.
+    spread = F.xxhash64("id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    rows = stored(rows.withColumn("bucket", F.pmod(spread, F.lit(buckets))), "pack-pieces")
     w = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = (rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
              .select("length", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first")))
@@ -296,19 +313,21 @@ def pack(df: DataFrame, capacity: int = CAPACITY, id_col: str = "id") -> DataFra
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     plan = sorted(pack_counts(counts, capacity))
     table = np.array(plan, np.int64).reshape(-1, 6)
-    cols = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    schema = ", ".join(cols + ["sequence_id long", "offset long"])
+    schema = StructType(rows.schema.fields + [StructField("sequence_id", LongType()), StructField("offset", LongType())])
+
+    names = rows.columns
 
     def lookup(batches):
         # Runs are sorted by (length, first rank): one key finds the run of a piece.
         key = table[:, 0] * (1 << 40) + table[:, 1]
-        for pdf in batches:
-            n, rank = pdf["length"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64)
+        for batch in batches:
+            n, rank = (np.asarray(batch.column(c), np.int64) for c in ("length", "rank"))
             run = table[np.searchsorted(key, n * (1 << 40) + rank, side="right") - 1]
             i, per = rank - run[:, 1], run[:, 5]
-            yield pdf.drop(columns="rank").assign(sequence_id=run[:, 3] + i // per, offset=run[:, 4] + i % per * n)
+            own = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(run[:, 3] + i // per), pa.array(run[:, 4] + i % per * n)], names=schema.names)
     ranked = _ranks(rows, sum(counts.values())).select(*rows.columns, "rank")
-    return ranked.mapInPandas(lookup, schema).withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(lookup, schema).withColumnRenamed("id", id_col)
 
 
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",

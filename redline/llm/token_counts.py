@@ -17,11 +17,12 @@ whole; repeated rows come out once each; an empty table gives no rows; other col
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from redline.llm.common import worker_state
+from redline.llm.common import begin, worker_state
 
 #: Words that a task remembers before it starts afresh (memory bound, no effect on results).
 CACHE_WORDS = 300_000
@@ -117,7 +118,9 @@ def sentencepiece_vocabulary(path: str) -> tuple[str, ...]:
 def token_counts(df: DataFrame, pieces: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text",
                  start: str = "▁", continuation: str = "") -> DataFrame:
     """(id, n_words, n_tokens) of every whole text."""
-    id_type = df.schema[id_col].dataType.simpleString()
+    begin(df.sparkSession)
+    schema = StructType([StructField(id_col, df.schema[id_col].dataType), StructField("n_words", LongType()),
+                         StructField("n_tokens", LongType())])
     prefix = "" if continuation else start
 
     def count(batches):
@@ -128,15 +131,15 @@ def token_counts(df: DataFrame, pieces: tuple[str, ...], id_col: str = "doc_id",
         def lookup(w: bytes) -> int:
             n = known[w] = automaton.count(prefix + w.decode())
             return n
-        for pdf in batches:
-            words, tokens = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            for i, text in enumerate(pdf["text"]):
-                if text:
+        for batch in batches:
+            words, tokens = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for i, value in enumerate(batch.column(1)):
+                if text := value.as_py():
                     ws = text.split()
                     words[i] = len(ws)
                     tokens[i] = sum(known[w] if w in known else lookup(w) for w in ws)
                     if len(known) > CACHE_WORDS:
                         known.clear()
-            yield pd.DataFrame({"id": pdf["id"], "n_words": words, "n_tokens": tokens})
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return (rows.mapInPandas(count, f"id {id_type}, n_words long, n_tokens long").withColumnRenamed("id", id_col))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(tokens)], names=schema.names)
+    # Ids stay in Arrow, whatever their type, nulls among them.
+    return df.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(count, schema)

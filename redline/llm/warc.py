@@ -95,6 +95,14 @@ def _gzip(raw: bytes) -> bytes:
     return c.compress(raw) + c.flush()
 
 
+def _exact(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """The rows as columns; whole numbers stay whole beside nulls."""
+    columns = [c.split() for c in schema.split(", ")]
+    values = zip(*rows, strict=True) if rows else [()] * len(columns)
+    return pd.DataFrame({name: pd.array(v, "Int64") if kind == "long" else pd.Series(v, dtype=object)
+                         for (name, kind), v in zip(columns, values, strict=True)})
+
+
 def _write(batches, folder: str, archive_bytes: int):
     """Rows (id, url, digest, bytes, refers_to, payload) -> index rows."""
     out, name, offset = None, "", 0
@@ -109,15 +117,14 @@ def _write(batches, folder: str, archive_bytes: int):
                     fs, path = _fs(name)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(path, compression=None)
-                page_id = None if pd.isna(r.id) else int(r.id)
-                refers_to = None if pd.isna(r.refers_to) else int(r.refers_to)
+                page_id = None if r.id is None else int(r.id)
+                refers_to = None if r.refers_to is None else int(r.refers_to)
                 data = _gzip(record_bytes(page_id, r.url, r.digest, int(r.bytes), r.payload or b"", refers_to))
                 out.write(data)
                 index.append((name, offset, len(data), r.url, r.digest, page_id, int(r.bytes),
                               "response" if refers_to is None else "revisit", refers_to))
                 offset += len(data)
-            df = pd.DataFrame(index, columns=[c.split()[0] for c in _INDEX.split(", ")])
-            yield df.astype({"id": "Int64", "refers_to": "Int64"})
+            yield _exact(index, _INDEX)
     finally:
         if out is not None:
             out.close()
@@ -141,7 +148,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     revisits = stored(narrow.join(shared.drop("least"), ["digest", "bytes"]).filter(F.col("id") < F.col("refers_to"))
                       .select("id", "digest", "refers_to").distinct(), "warc-revisits")
     records = (rows.join(revisits, ["id", "digest"], "left")
-               .select("id", "url", "digest", "bytes", "refers_to",
+               .select(F.col("id").cast("string"), "url", "digest", "bytes", F.col("refers_to").cast("string"),
                        F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload")))
     return stored(records.mapInPandas(lambda b: _write(b, folder, archive_bytes), _INDEX), "warc-index")
 
@@ -176,8 +183,7 @@ def _read(batches, with_payload: bool):
                 for r in run:
                     rec = parse_record(zlib.decompress(data[r[1] - start:r[1] - start + r[2]], 31))
                     out.append(rec if with_payload else (*rec[:6], None))
-            df = pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
-            yield df.astype({"id": "Int64", "refers_to": "Int64"})
+            yield _exact(out, _RECORD)
     finally:
         if opened is not None:
             opened.close()
