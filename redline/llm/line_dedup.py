@@ -67,27 +67,33 @@ def blanked(text: Column) -> Column:
     return F.when(text.rlike("[\t\x0b\f\r]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
 
 
-def _shingles(h, n: int, every: bool) -> Column:
-    """Distinct hashes of n words in a row, the smallest first; unless every one, those that begin
-    with one word in four, chosen by its hash: the same ones in any copy."""
-    def shingle(w, i):
-        fits = i <= F.size(h) - n
-        return F.when(fits if every else (w.bitwiseAND(3) == 0) & fits, F.xxhash64(w, *[F.get(h, i + j) for j in range(1, n)]))
-    return F.sort_array(F.array_distinct(F.array_compact(F.transform(h, shingle))))
+def _shingle(h, i, n: int) -> Column:
+    return F.when(i <= F.size(h) - n, F.xxhash64(*[F.get(h, i + j) for j in range(n)]))
+
+
+def _smallest(shingles: Column, most: int | None = None) -> Column:
+    some = F.sort_array(F.array_distinct(F.array_compact(shingles)))
+    return some if most is None else F.slice(some, 1, most)
 
 
 def _sketch(h) -> Column:
     """Of a text's word hashes: their number n, norm (their hash), and what tells near copies: the
     smallest three-word shingles s (long texts), the distinct words w (short texts, and the next
-    longer ones that these may be copies of) and the shingles b by which copies meet."""
-    def of(s):
-        short = (F.size(h) <= SHORT) | (F.size(s) < MIN_SAMPLE)
-        every = F.sort_array(F.array_union(_shingles(h, 3, True), _shingles(h, 6, True)))
-        return F.struct(
-            F.size(h).alias("n"), F.xxhash64(h).alias("norm"), short.alias("short"), F.when(~short, s).alias("s"),
-            F.when(short | (F.size(h) <= 2 * SHORT), F.slice(F.sort_array(F.array_distinct(h)), 1, 2 * SHORT)).alias("w"),
-            F.when(short, F.slice(every, 1, 2 * MEET)).otherwise(F.slice(_shingles(h, 6, False), 1, MEET)).alias("b"))
-    return let(F.slice(_shingles(h, 3, False), 1, SKETCH), of)
+    longer ones that these may be copies of) and the shingles b by which copies meet.
+
+    Shingles begin with one word in four, chosen by its hash: the same ones in any copy."""
+    def of(at):
+        three, six = F.transform(at, lambda i: _shingle(h, i, 3)), F.transform(at, lambda i: _shingle(h, i, 6))
+
+        def rest(s):
+            short = (F.size(h) <= SHORT) | (F.size(s) < MIN_SAMPLE)
+            every = _smallest(F.flatten(F.transform(h, lambda w, i: F.array(_shingle(h, i, 3), _shingle(h, i, 6)))), 2 * MEET)
+            return F.struct(
+                F.size(h).alias("n"), F.xxhash64(h).alias("norm"), short.alias("short"), F.when(~short, s).alias("s"),
+                F.when(short | (F.size(h) <= 2 * SHORT), _smallest(h, 2 * SHORT)).alias("w"),
+                F.when(short, every).otherwise(_smallest(six, MEET)).alias("b"))
+        return let(_smallest(three, SKETCH), rest)
+    return let(F.array_compact(F.transform(h, lambda w, i: F.when(w.bitwiseAND(3) == 0, i))), of)
 
 
 def text_table(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -97,14 +103,18 @@ def text_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     tokens = F.transform(F.split(blanked(F.col("text")), "\n"), lambda x, i: F.struct(
         i.alias("no"), F.transform(masked_tokens(x), lambda w: F.xxhash64(w)).alias("h"), x.alias("x")))
 
+    # Bound once: within a lambda, what is named twice is computed twice.
     def line(x):
         h = x["h"]
-        fixed = F.size(F.array_remove(h, F.xxhash64(F.lit(WILD))))
-        sparse = (fixed < F.size(h)) & ((fixed < MIN_CONSTANT) | (fixed < CONSTANT * F.size(h)))
-        plain = F.xxhash64(F.array_remove(F.split(x["x"], " "), ""))
-        return F.struct(x["no"].alias("no"),
-                        F.when(sparse, plain).otherwise(F.xxhash64(F.size(h), F.slice(h, 1, DEPTH))).alias("leaf"),
-                        F.when(sparse, plain).otherwise(F.xxhash64(h)).alias("tmpl"), F.size(h).alias("size"))
+
+        def of(fixed):
+            sparse = (fixed < F.size(h)) & ((fixed < MIN_CONSTANT) | (fixed < CONSTANT * F.size(h)))
+            plain = F.xxhash64(F.array_remove(F.split(x["x"], " "), ""))
+            return F.struct(
+                x["no"].alias("no"), F.size(h).alias("size"),
+                F.when(sparse, let(plain, lambda p: F.struct(p.alias("leaf"), p.alias("tmpl"))))
+                .otherwise(F.struct(F.xxhash64(F.size(h), F.slice(h, 1, DEPTH)).alias("leaf"), F.xxhash64(h).alias("tmpl"))).alias("at"))
+        return let(F.size(F.array_remove(h, F.xxhash64(F.lit(WILD)))), of)
     parts = let(tokens, lambda t: F.struct(
         F.transform(F.filter(t, lambda x: F.size(x["h"]) >= MIN_TOKENS), line).alias("ls"),
         let(F.flatten(t["h"]), _sketch).alias("sk")))
@@ -147,7 +157,8 @@ def line_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     alone = (F.size("ls") == 1) & (rest < MIN_TOKENS)
     return (texts.join(families(texts), F.col("sk.norm") == F.col("node"), "left")
             .select("key", F.coalesce("root", "sk.norm").alias("ctx"), alone.alias("alone"), "ls")
-            .select("key", "ctx", "alone", F.explode("ls").alias("l")).select("key", "ctx", "alone", "l.*"))
+            .select("key", "ctx", "alone", F.explode("ls").alias("l"))
+            .select("key", "ctx", "alone", "l.no", "l.at.leaf", "l.at.tmpl", "l.size"))
 
 
 def _enough() -> Column:
