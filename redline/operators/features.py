@@ -176,58 +176,79 @@ def tfidf_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 # ---- F9 / F10 -----------------------------------------------------------------------------------
 
-def _vectors(df: DataFrame, col: str):
-    from pyspark.ml.functions import array_to_vector
-    return df.withColumn("_v", array_to_vector(F.col(col).cast("array<double>")))
-
-
-def pca(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding"):
-    """Project onto min(k, d) principal components.  Returns (projected rows, explained variance
-    ratio rows).  The covariance is a distributed aggregate; only the d x d matrix meets the driver."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import vector_to_array
-    v = _vectors(df, col)
-    d = len(v.select(col).first()[0])
-    model = PCA(k=min(k, d), inputCol="_v", outputCol="_p").fit(v)
-    proj = model.transform(v).select(id_col, vector_to_array("_p").alias("components"))
-    ev = df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(model.explainedVariance.toArray())],
-                                         "component int, explained_variance_ratio double")
-    return proj, ev
-
-
-def _gram_parts(batches, col: str):
-    """Per batch the products of all pairs of components, summed: rows (i, values of row i)."""
+def _moment_parts(batches, col: str):
+    """Per batch the sums of products of all pairs of (1, components): rows (i, values of row i)."""
     import numpy as np
     import pandas as pd
     for pdf in batches:
         if len(pdf):
-            m = np.stack([np.asarray(v, float) for v in pdf[col]])
+            m = np.stack([np.append(1.0, np.asarray(v, float)) for v in pdf[col]])
             g = m.T @ m
             yield pd.DataFrame({"i": range(len(g)), "g": list(g)})
 
 
-def svd(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding"):
-    """Truncated SVD (no centering): rows projected onto the top min(k, d) right singular vectors,
-    i.e. U * S, and the singular values.  Each task sums its batches' d x d Gram matrices, Spark
-    sums those, and only the d x d matrix meets the driver.  A vector's largest component is
-    positive, which fixes its sign."""
+def _moments(df: DataFrame, col: str):
+    """(n, sums, products) of the vectors: each task sums its batches' matrices, Spark sums those, and
+    only (d + 1) x (d + 1) cells meet the driver.  Null vectors, and vectors with a null, are left out."""
     import numpy as np
-    arr = F.col(col).cast("array<double>")
-    parts = df.select(arr.alias(col)).mapInPandas(lambda b: _gram_parts(b, col), "i int, g array<double>")
-    cells = (parts.select("i", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))).collect()
-    dim = max(r["i"] for r in cells) + 1   # d x d cells, whatever the number of rows
-    gram = np.zeros((dim, dim))
+    whole = F.col(col).isNotNull() & ~F.exists(col, lambda x: x.isNull())
+    parts = (df.where(whole).select(F.col(col).cast("array<double>").alias(col))
+             .mapInPandas(lambda b: _moment_parts(b, col), "i int, g array<double>"))
+    cells = parts.select("i", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    dim = max((r["i"] for r in cells), default=0) + 1
+    m = np.zeros((dim, dim))
     for r in cells:
-        gram[r["i"], r["j"]] = r["v"]
-    values, vectors = np.linalg.eigh(gram)
-    top = np.argsort(-values, kind="stable")[:min(k, dim)]
-    vt = vectors[:, top]
-    vt = vt * np.sign(vt[np.abs(vt).argmax(axis=0), np.arange(vt.shape[1])])
+        m[r["i"], r["j"]] = r["v"]
+    return m[0, 0], m[0, 1:], m[1:, 1:]
+
+
+def _axes(matrix, k: int):
+    """(values, vectors) of the k largest eigenvalues; a vector's largest component is positive."""
+    import numpy as np
+    if not len(matrix):
+        return np.zeros(0), np.zeros((0, 0))
+    values, vectors = np.linalg.eigh(matrix)
+    top = np.argsort(-values, kind="stable")[:min(k, len(matrix))]
+    v = vectors[:, top]
+    return np.maximum(values[top], 0), v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+
+
+def _projected(df: DataFrame, id_col: str, col: str, vectors, shift) -> DataFrame:
+    """(id, components): the products with the columns of ``vectors``, less ``shift``; a vector that is
+    null or holds a null has null components."""
+    arr = F.col(col).cast("array<double>")
     comps = []
-    for j in range(vt.shape[1]):
-        basis = F.array(*[F.lit(float(x)) for x in vt[:, j]])
-        comps.append(F.aggregate(F.zip_with(arr, basis, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x))
-    return df.select(id_col, F.array(*comps).alias("components")), np.sqrt(np.maximum(values[top], 0))
+    for j in range(vectors.shape[1]):
+        basis = F.array(*[F.lit(float(x)) for x in vectors[:, j]])
+        dot = F.aggregate(F.zip_with(arr, basis, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+        comps.append(dot - F.lit(float(shift[j])))
+    out = F.array(*comps) if comps else F.array().cast("array<double>")
+    return df.select(id_col, F.when(~F.exists(col, lambda x: x.isNull()), out).alias("components"))
+
+
+def pca(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding"):
+    """(projected rows, explained variance ratio rows): centred vectors on min(k, d) principal components.
+
+    Mean and covariance come from one distributed pass; only d x d numbers meet the driver.  An empty
+    table has no rows and no ratios, vectors without any variance have ratios of 0."""
+    import numpy as np
+    n, sums, products = _moments(df, col)
+    mean = sums / max(n, 1.0)
+    cov = (products - n * np.outer(mean, mean)) / max(n - 1, 1.0)
+    values, vectors = _axes(cov, k)
+    total = np.trace(cov)
+    ev = df.sparkSession.createDataFrame([(i, float(x / total) if total > 0 else 0.0) for i, x in enumerate(values)],
+                                         "component int, explained_variance_ratio double")
+    return _projected(df, id_col, col, vectors, mean @ vectors if len(mean) else []), ev
+
+
+def svd(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding"):
+    """Truncated SVD (no centering): rows projected onto the top min(k, d) right singular vectors,
+    i.e. U * S, and the singular values.  An empty table has no rows and no values."""
+    import numpy as np
+    _, _, products = _moments(df, col)
+    values, vectors = _axes(products, k)
+    return _projected(df, id_col, col, vectors, np.zeros(len(values))), np.sqrt(values)
 
 
 def reduce_dimensions(df: DataFrame, method: str = "pca", k: int = 100, **kw):

@@ -220,19 +220,31 @@ def truncate_tokens(df: DataFrame, text_col: str = "text", max_length: int = 512
 
 
 SEQUENCE_BUCKET_ROWS = 250_000
+#: At most so many cut points, each from so many sampled rows.
+MAX_CUTS, SAMPLES_PER_CUT = 1024, 64
 
 
-def _order_number(df: DataFrame, col: str) -> Column:
-    """A number that never falls as the column rises (nulls first): the column itself, its
-    microseconds, or the code points of a string's first two characters."""
-    t = df.schema[col].dataType.typeName()
-    c = F.col(col)
-    if t in ("timestamp", "timestamp_ntz", "date"):
-        days = F.datediff(F.to_date(c), F.lit("1970-01-01")).cast("double") * 86_400
-        return days if t == "date" else days + F.hour(c) * 3_600 + F.minute(c) * 60 + F.second(c)
-    if t == "string":
-        return F.ascii(F.substring(c, 1, 1)) * F.lit(float(1 << 21)) + F.ascii(F.substring(c, 2, 1))
-    return c.cast("double")
+def cut_points(df: DataFrame, order_cols: list, n: int, steps: int) -> Column:
+    """Up to ``steps`` - 1 values of (order_cols) that cut the rows into parts of about equal number, as a
+    sorted array of literals: quantiles of rows sampled by the hash of their values, so the same rows always
+    give the same cuts.  About MAX_CUTS * SAMPLES_PER_CUT values at most meet in one task."""
+    every = max(1, n // (steps * SAMPLES_PER_CUT))
+    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)])
+    some = df.where(F.pmod(F.xxhash64(*order_cols), F.lit(every)) == 0).agg(F.sort_array(F.collect_list(key)).alias("s"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(steps - 1)), lambda j: F.floor(j * F.size("s") / steps).cast("int"))
+    cuts = F.transform(at, lambda i: F.get("s", i))
+    found = some.select(F.array_distinct(F.array_compact(cuts)).alias("c")).first()["c"]
+    types = [df.schema[c].dataType for c in order_cols]
+    return F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(cut, types, strict=True))])
+                     for cut in found])
+
+
+def cut_bucket(cuts: Column, order_cols: list, steps: int) -> Column:
+    """The number of cuts that are not above the row's values, by binary search in the row."""
+    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)])
+    halves = [1 << k for k in reversed(range(steps.bit_length()))]
+    return F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), lambda lo, h: F.when(
+        (lo + h <= F.size(cuts)) & (F.get(cuts, lo + h - 1) <= key), lo + h).otherwise(lo))
 
 
 def sequence_within(df: DataFrame, group_cols: list, order_cols: list, name: str = "seq",
@@ -240,19 +252,18 @@ def sequence_within(df: DataFrame, group_cols: list, order_cols: list, name: str
     """0-based position of each row within its group in (order_cols) order, without a window over
     the whole group.
 
-    The range of the first order column is cut into equal steps, fixed as literals, so that a row's
-    bucket is a function of the row alone: nothing depends on partition ids, and a partition that
-    is computed again gives the same result.  Rows are numbered inside (group, bucket) and the
-    bucket's first position comes from the (group, bucket) counts.  A hot group spreads over its
-    buckets.  All columns pass through; (group, order) must be unique."""
-    x = _order_number(df, order_cols[0])
-    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-    lo, hi, n = df.agg(F.min(finite), F.max(finite), F.count(F.lit(1))).first()
-    steps = max(1, -(-n // bucket_rows))
-    width = ((hi - lo) / steps if n and lo is not None else 0.0) or 1.0
-    bucket = (F.when(x.isNull(), -1).when(F.isnan(x), steps + 1)
-              .otherwise(F.least(F.greatest(F.floor((x - F.lit(lo or 0.0)) / F.lit(width)), F.lit(0)), F.lit(steps))))
-    b = df.withColumn("_b", bucket.cast("bigint"))
+    Rows are dealt to buckets between cut points of the order columns, whatever their types (nulls
+    first): a row's bucket follows from its values and the table's, nothing depends on partition ids.
+    Cuts follow the data, so long common prefixes and skewed numbers spread over all buckets.  Rows
+    are numbered inside (group, bucket) and the bucket's first position comes from the (group, bucket)
+    counts; a hot group spreads over its buckets.  All columns pass through; (group, order) must be
+    unique."""
+    n = df.count()
+    steps = min(MAX_CUTS, max(1, -(-n // bucket_rows)))
+    if steps == 1:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+    b = df.withColumn("_b", cut_bucket(cut_points(df, order_cols, n, steps), order_cols, steps))
     keys = [f"_g{i}" for i in range(len(group_cols))]
     counts = b.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n")).toDF(*keys, "_ob", "_n")
     before = Window.partitionBy(*keys).orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)

@@ -234,14 +234,15 @@ def parse_comments_flat(df: DataFrame, id_col: str = "project_id", text_col: str
             .withColumn("has_section_refs", F.size("refs") > 0))
 
 
-def quality_filter(comments: DataFrame, sections: DataFrame, id_col: str = "project_id",
+def quality_filter(comments: DataFrame, sections: DataFrame, key=("review_id", "comment_idx"), project_col: str = "project",
                    min_comment: int = 10, max_comment: int = 5000, min_section: int = 20) -> DataFrame:
     """Declared quality limits: comment length within [10, 5000], and every reference must resolve
-    to a section of at least 20 characters in the same project."""
+    to a section of at least 20 characters in the comment's project.  ``key`` names one comment."""
+    key = list(key)
     ok_sections = (sections.where(F.length("section_text") >= min_section)
-                   .select(F.col("project").alias(id_col), F.col("section_num").alias("ref")))
+                   .select(F.col("project").alias(project_col), F.col("section_num").alias("ref")).distinct())
     c = comments.where((F.length("comment") >= min_comment) & (F.length("comment") <= max_comment)
                        & (F.length(F.trim("comment")) > 0))
-    refs = c.select(id_col, "comment_idx", F.explode("refs").alias("ref"))
-    bad = refs.join(ok_sections, [id_col, "ref"], "left_anti").select(id_col, "comment_idx").distinct()
-    return c.join(bad, [id_col, "comment_idx"], "left_anti")
+    refs = c.select(*key, project_col, F.explode("refs").alias("ref"))
+    bad = refs.join(ok_sections, [project_col, "ref"], "left_anti").select(*key).distinct()
+    return c.join(bad, key, "left_anti")

@@ -1,7 +1,7 @@
 """Queries: sections, comments, projects.
 
-The DuckDB oracle cannot run lookahead regexes.  In ``sectioned_docs`` every line starts with its
-own number, so each pattern's lookahead ends a match at the end of the line: the oracle searches
+The DuckDB oracle cannot run lookahead regexes.  In ``sectioned_docs`` every line is a numbered
+sentence without another full stop, so each pattern's lookahead ends a match at the end of the line: the oracle searches
 line by line, pattern by pattern, and applies the same dict semantics."""
 
 from __future__ import annotations
@@ -211,7 +211,7 @@ WHERE length(comment) BETWEEN 10 AND 5000 AND length(trim(comment)) > 0
                                     AND s.section_num = r.ref AND length(s.section_text) >= 20))""")
 def quality_filter_q(spark, sf):
     c = comments_df(spark, sf)
-    out = X.quality_filter(c, project_sections_df(spark, sf), id_col="project")
+    out = X.quality_filter(c, project_sections_df(spark, sf))
     return out.select("review_id", "comment_idx", "comment", F.array_join("refs", "|").alias("refs"))
 
 

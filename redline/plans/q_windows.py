@@ -103,6 +103,9 @@ UNION ALL
 SELECT 'comment_file', contract_file_id, CAST(count(*) AS BIGINT) FROM review_comments
 WHERE contract_file_id NOT IN (SELECT id FROM contract_files) GROUP BY 2
 UNION ALL
+SELECT 'comment_processed_file', contract_file_id, CAST(count(*) AS BIGINT) FROM review_comments
+WHERE contract_file_id NOT IN (SELECT id FROM contract_files WHERE processed) GROUP BY 2
+UNION ALL
 SELECT 'label_doc', CAST(doc_id AS VARCHAR), CAST(count(*) AS BIGINT) FROM labels
 WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents) GROUP BY 2
 UNION ALL
@@ -113,6 +116,9 @@ def orphan_check_q(spark, sf):
     return W.orphans([
         ("template_firm", V.contract_templates(spark, sf), "law_firm_id", V.law_firms(spark, sf), "id"),
         ("comment_file", V.review_comments(spark, sf), "contract_file_id", V.contract_files(spark, sf), "id"),
+        # Comments on files that have not been processed: this relation does have orphans.
+        ("comment_processed_file", V.review_comments(spark, sf), "contract_file_id",
+         V.contract_files(spark, sf).where("processed"), "id"),
         ("label_doc", table(spark, sf, "labels", "doc_id"), "doc_id", table(spark, sf, "documents", "doc_id"), "doc_id"),
         ("event_user", table(spark, sf, "events", "user_id"), "user_id", table(spark, sf, "customer", "c_custkey"),
          "c_custkey"),

@@ -73,9 +73,12 @@ def contract_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sectioned_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document line, as it is, with a `1.<line no> ` prefix."""
+    """Each sentence as a numbered paragraph, ten to a chapter; chapter numbers start again after five,
+    so numbers repeat within long documents and between the files of a project.  Full stops become the
+    paragraph breaks, line feeds blanks; nothing else is changed."""
     d = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    body = F.expr("array_join(transform(split(text, '\\n'), (l, i) -> concat('1.', CAST(i + 1 AS STRING), ' ', l)), '\\n')")
+    body = F.expr("""array_join(transform(filter(split(translate(text, '\\n', ' '), '[.]'), s -> trim(s) <> ''),
+        (s, i) -> concat(CAST(i div 10 % 5 + 1 AS STRING), '.', CAST(i % 10 + 1 AS STRING), ' ', s)), '\\n')""")
     return d.select("doc_id", F.col("source").alias("project"), body.alias("text"))
 
 
@@ -156,9 +159,9 @@ def loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviewer documents with their project: conversation c belongs to the project (source) of
-    document c, or to 'unassigned' without such a document."""
+    """Reviewer documents with their project: conversation c reviews document c, or of each four the
+    second and third the first one's; without such a document its project is 'unassigned'."""
     d = table(spark, sf_dir, "documents", "doc_id", "source")
     c = comment_docs(spark, sf_dir)
-    return (c.join(d, c["project_id"] == d["doc_id"], "left")
+    return (c.join(d, c["project_id"] - c["project_id"] % 4 % 3 == d["doc_id"], "left")
             .select(F.coalesce("source", F.lit("unassigned")).alias("project"), F.col("project_id").alias("review_id"), "text"))

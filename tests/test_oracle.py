@@ -53,7 +53,7 @@ def test_svd_and_pca_equal_numpy(spark, sf):
     c = m - m.mean(axis=0)
     _, s, vt = np.linalg.svd(c, full_matrices=False)
     proj = {r.vec_id: r.components for r in QUERIES["pca"](spark, sf).collect()}
-    assert np.allclose(np.abs([proj[i] for i in ids]), np.abs(m @ vt[:8].T), atol=1e-6)
+    assert np.allclose(np.abs([proj[i] for i in ids]), np.abs(c @ vt[:8].T), atol=1e-6)
     ratio = [r.explained_variance_ratio for r in QUERIES["pca_explained_variance"](spark, sf).orderBy("component").collect()]
     assert np.allclose(ratio, (s ** 2 / (s ** 2).sum())[:8], atol=1e-9)
 
@@ -63,3 +63,22 @@ def test_entry_smoke(spark):
     assert df.columns == ["contract_id", "law_firm_id", "contract_type", "n_comparisons", "total_differences",
                           "max_differences"]
     assert all(r.max_differences <= r.total_differences for r in df.collect())
+
+
+def test_pca_and_svd_of_few_null_and_no_vectors(spark):
+    from redline.operators import features as FE
+    df = spark.createDataFrame([(1, [1.0, 5.0]), (2, [3.0, 5.0]), (3, None), (4, [None, 1.0])], "vec_id long, embedding array<float>")
+    proj, ev = FE.pca(df, 8)
+    # Centre (2, 5): one axis holds all variance.
+    got = {r.vec_id: r.components for r in proj.collect()}
+    assert [abs(round(x, 9)) for x in got[1]] == [1, 0] and got[1][0] == -got[2][0] and got[3] is None and got[4] is None
+    assert [round(r.explained_variance_ratio, 9) for r in ev.orderBy("component").collect()] == [1, 0]
+    rows, values = FE.svd(df, 1)
+    assert len(values) == 1 and {r.vec_id for r in rows.collect() if r.components is None} == {3, 4}
+    for empty in (df.limit(0), df.where("vec_id = 3")):
+        proj, ev = FE.pca(empty, 8)
+        assert ev.count() == 0 and proj.count() == empty.count()
+        rows, values = FE.svd(empty, 8)
+        assert not len(values) and rows.count() == empty.count()
+    one, ev = FE.pca(df.limit(1), 2)
+    assert one.first().components == [0, 0] and [r.explained_variance_ratio for r in ev.collect()] == [0, 0]
