@@ -40,14 +40,14 @@ def keyword_anchors(firms: DataFrame) -> DataFrame:
         F.when(F.col("_t").isNull(), gram).otherwise(0).alias("gram"))
 
 
-def _text_grams(low: Column) -> Column:
-    """Distinct character grams of 1..GRAM characters."""
+def _text_grams(low: Column, lengths: list[int]) -> Column:
+    """Distinct character grams of the given lengths."""
     n = F.length(low)
 
     def grams(k: int) -> Column:
         at = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.substring(low, i, F.lit(k)))
-    return F.array_distinct(F.concat(*[grams(k) for k in range(1, GRAM + 1)]))
+    return F.array_distinct(F.concat(*[grams(k) for k in lengths]))
 
 
 def firm_hits(docs: DataFrame, firms: DataFrame, id_col: str = "id", text_col: str = "extracted_text") -> DataFrame:
@@ -56,10 +56,14 @@ def firm_hits(docs: DataFrame, firms: DataFrame, id_col: str = "id", text_col: s
     anchors = keyword_anchors(firms)
     tokens = d.select("_id", F.explode(F.array_distinct(F.split("_low", SEPARATORS))).alias("anchor"))
     by_token = tokens.join(anchors.where("gram = 0"), "anchor")
-    grams = d.select("_id", F.explode(_text_grams(F.col("_low"))).alias("anchor"))
-    by_gram = grams.join(anchors.where("gram > 0"), "anchor")
     cols = ["_id", "firm_rank", "firm_id", "firm_name", "kw_lower"]
-    pairs = by_token.select(*cols).unionByName(by_gram.select(*cols)).withColumnRenamed("_id", "_hit_id")
+    pairs = by_token.select(*cols)
+    # Grams only of the lengths that some keyword needs (at most GRAM rows), none if none does.
+    lengths = sorted(r["gram"] for r in anchors.where("gram > 0").select("gram").distinct().collect())
+    if lengths:
+        grams = d.select("_id", F.explode(_text_grams(F.col("_low"), lengths)).alias("anchor"))
+        pairs = pairs.unionByName(grams.join(anchors.where("gram > 0"), "anchor").select(*cols))
+    pairs = pairs.withColumnRenamed("_id", "_hit_id")
     held = d.join(pairs, F.col("_id") == F.col("_hit_id")).where(F.instr(F.col("_low"), F.col("kw_lower")) > 0)
     return held.select("_id", "firm_rank", "firm_id", "firm_name").distinct()
 

@@ -1,22 +1,23 @@
 """Text features (F1-F11): statistics, linguistic ratios, tokens, n-grams, counts, TF-IDF, PCA/SVD.
 
-Term features are kept in long form ``(doc, term, value)``: sparse, shuffled and spilled by
-Spark, never densified.  Texts are tokenised once into (doc, term, count); the vocabulary is a
-top-k over those rows (a bounded TakeOrdered) and reaches them again by a broadcast join of at most
-``max_features`` rows.  TF-IDF normalisation is a window over one document's terms.
+Term features are sparse.  Texts are tokenised once; the vocabulary is a top-k over summed counts
+(one exchange, a bounded TakeOrdered) and is broadcast (at most ``max_features`` terms) to where the
+documents are: counts, weights and norms are made within a document's row.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redline.functions.stopwords import ENGLISH
 from redline.functions.text import WS, word_tokens
 from redline.operators.text import py_strip
+from redline.session import materialize
 
 WS_INNER = WS[1:-1]
 # Fixed values of the reference's readability formula.
@@ -84,7 +85,7 @@ def remove_stop_words(df: DataFrame, in_col: str, out_col: str, stop_words=None)
 def preprocess(df: DataFrame, text_col: str = "text", stop_words=None) -> DataFrame:
     """lower-case, drop every char that is not an ASCII letter or whitespace, whitespace tokens,
     stop words removed -> `tokens` array and the space-joined `processed` text."""
-    cleaned = F.regexp_replace(F.lower(text_col), "[^a-zA-Z" + WS_INNER + "]", "")
+    cleaned = F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), "[^a-zA-Z" + WS_INNER + "]", "")
     t = df.withColumn("_raw", word_tokens(cleaned))
     t = remove_stop_words(t, "_raw", "tokens", stop_words).drop("_raw")
     return t.withColumn("processed", F.array_join("tokens", " "))
@@ -115,12 +116,12 @@ def analyzer_tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(TOKEN_RX), F.lit(0))
 
 
-def ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: int = 1, hi: int = 2,
-           stop_words=None) -> DataFrame:
-    """Word n-grams (lo..hi) after stop-word removal, as rows (id, term).  n >= 2 uses Spark ML's
-    compiled NGram transformer."""
+def term_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: int = 1, hi: int = 2,
+                stop_words=None) -> DataFrame:
+    """(id, terms): the word n-grams (lo..hi) of each text after stop-word removal.  n >= 2 uses Spark
+    ML's compiled NGram transformer."""
     from pyspark.ml.feature import NGram
-    t = remove_stop_words(df.select(id_col, analyzer_tokens(text_col).alias("_tok")), "_tok", "_t", stop_words)
+    t = remove_stop_words(df.select(id_col, analyzer_tokens(F.coalesce(text_col, F.lit(""))).alias("_tok")), "_tok", "_t", stop_words)
     cols = []
     for n in range(lo, hi + 1):
         if n == 1:
@@ -128,32 +129,82 @@ def ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: in
         else:
             t = NGram(n=n, inputCol="_t", outputCol=f"_g{n}").transform(t)
             cols.append(F.col(f"_g{n}"))
-    return t.select(id_col, F.explode(F.concat(*cols)).alias("term"))
+    return t.select(id_col, F.concat(*cols).alias("terms"))
 
 
-# ---- F6 / F7 / F8 -------------------------------------------------------------------------------
+def ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: int = 1, hi: int = 2,
+           stop_words=None) -> DataFrame:
+    """Word n-grams (lo..hi) after stop-word removal, as rows (id, term)."""
+    return term_arrays(df, id_col, text_col, lo, hi, stop_words).select(id_col, F.explode("terms").alias("term"))
 
-def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram=(1, 2),
-                stop_words=None) -> DataFrame:
-    """(id, term, count): the one tokenising pass.  A document is one row, so the map-side combine
-    already counts it whole."""
-    return (ngrams(df, id_col, text_col, ngram[0], ngram[1], stop_words).groupBy(id_col, "term")
-            .agg(F.count(F.lit(1)).cast("bigint").alias("count")))
 
+# ---- F6 / F7 / F8 -------------------------------------------------------------------------------
 
-def vocabulary(counts: DataFrame, max_features: int = 1000) -> DataFrame:
-    """(term, tf, df): the `max_features` most frequent terms of the corpus (ties: term ascending),
-    a bounded TakeOrdered over the summed counts."""
-    freq = counts.groupBy("term").agg(F.sum("count").alias("tf"), F.count(F.lit(1)).alias("df"))
-    return freq.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
+def vocabulary(terms: DataFrame, max_features: int = 1000) -> list[str]:
+    """The `max_features` most frequent terms of the corpus (ties: term ascending): the one exchange,
+    of counts summed in the tasks, and a bounded TakeOrdered."""
+    freq = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    return [r["term"] for r in freq.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features).collect()]
+
+
+class TermVectors:
+    """The counted vocabulary terms of each document, in its row: (id, v) with v a sparse vector.
+
+    A document is one row, so nothing but the vocabulary is shuffled; Spark ML's count vectoriser,
+    with the vocabulary broadcast, counts within the row."""
+
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_features: int = 1000,
+                 ngram=(1, 2), stop_words=None):
+        from pyspark.ml.feature import CountVectorizerModel
+        terms = materialize(term_arrays(df, id_col, text_col, ngram[0], ngram[1], stop_words))
+        self.id_col, self.ids, self.n_docs = id_col, df.select(id_col), df.count()
+        self.terms = vocabulary(terms, max_features)
+        if self.terms:
+            model = CountVectorizerModel.from_vocabulary(self.terms, inputCol="terms", outputCol="_cv")
+            self.rows = model.transform(terms).select(id_col, F.col("_cv"))
+        else:   # no text holds a term
+            self.rows = None
+
+    def _long(self, value, name: str, kind: str) -> DataFrame:
+        """(id, term, value of (index, count, whole vector)) rows."""
+        if self.rows is None:
+            return self._none(name, kind)
+        v = F.unwrap_udt("_cv")
+        entries = F.arrays_zip(v["indices"].alias("i"), v["values"].alias("n"))
+        x = self.rows.select(self.id_col, value(entries).alias("_e")).select(self.id_col, F.explode("_e").alias("_e"))
+        words = F.array(*[F.lit(t) for t in self.terms])
+        return x.select(self.id_col, F.get(words, F.col("_e.i")).alias("term"), F.col("_e.x").cast(kind).alias(name))
+
+    def _none(self, name: str, kind: str) -> DataFrame:
+        return self.ids.select(self.id_col, F.lit("").alias("term"), F.lit(0).cast(kind).alias(name)).limit(0)
+
+    def counts(self) -> DataFrame:
+        """(id, term, count)"""
+        return self._long(lambda e: F.transform(e, lambda x: F.struct(x["i"].alias("i"), x["n"].alias("x"))), "count", "bigint")
+
+    def tfidf(self) -> DataFrame:
+        """(id, term, tfidf): smoothed idf = ln((1 + n) / (1 + df)) + 1, times the count, L2-normalised
+        within the row.  Document frequencies are one tree-aggregated vector."""
+        if self.rows is None:
+            return self._none("tfidf", "double")
+        from pyspark.ml.stat import Summarizer
+        df = self.rows.select(Summarizer.numNonZeros(F.col("_cv")).alias("n")).first()["n"]
+        idf = F.array(*[F.lit(math.log((1 + self.n_docs) / (1 + x)) + 1) for x in df])
+
+        def weighted(entries):
+            x = F.transform(entries, lambda e: F.struct(e["i"].alias("i"), (e["n"] * F.get(idf, e["i"])).alias("x")))
+            # The products and their norm are bound once per document.
+            bound = F.transform(F.array(x), lambda w: F.struct(
+                w.alias("w"), F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, y: s + y["x"] * y["x"])).alias("norm")))
+            return F.transform(bound, lambda b: F.transform(b["w"], lambda e: F.struct(
+                e["i"].alias("i"), F.round(e["x"] / b["norm"], 6).alias("x"))))[0]
+        return self._long(weighted, "tfidf", "double")
 
 
 def count_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_features: int = 1000,
                    ngram=(1, 2), stop_words=None) -> DataFrame:
-    """(id, term, count) for vocabulary terms; the vocabulary (at most max_features rows) is
-    broadcast to the same counts that it is taken from, whose exchange is reused."""
-    counts = term_counts(df, id_col, text_col, ngram, stop_words)
-    return counts.join(F.broadcast(vocabulary(counts, max_features).select("term")), "term").select(id_col, "term", "count")
+    """(id, term, count) for vocabulary terms; one row of `df` per document."""
+    return TermVectors(df, id_col, text_col, max_features, ngram, stop_words).counts()
 
 
 def binary_features(counts: DataFrame) -> DataFrame:
@@ -162,16 +213,8 @@ def binary_features(counts: DataFrame) -> DataFrame:
 
 def tfidf_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_features: int = 1000,
                    ngram=(1, 2), stop_words=None) -> DataFrame:
-    """Smoothed idf = ln((1 + n) / (1 + df)) + 1, times the raw count, L2-normalised per document
-    (one row of `df` per document).  Term and document frequencies come from the same counted
-    rows; idf travels with the broadcast vocabulary."""
-    counts = term_counts(df, id_col, text_col, ngram, stop_words)
-    # Corpus size as a scalar subquery: evaluated once, no join.
-    n_docs = df.agg(F.count(F.lit(1)).alias("n_docs")).scalar()
-    idf = vocabulary(counts, max_features).select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    x = counts.join(F.broadcast(idf), "term").withColumn("_x", F.col("count") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(id_col)))
-    return x.select(id_col, "term", F.round(F.col("_x") / norm, 6).alias("tfidf"))
+    """(id, term, tfidf) for vocabulary terms; one row of `df` per document."""
+    return TermVectors(df, id_col, text_col, max_features, ngram, stop_words).tfidf()
 
 
 # ---- F9 / F10 -----------------------------------------------------------------------------------
@@ -268,13 +311,13 @@ def extract_features(df: DataFrame, types=("tfidf", "statistical", "linguistic")
     the preprocessed text (F3), statistics and ratios the raw one."""
     parts = []
     clean = preprocess(df.select(id_col, text_col), text_col, stop_words).select(id_col, F.col("processed").alias(text_col))
+    # One vocabulary and one counting pass for both term families.
+    vectors = TermVectors(clean, id_col, text_col, max_features, ngram, stop_words) if {"tfidf", "count"} & set(types) else None
     if "tfidf" in types:
-        t = tfidf_features(clean, id_col, text_col, max_features, ngram, stop_words)
-        parts.append(t.select(id_col, F.concat(F.lit("tfidf_"), "term").alias("feature"), F.col("tfidf").alias("value")))
+        parts.append(vectors.tfidf().select(id_col, F.concat(F.lit("tfidf_"), "term").alias("feature"), F.col("tfidf").alias("value")))
     if "count" in types:
-        c = count_features(clean, id_col, text_col, max_features, ngram, stop_words)
-        parts.append(c.select(id_col, F.concat(F.lit("count_"), "term").alias("feature"),
-                              F.col("count").cast("double").alias("value")))
+        parts.append(vectors.counts().select(id_col, F.concat(F.lit("count_"), "term").alias("feature"),
+                                             F.col("count").cast("double").alias("value")))
     if "statistical" in types:
         s = stat_features(df.select(id_col, text_col), text_col)
         names = [c for c in s.columns if c != id_col]

@@ -82,3 +82,16 @@ def test_pca_and_svd_of_few_null_and_no_vectors(spark):
         assert not len(values) and rows.count() == empty.count()
     one, ev = FE.pca(df.limit(1), 2)
     assert one.first().components == [0, 0] and [r.explained_variance_ratio for r in ev.collect()] == [0, 0]
+
+
+def test_term_features_of_null_and_wordless_texts(spark):
+    from redline.operators import features as FE
+    df = spark.createDataFrame([(1, "alpha beta beta"), (2, None), (3, ""), (4, "a I 1")], "doc_id long, text string")
+    assert {(r.doc_id, r.term, r["count"]) for r in FE.count_features(df).collect()} == {
+        (1, "alpha", 1), (1, "beta", 2), (1, "alpha beta", 1), (1, "beta beta", 1)}
+    assert {r.term: r.tfidf for r in FE.tfidf_features(df).collect()} == {"alpha": 0.377964, "beta": 0.755929,
+                                                                            "alpha beta": 0.377964, "beta beta": 0.377964}
+    for none in (df.where("doc_id > 1"), df.limit(0)):
+        for out in (FE.count_features(none), FE.tfidf_features(none)):
+            assert out.count() == 0 and out.columns[:2] == ["doc_id", "term"]
+    assert {r.term for r in FE.count_features(df, max_features=1).collect()} == {"beta"}
