@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redline.operators import compare as C
+from redline.operators import ordered_diff as OD
 from redline.operators.detect import detect_firm
 from redline.plans.registry import query
 from redline.plans.views_sql import with_views
@@ -111,3 +112,30 @@ FROM (SELECT *, row_number() OVER (PARTITION BY law_firm_id ORDER BY created_at,
 WHERE rn = 1 AND length(trim(content)) > 0""", "contract_templates"))
 def legal_comments_pick_q(spark, sf):
     return C.legal_comments(V.contract_templates(spark, sf))
+
+
+# ---- ordered differences (a longest common subsequence has no SQL form; see tests) -----------------
+
+def _script(spark, sf):
+    cf, tpl, pairs = _base(spark, sf)
+    return OD.edit_script(pairs, cf.select("id", "extracted_text"), tpl.select("id", "content"))
+
+
+@query("edit_script")
+def edit_script_q(spark, sf):
+    return _script(spark, sf)
+
+
+@query("template_diff")
+def template_diff_q(spark, sf):
+    return OD.template_diff(_script(spark, sf))
+
+
+@query("diff_hunks")
+def diff_hunks_q(spark, sf):
+    return OD.hunks(materialize(_script(spark, sf)))
+
+
+@query("diff_by_line")
+def diff_by_line_q(spark, sf):
+    return OD.diff_by_line(OD.template_diff(_script(spark, sf)))
