@@ -21,6 +21,7 @@ from redline.plans.views_sql import with_views
 from redline.sources import files as S
 from redline.sources import views as V
 from redline.sources.scratch import scratch_path
+from redline.sources.store import BucketTable
 from redline.sources.tables import table
 from redline.streaming import jobs as ST
 
@@ -129,6 +130,9 @@ def stream_status_counts_q(spark, sf):
     return spark.read.parquet(out)
 
 
+LATEST_BUCKETS = 16
+
+
 @query("stream_latest_job", with_views("""
 SELECT job_id, arg_max(step, step) AS step, arg_max(metric, step) AS metric, arg_max(value, step) AS value,
        arg_max(ts, step) AS ts, arg_max(status, step) AS status
@@ -137,9 +141,6 @@ def stream_latest_job_q(spark, sf):
     log = V.loss_log(spark, sf)
     src = scratch_path(spark, "jobs-in")
     log.write.mode("overwrite").parquet(src)
-    out, ck = scratch_path(spark, "jobs-out"), scratch_path(spark, "jobs-ck")
-    s = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (ST.latest_state(s).writeStream.outputMode("update").foreachBatch(ST.snapshot_merge_writer(out))
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return ST.read_latest_snapshot(spark, out).select("job_id", "step", "metric", "value", "ts", "status")
+    store = BucketTable(spark, scratch_path(spark, "jobs-latest"), log.schema, "job_id", LATEST_BUCKETS)
+    ST.stream_latest(spark, src, log.schema, store, scratch_path(spark, "jobs-ck"), max_files_per_trigger=1).awaitTermination()
+    return store.read().select("job_id", "step", "metric", "value", "ts", "status")

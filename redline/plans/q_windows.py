@@ -8,7 +8,10 @@ from redline.operators import changes as W
 from redline.operators import windows as N
 from redline.plans.registry import query
 from redline.plans.views_sql import with_views
+from redline.session import materialize
 from redline.sources import views as V
+from redline.sources.scratch import scratch_path
+from redline.sources.store import BucketTable
 from redline.sources.tables import table
 
 
@@ -88,11 +91,15 @@ SELECT id, law_firm_id, template_type, law_firm_id = 'firm_3' AS deleted,
        CAST(count(*) FILTER (WHERE law_firm_id = 'firm_3') OVER () AS BIGINT) AS n_deleted
 FROM contract_templates""", "contract_templates"))
 def delete_rows_q(spark, sf):
-    t = V.contract_templates(spark, sf)
-    doomed = t.where(F.col("law_firm_id") == "firm_3").select("id")
-    kept, gone = W.delete_rows(t, doomed, ["id"])
+    """The templates as a stored table; a firm's are deleted there, and the table is read back."""
+    t = V.contract_templates(spark, sf).select("id", "law_firm_id", "template_type")
+    store = BucketTable(spark, scratch_path(spark, "templates"), t.schema, "id", 16)
+    store.insert_new(t)
+    _, gone = W.delete_rows(store.read(), store.read().where(F.col("law_firm_id") == "firm_3"), ["id"])
+    gone = materialize(gone)
+    store.delete(gone)
     n = gone.agg(F.count(F.lit(1)).alias("n")).scalar()
-    both = kept.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
+    both = store.read().withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
     return both.select("id", "law_firm_id", "template_type", "deleted", n.alias("n_deleted"))
 
 

@@ -14,6 +14,7 @@ from redline.functions.text import clean_text, contract_type
 from redline.operators.detect import detect_firm
 from redline.operators.text import chunk_text
 from redline.session import materialize
+from redline.sources.store import BucketTable
 
 
 def ntz_as_utc(col):
@@ -33,33 +34,63 @@ def utc_as_ntz(col):
     return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
 
 
-def ingest_writer(firms: DataFrame, out_dir: str):
-    """foreachBatch sink: firm detection against the firm table, contract type and chunks of the
-    batch's new uploads, written to the batch's own folder, so that a replayed batch rewrites its
+#: Folders that one batch's ids are dealt to in the sink.
+INGEST_BUCKETS = 64
+
+
+def ingest_writer(firms: DataFrame, out_dir: str, buckets: int = INGEST_BUCKETS):
+    """foreachBatch sink: firm detection against the firm table, contract type and chunks of the batch's
+    new uploads.
+
+    An upload is new if its id is in no earlier batch of the sink.  The sink is partitioned by batch and
+    by the id's hash, so only the buckets that the batch's ids fall into are read, and no state holds
+    ids.  A batch writes its own folder: replayed, it sees the same earlier batches and rewrites its
     own result."""
-    def write(new: DataFrame, epoch_id: int):
-        new = materialize(new)   # read by the detection and by the chunks, computed once
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+    def write(uploads: DataFrame, epoch_id: int):
+        spark = uploads.sparkSession
+        # One row per id within the batch, read by the detection and by the chunks, computed once.
+        new = materialize(uploads.dropDuplicates(["id"]))
+        touched = [r["b"] for r in new.select(bucket.alias("b")).distinct().collect()]
+        earlier = earlier_ids(spark, out_dir, epoch_id, touched)
+        if earlier is not None:
+            new = materialize(new.join(earlier, "id", "left_anti"))
         d = detect_firm(new, firms, "id", "extracted_text")
         d = d.withColumn("contract_type", contract_type("extracted_text"))
         # Only the length of the cleaned text travels with the chunks.
         d = d.withColumn("cleaned_length", F.length(clean_text("extracted_text")))
         chunks = chunk_text(d, id_col="doc_id", text_col="extracted_text",
                             keep=("id", "law_firm_id", "contract_type", "cleaned_length"))
-        (chunks.select("doc_id", "id", "law_firm_id", "contract_type", "cleaned_length", "index", "length")
-         .write.mode("overwrite").parquet(f"{out_dir}/batch={epoch_id}"))
+        (chunks.select("doc_id", "id", "law_firm_id", "contract_type", "cleaned_length", "index", "length", bucket.alias("bucket"))
+         .write.mode("overwrite").partitionBy("bucket").parquet(f"{out_dir}/batch={epoch_id}"))
     return write
 
 
+def earlier_ids(spark: SparkSession, out_dir: str, epoch_id: int, buckets: list[int]):
+    """(id) of the sink's earlier batches in the given buckets; None before the first."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [st.getPath().getName() for st in fs.listStatus(path)] if fs.exists(path) else []
+    older = sorted(int(n[6:]) for n in names if n.startswith("batch=") and int(n[6:]) < epoch_id)
+    filled = [f"{out_dir}/batch={n}" for n in older
+              if any(st.getPath().getName().startswith("bucket=") for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{out_dir}/batch={n}")))]
+    if not filled:
+        return None
+    sink = spark.read.option("basePath", out_dir).schema("id string, batch long, bucket int").parquet(*filled)
+    return sink.where(F.col("bucket").isin(buckets)).select("id").distinct()
+
+
 def stream_ingest(spark: SparkSession, in_dir: str, schema, firms: DataFrame, out_dir: str, checkpoint: str,
                   max_files_per_trigger: int | None = None):
-    """Uploads arriving as files, in any order -> dedup by id over the stream's whole life (the
-    state holds ids only; use the RocksDB state store where they outgrow memory) -> firm, contract
-    type and chunks under `out_dir`."""
+    """Uploads arriving as files, in any order -> dedup by id over the stream's whole life, against the
+    sink itself -> firm, contract type and chunks under `out_dir`."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return (reader.parquet(in_dir).dropDuplicates(["id"]).writeStream.foreachBatch(ingest_writer(firms, out_dir))
-            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    return (reader.parquet(in_dir).writeStream.foreachBatch(ingest_writer(firms, out_dir))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def stream_status_counts(sdf: DataFrame, window: str = "1 day", watermark: str = "1 hour",
@@ -81,45 +112,24 @@ def run_status_counts(spark: SparkSession, in_dir: str, schema, out_dir: str, ch
     q.awaitTermination()
 
 
-def latest_state(sdf: DataFrame, key: str = "job_id", order: str = "step") -> DataFrame:
-    """Stateful streaming aggregation: the latest row per key (max_by on the order column).  In
-    update mode each micro-batch emits only the keys whose latest row changed; the per-key state
-    lives in the state store, checkpointed with the query."""
-    cols = [c for c in sdf.columns if c != key]
-    return (sdf.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("l"))
-            .select(key, *[F.col(f"l.{c}").alias(c) for c in cols]))
-
-
-def snapshot_merge_writer(out_dir: str, key: str = "job_id"):
-    """foreachBatch sink for an update-mode stream: the changed keys replace their rows in the
-    previous snapshot (anti join + union) and the result is written as a new version folder named
-    by the batch id, so a replayed batch rewrites its own version (idempotent)."""
-    def write(updates: DataFrame, epoch_id: int):
-        spark = updates.sparkSession
-        updates = materialize(updates)   # read twice, computed once
-        prev_path = _latest_version(spark, out_dir)
-        cur = updates
-        if prev_path is not None:
-            prev = spark.read.parquet(prev_path)
-            cur = prev.join(updates.select(key), key, "left_anti").unionByName(updates)
-        cur.write.mode("overwrite").parquet(f"{out_dir}/v={epoch_id:012d}")
+def latest_writer(store: BucketTable, order: str = "step"):
+    """foreachBatch sink: the batch's latest row per key goes to a stored table of latest rows.  Only the
+    buckets of the batch's keys are rewritten, in one commit named by the batch id, so a replayed batch
+    that was committed is not applied again and one that died is applied from the start; what a commit
+    replaced is dropped.  No state but the table itself."""
+    def write(rows: DataFrame, epoch_id: int):
+        rest = [c for c in rows.columns if c != store.key]
+        latest = (rows.groupBy(store.key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("l"))
+                  .select(store.key, *[F.col("l").getField(c).alias(c) for c in rest]))
+        store.upsert(materialize(latest), order, epoch_id)   # read for the buckets and for the rows
     return write
 
 
-def _latest_version(spark: SparkSession, out_dir: str):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(out_dir)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return None
-    versions = sorted(st.getPath().getName() for st in fs.listStatus(path) if st.getPath().getName().startswith("v="))
-    done = [v for v in versions if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{v}/_SUCCESS"))]
-    return f"{out_dir}/{done[-1]}" if done else None
-
-
-def read_latest_snapshot(spark: SparkSession, out_dir: str) -> DataFrame:
-    p = _latest_version(spark, out_dir)
-    if p is None:
-        raise FileNotFoundError(f"no committed snapshot under {out_dir}")
-    return spark.read.parquet(p)
+def stream_latest(spark: SparkSession, in_dir: str, schema, store: BucketTable, checkpoint: str, order: str = "step",
+                  max_files_per_trigger: int | None = None):
+    """Rows arriving as files, in any order -> the latest row per key in ``store``."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return (reader.parquet(in_dir).writeStream.foreachBatch(latest_writer(store, order))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
