@@ -28,13 +28,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Pages and row groups are bounded in bytes, however long the rows: readers hold whole pages.
+SMALL_PAGES = {"parquet.page.size.row.check.min": 4, "parquet.block.size.row.check.min": 4, "parquet.block.size": 64 << 20}
+
+
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` once as Parquet into the cluster's shared scratch folder and read it back.
 
     Cuts the lineage (a lost executor does not recompute the upstream stages) and keeps columns
     prunable for each later reader."""
     path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**(SMALL_PAGES | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -41,8 +41,9 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length and bucket that one task ranks, on average.
 BUCKET_ROWS = 50_000
-#: A worker remembers chunks in about so many bytes; an entry costs Python so much beside its text and ids.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 190
+#: A worker remembers chunks in about so many bytes (a parameter: more of them spare encoding, fewer leave
+#: memory to others); an entry costs Python so much beside its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 192 << 20, 190
 _MARK = "\x01"
 
 
@@ -57,13 +58,14 @@ class ChunkEncoder:
     _RUNS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     _LAST_LATIN = "\u024f"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         mark = self._encode(_MARK)
         assert len(mark) == 1
         self.mark = mark[0]
+        self.cache_bytes = cache_bytes
         # The same merges for runs that are cut and lower-cased already.
         self.merger = Tokenizer.from_file(path)
         self.merger.normalizer = normalizers.Sequence([])
@@ -93,7 +95,7 @@ class ChunkEncoder:
         at = np.fromiter(self.known.values(), np.int64, count=len(keys))
         cost = ENTRY_BYTES + np.fromiter(map(len, keys), np.int64, count=len(keys)) + 4 * self.lens[at]
         order = np.argsort(-hits[at], kind="stable")
-        order = order[:int(np.searchsorted(np.cumsum(cost[order]), CACHE_BYTES // 2, side="right"))]
+        order = order[:int(np.searchsorted(np.cumsum(cost[order]), self.cache_bytes // 2, side="right"))]
         ids, ends = self._gather(at[order])
         kept, hits, lens = [keys[i] for i in order], hits[at[order]] // 2, self.lens[at[order]]
         self._clear()
@@ -168,7 +170,7 @@ class ChunkEncoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [t.lower().split() for t in texts]   # of bytes: ASCII letters only
-        if self._bytes() > CACHE_BYTES:
+        if self._bytes() > self.cache_bytes:
             self._trim()
         chunks = list(itertools.chain.from_iterable(split))
         which = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, count=len(chunks))
@@ -186,7 +188,8 @@ class ChunkEncoder:
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-           capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+           capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False,
+           cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): one row per piece of every document."""
     begin(df.sparkSession)
     fields = [StructField("id", df.schema[id_col].dataType), StructField("piece", IntegerType()), StructField("start", LongType()),
@@ -194,7 +197,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     schema = StructType(fields + [StructField("ids", ArrayType(IntegerType()))] * with_ids)
 
     def cut(batches):
-        encoder = worker_state(("encoder", tokenizer), lambda: ChunkEncoder(tokenizer))
+        encoder = worker_state(("encoder", tokenizer, cache_bytes), lambda: ChunkEncoder(tokenizer, cache_bytes))
         end = np.array([end_id], np.uint32)
         for batch in batches:
             texts = batch.column(1)
@@ -331,9 +334,10 @@ def pack(df: DataFrame, capacity: int = CAPACITY, id_col: str = "id") -> DataFra
 
 
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                   capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+                   capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False,
+                   cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece of every document with its place; ``with_ids`` adds the piece's ids."""
-    p = pieces(df, tokenizer, id_col, text_col, capacity, end_id, with_ids)
+    p = pieces(df, tokenizer, id_col, text_col, capacity, end_id, with_ids, cache_bytes)
     return pack(p, capacity).withColumnRenamed("id", id_col)
 
 

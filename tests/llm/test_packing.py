@@ -30,6 +30,14 @@ def test_encoder_equals_tokenizer():
     assert [list(g) + [0] for g in got] == want + want
 
 
+def test_encoder_with_little_memory_equals_tokenizer():
+    """The worker's chunks are trimmed again and again; hits, ids and keys stay together."""
+    rng, e = random.Random(5), K.ChunkEncoder(PATH, cache_bytes=20_000)
+    texts = [" ".join("".join(rng.choice("abcXé.,'-1") for _ in range(rng.randint(1, 4))) for _ in range(60)) for _ in range(60)] + ODD
+    got = [list(g) + [0] for i in range(0, len(texts), 5) for g in e.encode([t.encode() for t in texts[i:i + 5]])]
+    assert got == _ids(texts) and e._bytes() < 60_000
+
+
 def _check_plan(counts, capacity):
     plan, placed, seen = K.pack_counts(dict(counts), capacity), {}, {}
     for n, rank, k, first, offset, per in plan:
