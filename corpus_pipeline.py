@@ -27,6 +27,8 @@ from redline.llm import toxicity as tox
 from redline.llm.common import begin, stored
 from redline.sources.tables import table
 
+#: Chunks that a worker remembers in the last stage: the executors still hold what earlier stages left.
+CACHE_BYTES = 64 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -53,7 +55,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     begin(spark)
-    return pack.pack_documents(docs.select("doc_id", "text"), queries.tokenizer_path("word_bpe_49k.json"))
+    return pack.pack_documents(docs.select("doc_id", "text"), queries.tokenizer_path("word_bpe_49k.json"), cache_bytes=CACHE_BYTES)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing),
