@@ -43,7 +43,7 @@ END_ID = 0
 BUCKET_ROWS = 50_000
 #: A worker remembers chunks in about so many bytes (a parameter: more of them spare encoding, fewer leave
 #: memory to others); an entry costs Python so much beside its text and ids.
-CACHE_BYTES, ENTRY_BYTES = 192 << 20, 190
+CACHE_BYTES, ENTRY_BYTES = 384 << 20, 190
 _MARK = "\x01"
 
 
