@@ -53,6 +53,60 @@ def batch_score(df: DataFrame, prompt_col: str, scorer: Callable,
     return x.mapInPandas(run, f"{schema}, {SCORE_SCHEMA}")
 
 
+# ---- resumable scoring (B2) ---------------------------------------------------------------------
+
+def _log_rounds(spark, log_dir: str) -> list[int]:
+    """Numbers of the rounds that were written to their end."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(log_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n[6:]) for n in names if n.startswith("round=")
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{log_dir}/{n}/_SUCCESS")))
+
+
+def score_log(spark, log_dir: str, id_type: str, value_type: str) -> DataFrame:
+    """(id, attempt, success, error, value, round, slot): what the committed rounds tried."""
+    schema = f"id {id_type}, attempt int, success boolean, error string, value {value_type}, round int, slot int"
+    rounds = _log_rounds(spark, log_dir)
+    if not rounds:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", log_dir).schema(schema).parquet(*[f"{log_dir}/round={n}" for n in rounds])
+
+
+def resumable_score(requests: DataFrame, log_dir: str, scorer: Callable, value_type: str, slots: int = 8,
+                    max_attempts: int = 3, id_col: str = "id", prompt_col: str = "prompt") -> DataFrame:
+    """(id, attempts, success, error, value): the outcome of every request with a non-blank prompt.
+
+    ``scorer(prompt, attempt)`` is a column of struct(success, error, value).  Requests (one row per id)
+    are dealt to ``slots`` by their id; a slot is one task, so it bounds the calls made at a time.  Each
+    round tries what has neither succeeded nor used its attempts, and logs one row per try; a round counts
+    once it is written to its end.  Called again with the same log, after a crash or with more requests,
+    only what is missing is scored."""
+    spark = requests.sparkSession
+    id_type = requests.schema[id_col].dataType.simpleString()
+    asked = (requests.where(F.col(prompt_col).isNotNull() & (F.trim(F.col(prompt_col)) != ""))
+             .select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt")))
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")
+    for _ in range(max_attempts):
+        tried = (score_log(spark, log_dir, id_type, value_type).groupBy("id")
+                 .agg(F.max("attempt").alias("tried"), F.max("success").alias("done")))
+        left = (asked.join(tried, "id", "left").withColumn("attempt", F.coalesce("tried", F.lit(0)) + 1)
+                .where(~F.coalesce("done", F.lit(False)) & (F.col("attempt") <= max_attempts)))
+        if left.isEmpty():
+            break
+        out = left.select("id", "attempt", slot.alias("slot"), scorer(F.col("prompt"), F.col("attempt")).alias("s"))
+        done = _log_rounds(spark, log_dir)
+        (out.select("id", "attempt", F.col("s.success").alias("success"), F.col("s.error").alias("error"),
+                    F.col("s.value").cast(value_type).alias("value"), "slot")
+         .repartition(slots, "slot").write.mode("overwrite").partitionBy("slot")
+         .parquet(f"{log_dir}/round={done[-1] + 1 if done else 0}"))
+    last = (score_log(spark, log_dir, id_type, value_type).groupBy("id")
+            .agg(F.max("attempt").alias("attempts"), F.max_by(F.struct("success", "error", "value"), "attempt").alias("s")))
+    return (asked.select("id").join(last, "id")
+            .select(F.col("id").alias(id_col), "attempts", "s.success", "s.error", "s.value"))
+
+
 def review_prompt(requests: DataFrame, files: DataFrame) -> DataFrame:
     """requests(request_id, file_ids) x files(id, filename, extracted_text) -> per request the
     contract sections 'Contract: <file>\\n\\n<text>' in requested order joined by a blank line,

@@ -11,6 +11,7 @@ from redline.plans.q_compare import _base, _with
 from redline.plans.registry import query
 from redline.plans.views_sql import with_views
 from redline.sources import views as V
+from redline.sources.scratch import scratch_path
 from redline.sources.tables import table
 
 
@@ -52,6 +53,30 @@ def conversation_export_q(spark, sf):
     return B.export_conversation(c)
 
 
+def _word_scorer(prompt, attempt):
+    """A deterministic scorer: the words of the prompt.  One length in seven always fails, one more at
+    the first attempt only."""
+    n = F.length(prompt)
+    error = F.when(n % 7 == 0, "rejected").when((n % 7 == 1) & (attempt == 1), "busy")
+    value = F.size(F.split(F.trim(prompt), " +")).cast("bigint")
+    return F.struct(error.isNull().alias("success"), error.alias("error"), F.when(error.isNull(), value).alias("value"))
+
+
+@query("batch_score", """
+SELECT conv_id * 1000 + turn AS id, CAST(CASE length(text) % 7 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+       length(text) % 7 <> 0 AS success, CASE WHEN length(text) % 7 = 0 THEN 'rejected' END AS error,
+       CASE WHEN length(text) % 7 <> 0 THEN CAST(len(regexp_split_to_array(trim(text), ' +')) AS BIGINT) END AS value
+FROM conversations WHERE trim(text) <> ''""")
+def batch_score_q(spark, sf):
+    """Every turn scored in two calls with one log: the second, with all requests, finds the first one's
+    results and scores the rest."""
+    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
+    r = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("prompt"))
+    log = scratch_path(spark, "score-log")
+    B.resumable_score(r.where("id % 2 = 0"), log, _word_scorer, "bigint")
+    return B.resumable_score(r, log, _word_scorer, "bigint")
+
+
 # ---- J7-J9 --------------------------------------------------------------------------------------
 
 @query("comment_report", _with("""

@@ -71,6 +71,37 @@ def test_load_examples_jsonl_and_json_shapes(spark):
     assert fmts == {"a.jsonl": "chat", "b.json": "instruction", "c.json": "text", "d.json": "text"}
 
 
+def test_load_examples_broken_and_missing_json(spark):
+    d = tempfile.mkdtemp(prefix="redline-json-", dir="/tmp")
+    for name, text in (("broken.json", "[{broken"), ("empty.json", "[]"), ("one.json", '{"text": "t"}')):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    recs = L.load_examples(spark, [os.path.join(d, n) for n in ("broken.json", "empty.json", "one.json", "missing.json")])
+    assert [json.loads(r.value) for r in recs.collect()] == [{"text": "t"}]
+
+
+def test_scoring_resumes_and_counts_attempts(spark):
+    from redline.operators import scoring as B
+    from redline.plans.q_scoring import _word_scorer
+    r = spark.createDataFrame([(i, "w " * i + "x") for i in range(40)] + [(100, None), (101, "  ")], "id long, prompt string")
+    log = scratch_path(spark, "score-test")
+    first = B.resumable_score(r.where("id < 20"), log, _word_scorer, "bigint", slots=4)
+    assert first.count() == 20
+    # A round that was not written to its end does not count.
+    r.limit(1).write.parquet(f"{log}/round=9")
+    os.remove([os.path.join(log, "round=9", n) for n in os.listdir(os.path.join(log, "round=9")) if n == "_SUCCESS"][0])
+    tries = B.score_log(spark, log, "bigint", "bigint").count()
+    got = {x.id: (x.attempts, x.success, x.error, x.value) for x in B.resumable_score(r, log, _word_scorer, "bigint", slots=4).collect()}
+    want = {}
+    for i in range(40):
+        n = (2 * i + 1) % 7
+        want[i] = (3, False, "rejected", None) if n == 0 else (2 if n == 1 else 1, True, None, i + 1)
+    assert got == want
+    log_rows = B.score_log(spark, log, "bigint", "bigint")
+    assert log_rows.where("id < 20").count() == tries and log_rows.groupBy("id", "attempt").count().where("count > 1").count() == 0
+    assert log_rows.select("slot").distinct().count() == 4
+
+
 def test_jsonl_sink_round_trip(spark):
     df = spark.createDataFrame([(1, "é ü — ok"), (2, 'quote " and \\ slash')], "id long, text string")
     path = scratch_path(spark, "sink-test")
