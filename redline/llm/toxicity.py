@@ -174,13 +174,16 @@ def fit_weights(y: np.ndarray, own: list, other: list, n_features: int, counterf
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", counterfactual: float = 5.0, groups=IDENTITY_GROUPS,
         max_rows: int = MAX_FIT_ROWS) -> Model:
-    """Learn from the labelled rows outside the held-out fold."""
+    """Learn from the labelled rows outside the held-out fold: one text per id (the smallest, where ids
+    repeat), toxic if any of its labels says so."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     y = y.filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    # At most max_rows ids: small enough to broadcast, so that no text is shuffled.
-    chosen = y.orderBy(F.xxhash64("id"), "id", "toxic").limit(max_rows)
+    # At most max_rows ids: small enough to broadcast, so that only their texts are shuffled.
+    chosen = y.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    train = stored(texts.join(F.broadcast(chosen), "id").select("text", "toxic"), "toxicity-sample")
+    # One row per id, however often documents repeat it: no more than max_rows rows are ever collected.
+    train = (texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
+    train = stored(train, "toxicity-sample")
     n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     if not clean or not toxic:

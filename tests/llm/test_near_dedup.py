@@ -140,3 +140,11 @@ def test_empty_and_single_tables(docs):
     assert [tuple(r) for r in N.near_duplicate_classes(docs([(1, "x y z")])).select("doc_id", "class_id").collect()] == [(1, 1)]
     got = {(r.doc_id, r.class_id) for r in N.near_duplicate_classes(docs([(None, "p q r s t u"), (5, "p q r s t u"), (None, "z")])).collect()}
     assert got == {(None, 5), (5, 5), (None, None)}
+
+
+def test_large_ids_stay_exact_beside_a_null_one(docs):
+    rows = [(2**53 + 1, "one two three four five six seven"), (None, "a b c d e f g h"), (2**60 + 3, "p q r s t u v w x"),
+            (2**60 + 4, "p q r s t u v w x")]
+    assert {(r.doc_id, r.class_id) for r in N.near_duplicate_classes(docs(rows)).collect()} == {
+        (2**53 + 1, 2**53 + 1), (None, None), (2**60 + 3, 2**60 + 3), (2**60 + 4, 2**60 + 3)}
+    assert {r.doc_id for r in N.drop_near_duplicates(docs(rows)).collect()} == {2**53 + 1, None, 2**60 + 3}

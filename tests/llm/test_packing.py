@@ -114,3 +114,9 @@ def test_ranks_over_many_buckets(docs, monkeypatch):
 
 def test_empty_table(docs):
     assert K.pack_documents(docs([(1, "x")]).limit(0), PATH).count() == 0
+
+
+def test_large_ids_stay_exact_beside_a_null_one(docs):
+    ids = [2**53 + 1, None, 2**60 + 3]
+    got = K.pack_documents(docs([(i, "a b c") for i in ids]), PATH).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, ids))

@@ -232,3 +232,24 @@ def test_large_components_are_exact_or_an_error(llm):
     far = llm.createDataFrame([(0, [5e17, 1.0]), (1, [6e6, 1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="out of range"):
         topk.top_k(far, F.col("vec_id") == 0, 1).collect()
+
+
+def test_toxicity_learns_from_one_row_per_id(llm, monkeypatch):
+    """Repeated ids multiply neither labels nor texts: what is collected stays within max_rows."""
+    rng = random.Random(9)
+    words = [[rng.choice(["sun", "tree", "river", "stone"] + (["vile"] if i % 2 else [])) for _ in range(20)] for i in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    labels = [(i, int("vile" in w)) for i, w in enumerate(words)]
+    docs = llm.createDataFrame(rows * 50, "doc_id long, text string")
+    y = llm.createDataFrame(labels * 3, "doc_id long, toxic int")
+    seen = []
+    real = toxicity.fit_weights
+    monkeypatch.setattr(toxicity, "fit_weights", lambda y, *a, **k: seen.append(len(y)) or real(y, *a, **k))
+    once = toxicity.fit(llm.createDataFrame(rows, "doc_id long, text string"), llm.createDataFrame(labels, "doc_id long, toxic int"))
+    many = toxicity.fit(docs, y)
+    assert seen[0] == seen[1] <= 40 and once == many
+
+
+def test_token_counts_keep_large_ids_beside_a_null_one(docs):
+    got = token_counts.token_counts(docs([(2**53 + 1, "a b"), (None, "c"), (2**60 + 3, None)]), ("▁a", "▁b", "▁c")).collect()
+    assert {(r.doc_id, r.n_words, r.n_tokens) for r in got} == {(2**53 + 1, 2, 2), (None, 1, 1), (2**60 + 3, 0, 0)}

@@ -73,3 +73,11 @@ def test_ranges_join_neighbours():
 def test_empty_table(llm):
     index = warc.write_warc(llm.createDataFrame([], SCHEMA), scratch_path(llm, "warc-test"))
     assert index.count() == 0 and warc.read_warc(index).count() == 0
+
+
+def test_large_ids_stay_exact_beside_a_null_one(llm):
+    body = "x" * 1500
+    ids = [2**53 + 1, None, 2**60 + 3, 2**60 + 4]
+    pages = llm.createDataFrame([(i, "http://a.b/", body if i and i > 2**59 else "y") for i in ids], "page_id long, url string, html string")
+    got = warc.read_warc(warc.write_warc(pages, scratch_path(llm, "warc-ids"))).collect()
+    assert {(r.id, r.refers_to) for r in got} == {(2**53 + 1, None), (None, None), (2**60 + 3, 2**60 + 4), (2**60 + 4, None)}
