@@ -93,3 +93,10 @@ def begin(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == "67108864b":      # Spark's default
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+def release(spark: SparkSession) -> None:
+    """Called between the stages of a pipeline: a full collection on the driver lets Spark drop what
+    finished jobs leave (broadcasts, shuffle files, plans), and the heap shrinks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
