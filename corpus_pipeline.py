@@ -24,7 +24,7 @@ from redline.llm import near_dedup as copies
 from redline.llm import packing as pack
 from redline.llm import queries
 from redline.llm import toxicity as tox
-from redline.llm.common import begin, stored
+from redline.llm.common import begin, release, stored
 from redline.sources.tables import table
 
 #: Chunks that a worker remembers in the last stage: the executors still hold what earlier stages left.
@@ -34,27 +34,32 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     begin(spark)
+    release(spark)
     return tox.keep_clean(docs.select(*COLUMNS), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     begin(spark)
+    release(spark)
     left = lines.drop_recurring_lines(docs.select(*COLUMNS))
     return left.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     begin(spark)
+    release(spark)
     return copies.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     begin(spark)
+    release(spark)
     return queries.mixed(docs.select(*COLUMNS)).filter("selected").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     begin(spark)
+    release(spark)
     return pack.pack_documents(docs.select("doc_id", "text"), queries.tokenizer_path("word_bpe_49k.json"), cache_bytes=CACHE_BYTES)
 
 
