@@ -53,7 +53,9 @@ def _weighted(cells: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
     """The cells with w, their raked weight: n times the factors of their values."""
     out = cells.withColumn("w", F.col("n").cast("double"))
     for dim, f in factors.items():
-        out = (out.join(f.select(F.col("value").alias("_v"), F.col("f").alias("_f")), F.col(dim).cast("string").eqNullSafe(F.col("_v")))
+        # Merge joins: the driver would build a table for each of the many small broadcasts.
+        f = f.select(F.col("value").alias("_v"), F.col("f").alias("_f")).hint("merge")
+        out = (out.join(f, F.col(dim).cast("string").eqNullSafe(F.col("_v")))
                .withColumn("w", F.col("w") * F.col("_f")).select(*DIMS, "n", "w"))
     return out
 
@@ -61,8 +63,8 @@ def _weighted(cells: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
 def rake(cells: DataFrame, targets: list[DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(d0, d1, d2, n, w): ``cells(d0, d1, d2, n)`` with w raked to the targets, summing to 1.
 
-    A step sets the factors of one dimension to target / margin under the other factors; the factors
-    of a round's three steps are stored together.  Stops when a round moves no factor by more than
+    A step sets the factors of one dimension to target / margin under the other factors, and stores
+    them.  Stops when a round moves no factor by more than
     ``tolerance`` in proportion; targets that no weights meet (empty cells) never settle, which is
     warned of after ``rounds`` rounds, and the last weights count."""
     cells = cells.filter(F.col("n") > 0)
@@ -70,19 +72,17 @@ def rake(cells: DataFrame, targets: list[DataFrame], rounds: int = ROUNDS, toler
     factors = {d: t.select("value", F.lit(1.0).alias("f")) for d, t in zip(DIMS, targets, strict=True)}
     moved = 0.0
     for _ in range(rounds):
-        steps = []
+        moved = 0.0
         for dim, t in zip(DIMS, targets, strict=True):
             others = _weighted(cells, {d: f for d, f in factors.items() if d != dim})
             margin = others.groupBy(F.col(dim).cast("string").alias("m")).agg(F.sum("w").alias("s"))
             last = factors[dim].select(F.col("value").alias("lv"), F.col("f").alias("lf"))
-            fitted = (t.join(margin, F.col("value").eqNullSafe(F.col("m")))
-                      .join(last, F.col("value").eqNullSafe(F.col("lv")))
-                      .select(F.lit(dim).alias("dim"), "value", (F.col("target") / F.col("s")).alias("f"), "lf"))
-            steps.append(fitted)
+            fitted = (t.join(margin.hint("merge"), F.col("value").eqNullSafe(F.col("m")))
+                      .join(last.hint("merge"), F.col("value").eqNullSafe(F.col("lv")))
+                      .select("value", (F.col("target") / F.col("s")).alias("f"), "lf"))
+            fitted = stored(fitted, "mix-factors")
+            moved = max(moved, fitted.agg(F.max(F.abs(F.col("f") / F.col("lf") - 1))).first()[0] or 0.0)
             factors[dim] = fitted.select("value", "f")
-        fitted = stored(steps[0].unionByName(steps[1]).unionByName(steps[2]).coalesce(1), "mix-factors")
-        moved = fitted.agg(F.max(F.abs(F.col("f") / F.col("lf") - 1))).first()[0] or 0.0
-        factors = {d: fitted.filter(F.col("dim") == d).select("value", "f") for d in DIMS}
         if moved <= tolerance:
             break
     else:
