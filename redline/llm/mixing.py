@@ -2,8 +2,9 @@
 
 The token weights of all documents are summed per cell (source, language, topic).  Raking scales
 the cells until each margin of each dimension holds its target share: in turn, a dimension's factors
-become target / margin under the other factors.  Cells and factors are DataFrames throughout, so
-their number may grow with the data; only convergence figures come to the driver.
+become target / margin under the other factors.  Cells are summed and weighted by Spark.  Their factors are
+fitted on the driver where all cells take at most ``MAX_DRIVER_BYTES`` there, and by joins beyond,
+where only convergence figures come to the driver: the steps are the same.
 
 Targets per dimension: a dict of shares for some values, and the rest of the weight tempered over
 the other values (share ** ``alpha``, renormalised).  Values without tokens get none.
@@ -14,7 +15,7 @@ A document's draw is a hash of its id and the seed: repeatable, and independent
 
 Defined cases: null values of a dimension are a value of their own; documents without tokens are
 in no margin and get the probability of their cell (1 if the cell has no tokens); a null id is
-drawn like any other value; repeated rows count each and are drawn alike; an empty table gives no
+drawn like any other value; a target of 0 gives its value no weight; repeated rows count each and are drawn alike; an empty table gives no
 rows; all other columns, whatever their names, pass through.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from redline.llm.common import stored
 
 ROUNDS, TOLERANCE = 100, 1e-5
 DIMS = ("d0", "d1", "d2")
+#: Most bytes of cells (their values, and 64 a cell) that are collected for raking.
+MAX_DRIVER_BYTES = 8 << 20
 
 
 def tempered_targets(cells: DataFrame, dim: str, alpha: float, fixed: dict | None = None) -> DataFrame:
@@ -60,15 +64,8 @@ def _weighted(cells: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def rake(cells: DataFrame, targets: list[DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(d0, d1, d2, n, w): ``cells(d0, d1, d2, n)`` with w raked to the targets, summing to 1.
-
-    A step sets the factors of one dimension to target / margin under the other factors, and stores
-    them.  Stops when a round moves no factor by more than
-    ``tolerance`` in proportion; targets that no weights meet (empty cells) never settle, which is
-    warned of after ``rounds`` rounds, and the last weights count."""
-    cells = cells.filter(F.col("n") > 0)
-    targets = [t.select(F.col("value").cast("string"), "target") for t in targets]
+def _factors_by_joins(cells: DataFrame, targets: list[DataFrame], rounds: int, tolerance: float) -> tuple[dict, float]:
+    """The dimensions' factors, a job or two per step, and how far the last round moved them."""
     factors = {d: t.select("value", F.lit(1.0).alias("f")) for d, t in zip(DIMS, targets, strict=True)}
     moved = 0.0
     for _ in range(rounds):
@@ -79,13 +76,58 @@ def rake(cells: DataFrame, targets: list[DataFrame], rounds: int = ROUNDS, toler
             last = factors[dim].select(F.col("value").alias("lv"), F.col("f").alias("lf"))
             fitted = (t.join(margin.hint("merge"), F.col("value").eqNullSafe(F.col("m")))
                       .join(last.hint("merge"), F.col("value").eqNullSafe(F.col("lv")))
-                      .select("value", (F.col("target") / F.col("s")).alias("f"), "lf"))
+                      .select("value", F.coalesce(F.try_divide("target", "s"), F.lit(0.0)).alias("f"), "lf"))
             fitted = stored(fitted, "mix-factors")
-            moved = max(moved, fitted.agg(F.max(F.abs(F.col("f") / F.col("lf") - 1))).first()[0] or 0.0)
+            moved = max(moved, fitted.agg(F.max(F.abs(F.try_divide("f", "lf") - 1))).first()[0] or 0.0)
             factors[dim] = fitted.select("value", "f")
         if moved <= tolerance:
             break
-    else:
+    return factors, moved
+
+
+def _factors_on_driver(cells: DataFrame, targets: list[DataFrame], rounds: int, tolerance: float) -> tuple[dict, float]:
+    """The same over collected cells, for a number of them that ``_fits_driver`` has checked."""
+    rows = cells.select(*[F.col(d).cast("string") for d in DIMS], "n").collect()
+    n = np.array([r["n"] for r in rows], float)
+    values = [[r["value"] for r in t.collect()] for t in targets]
+    shares = [np.array([r["target"] for r in t.collect()], float) for t in targets]
+    at = [{v: i for i, v in enumerate(vs)} for vs in values]
+    codes = [np.array([a[r[d]] for r in rows], int) for d, a in zip(DIMS, at, strict=True)]
+    f = [np.ones(len(vs)) for vs in values]
+    moved = 0.0
+    for _ in range(rounds):
+        moved = 0.0
+        for k, share in enumerate(shares):
+            w = n * np.prod([f[j][codes[j]] for j in range(len(DIMS)) if j != k], axis=0)
+            margin = np.bincount(codes[k], w, len(share))
+            fitted = np.divide(share, margin, out=np.zeros(len(share)), where=margin > 0)
+            step = np.divide(fitted, f[k], out=np.ones(len(share)), where=f[k] > 0)
+            moved = max(moved, float(np.abs(step - 1).max(initial=0.0)))
+            f[k] = fitted
+        if moved <= tolerance:
+            break
+    session = cells.sparkSession
+    return {d: session.createDataFrame(list(zip(vs, x.tolist(), strict=True)), "value string, f double")
+            for d, vs, x in zip(DIMS, values, f, strict=True)}, moved
+
+
+def _fits_driver(cells: DataFrame) -> bool:
+    size = F.lit(64) + sum(F.coalesce(F.octet_length(F.col(d).cast("string")), F.lit(0)) for d in DIMS)
+    return (cells.agg(F.sum(size.cast("long"))).first()[0] or 0) <= MAX_DRIVER_BYTES
+
+
+def rake(cells: DataFrame, targets: list[DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(d0, d1, d2, n, w): ``cells(d0, d1, d2, n)`` with w raked to the targets, summing to 1.
+
+    A step sets the factors of one dimension to target / margin under the other factors (0 where the
+    margin is 0).  Stops when a round moves no factor by more than ``tolerance`` in proportion;
+    targets that no weights meet (empty cells) never settle, which is warned of after ``rounds``
+    rounds, and the last weights count."""
+    cells = cells.filter(F.col("n") > 0)
+    targets = [t.select(F.col("value").cast("string"), "target") for t in targets]
+    fit = _factors_on_driver if _fits_driver(cells) else _factors_by_joins
+    factors, moved = fit(cells, targets, rounds, tolerance)
+    if moved > tolerance:
         warnings.warn(f"raking: after {rounds} rounds a factor still moves by {moved:.2g} in proportion", stacklevel=2)
     return stored(_weighted(cells, factors), "mix-cells")
 

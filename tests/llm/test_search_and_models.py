@@ -83,7 +83,9 @@ def _mix(df, **kw):
     return mixing.mix(df, F.col("n"), (F.col("source"), F.col("lang"), F.col("topic")), **kw)
 
 
-def test_raking_and_budget_equal_brute_force(llm):
+@pytest.mark.parametrize("bound", [mixing.MAX_DRIVER_BYTES, 0])
+def test_raking_and_budget_equal_brute_force(llm, monkeypatch, bound):
+    monkeypatch.setattr(mixing, "MAX_DRIVER_BYTES", bound)      # on the driver, and by joins
     rng = random.Random(3)
     rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice(["en", "de"]), rng.choice("xyz"), rng.randint(0, 50)) for i in range(3000)]
     df = llm.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n long")
@@ -117,6 +119,19 @@ def test_raking_and_budget_equal_brute_force(llm):
     assert again == {r.row.doc_id: r.selected for r in out}
 
 
+@pytest.mark.parametrize("bound", [mixing.MAX_DRIVER_BYTES, 0])
+def test_targets_of_zero_and_targets_that_no_weights_meet(llm, monkeypatch, bound):
+    monkeypatch.setattr(mixing, "MAX_DRIVER_BYTES", bound)
+    cells = llm.createDataFrame([("a", "en", "x", 10), ("a", "en", "y", 10), ("b", "en", "y", 10)], "d0 string, d1 string, d2 string, n long")
+
+    def targets(*dims):
+        return [llm.createDataFrame(list(d.items()), "value string, target double") for d in dims]
+    raked = mixing.rake(cells, targets({"a": 0.6, "b": 0.4}, {"en": 1.0}, {"x": 0.0, "y": 1.0}), rounds=3)
+    assert {(r.d0, r.d2): round(r.w, 9) for r in raked.collect()} == {("a", "x"): 0.0, ("a", "y"): 0.6, ("b", "y"): 0.4}
+    with pytest.warns(UserWarning, match="raking"):
+        mixing.rake(cells, targets({"a": 0.6, "b": 0.4}, {"en": 1.0}, {"x": 0.9, "y": 0.1}), rounds=1)
+
+
 def test_mixing_cases(llm):
     schema = "doc_id long, source string, lang string, topic string, n long, probability string, d0 int"
     assert _mix(llm.createDataFrame([], schema)).count() == 0
