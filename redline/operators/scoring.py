@@ -107,24 +107,36 @@ def resumable_score(requests: DataFrame, log_dir: str, scorer: Callable, value_t
             .select(F.col("id").alias(id_col), "attempts", "s.success", "s.error", "s.value"))
 
 
+#: Requests of one file list that share a copy of its prompt's texts.
+REQUESTS_PER_COPY = 1000
+
+
 def review_prompt(requests: DataFrame, files: DataFrame) -> DataFrame:
     """requests(request_id, file_ids) x files(id, filename, extracted_text) -> per request the
     contract sections 'Contract: <file>\\n\\n<text>' in requested order joined by a blank line,
-    their count and total length; a missing or unextracted file fails the request (no prompt)."""
+    their count and total length; a missing or unextracted file fails the request (no prompt).
+
+    Lists are judged by ids alone.  Texts travel once per distinct list without a failure, and once
+    more for every ``REQUESTS_PER_COPY`` of its requests, not once per request."""
     r = requests.select("request_id", F.posexplode("file_ids").alias("pos", "file_id"))
-    f = files.select(F.col("id").alias("file_id"), "filename", "extracted_text")
-    j = r.join(f, "file_id", "left")
-    sec = F.concat(F.lit("Contract: "), F.col("filename"), F.lit("\n\n"), F.col("extracted_text"))
+    asked = r.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("pos", "file_id"))).alias("_list"))
     bad = F.col("extracted_text").isNull() | (F.col("extracted_text") == "")
-    g = j.groupBy("request_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", sec.alias("s")))).alias("_p"),
-        F.bool_or(bad).alias("failed"))
-    ok = ~F.col("failed")
-    return g.select("request_id", "failed",
-                    F.when(ok, F.size("_p")).cast("bigint").alias("n_sections"),
-                    F.when(ok, F.aggregate("_p", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["s"])))
-                    .alias("total_length"),
-                    F.when(ok, F.array_join(F.col("_p")["s"], "\n\n")).alias("contract_text"))
+    found = files.select(F.col("id").alias("file_id"), bad.alias("bad"))
+    lists = asked.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / REQUESTS_PER_COPY).cast("int").alias("copies"))
+    judged = (lists.select("*", F.explode("_list").alias("_f")).select("_list", "copies", F.col("_f.file_id").alias("file_id"))
+              .join(found, "file_id", "left")
+              .groupBy("_list").agg(F.max("copies").alias("copies"), F.bool_or(F.coalesce("bad", F.lit(True))).alias("failed")))
+    parts = (judged.where(~F.col("failed")).select("_list", F.explode("_list").alias("_f"), "copies")
+             .select("_list", "_f.*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_copy")))
+    sec = F.concat(F.lit("Contract: "), F.col("filename"), F.lit("\n\n"), F.col("extracted_text"))
+    texts = parts.join(files.select(F.col("id").alias("file_id"), sec.alias("s")), "file_id")
+    prompts = (texts.groupBy("_list", "_copy").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("_p"))
+               .select("_list", "_copy", F.size("_p").cast("bigint").alias("n_sections"),
+                       F.aggregate("_p", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["s"])).alias("total_length"),
+                       F.array_join(F.col("_p")["s"], "\n\n").alias("contract_text")))
+    return (asked.join(judged, "_list").withColumn("_copy", F.pmod(F.xxhash64("request_id"), "copies").cast("int"))
+            .join(prompts, ["_list", "_copy"], "left")
+            .select("request_id", "failed", "n_sections", "total_length", "contract_text"))
 
 
 def export_conversation(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn") -> DataFrame:
