@@ -41,19 +41,26 @@ def read_chat_jsonl_q(spark, sf):
 
 @query("read_json_examples", """
 WITH c AS (SELECT conv_id, turn, text, conv_id % 2 AS form, conv_id // 100 AS part FROM conversations WHERE text IS NOT NULL)
-SELECT form, part, CAST(row_number() OVER (PARTITION BY form, part ORDER BY conv_id, turn) - 1 AS BIGINT) AS line_no, text FROM c""")
+SELECT form, part, CAST(row_number() OVER (PARTITION BY form, part ORDER BY conv_id, turn) - 1 AS BIGINT) AS line_no, text FROM c
+UNION ALL SELECT 2, part, 0, text FROM (SELECT part, arg_min(text, (conv_id, turn)) AS text FROM c WHERE conv_id % 4 = 2 GROUP BY part)""")
 def read_json_examples_q(spark, sf):
-    """Every text as training files, read back by the loader: form 0 a list per file, form 1 an object
-    with chunks.  A file holds half the conversations of one hundred ids.  Single objects, broken and
-    missing files are tested on small ones."""
+    """Every text as training files of every shape, read back by the loader: form 0 a list per file, form 1
+    an object with chunks, form 2 a single object, form 3 broken JSON (skipped), and a missing file.  Forms 0
+    and 1 hold half the conversations of one hundred ids each, forms 2 and 3 come on top."""
     c = table(spark, sf, "conversations", "conv_id", "turn", "text").where(F.col("text").isNotNull())
-    g = (c.groupBy((F.col("conv_id") % 2).alias("form"), F.expr("conv_id div 100").alias("part"))
+    c = c.withColumn("part", F.expr("conv_id div 100"))
+    g = (c.groupBy((F.col("conv_id") % 2).alias("form"), "part")
          .agg(F.sort_array(F.collect_list(F.struct("conv_id", "turn", "text"))).alias("t")))
     items = F.transform("t", lambda x: F.struct(x["text"].alias("text")))
     value = F.when(F.col("form") == 0, F.to_json(items)).otherwise(F.to_json(F.struct(items.alias("chunks"))))
+    single = (c.where("conv_id % 4 = 2").groupBy("part").agg(F.min(F.struct("conv_id", "turn", "text"))["text"].alias("text"))
+              .select(F.lit(2).cast("bigint").alias("form"), "part", F.to_json(F.struct("text")).alias("value")))
+    broken = (c.where("conv_id % 4 = 3").select("part").distinct()
+              .select(F.lit(3).cast("bigint").alias("form"), "part", F.lit("[{broken").alias("value")))
     path = scratch_path(spark, "json-examples")
-    g.select("form", "part", value.alias("value")).repartition("form", "part").write.partitionBy("form", "part").text(path)
-    recs = L.load_examples(spark, [f"{path}/form=*/part=*"], fmt="json")
+    (g.select("form", "part", value.alias("value")).unionByName(single).unionByName(broken)
+     .repartition("form", "part").write.partitionBy("form", "part").text(path))
+    recs = L.load_examples(spark, [f"{path}/form=*/part=*", f"{path}/missing.json"], fmt="json")
     at = r"form=(\d+)/part=(\d+)"
     return recs.select(F.regexp_extract("file", at, 1).cast("bigint").alias("form"),
                        F.regexp_extract("file", at, 2).cast("bigint").alias("part"), "line_no",
