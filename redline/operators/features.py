@@ -10,14 +10,19 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from redline.functions.stopwords import ENGLISH
 from redline.functions.text import WS, word_tokens
 from redline.operators.text import py_strip
-from redline.session import materialize
+from redline.session import materialize, ship_package
 
 WS_INNER = WS[1:-1]
 # Fixed values of the reference's readability formula.
@@ -91,15 +96,47 @@ def preprocess(df: DataFrame, text_col: str = "text", stop_words=None) -> DataFr
     return t.withColumn("processed", F.array_join("tokens", " "))
 
 
+#: A dictionary of at most so many bytes goes to the tokens, a larger one meets them in a shuffle.
+SMALL_DICTIONARY = 16 << 20
+
+
+def _lemmas(docs, found):
+    """Lemmas of each row's token arrays: each token's dictionary forms, or itself; arrays of one id are
+    merged by position and form."""
+    for arrays, entries in zip(docs, found):
+        forms: dict = {}
+        for e in entries:
+            forms.setdefault(e["token"], []).append(e["token"] if e["lemma"] is None else e["lemma"])
+        if len(arrays) == 1 and all(len(f) == 1 for f in forms.values()):
+            one = {t: f[0] for t, f in forms.items()}
+            yield [one.get(t, t) for t in arrays[0]]
+        else:
+            all_ = [(i, x) for a in arrays for i, t in enumerate(a) for x in forms.get(t, (t,))]
+            yield [x for _, x in sorted(all_, key=lambda p: (p[0], p[1] is not None, p[1] or ""))]
+
+
 def lemma_map(tokens_df: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """Replace each token by its dictionary form (dictionary: token, lemma); unknown tokens stay.
-    Tokens are exploded with their position, equi-joined to the dictionary, and re-assembled in
-    order per document (the group is one document)."""
-    t = tokens_df.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
-    j = t.join(dictionary.select("token", "lemma"), "token", "left")
-    out = j.select(id_col, "pos", F.coalesce("lemma", "token").alias("lemma"))
-    return (out.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "lemma"))).alias("_l"))
-            .select(id_col, F.col("_l.lemma").alias("lemmas")))
+    A document's distinct tokens meet the dictionary; what was found joins the document's row, where
+    the tokens are mapped in order."""
+    ship_package(tokens_df.sparkSession)
+    entries = materialize(dictionary.select("token", "lemma"))
+    size = entries.agg(F.sum(F.octet_length("token") + F.coalesce(F.octet_length("lemma"), F.lit(0)) + 16)).first()[0] or 0
+    if size <= SMALL_DICTIONARY:
+        entries = F.broadcast(entries)
+    kind = "struct<token:string,lemma:string>"
+    hits = (tokens_df.select(id_col, F.explode(F.array_distinct(tokens_col)).alias("token")).join(entries, "token")
+            .select(id_col, F.lit(None).cast("array<string>").alias("_d"), F.struct("token", "lemma").cast(kind).alias("_e")))
+    docs = tokens_df.where(F.size(tokens_col) > 0).select(id_col, F.col(tokens_col).alias("_d"), F.lit(None).cast(kind).alias("_e"))
+    # Of repeated rows the same entry is found more than once.
+    g = docs.unionByName(hits).groupBy(id_col).agg(F.collect_list("_d").alias("_d"), F.array_distinct(F.collect_list("_e")).alias("_e"))
+    schema = StructType([g.schema[id_col], StructField("lemmas", ArrayType(StringType()))])
+
+    def mapped(batches):
+        for b in batches:
+            out = pa.array(_lemmas(b.column(1).to_pylist(), b.column(2).to_pylist()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), out], names=schema.names)
+    return g.mapInArrow(mapped, schema)
 
 
 def plural_dictionary(tokens_df: DataFrame, tokens_col: str = "tokens") -> DataFrame:

@@ -8,6 +8,7 @@ from redline.functions.text import WS
 from redline.operators import features as FE
 from redline.plans.q_text import strip_sql
 from redline.plans.registry import query
+from redline.session import materialize
 from redline.sources.tables import table
 
 WSI = WS[1:-1]
@@ -72,7 +73,9 @@ x AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS
 SELECT doc_id, string_agg(coalesce(d.lemma, x.token), ' ' ORDER BY pos) AS lemmas
 FROM x LEFT JOIN dict d USING (token) GROUP BY doc_id""")
 def lemma_map_q(spark, sf):
-    t = FE.preprocess(table(spark, sf, "documents", "doc_id", "text"))
+    t = materialize(FE.preprocess(table(spark, sf, "documents", "doc_id", "text")).select("doc_id", "processed"))
+    # Stored as one string, a document's tokens take the least room.
+    t = t.select("doc_id", F.filter(F.split("processed", " "), lambda x: x != "").alias("tokens"))
     out = FE.lemma_map(t, FE.plural_dictionary(t))
     return out.select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
 
