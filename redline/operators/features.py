@@ -90,7 +90,8 @@ def remove_stop_words(df: DataFrame, in_col: str, out_col: str, stop_words=None)
 def preprocess(df: DataFrame, text_col: str = "text", stop_words=None) -> DataFrame:
     """lower-case, drop every char that is not an ASCII letter or whitespace, whitespace tokens,
     stop words removed -> `tokens` array and the space-joined `processed` text."""
-    cleaned = F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), "[^a-zA-Z" + WS_INNER + "]", "")
+    # Looked at first, letters and blanks never meet the long class.
+    cleaned = F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), "(?:(?![a-zA-Z \\n])[^" + WS_INNER + "])+", "")
     t = df.withColumn("_raw", word_tokens(cleaned))
     t = remove_stop_words(t, "_raw", "tokens", stop_words).drop("_raw")
     return t.withColumn("processed", F.array_join("tokens", " "))
