@@ -103,8 +103,7 @@ GRAMS = "WITH " + _grams_sql().lstrip()
 
 @query("ngrams", GRAMS + "\nSELECT doc_id, term, CAST(count(*) AS BIGINT) AS n FROM terms GROUP BY doc_id, term")
 def ngrams_q(spark, sf):
-    g = FE.ngrams(table(spark, sf, "documents", "doc_id", "text"))
-    return g.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return FE.ngrams(table(spark, sf, "documents", "doc_id", "text"), counted=True)
 
 
 @query("count_features", GRAMS + "\nSELECT doc_id, term, count FROM counts")
