@@ -3,9 +3,9 @@
 Firm detection is a case-insensitive *contains* match, which has no equi key of its own.  Every
 keyword therefore gets an anchor that any text containing it must hold as a whole: its longest
 inner token (one with a separator on both sides within the keyword), or for keywords without one a
-character gram.  Texts' distinct tokens (grams) meet the anchors in an equi join on ids and
-anchors only, and the few candidate pairs are checked on the text.  One plan for any number of
-keywords: nothing is collected, no bound switches to another algorithm, no Python runs.
+character gram.  Texts' distinct tokens (grams) meet the anchors in an equi join, and the few
+candidate pairs are checked on the text.  Few anchors are sent to the texts, so nothing of a text is
+shuffled; many meet the texts' ids and tokens in a shuffle.  Both find the same, without Python.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redline.functions.text import template_type, contract_type  # noqa: F401  (re-export)
+from redline.session import materialize
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
 INNER_TOKEN = r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"
 GRAM = 3
+#: Anchors of at most so many bytes are sent to the texts.
+SMALL_ANCHORS = 8 << 20
 
 
 def firm_keywords(firms: DataFrame) -> DataFrame:
@@ -53,16 +56,23 @@ def _text_grams(low: Column, lengths: list[int]) -> Column:
 def firm_hits(docs: DataFrame, firms: DataFrame, id_col: str = "id", text_col: str = "extracted_text") -> DataFrame:
     """Distinct (_id, firm_rank, firm_id, firm_name) of the firms of which a text holds a keyword."""
     d = docs.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_low")).where(F.col("_low").isNotNull())
-    anchors = keyword_anchors(firms)
-    tokens = d.select("_id", F.explode(F.array_distinct(F.split("_low", SEPARATORS))).alias("anchor"))
-    by_token = tokens.join(anchors.where("gram = 0"), "anchor")
-    cols = ["_id", "firm_rank", "firm_id", "firm_name", "kw_lower"]
-    pairs = by_token.select(*cols)
+    anchors = materialize(keyword_anchors(firms))
+    size = anchors.agg(F.sum(F.octet_length("kw_lower") + F.octet_length("anchor") + 64)).first()[0] or 0
     # Grams only of the lengths that some keyword needs (at most GRAM rows), none if none does.
     lengths = sorted(r["gram"] for r in anchors.where("gram > 0").select("gram").distinct().collect())
+    tokens = F.explode(F.array_distinct(F.split("_low", SEPARATORS))).alias("anchor")
+    grams = F.explode(_text_grams(F.col("_low"), lengths)).alias("anchor") if lengths else None
+    if size <= SMALL_ANCHORS:
+        d = d.where(F.col("_id").isNotNull())
+        held = d.select("_id", "_low", tokens).join(F.broadcast(anchors.where("gram = 0")), "anchor")
+        if lengths:
+            held = held.unionByName(d.select("_id", "_low", grams).join(F.broadcast(anchors.where("gram > 0")), "anchor"))
+        held = held.where(F.instr(F.col("_low"), F.col("kw_lower")) > 0)
+        return held.select("_id", "firm_rank", "firm_id", "firm_name").distinct()
+    cols = ["_id", "firm_rank", "firm_id", "firm_name", "kw_lower"]
+    pairs = d.select("_id", tokens).join(anchors.where("gram = 0"), "anchor").select(*cols)
     if lengths:
-        grams = d.select("_id", F.explode(_text_grams(F.col("_low"), lengths)).alias("anchor"))
-        pairs = pairs.unionByName(grams.join(anchors.where("gram > 0"), "anchor").select(*cols))
+        pairs = pairs.unionByName(d.select("_id", grams).join(anchors.where("gram > 0"), "anchor").select(*cols))
     pairs = pairs.withColumnRenamed("_id", "_hit_id")
     held = d.join(pairs, F.col("_id") == F.col("_hit_id")).where(F.instr(F.col("_low"), F.col("kw_lower")) > 0)
     return held.select("_id", "firm_rank", "firm_id", "firm_name").distinct()

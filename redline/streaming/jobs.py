@@ -36,6 +36,8 @@ def utc_as_ntz(col):
 
 #: Folders that one batch's ids are dealt to in the sink.
 INGEST_BUCKETS = 64
+#: Ids of a batch that are sent to the sink's earlier rows, at most; more meet them in a shuffle.
+FEW_IDS = 200_000
 
 
 def ingest_writer(firms: DataFrame, out_dir: str, buckets: int = INGEST_BUCKETS):
@@ -44,18 +46,26 @@ def ingest_writer(firms: DataFrame, out_dir: str, buckets: int = INGEST_BUCKETS)
 
     An upload is new if its id is in no earlier batch of the sink.  The sink is partitioned by batch and
     by the id's hash, so only the buckets that the batch's ids fall into are read, and no state holds
-    ids.  A batch writes its own folder: replayed, it sees the same earlier batches and rewrites its
-    own result."""
+    ids.  Ids alone decide; texts are stored once, those of new uploads.  A batch writes its own folder,
+    a file per bucket: replayed, it sees the same earlier batches and rewrites its own result."""
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
 
     def write(uploads: DataFrame, epoch_id: int):
         spark = uploads.sparkSession
-        # One row per id within the batch, read by the detection and by the chunks, computed once.
-        new = materialize(uploads.dropDuplicates(["id"]))
-        touched = [r["b"] for r in new.select(bucket.alias("b")).distinct().collect()]
+        ids = materialize(uploads.select("id").distinct())
+        touched, n = ids.agg(F.collect_set(bucket), F.count(F.lit(1))).first()
+        few = n <= FEW_IDS
         earlier = earlier_ids(spark, out_dir, epoch_id, touched)
         if earlier is not None:
-            new = materialize(new.join(earlier, "id", "left_anti"))
+            seen = earlier.join(F.broadcast(ids) if few else ids, "id", "left_semi").distinct()
+            ids = materialize(ids.join(seen, "id", "left_anti"))
+            if ids.isEmpty():
+                return
+        ids = ids.select(F.col("id").alias("_new"))
+        new = uploads.join(F.broadcast(ids) if few else ids, F.col("id").eqNullSafe(F.col("_new")), "left_semi")
+        # One row per id within the batch, dealt out from its few files, read by the detection and by the
+        # chunks, computed once.
+        new = materialize(new.dropDuplicates(["id"]))
         d = detect_firm(new, firms, "id", "extracted_text")
         d = d.withColumn("contract_type", contract_type("extracted_text"))
         # Only the length of the cleaned text travels with the chunks.
@@ -63,12 +73,12 @@ def ingest_writer(firms: DataFrame, out_dir: str, buckets: int = INGEST_BUCKETS)
         chunks = chunk_text(d, id_col="doc_id", text_col="extracted_text",
                             keep=("id", "law_firm_id", "contract_type", "cleaned_length"))
         (chunks.select("doc_id", "id", "law_firm_id", "contract_type", "cleaned_length", "index", "length", bucket.alias("bucket"))
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{out_dir}/batch={epoch_id}"))
+         .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out_dir}/batch={epoch_id}"))
     return write
 
 
 def earlier_ids(spark: SparkSession, out_dir: str, epoch_id: int, buckets: list[int]):
-    """(id) of the sink's earlier batches in the given buckets; None before the first."""
+    """(id) of the chunks of the sink's earlier batches in the given buckets; None before the first."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(out_dir)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -79,7 +89,7 @@ def earlier_ids(spark: SparkSession, out_dir: str, epoch_id: int, buckets: list[
     if not filled:
         return None
     sink = spark.read.option("basePath", out_dir).schema("id string, batch long, bucket int").parquet(*filled)
-    return sink.where(F.col("bucket").isin(buckets)).select("id").distinct()
+    return sink.where(F.col("bucket").isin(buckets)).select("id")
 
 
 def stream_ingest(spark: SparkSession, in_dir: str, schema, firms: DataFrame, out_dir: str, checkpoint: str,
