@@ -98,6 +98,33 @@ def preprocess(df: DataFrame, text_col: str = "text", stop_words=None) -> DataFr
     return t.withColumn("processed", F.array_join("tokens", " "))
 
 
+#: Documents are worked on in runs of about so many bytes of tokens, or so many tokens.
+RUN_BYTES = 2 << 20
+RUN_TOKENS = 200_000
+
+
+def _byte_ends(batch):
+    """Running sum of the bytes of the second column's strings."""
+    return np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
+def _token_ends(batch):
+    """Running sum of the tokens in the second column's arrays of arrays."""
+    sizes = pc.list_value_length(batch.column(1).flatten()).to_numpy(zero_copy_only=False)
+    held = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+    return held[np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))]
+
+
+def _runs(batches, ends_of, most: int):
+    """The batches cut into runs of rows of about ``most`` bytes or tokens (one row at least)."""
+    for batch in batches:
+        ends, a, done = ends_of(batch), 0, 0
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(a, b - a)
+            a, done = b, int(ends[b - 1])
+
+
 #: A dictionary of at most so many bytes goes to the tokens, a larger one meets them in a shuffle.
 SMALL_DICTIONARY = 16 << 20
 
@@ -134,8 +161,10 @@ def lemma_map(tokens_df: DataFrame, dictionary: DataFrame, id_col: str = "doc_id
     g = docs.unionByName(hits).groupBy(id_col).agg(F.collect_list("_d").alias("_d"), F.array_distinct(F.collect_list("_e")).alias("_e"))
     schema = StructType([g.schema[id_col], StructField("lemmas", ArrayType(StringType()))])
 
+    run_tokens = RUN_TOKENS
+
     def mapped(batches):
-        for b in batches:
+        for b in _runs(batches, _token_ends, run_tokens):
             out = pa.array(_lemmas(b.column(1).to_pylist(), b.column(2).to_pylist()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), out], names=schema.names)
     return g.mapInArrow(mapped, schema)
@@ -201,21 +230,6 @@ def _grams(batch, stop: set, lo: int, hi: int, within=None):
             break
 
 
-#: Documents are counted in runs of about so many bytes of tokens.
-RUN_BYTES = 2 << 20
-
-
-def _runs(batches):
-    """The batches cut into runs of rows of about RUN_BYTES tokens (one row at least)."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        a = done = 0
-        while a < len(ends):
-            b = max(a + 1, int(np.searchsorted(ends, done + RUN_BYTES, side="right")))
-            yield batch.slice(a, b - a)
-            a, done = b, int(ends[b - 1])
-
-
 def _stop_set(stop_words) -> set:
     """Tokens are lower-cased, so are the stop words."""
     return {w.lower() for w in (stop_words if stop_words is not None else default_stop_words())}
@@ -230,9 +244,10 @@ def _joined_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _row_counts(tokens: DataFrame, lo: int, hi: int, stop: set) -> DataFrame:
     """(id, term, n): the n-grams of each row counted within it."""
     schema = StructType([tokens.schema[0], StructField("term", StringType()), StructField("n", LongType())])
+    run_bytes = RUN_BYTES
 
     def count(batches):
-        for run in _runs(batches):
+        for run in _runs(batches, _byte_ends, run_bytes):
             for _, rows, gram, grams in _grams(run, stop, lo, hi):
                 keys, n = np.unique(rows * max(len(grams), 1) + gram, return_counts=True)
                 ids = run.column(0).take(pa.array(keys // max(len(grams), 1)))
@@ -269,9 +284,11 @@ MOST_WORDS = 50_000
 
 def _term_counts(tokens: DataFrame, lo: int, hi: int, stop: set, within: list | None = None) -> DataFrame:
     """(term, n) of the whole corpus, summed within runs of documents before the one exchange."""
+    run_bytes = RUN_BYTES
+
     def count(batches):
         words = None if within is None else pa.array(within, pa.string())
-        for run in _runs(batches):
+        for run in _runs(batches, _byte_ends, run_bytes):
             for _, _, gram, grams in _grams(run, stop, lo, hi, words):
                 n = np.bincount(gram, minlength=len(grams))
                 used = np.flatnonzero(n)
@@ -320,13 +337,13 @@ class TermVectors:
     def _counted(self, tokens: DataFrame, ngram, stop: set) -> DataFrame:
         """(id, i, n): numbers of the terms that the row holds, ascending, and their counts."""
         schema = StructType([tokens.schema[0], StructField("i", ArrayType(IntegerType())), StructField("n", ArrayType(LongType()))])
-        terms, lo, hi = self.terms, *ngram
+        terms, run_bytes, lo, hi = self.terms, RUN_BYTES, *ngram
 
         def count(batches):
             names = pa.array(terms, pa.string())
             # Only these words can be in a term.
             words = pc.unique(pc.split_pattern(names, " ").flatten())
-            for run in _runs(batches):
+            for run in _runs(batches, _byte_ends, run_bytes):
                 found = [np.zeros(0, np.int64)]
                 for _, rows, gram, grams in _grams(run, stop, lo, hi, words):
                     number = pc.fill_null(pc.index_in(grams, names), -1).to_numpy(zero_copy_only=False)[gram]
