@@ -56,10 +56,14 @@ MEET = 16
 MAX_BROADCAST_LINES = 200_000
 
 
+def masked_words(line: Column) -> Column:
+    """A line whose other white space is blanks, cut at each blank; words with a digit become the wildcard."""
+    return F.split(F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line), " ")
+
+
 def masked_tokens(line: Column) -> Column:
-    """Words of a line whose other white space is blanks; those with a digit become the wildcard."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line)
-    return F.array_remove(F.split(masked, " "), "")
+    """The words of ``masked_words``, without the empty ones between blanks."""
+    return F.array_remove(masked_words(line), "")
 
 
 def blanked(text: Column) -> Column:
@@ -68,7 +72,7 @@ def blanked(text: Column) -> Column:
 
 
 def _shingle(h, i, n: int) -> Column:
-    return F.when(i <= F.size(h) - n, F.xxhash64(*[F.get(h, i + j) for j in range(n)]))
+    return F.when(i <= F.size(h) - n, F.xxhash64(*[F.get(h, i + j if j else i) for j in range(n)]))
 
 
 def _smallest(shingles: Column, most: int | None = None) -> Column:
@@ -99,9 +103,12 @@ def _sketch(h) -> Column:
 def text_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, p): per text its MD5 and, as p, its templated lines ls and its sketch sk."""
     docs = df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    # Every word is hashed once.
-    tokens = F.transform(F.split(blanked(F.col("text")), "\n"), lambda x, i: F.struct(
-        i.alias("no"), F.transform(masked_tokens(x), lambda w: F.xxhash64(w)).alias("h"), x.alias("x")))
+    # Every word is hashed once; texts without digits and odd white space are looked at once for both.
+    def cut(text, tokens):
+        return F.transform(F.split(text, "\n"), lambda x, i: F.struct(
+            i.alias("no"), F.array_remove(F.transform(tokens(x), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))).alias("h"), x.alias("x")))
+    tokens = (F.when(F.col("text").rlike("[\t\x0b\f\r0-9]"), cut(blanked(F.col("text")), masked_words))
+              .otherwise(cut(F.col("text"), lambda x: F.split(x, " "))))
 
     # Bound once: within a lambda, what is named twice is computed twice.
     def line(x):
@@ -147,18 +154,28 @@ def families(texts: DataFrame) -> DataFrame:
     return components(edges)
 
 
+def shared_lines(texts: DataFrame) -> DataFrame:
+    """(key, norm, alone, no, leaf, tmpl, size): one narrow row per templated line whose leaf holds
+    another template or another text; the other lines cannot recur.  alone tells that the text has
+    nothing else to tell."""
+    rest = F.col("sk.n") - F.get("ls", F.lit(0))["size"]
+    alone = (F.size("ls") == 1) & (rest < MIN_TOKENS)
+    lines = (texts.select("key", "sk.norm", alone.alias("alone"), F.explode("ls").alias("l"))
+             .select("key", "norm", "alone", "l.no", "l.at.leaf", "l.at.tmpl", "l.size"))
+    leaves = (lines.groupBy("leaf").agg(F.min("norm").alias("n0"), F.max("norm").alias("n1"), F.min("tmpl").alias("t0"), F.max("tmpl").alias("t1"))
+              .filter("n0 < n1 OR t0 < t1").select("leaf"))
+    # Hashed: the few shared leaves are the smaller side by far, and the lines need no sort.
+    return lines.join(leaves.hint("shuffle_hash"), "leaf", "left_semi")
+
+
 def line_table(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, ctx, alone, no, leaf, tmpl, size): one narrow row per templated line; key is the text's
-    MD5, ctx its family, alone tells that the text has nothing else to tell."""
+    """(key, ctx, alone, no, leaf, tmpl, size): the rows of ``shared_lines``, key is the text's MD5,
+    ctx its family."""
     # Filtered once stored: a filter on a computed column would compute it twice.
     texts = (stored(text_table(df, text_col), "line-texts").select("key", "p.ls", "p.sk")
              .filter(F.size("ls") > 0))
-    rest = F.col("sk.n") - F.get("ls", F.lit(0))["size"]
-    alone = (F.size("ls") == 1) & (rest < MIN_TOKENS)
-    return (texts.join(families(texts), F.col("sk.norm") == F.col("node"), "left")
-            .select("key", F.coalesce("root", "sk.norm").alias("ctx"), alone.alias("alone"), "ls")
-            .select("key", "ctx", "alone", F.explode("ls").alias("l"))
-            .select("key", "ctx", "alone", "l.no", "l.at.leaf", "l.at.tmpl", "l.size"))
+    return (shared_lines(texts).join(families(texts), F.col("norm") == F.col("node"), "left")
+            .select("key", F.coalesce("root", "norm").alias("ctx"), "alone", "no", "leaf", "tmpl", "size"))
 
 
 def _enough() -> Column:
