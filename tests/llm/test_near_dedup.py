@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from redline.llm import near_dedup as N
+from redline.llm.common import stored
 from redline.llm.components import components
 
 
@@ -117,6 +118,27 @@ def corpus():
     return rows
 
 
+def test_few_edges_make_few_files_and_stars_no_round(llm, monkeypatch):
+    from redline.llm import components as graph
+    calls = []
+    monkeypatch.setattr(graph, "stored", lambda df, name: calls.append(stored(df, name)) or calls[-1])
+    stars = llm.createDataFrame([(1, 2), (1, 3), (5, 4), (6, 4)], "u long, v long")
+    assert {r.node: r.root for r in components(stars).collect()} == {2: 1, 3: 1, 5: 4, 6: 4}
+    assert len(calls) == 1
+    calls.clear()
+    old = {k: llm.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        llm.conf.set("spark.sql.shuffle.partitions", "64")
+        llm.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        chains = llm.createDataFrame([(20 * c + i, 20 * c + i + 1) for c in range(40) for i in range(7)], "u long, v long")
+        got = {r.node: r.root for r in components(chains).collect()}
+    finally:
+        for k, v in old.items():
+            llm.conf.set(k, v)
+    assert got == {20 * c + i: 20 * c for c in range(40) for i in range(1, 8)}
+    assert len(calls) > 1 and all(len(e.inputFiles()) <= llm.sparkContext.defaultParallelism for e in calls[1:])
+
+
 def test_classes_equal_brute_force(docs, corpus):
     got = {r.doc_id: r.class_id for r in N.near_duplicate_classes(docs(corpus)).collect()}
     want = _brute(corpus)
