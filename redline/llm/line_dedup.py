@@ -44,6 +44,8 @@ MIN_CONTEXTS = 4
 LONG = 50
 LONG_CONTEXTS = 2
 WILD = "<*>"
+#: Single characters make one table look-up a character; with a range in the class it takes twice as long.
+DIGIT_OR_WHITE = "[\t\x0b\f\r0123456789]"
 #: Near copies agree in so much of their sketches; a sketch holds so many shingles.
 ALIKE = 0.65
 SKETCH = 64
@@ -107,7 +109,7 @@ def text_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     def cut(text, tokens):
         return F.transform(F.split(text, "\n"), lambda x, i: F.struct(
             i.alias("no"), F.array_remove(F.transform(tokens(x), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))).alias("h"), x.alias("x")))
-    tokens = (F.when(F.col("text").rlike("[\t\x0b\f\r0-9]"), cut(blanked(F.col("text")), masked_words))
+    tokens = (F.when(F.col("text").rlike(DIGIT_OR_WHITE), cut(blanked(F.col("text")), masked_words))
               .otherwise(cut(F.col("text"), lambda x: F.split(x, " "))))
 
     # Bound once: within a lambda, what is named twice is computed twice.
@@ -197,11 +199,13 @@ def leaf_members(df: DataFrame, lines: DataFrame, text_col: str = "text") -> Dat
     """(tmpl, leaf): the templates that their leaf's generalised template covers."""
     reps = stored(_dense(lines), "line-reps")
     texts = (df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-             .select(F.unhex(F.md5("text")).alias("key"), F.split(blanked(F.col("text")), "\n").alias("ls")))
+             .select(F.unhex(F.md5("text")).alias("key"), "text"))
     wanted = reps.groupBy("key").agg(F.collect_list(F.struct("leaf", "tmpl", "no")).alias("w"))
     if reps.count() <= MAX_BROADCAST_LINES:
         wanted = F.broadcast(wanted)
-    tokens = (texts.join(wanted, "key").select("ls", F.explode("w").alias("w"))
+    # Only the texts that hold such a line are cut.
+    tokens = (texts.join(wanted, "key").select(F.split(blanked(F.col("text")), "\n").alias("ls"), "w")
+              .select("ls", F.explode("w").alias("w"))
               .select("w.leaf", "w.tmpl", masked_tokens(F.get("ls", F.col("w.no"))).alias("t"))
               .dropDuplicates(["leaf", "tmpl"]))
     tokens = stored(tokens, "line-tokens")
@@ -246,7 +250,8 @@ def mark_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     rows = df.select(F.struct("*").alias("row"))
     text = F.col("row").getField(text_col)
     return (rows.withColumn("key", F.unhex(F.md5(text)))
-            .join(drops, F.col("key") == F.col("drop_key"), "left")
+            # Hashed: the narrow side is built, the rows with their texts need no sort.
+            .join(drops.hint("shuffle_hash"), F.col("key") == F.col("drop_key"), "left")
             .select("row", F.split(text, "\n").alias("lines"),
                     F.coalesce("drop", F.array().cast("array<int>")).alias("drop")))
 

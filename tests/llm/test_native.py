@@ -6,6 +6,7 @@ from hashlib import md5
 from pyspark.sql import functions as F
 
 from redline.llm import line_dedup, quality, url_filter
+from redline.llm.common import stored
 from redline.llm.queries import PATTERN_RULES, QUERIES, SITE_RULES
 
 
@@ -244,3 +245,27 @@ def test_only_lines_of_shared_leaves_travel(docs):
     assert all(list(got[d].drop) == [5] and variants[d] not in got[d].text.split("\n") for d in range(5))
     assert got[100].text == got[0].text and got[101].text is None
     assert all(got[d].text == texts[d] for d in (5, 6))
+
+
+def test_line_dedup_cuts_only_wanted_texts_and_sorts_none(docs, monkeypatch):
+    """The texts whose positions are looked at are cut after the join, and the last join sorts no texts."""
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        return stored(df, name)
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    rows = [(i, f"alpha beta gamma delta x{'abcdefgh'[i]} omega rho tau\nown {'qrstuvwx'[i]} words {i} of {'jklmnopq'[i]}") for i in range(8)]
+    marked = line_dedup.mark_lines(docs(rows))
+    last = marked._jdf.queryExecution().executedPlan().toString()
+    assert {len(r["drop"]) for r in marked.collect()} == {1}
+    at = plans["line-tokens"]
+    cut, join = (next(i for i, x in enumerate(at) if what in x) for what in (" AS ls", "Join "))
+    assert cut < join
+    assert "ShuffledHashJoin" in last and "SortMergeJoin" not in last
+
+
+def test_digits_and_white_space_are_found(spark):
+    seen = spark.range(256).selectExpr("id", "decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') AS c")
+    found = {r.id for r in seen.filter(F.concat(F.lit("ab"), "c").rlike(line_dedup.DIGIT_OR_WHITE)).collect()}
+    assert found == {9, 11, 12, 13, *range(48, 58)}
