@@ -46,6 +46,8 @@ LONG_CONTEXTS = 2
 WILD = "<*>"
 #: Single characters make one table look-up a character; with a range in the class it takes twice as long.
 DIGIT_OR_WHITE = "[\t\x0b\f\r0123456789]"
+#: Only looked for where a word begins, without steps back: linear in the line, however long its words.
+WITH_DIGIT = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 #: Near copies agree in so much of their sketches; a sketch holds so many shingles.
 ALIKE = 0.65
 SKETCH = 64
@@ -60,7 +62,7 @@ MAX_BROADCAST_LINES = 200_000
 
 def masked_words(line: Column) -> Column:
     """A line whose other white space is blanks, cut at each blank; words with a digit become the wildcard."""
-    return F.split(F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line), " ")
+    return F.split(F.when(line.rlike("[0-9]"), F.regexp_replace(line, WITH_DIGIT, WILD)).otherwise(line), " ")
 
 
 def masked_tokens(line: Column) -> Column:
@@ -73,61 +75,66 @@ def blanked(text: Column) -> Column:
     return F.when(text.rlike("[\t\x0b\f\r]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
 
 
-def _shingle(h, i, n: int) -> Column:
-    return F.when(i <= F.size(h) - n, F.xxhash64(*[F.get(h, i + j if j else i) for j in range(n)]))
+def _smallest(shingles: str, most) -> Column:
+    """The smallest distinct of ascending hashes: nearly always among twice as many of the first."""
+    first = F.array_distinct(F.slice(shingles, 1, 2 * most))
+    return F.slice(F.when((F.size(first) >= most) | (F.size(shingles) <= 2 * most), first).otherwise(F.array_distinct(shingles)), 1, most)
 
 
-def _smallest(shingles: Column, most: int | None = None) -> Column:
-    some = F.sort_array(F.array_distinct(F.array_compact(shingles)))
-    return some if most is None else F.slice(some, 1, most)
+def _shingles(at, n: int) -> Column:
+    """The hashes of the n words from each of these positions of h on."""
+    return let(F.col("h"), lambda h: F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + j if j else i) for j in range(n)])))
 
 
-def _sketch(h) -> Column:
-    """Of a text's word hashes: their number n, norm (their hash), and what tells near copies: the
-    smallest three-word shingles s (long texts), the distinct words w (short texts, and the next
-    longer ones that these may be copies of) and the shingles b by which copies meet.
+def _positions(n: int) -> Column:
+    """All positions from which n words of h are left."""
+    return F.slice(F.sequence(F.lit(0), F.size("h")), 1, F.greatest(F.size("h") - (n - 1), F.lit(0)))
 
-    Shingles begin with one word in four, chosen by its hash: the same ones in any copy."""
-    def of(at):
-        three, six = F.transform(at, lambda i: _shingle(h, i, 3)), F.transform(at, lambda i: _shingle(h, i, 6))
 
-        def rest(s):
-            short = (F.size(h) <= SHORT) | (F.size(s) < MIN_SAMPLE)
-            every = _smallest(F.flatten(F.transform(h, lambda w, i: F.array(_shingle(h, i, 3), _shingle(h, i, 6)))), 2 * MEET)
-            return F.struct(
-                F.size(h).alias("n"), F.xxhash64(h).alias("norm"), short.alias("short"), F.when(~short, s).alias("s"),
-                F.when(short | (F.size(h) <= 2 * SHORT), _smallest(h, 2 * SHORT)).alias("w"),
-                F.when(short, every).otherwise(_smallest(six, MEET)).alias("b"))
-        return let(_smallest(three, SKETCH), rest)
-    return let(F.array_compact(F.transform(h, lambda w, i: F.when(w.bitwiseAND(3) == 0, i))), of)
+def text_table(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, any, ls, sk): per text its MD5, has it templated lines, these, and its sketch.
 
+    A sketch holds the number n of the text's words, norm (the hash of their hashes), and what tells near
+    copies: the smallest three-word shingles s (long texts), the distinct words w (short texts, and the
+    next longer ones that these may be copies of) and the shingles b by which copies meet.  Shingles begin
+    with one word in four, chosen by its hash: the same ones in any copy.
 
-def text_table(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, p): per text its MD5 and, as p, its templated lines ls and its sketch sk."""
-    docs = df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    Lambda functions run interpreted: they only hash words, lines and shingles and pick where shingles
+    begin.  Arrays are joined, sorted and cut in selects of their own, where compiled code does it, once."""
+    text, h, empty, wild = F.col("text"), F.col("h"), F.xxhash64(F.lit("")), F.xxhash64(F.lit(WILD))
+    docs = df.select(F.col(text_col).alias("text")).filter(text.isNotNull())
     # Every word is hashed once; texts without digits and odd white space are looked at once for both.
     def cut(text, tokens):
-        return F.transform(F.split(text, "\n"), lambda x, i: F.struct(
-            i.alias("no"), F.array_remove(F.transform(tokens(x), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))).alias("h"), x.alias("x")))
-    tokens = (F.when(F.col("text").rlike(DIGIT_OR_WHITE), cut(blanked(F.col("text")), masked_words))
-              .otherwise(cut(F.col("text"), lambda x: F.split(x, " "))))
-
-    # Bound once: within a lambda, what is named twice is computed twice.
-    def line(x):
-        h = x["h"]
-
-        def of(fixed):
+        return F.transform(F.split(text, "\n"), lambda x: F.struct(F.transform(tokens(x), lambda w: F.xxhash64(w)).alias("h"), x.alias("x")))
+    looked = docs.select("text", text.rlike(DIGIT_OR_WHITE).alias("odd"))
+    tokens = looked.select(F.unhex(F.md5("text")).alias("key"), (
+        F.when(F.col("odd"), cut(blanked(text), masked_words)).otherwise(cut(text, lambda x: F.split(x, " ")))).alias("t"))
+    flat = tokens.select("key", "t", F.flatten("t.h").alias("h"))
+    flat = flat.select("key", "t", F.array_remove("h", empty).alias("h"), F.array_contains("h", empty).alias("empty"),
+                       F.array_contains("h", wild).alias("wild"))
+
+    def line(x, i):
+        def of(h, fixed):
             sparse = (fixed < F.size(h)) & ((fixed < MIN_CONSTANT) | (fixed < CONSTANT * F.size(h)))
             plain = F.xxhash64(F.array_remove(F.split(x["x"], " "), ""))
-            return F.struct(
-                x["no"].alias("no"), F.size(h).alias("size"),
-                F.when(sparse, let(plain, lambda p: F.struct(p.alias("leaf"), p.alias("tmpl"))))
-                .otherwise(F.struct(F.xxhash64(F.size(h), F.slice(h, 1, DEPTH)).alias("leaf"), F.xxhash64(h).alias("tmpl"))).alias("at"))
-        return let(F.size(F.array_remove(h, F.xxhash64(F.lit(WILD)))), of)
-    parts = let(tokens, lambda t: F.struct(
-        F.transform(F.filter(t, lambda x: F.size(x["h"]) >= MIN_TOKENS), line).alias("ls"),
-        let(F.flatten(t["h"]), _sketch).alias("sk")))
-    return docs.select(F.unhex(F.md5("text")).alias("key"), parts.alias("p"))
+            leaf = F.xxhash64(F.size(h), *[F.get(h, F.lit(j)) for j in range(DEPTH)])
+            return F.struct(i.alias("no"), F.size(h).alias("size"), F.when(
+                F.col("wild") & sparse, let(plain, lambda p: F.struct(p.alias("leaf"), p.alias("tmpl"))))
+                .otherwise(F.struct(leaf.alias("leaf"), F.xxhash64(h).alias("tmpl"))).alias("at"))
+        words = F.when(F.col("empty"), F.array_remove(x["h"], empty)).otherwise(x["h"])
+        return let(words, lambda h: let(F.when(F.col("wild"), F.size(F.array_remove(h, wild))), lambda fixed: of(h, fixed)))
+    at = flat.select("key", "h", F.filter(F.transform("t", line), lambda x: x["size"] >= MIN_TOKENS).alias("ls"), F.array_remove(
+        F.transform("h", lambda w, i: F.when((w.bitwiseAND(3) == 0) & (i <= F.size("h") - 3), i).otherwise(-1)), -1).alias("at"))
+    three = at.select("*", F.sort_array(_shingles("at", 3)).alias("three"))
+    s = three.select("key", "h", "ls", "at", _smallest("three", SKETCH).alias("s"))
+    short = s.select("*", ((F.size("h") <= SHORT) | (F.size("s") < MIN_SAMPLE)).alias("short"))
+    of = short.select("*", F.when(F.col("short"), _positions(6)).otherwise(F.filter("at", lambda i: i <= F.size("h") - 6)).alias("at6"),
+                      F.when(F.col("short"), _positions(3)).otherwise(F.array().cast("array<int>")).alias("at3"))
+    meet = of.select("key", "h", "ls", "s", "short", F.sort_array(F.concat(_shingles("at6", 6), _shingles("at3", 3))).alias("meet"))
+    return meet.select("key", (F.size("ls") > 0).alias("any"), "ls", F.struct(
+        F.size("h").alias("n"), F.xxhash64("h").alias("norm"), "short", F.when(~F.col("short"), F.col("s")).alias("s"),
+        F.when(F.col("short") | (F.size("h") <= 2 * SHORT), F.slice(F.sort_array(F.array_distinct("h")), 1, 2 * SHORT)).alias("w"),
+        _smallest("meet", F.when(F.col("short"), 2 * MEET).otherwise(MEET)).alias("b")).alias("sk"))
 
 
 def _alike(a: str, b: str) -> Column:
@@ -174,8 +181,7 @@ def line_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, ctx, alone, no, leaf, tmpl, size): the rows of ``shared_lines``, key is the text's MD5,
     ctx its family."""
     # Filtered once stored: a filter on a computed column would compute it twice.
-    texts = (stored(text_table(df, text_col), "line-texts").select("key", "p.ls", "p.sk")
-             .filter(F.size("ls") > 0))
+    texts = stored(text_table(df, text_col), "line-texts").filter("any").drop("any")
     return (shared_lines(texts).join(families(texts), F.col("norm") == F.col("node"), "left")
             .select("key", F.coalesce("root", "norm").alias("ctx"), "alone", "no", "leaf", "tmpl", "size"))
 
