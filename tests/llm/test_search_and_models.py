@@ -39,6 +39,29 @@ def test_topk_equals_brute_force(llm, monkeypatch):
     assert topk.top_k(df.filter("vec_id = 20"), F.lit(True), 3).count() == 0
 
 
+@pytest.mark.parametrize("largest, k", [(1.5, 30), (600.0, 150), (1e7, 1)])
+def test_topk_over_slabs_and_groups(llm, monkeypatch, largest, k):
+    """Vectors of 8 and 32 bits, sums of floats and longs, queries in several groups, more asked for than a slab or the table holds."""
+    for name, value in (("BLOCK", 4), ("SET", 2), ("QUERIES", 2), ("GROUP", 5), ("SLAB_BYTES", 64)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([largest, -largest, 0.0, rng.uniform(-1, 1)]) for _ in range(3)]) for i in range(0, 400, 4)]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == _brute_top(rows, k)
+
+
+def test_topk_repeats_no_queries_through_the_driver(llm, monkeypatch):
+    """Queries look small to Spark; repeated for many sets of documents they must not be broadcast."""
+    for name, value in (("BLOCK", 4), ("SET", 2), ("QUERIES", 8)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(3)
+    df = llm.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(400)], "vec_id long, embedding array<double>")
+    found = topk.top_k(df, F.col("vec_id") % 20 == 0, 3)
+    assert found.count() == 60
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bounds_hold_and_blocks_are_skipped():
     rng = np.random.default_rng(2)
     v = np.sort(rng.integers(-60, 60, (640, 8)), axis=0).astype(np.int32)
