@@ -152,7 +152,7 @@ def test_families_of_short_texts_keep_their_lines(docs):
     rows = []
 
     def family(texts):
-        rows.extend((len(rows) + i, t) for i, t in enumerate(texts))
+        rows.extend([(len(rows) + i, t) for i, t in enumerate(texts)])
     for n in (3, 8, 12, 60, 200):
         one = _passage(rng, n)
         family([one, one + "\n", one.replace(" ", "  "), "\t" + one, one + " \n\n", "\n" + one])
